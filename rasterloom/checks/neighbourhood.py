@@ -57,14 +57,20 @@ def _values(rows) -> str:
     return ", ".join("(" + ",".join(str(v) for v in r) + ")" for r in rows)
 
 
+def _needed(source: str, dy: str = "t.dy", dx: str = "t.dx", where: str = "") -> str:
+    """Each place and tap with the mirrored place it reads."""
+    return f"""
+needed AS MATERIALIZED (
+  SELECT p.* EXCLUDE (h, w), t.*, {sql.fold(f'p.y+{dy}', 'p.h')} AS sy, {sql.fold(f'p.x+{dx}', 'p.w')} AS sx
+  FROM {source} p CROSS JOIN taps t {where})"""
+
+
 def _stencil(taps, finish: str, source: str = "ch", alpha: str = "", grey: bool = False) -> str:
     """Gather form: each pixel joins its taps and looks the mirrored source up."""
-    final = f"""
+    final = f"""{_needed(source)},
 res AS (
-  SELECT p.frame_id, p.y, p.x, p.c, {finish} AS v
-  FROM {source} p, taps t
-  JOIN {source} s ON s.frame_id=p.frame_id AND s.c=p.c
-    AND s.y={sql.fold('p.y+t.dy', 'p.h')} AND s.x={sql.fold('p.x+t.dx', 'p.w')}
+  SELECT t.frame_id, t.y, t.x, t.c, {finish} AS v
+  FROM needed t JOIN {source} s ON s.frame_id=t.frame_id AND s.c=t.c AND s.y=t.sy AND s.x=t.sx
   GROUP BY ALL)"""
     wide = f"SELECT w.*, px.a FROM ({sql.WIDE}) w JOIN px USING (frame_id, y, x)" if alpha else sql.WIDE
     if grey:
@@ -85,13 +91,17 @@ WITH {sql.PX}, {sql.CH},
 raw AS (SELECT d, exp(-0.5::DOUBLE*pow(d/{sigma!r}::DOUBLE,2)) AS e FROM (SELECT unnest(range(-{radius},{radius + 1})) AS d)),
 whole AS (SELECT d, round_even(e*(65536.0::DOUBLE/(SELECT sum(e) FROM raw)),0)::BIGINT AS k FROM raw),
 taps AS MATERIALIZED (SELECT d, (k+CASE WHEN d=0 THEN 65536-(SELECT sum(k) FROM whole) ELSE 0 END)::BIGINT AS k FROM whole),
+below AS MATERIALIZED (
+  SELECT p.*, t.k, {sql.fold('p.y+t.d', 'p.h')} AS sy FROM ch p CROSS JOIN taps t {'WHERE p.c=0' if grey else ''}),
 down AS MATERIALIZED (
-  SELECT p.frame_id, p.h, p.w, p.y, p.x, p.c, sum(t.k*s.v)::BIGINT AS v
-  FROM ch p, taps t JOIN ch s ON s.frame_id=p.frame_id AND s.c=p.c AND s.x=p.x AND s.y={sql.fold('p.y+t.d', 'p.h')}
-  {'WHERE p.c=0' if grey else ''} GROUP BY ALL),
+  SELECT p.frame_id, p.h, p.w, p.y, p.x, p.c, sum(p.k*s.v)::BIGINT AS v
+  FROM below p JOIN ch s ON s.frame_id=p.frame_id AND s.c=p.c AND s.x=p.x AND s.y=p.sy
+  GROUP BY ALL),
+beside AS MATERIALIZED (
+  SELECT p.*, t.k, {sql.fold('p.x+t.d', 'p.w')} AS sx FROM down p CROSS JOIN taps t),
 res AS (
-  SELECT p.frame_id, p.y, p.x, p.c, (sum(t.k*s.v)::BIGINT>>32) AS v
-  FROM down p, taps t JOIN down s ON s.frame_id=p.frame_id AND s.c=p.c AND s.y=p.y AND s.x={sql.fold('p.x+t.d', 'p.w')}
+  SELECT p.frame_id, p.y, p.x, p.c, (sum(p.k*s.v)::BIGINT>>32) AS v
+  FROM beside p JOIN down s ON s.frame_id=p.frame_id AND s.c=p.c AND s.y=p.y AND s.x=p.sx
   GROUP BY ALL)
 {last}"""
 
@@ -101,10 +111,10 @@ def _disc(radius: int) -> str:
 WITH {sql.PX}, {sql.CH},
 side AS (SELECT unnest(range(-{radius},{radius + 1})) AS d),
 taps AS (SELECT a.d AS dy, b.d AS dx, 1 AS k FROM side a, side b WHERE a.d*a.d+b.d*b.d<={radius * radius}),
+{_needed('ch')},
 res AS (
-  SELECT p.frame_id, p.y, p.x, p.c, sum(s.v)::BIGINT//count(*) AS v
-  FROM ch p, taps t JOIN ch s ON s.frame_id=p.frame_id AND s.c=p.c
-    AND s.y={sql.fold('p.y+t.dy', 'p.h')} AND s.x={sql.fold('p.x+t.dx', 'p.w')}
+  SELECT t.frame_id, t.y, t.x, t.c, sum(s.v)::BIGINT//count(*) AS v
+  FROM needed t JOIN ch s ON s.frame_id=t.frame_id AND s.c=t.c AND s.y=t.sy AND s.x=t.sx
   GROUP BY ALL)
 SELECT w.*, px.a FROM ({sql.WIDE}) w JOIN px USING (frame_id, y, x)"""
 
@@ -126,11 +136,10 @@ def _box_blur(size: int, alpha: bool) -> str:
     lo, hi, dy = (-(size // 2), size // 2, 0) if odd else (-(size // 2 - 1), size // 2, 1)
     return f"""
 WITH {sql.PX}, {CH_ALPHA if alpha else sql.CH},
-taps AS (SELECT unnest(range({lo},{hi + 1})) AS dx),
+taps AS (SELECT unnest(range({lo},{hi + 1})) AS dx),{_needed('ch', dy=str(dy))},
 res AS (
-  SELECT p.frame_id, p.y, p.x, p.c, sum(s.v)::BIGINT//{size} AS v
-  FROM ch p, taps t JOIN ch s ON s.frame_id=p.frame_id AND s.c=p.c
-    AND s.y={sql.fold(f'p.y+{dy}', 'p.h')} AND s.x={sql.fold('p.x+t.dx', 'p.w')}
+  SELECT t.frame_id, t.y, t.x, t.c, sum(s.v)::BIGINT//{size} AS v
+  FROM needed t JOIN ch s ON s.frame_id=t.frame_id AND s.c=t.c AND s.y=t.sy AND s.x=t.sx
   GROUP BY ALL)
 {WIDE_ALPHA if alpha else sql.WIDE}"""
 
@@ -171,11 +180,11 @@ WITH {sql.PX},
 cfa AS MATERIALIZED (SELECT frame_id, h, w, y, x, a, {code} AS code,
   CASE {code} WHEN 0 THEN r WHEN 1 THEN g ELSE b END AS m FROM px),
 taps(dy,dx,kg,kh,ku,kd) AS (VALUES {_values(taps)}),
+{_needed('cfa')},
 f AS (
   SELECT p.frame_id, p.y, p.x, p.a, p.code, p.m, sum(kg*s.m)::BIGINT AS sg, sum(kh*s.m)::BIGINT AS sh,
     sum(ku*s.m)::BIGINT AS su, sum(kd*s.m)::BIGINT AS sd
-  FROM cfa p, taps t JOIN cfa s ON s.frame_id=p.frame_id
-    AND s.y={sql.fold('p.y+t.dy', 'p.h')} AND s.x={sql.fold('p.x+t.dx', 'p.w')}
+  FROM needed p JOIN cfa s ON s.frame_id=p.frame_id AND s.y=p.sy AND s.x=p.sx
   GROUP BY ALL)
 SELECT frame_id, y, x,
   (CASE code WHEN 0 THEN m WHEN 2 THEN {s['d']} ELSE CASE WHEN {red_row} THEN {s['h']} ELSE {s['u']} END END)::INT AS r,
@@ -276,8 +285,8 @@ def _resized(source: str, prefix: str, method: str, new_h: str, new_w: str, size
   SELECT g.frame_id, g.y, g.x, s.c, s.v FROM (
     SELECT frame_id, y, unnest(range(nw)) AS x, h, w, nh, nw FROM (
       SELECT frame_id, unnest(range(nh)) AS y, h, w, nh, nw FROM {prefix}_sz)) g
-  JOIN {source} s ON s.frame_id=g.frame_id AND s.y=floor((g.y+{shift}::DOUBLE)*h/nh)::INT
-    AND s.x=floor((g.x+{shift}::DOUBLE)*w/nw)::INT)"""
+  JOIN {source} s ON s.frame_id=g.frame_id AND s.y=floor((g.y+{shift}::DOUBLE)*g.h/g.nh)::INT
+    AND s.x=floor((g.x+{shift}::DOUBLE)*g.w/g.nw)::INT)"""
     point = method == "bilinear_point"
     byte = "greatest(0,least(255,(sum(k*v)::BIGINT+2097152)>>22))"
     first = "sum(k*v)::BIGINT" if point else byte

@@ -96,12 +96,14 @@ def list_column(plane: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, pa.array(plane.astype(np.int32).ravel()))
 
 
-def map_strips(halo: DataFrame, fn: StripFn, out_bands: list[str] | None = None) -> DataFrame:
-    """Run ``fn(planes, strip)`` on each strip; it returns the strip's own lines."""
+def map_strips(halo: DataFrame, fn: StripFn, with_frame: bool = False) -> DataFrame:
+    """Run ``fn(planes, strip)`` on each strip; it returns the strip's own lines.
+
+    With ``with_frame`` the frame id is passed as a third argument.
+    """
     bands = all_bands(halo)
-    out_bands = out_bands or bands
     schema = "frame_id long, height int, width int, y int, " + ", ".join(
-        f"{b} array<int>" for b in out_bands
+        f"{b} array<int>" for b in bands
     )
 
     def run(table: pa.Table) -> pa.Table:
@@ -113,14 +115,15 @@ def map_strips(halo: DataFrame, fn: StripFn, out_bands: list[str] | None = None)
         first = one["strip"] * one["rows"]
         n = min(one["rows"], one["height"] - first)
         strip = Strip(first, n, first - int(at.min()), one["height"], one["width"])
-        done = fn(planes_of(table, bands, order), strip)
+        extra = (one["frame_id"],) if with_frame else ()
+        done = fn(planes_of(table, bands, order), strip, *extra)
         columns = {
             "frame_id": pa.array(np.full(n, one["frame_id"], dtype=np.int64)),
             "height": pa.array(np.full(n, one["height"], dtype=np.int32)),
             "width": pa.array(np.full(n, one["width"], dtype=np.int32)),
             "y": pa.array(np.arange(first, first + n, dtype=np.int32)),
         }
-        columns.update({b: list_column(done[b]) for b in out_bands})
+        columns.update({b: list_column(done[b]) for b in bands})
         return pa.table(columns)
 
     grouped = halo.select(*KEYS, "rows", "strip", "at", *bands).drop("y")
