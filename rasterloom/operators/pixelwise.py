@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions import draws
+from rasterloom.functions.positions import explode_range
 from rasterloom.model import (
     BROADCAST_ROWS,
     KEYS,
@@ -109,18 +110,8 @@ def salt_pepper_hits(
     """
     per_frame, base = draws.frame_keys(seed), draws.fresh_seed(seed)
     keys = ["height", "width"] + (["frame_id"] if seed is None else [])
-    chunk = 4096
     n = (F.lit(float(amount)) * F.col("height") * F.col("width")).cast("long")
-    draws_per_size = (
-        frames.select(*keys)
-        .distinct()
-        .withColumn("n", n)
-        .where("n > 0")
-        .withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(chunk).cast("long"))))
-        .withColumn(
-            "i", F.explode(F.sequence("lo", F.least(F.col("lo") + chunk, F.col("n")) - 1))
-        )
-    )
+    draws_per_size = explode_range(frames.select(*keys).distinct(), F.lit(0), n - 1, "i")
     i = F.col("i")
     return (
         draws_per_size.select(
