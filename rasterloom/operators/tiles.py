@@ -51,28 +51,75 @@ def check_tiles(tile_count, most: int, tile_size_range) -> tuple[float, float]:
     return float(lo), float(hi)
 
 
-def _tile_structs(
-    count: int, lo: float, hi: float, base: int, per_frame: list[Column], extra=None
+def _drawn_tiles(
+    count: int, lo: float, hi: float, seed: int | None, shuffles: float | None
 ) -> Column:
-    """Array of tile structs as an expression of ``height`` and ``width``."""
-    h, w = F.col("height"), F.col("width")
+    """Array of each tile's draws: its share of the frame, its place, and maybe a band order.
 
-    def tile(i: int) -> Column:
-        share = F.lit(lo) + draws.uniform(base, "tile_size", *per_frame, i) * F.lit(hi - lo)
-        th = F.greatest(F.lit(1), (h * share).cast("int"))
-        tw = F.greatest(F.lit(1), (w * share).cast("int"))
-        y0 = draws.uniform_int(base, "tile_y", 0, F.greatest(F.lit(1), h - th + 1), *per_frame, i)
-        x0 = draws.uniform_int(base, "tile_x", 0, F.greatest(F.lit(1), w - tw + 1), *per_frame, i)
-        fields = [
-            F.lit(i).alias("i"),
-            y0.alias("y0"),
-            x0.alias("x0"),
-            th.alias("th"),
-            tw.alias("tw"),
-        ]
-        return F.struct(*fields, *(extra(i) if extra else []))
+    Seeded draws are the same for every frame, so they are literals; unseeded draws also depend
+    on the frame id. ``shuffles`` is the probability that a tile gets a random band order.
+    """
+    if seed is not None:
+        rows = []
+        for i in range(count):
+            share = lo + draws.uniform_value(seed, "tile_size", i) * (hi - lo)
+            order = 0
+            if shuffles and draws.uniform_value(seed, "tile_happens", i) < shuffles:
+                order = int(draws.uniform_value(seed, "tile_order", i) * len(ALL_ORDERS))
+            at = [draws.uniform_value(seed, label, i) for label in ("tile_y", "tile_x")]
+            rows.append(
+                f"named_struct('i',{i},'share',{share!r}D,'uy',{at[0]!r}D,'ux',{at[1]!r}D,'order',{order})"
+            )
+        return F.expr(f"array({','.join(rows)})")
+    base, keys = draws.fresh_seed(None), draws.frame_keys(None)
+
+    def drawn(i: Column) -> Column:
+        share = F.lit(lo) + draws.uniform(base, "tile_size", *keys, i) * F.lit(hi - lo)
+        order = F.lit(0)
+        if shuffles:
+            order = F.when(
+                draws.uniform(base, "tile_happens", *keys, i) < F.lit(float(shuffles)),
+                draws.uniform_int(base, "tile_order", 0, len(ALL_ORDERS), *keys, i),
+            ).otherwise(order)
+        return F.struct(
+            i.alias("i"),
+            share.alias("share"),
+            draws.uniform(base, "tile_y", *keys, i).alias("uy"),
+            draws.uniform(base, "tile_x", *keys, i).alias("ux"),
+            order.alias("order"),
+        )
+
+    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), drawn)
+
+
+def _placed_tiles(
+    count: int, lo: float, hi: float, seed: int | None, shuffles: float | None = None
+) -> Column:
+    """Array of ``(i, y0, x0, th, tw, order)`` as an expression of ``height`` and ``width``."""
+    h, w = F.col("height"), F.col("width")
 
-    return F.array(*[tile(i) for i in range(count)])
+    def sized(t: Column) -> Column:
+        return F.struct(
+            t["i"].alias("i"),
+            F.greatest(F.lit(1), (h * t["share"]).cast("int")).alias("th"),
+            F.greatest(F.lit(1), (w * t["share"]).cast("int")).alias("tw"),
+            t["uy"].alias("uy"),
+            t["ux"].alias("ux"),
+            t["order"].alias("order"),
+        )
+
+    def placed(t: Column) -> Column:
+        free_y, free_x = (F.greatest(F.lit(1), s - t[c] + 1) for s, c in ((h, "th"), (w, "tw")))
+        return F.struct(
+            t["i"].alias("i"),
+            F.floor(t["uy"] * free_y).cast("int").alias("y0"),
+            F.floor(t["ux"] * free_x).cast("int").alias("x0"),
+            t["th"].alias("th"),
+            t["tw"].alias("tw"),
+            t["order"].alias("order"),
+        )
+
+    return F.transform(F.transform(_drawn_tiles(count, lo, hi, seed, shuffles), sized), placed)
 
 
 def tile_geometry(
@@ -97,7 +144,7 @@ def tile_table(
 ) -> DataFrame:
     """One row per distinct frame size and tile: ``height, width, i, y0, x0, th, tw``."""
     lo, hi = check_tiles(tile_count, 50, tile_size_range)
-    tiles = _tile_structs(tile_count, lo, hi, seed, [])
+    tiles = _placed_tiles(tile_count, lo, hi, seed)
     return (
         frames.select("height", "width")
         .distinct()
@@ -153,7 +200,7 @@ def band_swap(
     if is_grey(df):
         raise ValueError("band_swap needs a colour raster")
     order = PERMUTATIONS[permutation]
-    tiles = _tile_structs(tile_count, lo, hi, draws.fresh_seed(seed), draws.frame_keys(seed))
+    tiles = _placed_tiles(tile_count, lo, hi, seed)
     scan = _crossing(to_scanlines(df), tiles)
     bands = value_bands(df)
 
@@ -190,13 +237,8 @@ def buffer_corruption(
     base, per_frame = draws.fresh_seed(seed), draws.frame_keys(seed)
     bands = value_bands(df)
 
-    def order_draw(i: int) -> list[Column]:
-        chosen = draws.uniform_int(base, "tile_order", 0, len(ALL_ORDERS), *per_frame, i)
-        happens = draws.uniform(base, "tile_happens", *per_frame, i) < F.lit(float(severity))
-        return [F.when(happens, chosen).otherwise(F.lit(0)).alias("order")]
-
-    extra = order_draw if corruption_type == "channel_shuffle" else None
-    tiles = _tile_structs(tile_count, lo, hi, base, per_frame, extra)
+    shuffles = severity if corruption_type == "channel_shuffle" else None
+    tiles = _placed_tiles(tile_count, lo, hi, seed, shuffles)
     scan = _crossing(to_scanlines(df), tiles)
 
     def xor_with(t, c: int):
