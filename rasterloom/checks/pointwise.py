@@ -26,6 +26,10 @@ def on_colour(op, **params):
     return lambda spark, d: out(op(colour(spark, d), **params))
 
 
+def on_pixels(op, **params):
+    return lambda spark, d: out(op(to_pixels(colour(spark, d)), **params))
+
+
 def on_alpha(op, **params):
     return lambda spark, d: out(op(scanlines_from_vectors(spark, d, alpha=True), **params))
 
@@ -34,10 +38,11 @@ def on_grey(op, **params):
     return lambda spark, d: out(op(grey(colour(spark, d)), **params))
 
 
-def with_frames(op, **params):
+def with_frames(op, pixels: bool = False, **params):
     def run(spark, d):
         scan = colour(spark, d)
-        return out(op(scan, frames=frames_of(scan), **params))
+        raster = to_pixels(scan) if pixels else scan
+        return out(op(raster, frames=frames_of(scan), **params))
 
     return run
 
@@ -54,13 +59,17 @@ def queries() -> dict:
         ),
         "p3_noise_gaussian": on_alpha(pixelwise.noise, mode="gaussian", amount=0.1, seed=SEED),
         "p4_salt_pepper": with_frames(
-            pixelwise.salt_pepper, amount=0.05, salt_vs_pepper=0.4, seed=SEED
+            pixelwise.salt_pepper, pixels=True, amount=0.05, salt_vs_pepper=0.4, seed=SEED
         ),
-        "p5_gamma": on_colour(pixelwise.gamma_map, gamma=1.8),
+        "p4_salt_pepper_lines": with_frames(
+            pixelwise.salt_pepper, amount=0.3, salt_vs_pepper=0.5, seed=11
+        ),
+        "p5_gamma": on_pixels(pixelwise.gamma_map, gamma=1.8),
         "p6_to_grey": on_colour(pixelwise.convert, mode="L"),
         "p6_grey_to_rgb": on_grey(pixelwise.convert, mode="RGB"),
         "p6_drop_alpha": on_alpha(pixelwise.convert, mode="RGB"),
-        "l1_noise_row": on_colour(pixelwise.noise, mode="row", amount=0.2, seed=SEED),
+        "l1_noise_row": on_pixels(pixelwise.noise, mode="row", amount=0.2, seed=SEED),
+        "l1_noise_row_lines": on_colour(pixelwise.noise, mode="row", amount=0.2, seed=SEED),
         "l2_noise_column": on_grey(pixelwise.noise, mode="column", amount=0.2, seed=SEED),
         "l3_corduroy_vertical": with_frames(
             lines.corduroy, strength=0.8, orientation="vertical", density=0.3, seed=SEED
@@ -340,6 +349,7 @@ def oracles() -> dict[str, str]:
     grow = "greatest(0.0::DOUBLE,1.0::DOUBLE+-0.5::DOUBLE+{u}*1.3::DOUBLE)".format(
         u=sql.uniform(7, "saturation", "frame_id&2147483647", "frame_id>>33")
     )
+    noise_row = _px(_noise(f"({row}*2.0::DOUBLE-1.0::DOUBLE)*{0.2 * 255.0!r}::DOUBLE", "rgb"))
     o = {
         "p1_saturation_fixed": _saturation("1.5::DOUBLE"),
         "p1_saturation_muted": _saturation("0.4::DOUBLE"),
@@ -348,13 +358,13 @@ def oracles() -> dict[str, str]:
             _noise(_normal(SEED, "gaussian") + f"*{0.1 * 255.0!r}::DOUBLE", "rgb") + ", a"
         ),
         "p4_salt_pepper": _salt_pepper(0.05, 0.4, SEED),
+        "p4_salt_pepper_lines": _salt_pepper(0.3, 0.5, 11),
         "p5_gamma": _px(_per_band("trunc(255.0::DOUBLE*pow({b}/255.0::DOUBLE,1.8::DOUBLE))::INT")),
         "p6_to_grey": _px("((r*19595+g*38470+b*7471+32768)>>16)::INT AS v"),
         "p6_grey_to_rgb": _px("r AS r, r AS g, r AS b"),
         "p6_drop_alpha": _px("r, g, b"),
-        "l1_noise_row": _px(
-            _noise(f"({row}*2.0::DOUBLE-1.0::DOUBLE)*{0.2 * 255.0!r}::DOUBLE", "rgb")
-        ),
+        "l1_noise_row": noise_row,
+        "l1_noise_row_lines": noise_row,
         "l2_noise_column": _px(
             _noise(f"({column}*2.0::DOUBLE-1.0::DOUBLE)*{0.2 * 255.0!r}::DOUBLE", "r")
         ),

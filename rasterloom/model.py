@@ -54,19 +54,33 @@ def to_pixels(df: DataFrame) -> DataFrame:
 
 
 def to_scanlines(df: DataFrame) -> DataFrame:
-    """Collect pixel rows into lines. One line is the group, never a frame."""
+    """Collect pixel rows into lines. One line is the group, never a frame.
+
+    A pixel travels as one number, ``x`` above its bytes, so that a line is a flat array that is
+    combined before the shuffle and put in order by a plain sort.
+    """
     if is_scanlines(df):
         return df
     bands = all_bands(df)
-    line = F.sort_array(F.collect_list(F.struct("x", *bands))).alias("line")
-    return df.groupBy(*KEYS).agg(line).select(
-        *KEYS, *[F.col("line")[b].cast("array<int>").alias(b) for b in bands]
-    )
+    packed = F.shiftleft(F.col("x").cast("long"), 32)
+    for place, band in enumerate(bands):
+        packed = packed + F.shiftleft(F.col(band).cast("long"), 8 * place)
+    line = F.sort_array(F.collect_list(packed)).alias("line")
+
+    def unpacked(place: int) -> Column:
+        return F.transform(
+            "line", lambda v: F.shiftright(v, 8 * place).bitwiseAND(F.lit(255)).cast("int")
+        )
+
+    lines = df.groupBy(*KEYS).agg(line)
+    return lines.select(*KEYS, *[unpacked(i).alias(b) for i, b in enumerate(bands)])
 
 
 def map_pixels(df: DataFrame, fn: BandFn) -> DataFrame:
     """Apply a per-pixel expression; consecutive calls fuse into one code-generated stage.
 
+    The result is a pixel table whatever the input's layout.
+
     ``fn`` gets the row's columns by name and returns the changed bands.
     """
     px = to_pixels(df)
@@ -76,6 +90,43 @@ def map_pixels(df: DataFrame, fn: BandFn) -> DataFrame:
     )
 
 
+def let(value: Column | str, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with ``value`` computed once per row.
+
+    A column used inside a lambda may be merged into it and then be computed per element; bound
+    to a lambda variable it cannot.
+    """
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def looked_up(values: Column | str, table: Column) -> Column:
+    """Each byte of an array replaced by its entry in a 256-entry table."""
+    return F.transform(values, lambda v: F.get(table, v))
+
+
+def map_bands(
+    df: DataFrame,
+    fn: Callable[[Column, Column], Column],
+    given: Callable[[str], Column] = lambda band: F.lit(None),
+) -> DataFrame:
+    """Apply ``fn(value, given(band))`` to each value, keeping the table's layout.
+
+    ``given`` is what a line contributes. On scanlines it is computed once per line, and so is
+    ``fn`` for each of the 256 bytes; values are then looked up.
+    """
+    bands = value_bands(df)
+    if not is_scanlines(df):
+        return df.withColumns({b: fn(F.col(b), given(b)).cast("int") for b in bands})
+
+    def line(band: str) -> Column:
+        def table(g: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), F.lit(255)), lambda v: fn(v, g).cast("int"))
+
+        return let(given(band), lambda g: let(table(g), lambda t: looked_up(band, t)))
+
+    return df.withColumns({b: line(b) for b in bands})
+
+
 def clip_byte(c: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(255), c))
 

@@ -16,6 +16,7 @@ from rasterloom.model import (
     frames_of,
     is_grey,
     is_scanlines,
+    map_bands,
     to_pixels,
     to_scanlines,
     value_bands,
@@ -80,16 +81,15 @@ def corduroy(
     u = draws.uniform(base, "stripe_gain", *per_frame, F.col(line))
     gain = F.floor((F.lit(1.0 - spread) + u * F.lit(2.0 * spread)) * F.lit(65536.0))
     hit = _line_rank(base, per_frame, F.col(line)) <= F.col("cutoff")
-    px = to_pixels(df).join(cutoffs, [side] + (["frame_id"] if per_frame else []), "left")
-    px = px.withColumn("gain", F.when(hit, gain).otherwise(F.lit(65536)))
+    # Rows keep the table's layout; columns need one pixel per row.
+    raster = df if orientation == "horizontal" else to_pixels(df)
+    joined = raster.join(cutoffs, [side] + (["frame_id"] if per_frame else []), "left")
 
-    def striped(band: str) -> Column:
-        value = F.least(F.lit(255.0), F.rint(F.col(band) * F.col("gain") / F.lit(65536.0)))
-        return value.cast("int").alias(band)
+    def striped(value: Column, g: Column) -> Column:
+        return F.least(F.lit(255.0), F.rint(value * g / F.lit(65536.0)))
 
-    return px.select(
-        *KEYS, "x", *[striped(b) for b in value_bands(df)], *(["a"] if "a" in df.columns else [])
-    )
+    line_gain = F.when(hit, gain).otherwise(F.lit(65536))
+    return map_bands(joined, striped, lambda _: line_gain).select(*raster.columns)
 
 
 def with_gaps(df: DataFrame, gap_width: float, scan_period: int) -> DataFrame:

@@ -13,9 +13,11 @@ from rasterloom.model import (
     all_bands,
     check_choice,
     check_range,
-    clip_byte,
     frames_of,
     is_grey,
+    is_scanlines,
+    looked_up,
+    map_bands,
     map_pixels,
     sizes_of,
     to_pixels,
@@ -55,7 +57,7 @@ def saturation(
         ]
         u = draws.uniform(draws.fresh_seed(seed), "saturation", *frame)
         factor = F.greatest(F.lit(0.0), F.lit(1.0) + F.lit(lo) + u * F.lit(hi - lo))
-    px = convert(df, "RGB")
+    px = to_pixels(convert(df, "RGB"))
     r, g, b = F.col("r"), F.col("g"), F.col("b")
     staged = px.withColumns({"top": F.greatest(r, g, b), "low": F.least(r, g, b)}).withColumn(
         "ratio",
@@ -84,6 +86,16 @@ def noise(df: DataFrame, mode: str, amount: float, seed: int | None = None) -> D
     per_frame, base = draws.frame_keys(seed), draws.fresh_seed(seed)
     names = value_bands(df)
 
+    def added(value: Column, shift: Column) -> Column:
+        return F.greatest(F.lit(0.0), F.least(F.lit(255.0), value + shift))
+
+    def line_shift(line: Column, i: int) -> Column:
+        u = draws.uniform(base, mode, *per_frame, line, i)
+        return (u * F.lit(2.0) - F.lit(1.0)) * F.lit(amount * 255.0)
+
+    if mode == "row":
+        return map_bands(df, added, lambda b: line_shift(F.col("y"), names.index(b)))
+
     def noisy(cols: dict[str, Column]) -> dict[str, Column]:
         out = {}
         for i, name in enumerate(names):
@@ -91,10 +103,8 @@ def noise(df: DataFrame, mode: str, amount: float, seed: int | None = None) -> D
                 n = draws.normal(base, "gaussian", *per_frame, cols["y"], cols["x"], i)
                 shift = n * F.lit(amount * 255.0)
             else:
-                line = cols["y"] if mode == "row" else cols["x"]
-                u = draws.uniform(base, mode, *per_frame, line, i)
-                shift = (u * F.lit(2.0) - F.lit(1.0)) * F.lit(amount * 255.0)
-            out[name] = F.greatest(F.lit(0.0), F.least(F.lit(255.0), cols[name] + shift))
+                shift = line_shift(cols["x"], i)
+            out[name] = added(cols[name], shift)
         return out
 
     return map_pixels(df, noisy)
@@ -144,20 +154,50 @@ def salt_pepper(
         return df
     frames = frames_of(df) if frames is None else frames
     hits = salt_pepper_hits(frames, amount, salt_vs_pepper, seed)
-    on = ["height", "width", "y", "x"] + (["frame_id"] if seed is None else [])
+    on = ["height", "width", "y"] + (["frame_id"] if seed is None else [])
+    small = False
     if seed is not None:
         size = F.sum((F.lit(float(amount)) * F.col("height") * F.col("width")).cast("long"))
         total = sizes_of(frames).agg(size.alias("n")).first()["n"] or 0
-        hits = F.broadcast(hits) if total <= BROADCAST_ROWS else hits
-    px = to_pixels(df)
-    return px.join(hits, on, "left").select(
+        small = total <= BROADCAST_ROWS
+    if not is_scanlines(df):
+        hits = F.broadcast(hits) if small else hits
+        return df.join(hits, [*on, "x"], "left").select(
+            *KEYS,
+            "x",
+            *[F.coalesce(F.col("hit"), F.col(b)).alias(b) for b in value_bands(df)],
+            *(["a"] if "a" in df.columns else []),
+        )
+    # A line's hits in order, packed as 256*x + value; a group is at most one line.
+    by_line = hits.groupBy(*on).agg(
+        F.sort_array(F.collect_list(F.col("x") * 256 + F.col("hit"))).alias("_hits")
+    )
+    by_line = F.broadcast(by_line) if small else by_line
+    return df.join(by_line, on, "left").select(
         *KEYS,
-        "x",
-        *[F.coalesce(F.col("hit"), F.col(b)).alias(b) for b in value_bands(px)],
-        *(["a"] if "a" in px.columns else []),
+        *[_with_hits(b).alias(b) for b in value_bands(df)],
+        *(["a"] if "a" in df.columns else []),
     )
 
 
+def _with_hits(band: str) -> Column:
+    """The line with its hits written in: the stretch before each hit, the hit, and the rest."""
+    hits = F.col("_hits")
+
+    def place(n: Column) -> Column:
+        return F.shiftright(F.get(hits, n), 8)
+
+    def stretch(hit: Column, n: Column) -> Column:
+        start = F.when(n == 0, F.lit(0)).otherwise(place(n - 1) + 1)
+        x = F.shiftright(hit, 8)
+        return F.concat(F.slice(band, start + 1, x - start), F.array(hit.bitwiseAND(F.lit(255))))
+
+    after = place(F.size(hits) - 1) + 1
+    rest = F.slice(band, after + 1, F.col("width") - after)
+    written = F.concat(F.flatten(F.transform(hits, stretch)), rest)
+    return F.when(hits.isNull(), F.col(band)).otherwise(written)
+
+
 def gamma_table(gamma: float) -> list[int]:
     """``trunc(255 * (v/255) ** gamma)`` for each byte."""
     return [int(255.0 * (v / 255.0) ** gamma) for v in range(256)]
@@ -168,9 +208,9 @@ def gamma_map(df: DataFrame, gamma: float) -> DataFrame:
     if isinstance(gamma, bool) or not isinstance(gamma, (int, float)) or gamma <= 0:
         raise ValueError(f"gamma must be a positive number, got {gamma!r}")
     table = F.array(*[F.lit(v) for v in gamma_table(float(gamma))])
-    return map_pixels(
-        df, lambda cols: {b: F.get(table, cols[b]) for b in value_bands(df)}
-    )
+    if not is_scanlines(df):
+        return map_bands(df, lambda v, _: F.get(table, v))
+    return df.withColumns({b: looked_up(b, table) for b in value_bands(df)})
 
 
 def luma(r: Column, g: Column, b: Column) -> Column:
@@ -181,14 +221,19 @@ def luma(r: Column, g: Column, b: Column) -> Column:
 def convert(df: DataFrame, mode: str) -> DataFrame:
     """Change mode: ``L`` (601 luma), ``RGB`` (alpha dropped, grey replicated) or ``RGBA``."""
     check_choice("mode", mode, ("L", "RGB", "RGBA"))
-    px = to_pixels(df)
+    lines = is_scanlines(df)
+    keys = [*KEYS] if lines else [*KEYS, "x"]
     if mode == "L":
-        if is_grey(px):
-            return px.select(*KEYS, "x", "v")
-        grey = luma(F.col("r"), F.col("g"), F.col("b")).cast("int")
-        return px.select(*KEYS, "x", grey.alias("v"))
-    source = {"r": "v", "g": "v", "b": "v"} if is_grey(px) else {b: b for b in "rgb"}
+        if is_grey(df):
+            return df.select(*keys, "v")
+        if not lines:
+            return df.select(*keys, luma(F.col("r"), F.col("g"), F.col("b")).cast("int").alias("v"))
+        red_green = F.zip_with("r", "g", lambda r, g: r * 19595 + g * 38470 + 32768)
+        grey = F.zip_with(red_green, "b", lambda s, b: F.shiftright(s + b * 7471, 16).cast("int"))
+        return df.select(*keys, grey.alias("v"))
+    source = {"r": "v", "g": "v", "b": "v"} if is_grey(df) else {b: b for b in "rgb"}
     cols = [F.col(source[b]).alias(b) for b in "rgb"]
     if mode == "RGBA":
-        cols.append((F.col("a") if "a" in all_bands(px) else F.lit(255)).alias("a"))
-    return px.select(*KEYS, "x", *cols)
+        opaque = F.array_repeat(F.lit(255), F.col("width")) if lines else F.lit(255)
+        cols.append((F.col("a") if "a" in all_bands(df) else opaque).alias("a"))
+    return df.select(*keys, *cols)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.model import all_bands, check_choice, check_range, to_scanlines
+from rasterloom.model import all_bands, check_choice, check_range, let, to_scanlines
 from rasterloom.operators.strips import STRIP_PIXELS, list_column
 
 # Support of each filter, in source pixels at scale 1.
@@ -39,7 +38,6 @@ def _filter(method: str, x: float) -> float:
     return math.sin(a) / a * (math.sin(b) / b)
 
 
-@lru_cache(maxsize=64)
 def weights(source: int, target: int, method: str) -> tuple[np.ndarray, np.ndarray]:
     """``(index, weight)`` matrices, one row of taps per output position, in 22-bit fixed point."""
     rows: list[tuple[list[int], list[int]]] = []
@@ -68,9 +66,10 @@ def weights(source: int, target: int, method: str) -> tuple[np.ndarray, np.ndarr
     return index, value
 
 
-def _across(plane: np.ndarray, target: int, method: str) -> np.ndarray:
+def _across(plane: np.ndarray, taps: tuple[np.ndarray, np.ndarray], method: str) -> np.ndarray:
     """Resize columns; bytes, or unrounded 22-bit sums for point sampling."""
-    index, weight = weights(plane.shape[1], target, method)
+    index, weight = taps
+    target = len(index)
     total = np.zeros((plane.shape[0], target), dtype=np.int64)
     for t in range(index.shape[1]):
         total += weight[:, t] * plane[:, index[:, t]]
@@ -94,10 +93,23 @@ def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
     return flat.reshape(rows, -1).astype(np.int64)
 
 
+class _Taps(dict):
+    """Weights by ``(source, target)``, made once per task."""
+
+    def __init__(self, method: str):
+        super().__init__()
+        self.method = method
+
+    def __missing__(self, sides: tuple[int, int]):
+        self[sides] = weights(*sides, self.method)
+        return self[sides]
+
+
 def _narrowed(scan: DataFrame, bands: list[str], method: str) -> DataFrame:
     """Resize columns line by line before the shuffle, so that only short lines travel."""
 
     def run(batches):
+        taps = _Taps(method)
         for batch in batches:
             table = pa.table(batch)
             sides = table.select(["width", "_w"]).group_by(["width", "_w"]).aggregate([])
@@ -106,7 +118,8 @@ def _narrowed(scan: DataFrame, bands: list[str], method: str) -> DataFrame:
                     pc.and_(pc.equal(table["width"], width), pc.equal(table["_w"], target))
                 )
                 for b in bands:
-                    plane = _across(_matrix(part.column(b), part.num_rows), target, method)
+                    plane = _matrix(part.column(b), part.num_rows)
+                    plane = _across(plane, taps[width, target], method)
                     part = part.set_column(part.schema.get_field_index(b), b, list_column(plane))
                 yield from part.to_batches()
 
@@ -135,7 +148,7 @@ def _nearest(
     )
 
     def gathered(band: str) -> Column:
-        return F.transform("_columns", lambda i: F.get(F.col(band), i)).alias(band)
+        return let(band, lambda v: F.transform("_columns", lambda i: F.get(v, i))).alias(band)
 
     return (
         scan.withColumns({"_h": height, "_w": width})
@@ -206,13 +219,15 @@ def resize(
         + [f"{b} array<int>" for b in bands]
     )
 
+    taps = _Taps(method)
+
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("y")
         y = table.column("y").to_numpy()
         one = {c: table.column(c)[0].as_py() for c in (*keys, *carry)}
         begin = one["strip"] * one["rows"]
         lines = np.arange(begin, min(begin + one["rows"], one["_h"]))
-        index, weight = (m[lines] for m in weights(one["height"], one["_h"], method))
+        index, weight = (m[lines] for m in taps[one["height"], one["_h"]])
         place = np.searchsorted(y, np.where(weight != 0, index, index[:, :1]))
         n = len(lines)
         columns = {
@@ -224,7 +239,7 @@ def resize(
         columns.update({c: pa.array(np.full(n, one[c], dtype=np.int32)) for c in carry})
         for b in bands:
             plane = _matrix(table.column(b), len(y))
-            plane = plane if shrinks else _across(plane, one["_w"], method)
+            plane = plane if shrinks else _across(plane, taps[plane.shape[1], one["_w"]], method)
             columns[b] = list_column(_down(plane, place, weight, method))
         return pa.table(columns)
 

@@ -27,6 +27,9 @@ MOSAICS = {
 }
 
 
+BLOCK = 1 << 15  # pixels summed at a time
+
+
 def mirrored(at: np.ndarray, n: int) -> np.ndarray:
     """Source index of each place, the edge element repeated."""
     m = np.mod(at, 2 * n)
@@ -44,30 +47,41 @@ def _runs(taps: list[Tap]) -> list[tuple[int, int, int, int]]:
     return runs
 
 
-def weighted_sum(plane: np.ndarray, taps: list[Tap], strip: Strip) -> np.ndarray:
+def weighted_sum(
+    plane: np.ndarray, taps: list[Tap], strip: Strip, largest: int = 255
+) -> np.ndarray:
     """Integer sum of ``w * plane[y+dy, x+dx]`` over the strip's own lines.
 
-    Runs of equal weight cost two lookups in a running sum, whatever their length.
+    Runs of equal weight cost two lookups in a running sum, whatever their length. Sums that
+    fit 32 bits (``largest`` bounds the plane's values) are kept in 32 bits.
     """
     width = plane.shape[1]
     runs = _runs(taps)
+    bound = max(largest * sum(abs(t[2]) for t in taps), largest * (width + 2 * len(taps)))
+    plane = plane.astype(np.int32 if bound < 1 << 31 else np.int64, copy=False)
     left = max(0, -min(r[1] for r in runs))
     right = max(0, max(r[2] for r in runs))
     wide = plane[:, mirrored(np.arange(-left, width + right), width)]
     running = None
     if any(r[1] != r[2] for r in runs):
-        running = np.zeros((wide.shape[0], wide.shape[1] + 1), dtype=np.int64)
+        running = np.zeros((wide.shape[0], wide.shape[1] + 1), dtype=plane.dtype)
         np.cumsum(wide, axis=1, out=running[:, 1:])
-    total = np.zeros((strip.rows, width), dtype=np.int64)
-    for dy, lo, hi, w in runs:
-        lines = slice(strip.top + dy, strip.top + dy + strip.rows)
-        if lo == hi:
-            total += w * wide[lines, left + lo : left + lo + width]
-        else:
-            total += w * (
-                running[lines, left + hi + 1 : left + hi + 1 + width]
-                - running[lines, left + lo : left + lo + width]
-            )
+    total = np.zeros((strip.rows, width), dtype=plane.dtype)
+    # A few lines at a time, so that the sums stay in the processor's cache.
+    few = max(1, BLOCK // width)
+    for start in range(0, strip.rows, few):
+        block = total[start : start + few]
+        for dy, lo, hi, w in runs:
+            first = strip.top + dy + start
+            lines = slice(first, first + len(block))
+            if lo == hi:
+                part = wide[lines, left + lo : left + lo + width]
+            else:
+                part = (
+                    running[lines, left + hi + 1 : left + hi + 1 + width]
+                    - running[lines, left + lo : left + lo + width]
+                )
+            block += part if w == 1 else part * plane.dtype.type(w)
     return total
 
 
@@ -103,12 +117,10 @@ def blur_gaussian(df: DataFrame, sigma: float) -> DataFrame:
     bands = set(value_bands(scan))
 
     def blurred(plane: np.ndarray, strip: Strip) -> np.ndarray:
-        down = np.zeros((strip.rows, plane.shape[1]), dtype=np.int64)
-        for k, w in enumerate(weights):
-            at = strip.top + k - radius
-            down += w * plane[at : at + strip.rows]
+        # Values below 2**24 after the first pass, below 2**40 after the second.
+        down = weighted_sum(plane, [(k - radius, 0, w) for k, w in enumerate(weights)], strip)
         across = [(0, k - radius, w) for k, w in enumerate(weights)]
-        return weighted_sum(down, across, strip._replace(top=0)) >> 32
+        return weighted_sum(down, across, strip._replace(top=0), 255 * kernels.ONE) >> 32
 
     def run(planes: Planes, strip: Strip) -> Planes:
         own = slice(strip.top, strip.top + strip.rows)

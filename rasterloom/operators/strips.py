@@ -81,11 +81,11 @@ def with_halo(
 
 
 def planes_of(table: pa.Table, bands: list[str], order: np.ndarray) -> Planes:
-    """Each band's lines as one integer matrix."""
+    """Each band's lines as one matrix of 32-bit integers."""
     n = table.num_rows
     return {
         b: table.column(b).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        .reshape(n, -1)[order].astype(np.int64)
+        .reshape(n, -1)[order]
         for b in bands
     }
 

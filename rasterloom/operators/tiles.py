@@ -20,6 +20,7 @@ from rasterloom.model import (
     check_range,
     frames_of,
     is_grey,
+    looked_up,
     to_pixels,
     to_scanlines,
     value_bands,
@@ -241,6 +242,9 @@ def buffer_corruption(
     tiles = _placed_tiles(tile_count, lo, hi, seed, shuffles)
     scan = _crossing(to_scanlines(df), tiles)
 
+    keep, flip = 1.0 - severity, float(severity)
+    inverted = F.array(*[F.lit(int(v * keep + (255 - v) * flip)) for v in range(256)])
+
     def xor_with(t, c: int):
         def masked(v, k):
             mask = draws.uniform_int(
@@ -258,10 +262,7 @@ def buffer_corruption(
 
                 middle = F.transform(cut, xor_with(t, c))
             elif corruption_type == "invert":
-                keep, flip = F.lit(1.0 - severity), F.lit(float(severity))
-                middle = F.transform(
-                    cut, lambda v: (v * keep + (F.lit(255) - v) * flip).cast("int")
-                )
+                middle = looked_up(cut, inverted)
             else:
                 choice = F.lit(None)
                 for n, order in enumerate(ALL_ORDERS):
