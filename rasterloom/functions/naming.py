@@ -8,6 +8,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.functions.binding import let
 from rasterloom.functions.positions import explode_range, number_within
 
 # Fixed values.
@@ -23,8 +24,11 @@ def sanitize_name(name) -> Column:
     c = F.regexp_replace(c, UNSAFE, "_")
     c = F.regexp_replace(c, CONTROL, "")
     c = F.regexp_replace(c, "__+", "_")
-    c = F.trim(c, F.lit(". "))
-    tail = F.regexp_extract(c, r"^(?s).*\.([^.]*)$", 1)
+    return let(F.trim(c, F.lit(". ")), _fitted)
+
+
+def _fitted(c: Column) -> Column:
+    tail = F.when(c.contains("."), F.substring_index(c, ".", -1)).otherwise(F.lit(""))
     stem = F.substring(c, F.lit(1), F.length(c) - F.length(tail) - 1)
     room = F.lit(LONGEST - 1) - F.length(tail)
     # A tail longer than the limit cuts the stem from its end instead.

@@ -37,7 +37,7 @@ def explode_range(
     return (
         df.withColumns({"_lo": first.cast("long"), "_hi": last.cast("long")})
         .where("_lo <= _hi")
-        .withColumn("_at", F.explode(F.sequence("_lo", "_hi", step)))
+        .withColumn("_at", F.explode(F.sequence("_lo", F.greatest("_lo", "_hi"), step)))
         .withColumn(name, F.explode(F.sequence("_at", F.least(F.col("_at") + step - 1, F.col("_hi")))))
         .drop("_lo", "_hi", "_at")
     )

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rasterloom.functions.binding import let
+
 COLOUR = ("r", "g", "b")
 KEYS = ("frame_id", "height", "width", "y")
 MAX_SIDE = 65535  # largest image side the model accepts; bounds every per-line table
@@ -90,15 +92,6 @@ def map_pixels(df: DataFrame, fn: BandFn) -> DataFrame:
     )
 
 
-def let(value: Column | str, fn: Callable[[Column], Column]) -> Column:
-    """``fn(value)`` with ``value`` computed once per row.
-
-    A column used inside a lambda may be merged into it and then be computed per element; bound
-    to a lambda variable it cannot.
-    """
-    return F.get(F.transform(F.array(value), fn), F.lit(0))
-
-
 def looked_up(values: Column | str, table: Column) -> Column:
     """Each byte of an array replaced by its entry in a 256-entry table."""
     return F.transform(values, lambda v: F.get(table, v))

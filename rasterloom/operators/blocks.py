@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions import draws
+from rasterloom.functions.binding import int_array
 from rasterloom.model import (
     KEYS,
     check_choice,
@@ -222,7 +223,7 @@ def block_dct(blocks: DataFrame) -> DataFrame:
 def quantize(blocks: DataFrame, quality: int, chroma: bool = False) -> DataFrame:
     """Coefficients to the nearest multiple of their divisor (half away from zero)."""
     check_quality("quality", quality)
-    table = F.array(*[F.lit(q).cast("long") for q in quantisers(quality, chroma)])
+    table = int_array(quantisers(quality, chroma)).cast("array<bigint>")
 
     def nearest(c: Column, q: Column) -> Column:
         level = F.floor((F.abs(c) + q * 4096) / (q * 8192)).cast("long")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions import draws
+from rasterloom.functions.binding import int_array
 from rasterloom.functions.positions import explode_range
 from rasterloom.model import (
     BROADCAST_ROWS,
@@ -207,7 +208,7 @@ def gamma_map(df: DataFrame, gamma: float) -> DataFrame:
     """Tone curve ``trunc(255 * (v/255) ** gamma)`` through a 256-entry literal table."""
     if isinstance(gamma, bool) or not isinstance(gamma, (int, float)) or gamma <= 0:
         raise ValueError(f"gamma must be a positive number, got {gamma!r}")
-    table = F.array(*[F.lit(v) for v in gamma_table(float(gamma))])
+    table = int_array(gamma_table(float(gamma)))
     if not is_scanlines(df):
         return map_bands(df, lambda v, _: F.get(table, v))
     return df.withColumns({b: looked_up(b, table) for b in value_bands(df)})

@@ -10,7 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.model import all_bands, check_choice, check_range, let, to_scanlines
+from rasterloom.functions.binding import let
+from rasterloom.model import all_bands, check_choice, check_range, to_scanlines
 from rasterloom.operators.strips import STRIP_PIXELS, list_column
 
 # Support of each filter, in source pixels at scale 1.

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import draws
+from rasterloom.functions.binding import int_array
 from rasterloom.model import (
     KEYS,
     MAX_SIDE,
@@ -243,7 +244,7 @@ def buffer_corruption(
     scan = _crossing(to_scanlines(df), tiles)
 
     keep, flip = 1.0 - severity, float(severity)
-    inverted = F.array(*[F.lit(int(v * keep + (255 - v) * flip)) for v in range(256)])
+    inverted = int_array(int(v * keep + (255 - v) * flip) for v in range(256))
 
     def xor_with(t, c: int):
         def masked(v, k):
