@@ -12,7 +12,8 @@ from rasterloom.model import frames_of
 from rasterloom.operators import lines, tiles
 from rasterloom.plans import presets
 from rasterloom.plans.steps import run_steps
-from rasterloom.sources.raster import read_raster, shared_folder, write_step
+from rasterloom.session import shared_folder
+from rasterloom.sources.raster import read_raster, write_step
 from rasterloom.streaming import scanstream
 
 

@@ -22,7 +22,8 @@ SLOTS = {"fps": 1 / HOUR, "tie": "event_id"}
 def frame_table(spark: SparkSession, d: str) -> DataFrame:
     """Events as frames: a user is a video, an event a frame, seconds of 2024 its time."""
     events = spark.read.parquet(f"{d}/events.parquet")
-    pts = (F.unix_micros(F.col("ts").cast("timestamp")) - ORIGIN * 1_000_000) / 1e6
+    at = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp")
+    pts = (F.unix_micros(at) - ORIGIN * 1_000_000) / 1e6
     return events.select(F.col("user_id").alias("video_id"), "event_id", pts.alias("pts"))
 
 
@@ -76,7 +77,7 @@ def format_table(spark: SparkSession, d: str) -> DataFrame:
 def file_table(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/orders.parquet").select(
         F.concat(F.lit("/cache/"), F.col("o_orderkey")).alias("path"),
-        F.col("o_orderdate").cast("timestamp").alias("modificationTime"),
+        F.col("o_orderdate").alias("modificationTime"),
         (F.col("o_totalprice") * 1000).cast("long").alias("length"),
     )
 

@@ -40,14 +40,30 @@ def frame_keys(seed: int | None) -> list[Column]:
     return [frame.bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftrightunsigned(frame, 33)]
 
 
-def state(seed: int, label: str, *keys) -> Column:
-    """Integer draw in ``[0, P1)``; keys are non-negative and below 2**31."""
+def _fold(h: Column, key) -> Column:
+    key = F.lit(key) if isinstance(key, int) else key
+    h = ((h + key.cast("long")) * F.lit(A1)) % F.lit(P1)
+    return (h.bitwiseXOR(F.lit(X1).cast("long")) * F.lit(B1)) % F.lit(P2)
+
+
+def prefix(seed: int, label: str, *keys) -> Column:
+    """The part of a draw that many draws share; :func:`finish` adds the remaining keys."""
     h = F.lit(start(seed, label)).cast("long")
     for key in keys:
-        key = F.lit(key) if isinstance(key, int) else key
-        h = ((h + key.cast("long")) * F.lit(A1)) % F.lit(P1)
-        h = (h.bitwiseXOR(F.lit(X1).cast("long")) * F.lit(B1)) % F.lit(P2)
-    return (h.bitwiseXOR(F.lit(X2).cast("long")) * F.lit(A2)) % F.lit(P1)
+        h = _fold(h, key)
+    return h
+
+
+def finish(shared: Column, *keys) -> Column:
+    """Integer draw in ``[0, P1)`` from a shared part and the remaining keys."""
+    for key in keys:
+        shared = _fold(shared, key)
+    return (shared.bitwiseXOR(F.lit(X2).cast("long")) * F.lit(A2)) % F.lit(P1)
+
+
+def state(seed: int, label: str, *keys) -> Column:
+    """Integer draw in ``[0, P1)``; keys are non-negative and below 2**31."""
+    return finish(prefix(seed, label, *keys))
 
 
 def uniform(seed: int, label: str, *keys) -> Column:

@@ -43,8 +43,10 @@ def check_size(files: DataFrame, max_size_gb: float = 10.0, strict: bool = True)
     return sized.withColumn("within_limit", checked)
 
 
-def _expired(now: datetime, days: int) -> Column:
-    return F.col("modificationTime") < F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days))
+def _expired(files: DataFrame, now: datetime, days: int) -> Column:
+    """Older than the cutoff, in the column's own kind of time (with or without a zone)."""
+    kind = files.schema["modificationTime"].dataType
+    return F.col("modificationTime") < F.lit(str(now)).cast(kind) - F.make_dt_interval(F.lit(days))
 
 
 def split_retention(
@@ -52,7 +54,7 @@ def split_retention(
 ) -> tuple[DataFrame, DataFrame]:
     """``(keep, expire)``: files older than ``days`` before ``now`` expire."""
     check_range("days", days, 0, 1_000_000)
-    old = _expired(now, days)
+    old = _expired(files, now, days)
     return files.where(~old), files.where(old)
 
 

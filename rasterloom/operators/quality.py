@@ -87,30 +87,44 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def frame_stats(df: DataFrame) -> DataFrame:
-    """Per frame: pixel count, black and white pixels, and per band mean, range, distinct values.
+    """Per frame: pixel count, black and white pixels, and per band sum, range, distinct values.
 
-    Distinct values are a set of at most 256 bytes, combined before the shuffle.
+    Values are bytes, so a frame is first reduced to at most 256 counts per band, in the map
+    stage, and everything else follows from those counts.
     """
     px = to_pixels(df)
     bands = value_bands(px)
 
     def everywhere(value: int) -> Column:
         same = reduce(lambda p, q: p & q, [F.col(b) == value for b in bands])
-        return F.sum(F.when(same, 1).otherwise(0))
+        return F.when(same, 1).otherwise(0)
+
+    samples = px.select(
+        "frame_id",
+        everywhere(0).alias("black"),
+        everywhere(255).alias("white"),
+        F.posexplode(F.array(*bands)).alias("band", "value"),
+    )
+    counts = samples.groupBy("frame_id", "band", "value").agg(
+        F.count("*").alias("n"), F.sum("black").alias("black"), F.sum("white").alias("white")
+    )
+
+    def of_band(i: int, value: Column) -> Column:
+        return F.when(F.col("band") == i, value)
 
     aggregates = [
-        F.count("*").alias("pixels"),
-        everywhere(0).alias("black_pixels"),
-        everywhere(255).alias("white_pixels"),
+        F.sum(of_band(0, F.col(c))).alias(name)
+        for c, name in (("n", "pixels"), ("black", "black_pixels"), ("white", "white_pixels"))
     ]
-    for b in bands:
+    for i, b in enumerate(bands):
+        value = of_band(i, F.col("value"))
         aggregates += [
-            F.sum(b).alias(f"sum_{b}"),
-            F.min(b).alias(f"min_{b}"),
-            F.max(b).alias(f"max_{b}"),
-            F.size(F.collect_set(b)).alias(f"distinct_{b}"),
+            F.sum(value * F.col("n")).alias(f"sum_{b}"),
+            F.min(value).alias(f"min_{b}"),
+            F.max(value).alias(f"max_{b}"),
+            F.count(value).cast("int").alias(f"distinct_{b}"),
         ]
-    return px.groupBy("frame_id").agg(*aggregates)
+    return counts.groupBy("frame_id").agg(*aggregates)
 
 
 def summarize(results: dict[str, DataFrame]) -> DataFrame:

@@ -36,8 +36,11 @@ StripFn = Callable[[Planes, Strip], Planes]
 
 
 def strip_height(width: Column, halo: int, multiple: int = 1) -> Column:
-    """Lines per strip: about STRIP_PIXELS pixels, at least four halos, a multiple of ``multiple``."""
-    rows = F.greatest(F.lit(64), F.lit(4 * halo), F.floor(F.lit(STRIP_PIXELS) / width)).cast("int")
+    """Lines per strip: about STRIP_PIXELS pixels, at least the halo, a multiple of ``multiple``.
+
+    So a line is sent to two strips on average at the very most.
+    """
+    rows = F.greatest(F.lit(64), F.lit(halo), F.floor(F.lit(STRIP_PIXELS) / width)).cast("int")
     return (F.ceil(rows / F.lit(multiple)) * multiple).cast("int")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import draws
-from rasterloom.functions.binding import int_array
+from rasterloom.functions.binding import int_array, let
 from rasterloom.model import (
     KEYS,
     MAX_SIDE,
@@ -246,14 +246,17 @@ def buffer_corruption(
     keep, flip = 1.0 - severity, float(severity)
     inverted = int_array(int(v * keep + (255 - v) * flip) for v in range(256))
 
-    def xor_with(t, c: int):
-        def masked(v, k):
-            mask = draws.uniform_int(
-                base, "xor", 0, most + 1, *per_frame, t["i"], F.col("y"), t["x0"] + k, c
-            )
-            return v.bitwiseXOR(mask)
+    def xored(cut: Column, t: Column, c: int) -> Column:
+        """Masks of a tile's line: all but the column is hashed once per line."""
+
+        def masked(shared: Column) -> Column:
+            def one(v: Column, k: Column) -> Column:
+                drawn = draws.finish(shared, t["x0"] + k) / F.lit(float(draws.P1))
+                return v.bitwiseXOR(F.floor(drawn * F.lit(most + 1)).cast("int"))
+
+            return F.transform(cut, one)
 
-        return masked
+        return let(draws.prefix(base, "xor", *per_frame, t["i"], F.col("y"), c), masked)
 
     def change(line, t):
         out = {}
@@ -261,7 +264,7 @@ def buffer_corruption(
             cut = _cut(line[b], t)
             if corruption_type == "xor":
 
-                middle = F.transform(cut, xor_with(t, c))
+                middle = xored(cut, t, c)
             elif corruption_type == "invert":
                 middle = looked_up(cut, inverted)
             else:

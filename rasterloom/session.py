@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,15 +24,20 @@ def local_session(name: str = "rasterloom", cpus: int | str = "*") -> SparkSessi
     )
 
 
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``; in local mode a temporary one if that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        base = tempfile.gettempdir()
+    return f"{base.rstrip('/')}/rasterloom-{purpose}-{uuid.uuid4().hex[:12]}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the session's shared checkpoint folder and go on from there."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            shared = tempfile.mkdtemp(prefix="rasterloom-checkpoint-")
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(shared_folder(spark, "checkpoint"))
     return df.checkpoint(eager=True)

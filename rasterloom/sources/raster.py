@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,13 +28,3 @@ def read_raster(spark: SparkSession, folder: str, step: str | None = None) -> Da
     if step is None:
         return table
     return table.where(F.col("step") == step).drop("step")
-
-
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the session's shared folder, or a temporary one in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.gettempdir()
-    return os.path.join(base, f"rasterloom-{purpose}-{uuid.uuid4().hex[:12]}")

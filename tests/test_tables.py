@@ -157,6 +157,27 @@ def test_compare_by_hand(raster):
     assert same.psnr is None and same.changed_pixels == 0
 
 
+def test_times_do_not_depend_on_the_session_zone(spark):
+    """Tables without a time zone give the same answers wherever the session is."""
+    from conftest import SF
+
+    from rasterloom.checks import tables
+
+    def answers():
+        frame = tables.frame_table(spark, SF).agg(F.sum("pts"), F.max("pts")).first()
+        return tuple(frame), tables.retention(spark, SF).where("state = 'keep'").count()
+
+    before = answers()
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        after = answers()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert abs(before[0][0] - after[0][0]) < 1e-3 and before[0][1] == after[0][1]
+    assert before[1] == after[1]
+
+
 def test_step_lists():
     config = {"pipeline": {"steps": [{"name": "a!", "operation": "noise", "params": {"x": 1}}]}}
     assert parse_steps(config)[0].name == "a"
