@@ -257,7 +257,7 @@ FROM px LEFT JOIN cover c ON c.frame_id=px.frame_id AND c.y=px.y AND c.x=px.x"""
 def _xor(count, lo, hi, seed, severity) -> str:
     most = int(255 * severity)
     masks = ", ".join(
-        f"bit_xor({sql.uniform_int(seed, 'xor', 0, most + 1, 'i', 'y', c, 'x')}::INT) AS m{b}"
+        f"bit_xor({sql.uniform_int(seed, 'xor', 0, most + 1, 'y', c, 'i', 'x')}::INT) AS m{b}"
         for c, b in enumerate("rgb")
     )
     return f"""

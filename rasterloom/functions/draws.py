@@ -32,56 +32,76 @@ def fresh_seed(seed: int | None) -> int:
     return secrets.randbelow(1 << 31) if seed is None else int(seed)
 
 
-def frame_keys(seed: int | None) -> list[Column]:
-    """Extra keys that make unseeded draws differ from frame to frame."""
-    if seed is not None:
-        return []
-    frame = F.col("frame_id")
-    return [frame.bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftrightunsigned(frame, 33)]
+# Keys that make unseeded draws differ from frame to frame: the frame id's low and high bits.
+FRAME_KEYS = ("frame_id & 2147483647", "shiftrightunsigned(frame_id, 33)")
 
 
-def _fold(h: Column, key) -> Column:
-    key = F.lit(key) if isinstance(key, int) else key
-    h = ((h + key.cast("long")) * F.lit(A1)) % F.lit(P1)
-    return (h.bitwiseXOR(F.lit(X1).cast("long")) * F.lit(B1)) % F.lit(P2)
+def frame_keys(seed: int | None) -> list[str]:
+    """Extra keys for draws without a seed."""
+    return [] if seed is not None else list(FRAME_KEYS)
 
 
-def prefix(seed: int, label: str, *keys) -> Column:
-    """The part of a draw that many draws share; :func:`finish` adds the remaining keys."""
-    h = F.lit(start(seed, label)).cast("long")
-    for key in keys:
-        h = _fold(h, key)
-    return h
+def _mix(h: str, key: str) -> str:
+    h = f"(((({h}) + cast({key} as bigint)) * {A1}L) % {P1}L)"
+    return f"((({h} ^ {X1}L) * {B1}L) % {P2}L)"
+
+
+def _last(h: str) -> str:
+    return f"((({h} ^ {X2}L) * {A2}L) % {P1}L)"
 
 
-def finish(shared: Column, *keys) -> Column:
-    """Integer draw in ``[0, P1)`` from a shared part and the remaining keys."""
+def _state_text(seed: int, label: str, *keys: str | int) -> str:
+    h = f"{start(seed, label)}L"
     for key in keys:
-        shared = _fold(shared, key)
-    return (shared.bitwiseXOR(F.lit(X2).cast("long")) * F.lit(A2)) % F.lit(P1)
+        h = _mix(h, str(key))
+    return _last(h)
 
 
-def state(seed: int, label: str, *keys) -> Column:
-    """Integer draw in ``[0, P1)``; keys are non-negative and below 2**31."""
-    return finish(prefix(seed, label, *keys))
+def state(seed: int, label: str, *keys: str | int) -> Column:
+    """Integer draw in ``[0, P1)``.
 
+    Keys are integers, column names or SQL expressions, not negative and below 2**31. The draw is
+    one parsed expression, which keeps long plans quick to build.
+    """
+    return F.expr(_state_text(seed, label, *keys))
 
-def uniform(seed: int, label: str, *keys) -> Column:
+
+def uniform(seed: int, label: str, *keys: str | int) -> Column:
     """Uniform double in ``[0, 1)``."""
-    return state(seed, label, *keys) / F.lit(float(P1))
+    return F.expr(f"{_state_text(seed, label, *keys)} / {P1}.0D")
 
 
-def uniform_int(seed: int, label: str, lo, hi, *keys) -> Column:
+def uniform_int(seed: int, label: str, lo: str | int, hi: str | int, *keys: str | int) -> Column:
     """Uniform integer in ``[lo, hi)``."""
-    lo, hi = (F.lit(v) if isinstance(v, int) else v for v in (lo, hi))
-    return (lo + F.floor(uniform(seed, label, *keys) * (hi - lo))).cast("int")
+    u = f"({_state_text(seed, label, *keys)} / {P1}.0D)"
+    return F.expr(f"cast(({lo}) + floor({u} * (({hi}) - ({lo}))) as int)")
 
 
-def normal(seed: int, label: str, *keys) -> Column:
+def normal(seed: int, label: str, *keys: str | int) -> Column:
     """Standard normal by the Box-Muller transform of two uniforms."""
-    u1 = (state(seed, label, *keys, 0) + F.lit(1)) / F.lit(float(P1))
-    u2 = uniform(seed, label, *keys, 1)
-    return F.sqrt(F.lit(-2.0) * F.ln(u1)) * F.cos(F.lit(6.283185307179586) * u2)
+    u1 = f"(({_state_text(seed, label, *keys, 0)} + 1) / {P1}.0D)"
+    u2 = f"({_state_text(seed, label, *keys, 1)} / {P1}.0D)"
+    return F.expr(f"sqrt(-2.0D * ln({u1})) * cos(6.283185307179586D * {u2})")
+
+
+def prefix(seed: int, label: str, *keys: str | int) -> Column:
+    """The part of a draw that many draws share; :func:`finish` adds the last key."""
+    h = f"{start(seed, label)}L"
+    for key in keys:
+        h = _mix(h, str(key))
+    return F.expr(h)
+
+
+def extend(shared: Column, key: Column) -> Column:
+    """A shared part with one more key, such as a lambda variable."""
+    h = ((shared + key.cast("long")) * F.lit(A1)) % F.lit(P1)
+    return (h.bitwiseXOR(F.lit(X1).cast("long")) * F.lit(B1)) % F.lit(P2)
+
+
+def finish(shared: Column, key: Column) -> Column:
+    """Uniform double in ``[0, 1)`` from a shared part and its last key."""
+    h = extend(shared, key).bitwiseXOR(F.lit(X2).cast("long"))
+    return (h * F.lit(A2)) % F.lit(P1) / F.lit(float(P1))
 
 
 def state_value(seed: int, label: str, *keys: int) -> int:

@@ -28,13 +28,13 @@ FILL_SPREAD = 5  # a mean fill varies by -5..5
 STRIPE_SPREAD = 0.2  # a stripe's gain is within 1 +- 0.2*strength
 
 
-def _line_rank(base: int, per_frame: list[Column], line: Column) -> Column:
+def _line_rank(base: int, per_frame: list[str], line: str) -> Column:
     """Unique sort key of a line: its draw, then its number (MAX_SIDE < 2**16)."""
-    return F.shiftleft(draws.state(base, "stripe_pick", *per_frame, line), 16) + line
+    return F.shiftleft(draws.state(base, "stripe_pick", *per_frame, line), 16) + F.col(line)
 
 
 def stripe_cutoffs(
-    frames: DataFrame, side: str, density: float, base: int, per_frame: list[Column]
+    frames: DataFrame, side: str, density: float, base: int, per_frame: list[str]
 ) -> DataFrame:
     """The rank below which exactly ``int(density*side)`` lines fall.
 
@@ -48,7 +48,7 @@ def stripe_cutoffs(
         .where(F.col(side).between(1, MAX_SIDE))
         .withColumn("picked", (F.lit(float(density)) * F.col(side)).cast("int"))
         .withColumn("line", F.explode(F.sequence(F.lit(0), F.col(side) - 1)))
-        .select(*keys, "picked", _line_rank(base, per_frame, F.col("line")).alias("cutoff"))
+        .select(*keys, "picked", _line_rank(base, per_frame, "line").alias("cutoff"))
     )
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy("cutoff"))
     return lines.withColumn("nth", nth).where("nth = picked").select(*keys, "cutoff")
@@ -78,9 +78,9 @@ def corduroy(
     if not per_frame:
         cutoffs = F.broadcast(cutoffs)
     spread = STRIPE_SPREAD * strength
-    u = draws.uniform(base, "stripe_gain", *per_frame, F.col(line))
+    u = draws.uniform(base, "stripe_gain", *per_frame, line)
     gain = F.floor((F.lit(1.0 - spread) + u * F.lit(2.0 * spread)) * F.lit(65536.0))
-    hit = _line_rank(base, per_frame, F.col(line)) <= F.col("cutoff")
+    hit = _line_rank(base, per_frame, line) <= F.col("cutoff")
     # Rows keep the table's layout; columns need one pixel per row.
     raster = df if orientation == "horizontal" else to_pixels(df)
     joined = raster.join(cutoffs, [side] + (["frame_id"] if per_frame else []), "left")
@@ -177,7 +177,7 @@ def slc_off(
             return F.lit(0 if fill_mode == "black" else 255)
         channel = 0 if is_grey(df) else i
         shift = draws.uniform_int(
-            base, "gap_fill", -FILL_SPREAD, FILL_SPREAD + 1, *per_frame, F.col("y"), channel
+            base, "gap_fill", -FILL_SPREAD, FILL_SPREAD + 1, *per_frame, "y", channel
         )
         total = F.aggregate(band, F.lit(0).cast("long"), lambda s, v: s + v)
         masked = F.aggregate(

@@ -52,11 +52,7 @@ def saturation(
         check_range("range[0]", lo, -1.0, float("inf"))
         if lo >= hi:
             raise ValueError("range minimum must be below its maximum")
-        frame = [
-            F.col("frame_id").bitwiseAND(F.lit(0x7FFFFFFF)),
-            F.shiftrightunsigned("frame_id", 33),
-        ]
-        u = draws.uniform(draws.fresh_seed(seed), "saturation", *frame)
+        u = draws.uniform(draws.fresh_seed(seed), "saturation", *draws.FRAME_KEYS)
         factor = F.greatest(F.lit(0.0), F.lit(1.0) + F.lit(lo) + u * F.lit(hi - lo))
     px = to_pixels(convert(df, "RGB"))
     r, g, b = F.col("r"), F.col("g"), F.col("b")
@@ -90,21 +86,21 @@ def noise(df: DataFrame, mode: str, amount: float, seed: int | None = None) -> D
     def added(value: Column, shift: Column) -> Column:
         return F.greatest(F.lit(0.0), F.least(F.lit(255.0), value + shift))
 
-    def line_shift(line: Column, i: int) -> Column:
+    def line_shift(line: str, i: int) -> Column:
         u = draws.uniform(base, mode, *per_frame, line, i)
         return (u * F.lit(2.0) - F.lit(1.0)) * F.lit(amount * 255.0)
 
     if mode == "row":
-        return map_bands(df, added, lambda b: line_shift(F.col("y"), names.index(b)))
+        return map_bands(df, added, lambda b: line_shift("y", names.index(b)))
 
     def noisy(cols: dict[str, Column]) -> dict[str, Column]:
         out = {}
         for i, name in enumerate(names):
             if mode == "gaussian":
-                n = draws.normal(base, "gaussian", *per_frame, cols["y"], cols["x"], i)
+                n = draws.normal(base, "gaussian", *per_frame, "y", "x", i)
                 shift = n * F.lit(amount * 255.0)
             else:
-                shift = line_shift(cols["x"], i)
+                shift = line_shift("x", i)
             out[name] = added(cols[name], shift)
         return out
 
@@ -123,13 +119,12 @@ def salt_pepper_hits(
     keys = ["height", "width"] + (["frame_id"] if seed is None else [])
     n = (F.lit(float(amount)) * F.col("height") * F.col("width")).cast("long")
     draws_per_size = explode_range(frames.select(*keys).distinct(), F.lit(0), n - 1, "i")
-    i = F.col("i")
     return (
         draws_per_size.select(
             *keys,
-            draws.uniform_int(base, "sp_y", 0, F.col("height"), *per_frame, i).alias("y"),
-            draws.uniform_int(base, "sp_x", 0, F.col("width"), *per_frame, i).alias("x"),
-            (draws.uniform(base, "sp_salt", *per_frame, i) < F.lit(float(salt_vs_pepper)))
+            draws.uniform_int(base, "sp_y", 0, "height", *per_frame, "i").alias("y"),
+            draws.uniform_int(base, "sp_x", 0, "width", *per_frame, "i").alias("x"),
+            (draws.uniform(base, "sp_salt", *per_frame, "i") < F.lit(float(salt_vs_pepper)))
             .cast("int")
             .alias("salt"),
         )

@@ -73,25 +73,25 @@ def _drawn_tiles(
                 f"named_struct('i',{i},'share',{share!r}D,'uy',{at[0]!r}D,'ux',{at[1]!r}D,'order',{order})"
             )
         return F.expr(f"array({','.join(rows)})")
-    base, keys = draws.fresh_seed(None), draws.frame_keys(None)
+    base = draws.fresh_seed(None)
 
-    def drawn(i: Column) -> Column:
-        share = F.lit(lo) + draws.uniform(base, "tile_size", *keys, i) * F.lit(hi - lo)
+    def drawn(label: str, i: Column) -> Column:
+        return draws.finish(draws.prefix(base, label, *draws.FRAME_KEYS), i)
+
+    def tile(i: Column) -> Column:
         order = F.lit(0)
         if shuffles:
-            order = F.when(
-                draws.uniform(base, "tile_happens", *keys, i) < F.lit(float(shuffles)),
-                draws.uniform_int(base, "tile_order", 0, len(ALL_ORDERS), *keys, i),
-            ).otherwise(order)
+            chosen = F.floor(drawn("tile_order", i) * len(ALL_ORDERS)).cast("int")
+            order = F.when(drawn("tile_happens", i) < F.lit(float(shuffles)), chosen).otherwise(order)
         return F.struct(
             i.alias("i"),
-            share.alias("share"),
-            draws.uniform(base, "tile_y", *keys, i).alias("uy"),
-            draws.uniform(base, "tile_x", *keys, i).alias("ux"),
+            (F.lit(lo) + drawn("tile_size", i) * F.lit(hi - lo)).alias("share"),
+            drawn("tile_y", i).alias("uy"),
+            drawn("tile_x", i).alias("ux"),
             order.alias("order"),
         )
 
-    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), drawn)
+    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), tile)
 
 
 def _placed_tiles(
@@ -249,14 +249,16 @@ def buffer_corruption(
     def xored(cut: Column, t: Column, c: int) -> Column:
         """Masks of a tile's line: all but the column is hashed once per line."""
 
+        channel = draws.prefix(base, "xor", *per_frame, "y", c)
+
         def masked(shared: Column) -> Column:
             def one(v: Column, k: Column) -> Column:
-                drawn = draws.finish(shared, t["x0"] + k) / F.lit(float(draws.P1))
-                return v.bitwiseXOR(F.floor(drawn * F.lit(most + 1)).cast("int"))
+                u = draws.finish(shared, t["x0"] + k)
+                return v.bitwiseXOR(F.floor(u * F.lit(most + 1)).cast("int"))
 
             return F.transform(cut, one)
 
-        return let(draws.prefix(base, "xor", *per_frame, t["i"], F.col("y"), c), masked)
+        return let(draws.extend(channel, t["i"]), masked)
 
     def change(line, t):
         out = {}
@@ -320,7 +322,7 @@ def grid_cutoffs(frames: DataFrame, tile_size: int, severity: float, seed: int)
 
 def grid_rank(seed: int) -> Column:
     """Unique sort key of a grid tile: its draw, then its place (sides are below 2**16)."""
-    drawn = draws.state(seed, "grid_pick", F.col("ty"), F.col("tx"))
+    drawn = draws.state(seed, "grid_pick", "ty", "tx")
     return F.shiftleft(drawn, 32) + F.shiftleft(F.col("ty"), 16) + F.col("tx")
 
 
@@ -350,12 +352,12 @@ def buffer_corruption_grid(
     ).join(cutoffs, ["height", "width"], "left")
     hit = grid_rank(seed) <= F.col("cutoff")
     if corruption_type == "xor":
-        mask = F.shiftright(draws.state(seed, "grid_value", F.col("y"), F.col("x")), 23).cast("int")
+        mask = F.shiftright(draws.state(seed, "grid_value", "y", "x"), 23).cast("int")
         changed = {b: F.col(b).bitwiseXOR(mask % (magnitude + 1)) for b in bands}
     elif corruption_type == "invert":
         changed = {b: F.lit(255) - F.col(b) for b in bands}
     else:
-        n = draws.uniform_int(seed, "grid_value", 0, len(ALL_ORDERS), F.col("y"), F.col("x"))
+        n = draws.uniform_int(seed, "grid_value", 0, len(ALL_ORDERS), "y", "x")
         changed = {
             b: F.element_at(
                 F.array(*[F.col(bands[order[c]]) for order in ALL_ORDERS]), n + 1

@@ -14,12 +14,15 @@ def test_draws_agree_with_python(spark):
     keys = spark.range(200).select((F.col("id") * 7919).alias("k"))
     got = keys.select(
         "k",
-        draws.state(42, "x", F.col("k"), 3).alias("s"),
-        draws.uniform(42, "x", F.col("k"), 3).alias("u"),
+        draws.state(42, "x", "k", 3).alias("s"),
+        draws.uniform(42, "x", "k", 3).alias("u"),
+        draws.finish(draws.prefix(42, "x", "k"), F.lit(3)).alias("v"),
+        draws.uniform_int(42, "x", -5, 6, "k", 3).alias("n"),
     ).collect()
     for row in got:
         assert row.s == draws.state_value(42, "x", row.k, 3)
-        assert row.u == draws.uniform_value(42, "x", row.k, 3)
+        assert row.u == row.v == draws.uniform_value(42, "x", row.k, 3)
+        assert -5 <= row.n <= 5
 
 
 def test_draws_are_spread():
