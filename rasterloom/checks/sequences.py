@@ -10,7 +10,7 @@ from rasterloom.checks.pointwise import colour, out
 from rasterloom.functions import kernels
 from rasterloom.model import frames_of
 from rasterloom.operators import lines, tiles
-from rasterloom.plans import presets
+from rasterloom.plans import presets, runs
 from rasterloom.plans.steps import run_steps
 from rasterloom.session import shared_folder
 from rasterloom.sources.raster import read_raster, write_step
@@ -75,8 +75,43 @@ def streamed_steps(spark: SparkSession, d: str) -> DataFrame:
     return out(done)
 
 
+SEGMENT_RUN = {
+    "segment": {"start": 0.04, "end": 0.4, "interval": 0.02},
+    "pipeline": {"steps": [
+        {"name": "muted", "operation": "saturation", "params": {"mode": "fixed", "value": -0.5}},
+        {"name": "smear", "operation": "motion_blur", "params": {"kernel_size": 5}},
+    ]},
+}
+
+
+def film(spark: SparkSession, d: str) -> DataFrame:
+    """The raster's frames as two videos of 25 frames per second."""
+    number = F.floor(F.col("frame_id") / 2)
+    return frames_of(colour(spark, d)).select(
+        "frame_id",
+        F.concat(F.lit("v"), F.col("frame_id") % 2).alias("video_id"),
+        number.alias("frame_no"),
+        (number * F.lit(0.04)).alias("pts"),
+    )
+
+
+def segment_run(spark: SparkSession, d: str) -> DataFrame:
+    """Half the frame interval shows each frame of the segment twice, then two steps."""
+    results = runs.run(film(spark, d), colour(spark, d), SEGMENT_RUN)
+    shown = results["chosen"].select("frame_id", "video_id", "slot")
+    return out(results["smear"]).join(shown, "frame_id").drop("frame_id")
+
+
+def segment_files(spark: SparkSession, d: str) -> DataFrame:
+    """The file names of that run, step by step."""
+    chosen = runs.choose_frames(film(spark, d), 0.04, 0.4, 0.02)
+    return runs.output_files(chosen, SEGMENT_RUN).drop("frame_id")
+
+
 def queries() -> dict:
     return {
+        "x1_segment_run": segment_run,
+        "s4_output_files": segment_files,
         "x1_glitch_art": last_of(presets.GLITCH_ART),
         "x1_severe_degradation": last_of(presets.SEVERE_DEGRADATION),
         "x1_every_step": every_step,
@@ -145,8 +180,22 @@ def oracles() -> dict[str, str]:
         f"sum(b)::BIGINT AS b FROM ({chain(*blur[: i + 1])}) GROUP BY frame_id, y"
         for i, s in enumerate(presets.BLUR_SEQUENCE)
     )
+    shown = """
+film AS (SELECT frame_id, 'v'||(frame_id%2) AS video_id, (frame_id//2)*0.04::DOUBLE AS pts FROM fr),
+s AS (SELECT *, floor((pts-0.04::DOUBLE)*50.0::DOUBLE+0.5::DOUBLE)::BIGINT AS k FROM film WHERE pts>=0.04 AND pts<0.4),
+grid AS (SELECT video_id, unnest(range(lo, hi+1))::BIGINT AS slot FROM
+  (SELECT video_id, min(k) AS lo, max(k) AS hi FROM s GROUP BY video_id)),
+chosen AS (SELECT g.video_id, g.slot, s.frame_id FROM grid g ASOF JOIN s ON s.video_id=g.video_id AND g.slot>=s.k)"""
+    stem = "video_id||'_frame_'||lpad((slot+1)::VARCHAR,6,'0')"
     generations = [_generation_check(q) for q in transform._by_hand(8, 40, 5, "exponential")]
     return {
+        "x1_segment_run": f"""
+WITH {sql.PX}, done AS MATERIALIZED ({chain(pointwise._saturation('0.5::DOUBLE'), _motion_check(5, 0))}), {shown}
+SELECT video_id, slot, y, x, r, g, b FROM done JOIN chosen USING (frame_id)""",
+        "s4_output_files": f"""
+WITH {sql.PX}, {shown}
+SELECT 0 AS step_no, 'muted' AS step, 'intermediate/muted' AS folder, 'muted_'||{stem}||'_step00.jpg' AS name FROM chosen
+UNION ALL SELECT 1, 'smear', 'final', 'smear_muted_'||{stem}||'_step00_step01.jpg' FROM chosen""",
         "x1_glitch_art": chain(
             pointwise._gap_fill(0.5, 8, "255"),
             pointwise._band_swap(15, 0.1, 0.3, 42, (2, 1, 0)),

@@ -208,6 +208,20 @@ def test_steps_run(raster, planes):
     assert planes(got["dots"])[1]["r"].shape == (8, 8)
 
 
+def test_config_file(tmp_path):
+    from rasterloom.plans.runs import load_config
+
+    path = tmp_path / "run.yaml"
+    path.write_text(
+        "segment: {start: 1, end: 2, interval: 0.5}\n"
+        "pipeline:\n  steps:\n    - {name: a, operation: noise, params: {mode: row, amount: 0.1}}\n"
+    )
+    assert parse_steps(load_config(str(path)))[0].params == {"mode": "row", "amount": 0.1}
+    path.write_text("segment: {start: 1, end: 2, interval: 0.5}\npipeline: {steps: []}\n")
+    with pytest.raises(ValueError):
+        load_config(str(path))
+
+
 def test_repeat_cuts_lineage(raster, planes):
     scan = raster({1: picture(12, 12, 1, "v")})
     step = {"name": "again", "operation": "blur_circular", "params": {"radius": 1}, "repeat": 20}
