@@ -136,9 +136,10 @@ def _nearest(
     def source(i: Column, n: Column, m: Column) -> Column:
         return F.least(n - 1, F.floor((i + shift) * n / m).cast("int"))
 
-    low = F.greatest(F.lit(0), F.floor(F.col("y") * F.col("_h") / F.col("height")).cast("int") - 1)
+    y = F.col("y").cast("double")
+    low = F.greatest(F.lit(0), F.floor(y * F.col("_h") / F.col("height")).cast("int") - 1)
     high = F.least(
-        F.col("_h") - 1, F.ceil((F.col("y") + 1) * F.col("_h") / F.col("height")).cast("int") + 1
+        F.col("_h") - 1, F.ceil((y + 1) * F.col("_h") / F.col("height")).cast("int") + 1
     )
     lines = F.filter(
         F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>")),
