@@ -347,7 +347,7 @@ def oracles() -> dict[str, str]:
     row = sql.uniform(SEED, "row", "y", "{i}")
     column = sql.uniform(SEED, "column", "x", "{i}")
     grow = "greatest(0.0::DOUBLE,1.0::DOUBLE+-0.5::DOUBLE+{u}*1.3::DOUBLE)".format(
-        u=sql.uniform(7, "saturation", "frame_id&2147483647", "frame_id>>33")
+        u=sql.uniform(7, "saturation", "frame_id&2147483647", "(frame_id>>31)%2147483629")
     )
     noise_row = _px(_noise(f"({row}*2.0::DOUBLE-1.0::DOUBLE)*{0.2 * 255.0!r}::DOUBLE", "rgb"))
     o = {

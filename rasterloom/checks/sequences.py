@@ -159,7 +159,7 @@ def _motion_check(size: int, angle: float) -> str:
 
 
 def _random_factor(lo: float, hi: float, seed: int) -> str:
-    u = sql.uniform(seed, "saturation", "frame_id&2147483647", "frame_id>>33")
+    u = sql.uniform(seed, "saturation", "frame_id&2147483647", "(frame_id>>31)%2147483629")
     return f"greatest(0.0::DOUBLE,1.0::DOUBLE+{lo!r}::DOUBLE+{u}*{hi - lo!r}::DOUBLE)"
 
 

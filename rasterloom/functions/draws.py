@@ -33,7 +33,7 @@ def fresh_seed(seed: int | None) -> int:
 
 
 # Keys that make unseeded draws differ from frame to frame: the frame id's low and high bits.
-FRAME_KEYS = ("frame_id & 2147483647", "shiftrightunsigned(frame_id, 33)")
+FRAME_KEYS = ("frame_id & 2147483647", f"shiftrightunsigned(frame_id, 31) % {P2}L")
 
 
 def frame_keys(seed: int | None) -> list[str]:

@@ -29,15 +29,23 @@ def sanitize_name(name) -> Column:
 
 def _fitted(c: Column) -> Column:
     tail = F.when(c.contains("."), F.substring_index(c, ".", -1)).otherwise(F.lit(""))
-    stem = F.substring(c, F.lit(1), F.length(c) - F.length(tail) - 1)
+    return (
+        F.when(c == "", F.lit("unnamed"))
+        .when(F.length(c) <= LONGEST, c)
+        .otherwise(let(tail, lambda t: _shortened(c, t)))
+    )
+
+
+def _shortened(c: Column, tail: Column) -> Column:
+    """The first characters of a too long name, with its tail after the last dot kept.
+
+    A tail longer than the limit leaves no room, and cuts the rest from its end instead.
+    """
     room = F.lit(LONGEST - 1) - F.length(tail)
-    # A tail longer than the limit cuts the stem from its end instead.
-    kept = F.when(room >= 0, room).otherwise(F.greatest(F.lit(0), F.length(stem) + room))
-    short = F.when(
-        F.length(tail) > 0, F.concat(F.substring(stem, F.lit(1), kept), F.lit("."), tail)
-    ).otherwise(F.substring(c, 1, LONGEST))
-    fitted = F.when(F.length(c) > LONGEST, short).otherwise(c)
-    return F.when(fitted == "", F.lit("unnamed")).otherwise(fitted)
+    rest = F.greatest(F.lit(0), F.length(c) - F.length(tail) - 1 + room)
+    kept = F.when(room >= 0, room).otherwise(rest)
+    with_tail = F.concat(F.substring(c, F.lit(1), kept), F.lit("."), tail)
+    return F.when(tail == "", F.substring(c, 1, LONGEST)).otherwise(with_tail)
 
 
 def clean_step_name(name) -> Column:

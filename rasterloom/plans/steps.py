@@ -115,17 +115,20 @@ def run_steps(
     for step in steps:
         if step.operation not in known:
             raise KeyError(f"unknown operation {step.operation!r}; known: {', '.join(sorted(known))}")
-    if frames is None and any(s.operation in USES_FRAMES for s in steps):
-        frames = frames_of(raster)
+    own = extra or {}
     results: dict[str, DataFrame] = {}
     current = raster
     for step in steps:
-        operation = known[step.operation]
+        needs_frames = step.operation in USES_FRAMES and step.operation not in own
         for turn in range(step.repeat):
-            given = {"frames": frames} if step.operation in USES_FRAMES and step.operation not in (
-                extra or {}) else {}
-            current = operation(current, **step.params, **given)
-            if frames is not None:
+            given = {}
+            if needs_frames:
+                frames = frames_of(current) if frames is None else frames
+                given = {"frames": frames}
+            current = known[step.operation](current, **step.params, **given)
+            if step.operation in own:
+                frames = None  # an operation from outside may have changed the sizes
+            elif frames is not None:
                 frames = _frames_after(frames, step)
             if turn % CUT_EVERY == CUT_EVERY - 1 and turn + 1 < step.repeat:
                 current = cut_lineage(current)
