@@ -116,6 +116,7 @@ def run_steps(
         if step.operation not in known:
             raise KeyError(f"unknown operation {step.operation!r}; known: {', '.join(sorted(known))}")
     own = extra or {}
+    seen: list[str] = []
     results: dict[str, DataFrame] = {}
     current = raster
     for step in steps:
@@ -135,7 +136,11 @@ def run_steps(
         if jpeg_between is not None:
             current = blocks.compression(current, quality=jpeg_between)
         if sink is not None:
-            write_step(current, sink, step.name)
-            current = read_raster(raster.sparkSession, sink, step.name)
+            # A later namesake gets a folder of its own, because it may read the earlier one.
+            earlier = seen.count(step.name)
+            stored = f"{step.name}_{earlier:02d}" if earlier else step.name
+            write_step(current, sink, stored)
+            current = read_raster(raster.sparkSession, sink, stored)
+        seen.append(step.name)
         results[step.name] = current
     return results

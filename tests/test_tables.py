@@ -238,6 +238,16 @@ def test_store(raster, planes, spark, tmp_path):
     assert (planes(read_raster(spark, str(tmp_path), "one"))[1]["g"] == planes(scan)[1]["g"]).all()
 
 
+def test_store_of_namesakes(raster, planes, spark, tmp_path):
+    """Steps of one name read each other's result, and the name maps to the last."""
+    scan = raster({1: picture(9, 9, 1)})
+    blur = {"name": "soft blur", "operation": "blur_circular", "params": {"radius": 1}}
+    lazy = planes(run_steps(scan, [blur, blur, blur])["soft blur"])[1]
+    stored = run_steps(scan, [blur, blur, blur], sink=str(tmp_path / "s"))["soft blur"]
+    assert all((planes(stored)[1][b] == lazy[b]).all() for b in "rgb")
+    assert read_raster(spark, str(tmp_path / "s")).select("step").distinct().count() == 3
+
+
 def png(path, array):
     height, width = array.shape[:2]
     kind = {2: 0, 3: 2}[array.ndim] if array.ndim == 2 or array.shape[2] == 3 else 6
