@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import struct
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +39,10 @@ def store_bitmaps(scan: DataFrame, folder: str) -> int:
 
 def image_files(spark: SparkSession, d: str) -> DataFrame:
     """Pixels read back from image files, by the number in the file's name."""
-    import os
-
-    folder = shared_folder(spark, "images")
+    address = urlparse(shared_folder(spark, "images"))
+    if address.scheme not in ("", "file"):
+        raise RuntimeError("this check writes plain files: spark.checkpoint.dir must be a mounted folder")
+    folder = address.path
     os.makedirs(folder)
     store_bitmaps(colour(spark, d), folder)
     names = read_frames(spark, folder).select(

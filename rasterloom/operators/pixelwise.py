@@ -26,6 +26,9 @@ from rasterloom.model import (
 )
 
 
+# Hits packed into arrays by line take four bytes each: at most 32 MB on every executor.
+BROADCAST_HITS = 8_000_000
+
 
 def saturation(
     df: DataFrame,
@@ -155,7 +158,7 @@ def salt_pepper(
     if seed is not None:
         size = F.sum((F.lit(float(amount)) * F.col("height") * F.col("width")).cast("long"))
         total = sizes_of(frames).agg(size.alias("n")).first()["n"] or 0
-        small = total <= BROADCAST_ROWS
+        small = total <= (BROADCAST_HITS if is_scanlines(df) else BROADCAST_ROWS)
     if not is_scanlines(df):
         hits = F.broadcast(hits) if small else hits
         return df.join(hits, [*on, "x"], "left").select(

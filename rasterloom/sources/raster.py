@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rasterloom.model import all_bands, to_scanlines
 
@@ -21,10 +20,11 @@ def write_step(df: DataFrame, folder: str, step: str) -> str:
 def read_raster(spark: SparkSession, folder: str, step: str | None = None) -> DataFrame:
     """Read one step's scanlines, or every step's with a ``step`` column.
 
-    ``step`` is a partition column and ``frame_id`` a stored column with statistics, so filters
-    on either skip files or row groups.
+    One step is read from its own folder, so its bands are its own; over all steps a band that
+    some step lacks is null there. Filters on ``step`` skip whole folders.
     """
-    table = spark.read.option("basePath", folder).parquet(f"{folder.rstrip('/')}/step=*")
-    if step is None:
-        return table
-    return table.where(F.col("step") == step).drop("step")
+    folder = folder.rstrip("/")
+    if step is not None:
+        return spark.read.parquet(f"{folder}/step={step}")
+    reader = spark.read.option("basePath", folder).option("mergeSchema", "true")
+    return reader.parquet(f"{folder}/step=*")

@@ -248,6 +248,19 @@ def test_store_of_namesakes(raster, planes, spark, tmp_path):
     assert read_raster(spark, str(tmp_path / "s")).select("step").distinct().count() == 3
 
 
+def test_store_of_changing_bands(raster, planes, spark, tmp_path):
+    """A step that drops alpha is not given it back by the steps beside it."""
+    scan = raster({1: picture(9, 9, 1, "rgba")})
+    steps = [{"name": "a", "operation": "blur_circular", "params": {"radius": 1}},
+             {"name": "b", "operation": "saturation", "params": {"mode": "fixed", "value": 0.2}},
+             {"name": "c", "operation": "blur_circular", "params": {"radius": 1}}]
+    got = run_steps(scan, steps, sink=str(tmp_path / "s"))
+    assert "a" in got["a"].columns and "a" not in got["b"].columns
+    assert planes(got["c"])[1].keys() == {"r", "g", "b"}
+    every = read_raster(spark, str(tmp_path / "s"))
+    assert every.where("a is null").count() == 18 and every.count() == 27
+
+
 def png(path, array):
     height, width = array.shape[:2]
     kind = {2: 0, 3: 2}[array.ndim] if array.ndim == 2 or array.shape[2] == 3 else 6
