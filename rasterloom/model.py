@@ -134,6 +134,14 @@ def sizes_of(df: DataFrame) -> DataFrame:
     return df.select("height", "width").distinct()
 
 
+def checked_side(side: str) -> Column:
+    """A frame side, with an error beyond the largest the model accepts."""
+    message = F.concat(F.lit(f"{side} is above {MAX_SIDE}: "), F.col(side).cast("string"))
+    return F.when(F.col(side) <= MAX_SIDE, F.col(side)).otherwise(
+        F.raise_error(message).cast("int")
+    )
+
+
 def broadcast_per_size(table: DataFrame, frames: DataFrame, rows_per_size: int = 1) -> DataFrame:
     """Broadcast a per-size table once the number of distinct sizes is known to be small.
 

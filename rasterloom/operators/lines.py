@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from rasterloom.functions import draws
 from rasterloom.model import (
     KEYS,
-    MAX_SIDE,
     all_bands,
     check_choice,
     check_range,
+    checked_side,
     clip_byte,
     frames_of,
     is_grey,
@@ -45,7 +45,7 @@ def stripe_cutoffs(
     lines = (
         frames.select(*keys)
         .distinct()
-        .where(F.col(side).between(1, MAX_SIDE))
+        .withColumn(side, checked_side(side))
         .withColumn("picked", (F.lit(float(density)) * F.col(side)).cast("int"))
         .withColumn("line", F.explode(F.sequence(F.lit(0), F.col(side) - 1)))
         .select(*keys, "picked", _line_rank(base, per_frame, "line").alias("cutoff"))

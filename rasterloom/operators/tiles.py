@@ -19,6 +19,7 @@ from rasterloom.model import (
     broadcast_per_size,
     check_choice,
     check_range,
+    checked_side,
     frames_of,
     is_grey,
     looked_up,
@@ -296,6 +297,7 @@ def grid_cutoffs(frames: DataFrame, tile_size: int, severity: float, seed: int)
     ranked = (
         frames.select("height", "width")
         .distinct()
+        .withColumns({side: checked_side(side) for side in ("height", "width")})
         .withColumns({"across": across, "down": down})
         .withColumn("picked", (F.lit(float(severity)) * F.col("across") * F.col("down")).cast("long"))
         .where("picked > 0")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -93,6 +94,15 @@ def _frames_after(frames: DataFrame, step: Step) -> DataFrame:
     return frames.withColumns(smaller)
 
 
+def _accepted(operation: Operation, step: Step) -> dict[str, Any]:
+    """The step's parameters that the operation takes; a missing one is a ValueError."""
+    takes = dict(list(inspect.signature(operation).parameters.items())[1:])
+    missing = [n for n, p in takes.items() if p.default is p.empty and n not in step.params]
+    if missing:
+        raise ValueError(f"step {step.name!r}: {step.operation} needs {', '.join(missing)}")
+    return {n: v for n, v in step.params.items() if n in takes and n != "frames"}
+
+
 def run_steps(
     raster: DataFrame,
     config: dict | list,
@@ -107,7 +117,8 @@ def run_steps(
     only where a step needs neighbours. With ``sink`` each step is written there and the next
     step reads it back, so no step is computed twice and a lost executor costs one step.
     ``jpeg_between`` adds a lossy generation of that quality after each step. ``extra`` adds
-    operations ``fn(raster, **params) -> raster`` by name. ``frames`` (``frame_id, height,
+    operations ``fn(raster, **params) -> raster`` by name; parameters that a built-in operation
+    does not know are ignored. ``frames`` (``frame_id, height,
     width``) saves passes over the raster by steps that need the sizes present.
     """
     steps = parse_steps(config)
@@ -116,17 +127,21 @@ def run_steps(
         if step.operation not in known:
             raise KeyError(f"unknown operation {step.operation!r}; known: {', '.join(sorted(known))}")
     own = extra or {}
+    params = [
+        step.params if step.operation in own else _accepted(known[step.operation], step)
+        for step in steps
+    ]
     seen: list[str] = []
     results: dict[str, DataFrame] = {}
     current = raster
-    for step in steps:
+    for step, given_params in zip(steps, params):
         needs_frames = step.operation in USES_FRAMES and step.operation not in own
         for turn in range(step.repeat):
             given = {}
             if needs_frames:
                 frames = frames_of(current) if frames is None else frames
                 given = {"frames": frames}
-            current = known[step.operation](current, **step.params, **given)
+            current = known[step.operation](current, **given_params, **given)
             if step.operation in own:
                 frames = None  # an operation from outside may have changed the sizes
             elif frames is not None:

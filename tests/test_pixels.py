@@ -161,6 +161,15 @@ def test_grid_count(raster, planes):
     assert int((cells[:, 0] == 255).sum()) == 12
 
 
+def test_too_large_side_is_an_error(spark):
+    row = spark.range(1).select(
+        F.col("id").alias("frame_id"), F.lit(70000).alias("height"), F.lit(1).alias("width"),
+        F.lit(0).alias("y"), F.array(F.lit(1)).alias("v"),
+    )
+    with pytest.raises(Exception, match="height is above 65535"):
+        lines.corduroy(row, 1.0, "horizontal", 0.5, seed=1).collect()
+
+
 def test_grey_rules(raster, planes):
     from rasterloom.operators import stencils
 

@@ -35,7 +35,7 @@ def test_explode_range(spark):
     assert explode_range(one, F.lit(3), F.lit(2), "n").count() == 0
 
 
-def test_segment_of_the_reference_test_gives_its_frame_count(spark):
+def test_segment_frame_count(spark):
     """Seven seconds of 30 fps at one frame per 0.033333 s are 200 to 220 frames."""
     video = spark.range(3000).select(
         F.lit("v").alias("video_id"), F.col("id").alias("frame_no"), (F.col("id") / 30.0).alias("pts")
@@ -196,6 +196,10 @@ def test_steps_run(raster, planes):
     scan = raster({1: picture(16, 16, 1)})
     with pytest.raises(KeyError, match="known"):
         run_steps(scan, [{"name": "a", "operation": "sharpen"}])
+    with pytest.raises(ValueError, match="needs amount"):
+        run_steps(scan, [{"name": "a", "operation": "noise", "params": {"mode": "row"}}])
+    spare = {"mode": "fixed", "value": 0.0, "unknown": 1}
+    run_steps(scan, [{"name": "a", "operation": "saturation", "params": spare}])
     inverted = lambda df, by: df.withColumns(
         {b: F.transform(b, lambda v: F.lit(by) - v) for b in "rgb"}
     )
