@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import audio, bpe, counts, quality, shards, urls
+from rasterloom.llm import audio, bpe, counts, langid, packing, quality, shards, urls
 from rasterloom.session import shared_folder
 
 RULES = [
@@ -107,6 +107,20 @@ def op7_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, table(spark, d, "labels")), ["doc_id"])
 
 
+def op8_packing(spark: SparkSession, d: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.packed_documents(table(spark, d, "documents"), path, ["doc_id"])
+
+
+def op10_language(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    found = langid.label(docs, langid.train(docs, ~held_out), ["doc_id"])
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_audio": op1_audio,
@@ -115,6 +129,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_counts": op4_token_counts,
         "op6_bpe": op6_bpe,
         "op7_quality": op7_quality,
+        "op8_packing": op8_packing,
+        "op10_language": op10_language,
     }
 
 
