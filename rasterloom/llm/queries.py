@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import audio, bpe, counts, langid, packing, quality, shards, urls
+from rasterloom.llm import audio, bpe, counts, langid, linededup, packing, quality, shards, urls
 from rasterloom.session import shared_folder
 
 RULES = [
@@ -97,6 +97,11 @@ def op4_token_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    found = linededup.dedup_lines(table(spark, d, "documents"), ["doc_id"])
+    return found.select("doc_id", "text", "n_lines", "n_deleted")
+
+
 def op6_bpe(spark: SparkSession, d: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.digests(bpe.encode(table(spark, d, "documents"), path, ["doc_id"]), path, ["doc_id"])
@@ -127,6 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_kd_shards": op2_kd_shards,
         "op3_urls": op3_urls,
         "op4_token_counts": op4_token_counts,
+        "op5_line_dedup": op5_line_dedup,
         "op6_bpe": op6_bpe,
         "op7_quality": op7_quality,
         "op8_packing": op8_packing,
@@ -135,4 +141,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op5_line_dedup": linededup.sql()}
