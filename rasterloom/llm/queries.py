@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import audio, bpe, counts, langid, linededup, packing, quality, shards, urls
+from rasterloom.llm import audio, bpe, counts, jaccard, langid, linededup, packing, quality, shards, urls
 from rasterloom.session import shared_folder
 
 RULES = [
@@ -117,6 +117,10 @@ def op8_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed_documents(table(spark, d, "documents"), path, ["doc_id"])
 
 
+def op9_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, d, "documents"), n=3, percent=90)
+
+
 def op10_language(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
@@ -136,6 +140,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bpe": op6_bpe,
         "op7_quality": op7_quality,
         "op8_packing": op8_packing,
+        "op9_jaccard": op9_jaccard,
         "op10_language": op10_language,
     }
 
