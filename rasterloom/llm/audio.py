@@ -6,7 +6,6 @@ column: blocks of ``FRAMES`` frames as fixed-shape tensors, each with its time s
 
 from __future__ import annotations
 
-import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -15,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.llm.tables import schema_of
+
 RATE = 16_000
 UP, DOWN = 3, 4
 WINDOW, HOP, SIZE, MELS = 300, 120, 512, 24
@@ -142,7 +143,7 @@ def store(df: DataFrame, keep: list[str], rate: int = RATE) -> DataFrame:
             files = [wav(p.as_py() or b"", rate) for p in batch.column("payload")]
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in keep} | {"media": pa.array(files, pa.binary())})
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
+    kept = schema_of(df, keep)
     return df.select(*keep, "payload").mapInArrow(run, f"{kept}, media binary")
 
 
@@ -178,7 +179,7 @@ def features(df: DataFrame, keep: list[str], high: float = -9.0, low: float = -1
                 }
             )
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
+    kept = schema_of(df, keep)
     schema = f"{kept}, payload binary, tensors binary, segments array<struct<start_ms: double, end_ms: double>>, n_frames long"
     return df.select(*keep, "media").mapInArrow(run, schema)
 
@@ -186,7 +187,3 @@ def features(df: DataFrame, keep: list[str], high: float = -9.0, low: float = -1
 def read_tensors(stream: bytes) -> pa.Table:
     """The table of a tensor stream."""
     return pa.ipc.open_stream(stream).read_all()
-
-
-def short_digest(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()[:16]

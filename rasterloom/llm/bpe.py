@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from rasterloom.llm import texts
+from rasterloom.llm.tables import schema_of
 
 NONE = np.int32(0x7FFFFFFF)
 LONG = 128
@@ -332,10 +333,6 @@ def binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     )
 
 
-def _column_schema(df: DataFrame, keep: list[str]) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
-
-
 def encode(df: DataFrame, path: str, keep: list[str], specials: dict[str, int] | None = None) -> DataFrame:
     """Columns ``keep`` with ``ids``, the token ids of ``text`` as little-endian unsigned 32-bit numbers.
 
@@ -355,7 +352,7 @@ def encode(df: DataFrame, path: str, keep: list[str], specials: dict[str, int] |
             out = {c: batch.column(c) for c in keep} | {"ids": binary(flat, np.array(ends))}
             yield pa.RecordBatch.from_pydict(out)
 
-    return df.select(*keep, "text").mapInArrow(run, f"{_column_schema(df, keep)}, ids binary")
+    return df.select(*keep, "text").mapInArrow(run, f"{schema_of(df, keep)}, ids binary")
 
 
 def decode(df: DataFrame, path: str, keep: list[str], specials: dict[str, int] | None = None) -> DataFrame:
@@ -369,7 +366,7 @@ def decode(df: DataFrame, path: str, keep: list[str], specials: dict[str, int] |
             out = {c: batch.column(c) for c in keep} | {"decoded": binary(data, ends)}
             yield pa.RecordBatch.from_pydict(out)
 
-    return df.select(*keep, "ids").mapInArrow(run, f"{_column_schema(df, keep)}, decoded binary")
+    return df.select(*keep, "ids").mapInArrow(run, f"{schema_of(df, keep)}, decoded binary")
 
 
 def id_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -407,5 +404,5 @@ def digests(df: DataFrame, path: str, keep: list[str]) -> DataFrame:
             out |= {"n_tokens": pa.array(np.diff(offsets)), "ids_sha256": pa.array(said, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
             yield pa.RecordBatch.from_pydict(out)
 
-    schema = f"{_column_schema(df, keep)}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = f"{schema_of(df, keep)}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return df.select(*keep, "ids").mapInArrow(run, schema)

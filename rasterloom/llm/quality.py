@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm import texts, trees
+from rasterloom.llm.tables import schema_of
 
 COUNTS = (
     "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_upper n_digits n_marks "
@@ -132,8 +133,7 @@ def _mapped(forest: trees.Forest | None, ids: list[str], threshold: float):
 
 def statistics(df: DataFrame, ids: list[str]) -> DataFrame:
     """Counts of each document (``COUNTS``) beside its columns ``ids``. A null text has no words."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*ids).schema)
-    schema += "".join(f", {c} long" for c in COUNTS)
+    schema = schema_of(df, ids) + "".join(f", {c} long" for c in COUNTS)
     return df.select(*ids, "text").mapInArrow(_mapped(None, ids, 0.0), schema)
 
 
@@ -175,6 +175,5 @@ def judge(df: DataFrame, forest: trees.Forest, ids: list[str], threshold: float
     least ``threshold``. A null or empty text has no words and so fails. Equal rows are judged
     alike, and each stays a row; other columns of ``df`` are not read.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*ids).schema)
-    schema += "".join(f", {c} long" for c in COUNTS) + ", score double, base_failed boolean, kept boolean"
+    schema = schema_of(df, ids) + "".join(f", {c} long" for c in COUNTS) + ", score double, base_failed boolean, kept boolean"
     return df.select(*ids, "text").mapInArrow(_mapped(forest, ids, threshold), schema)
