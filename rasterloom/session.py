@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(name: str = "rasterloom", cpus: int | str = "*") -> SparkSession:
     """A local session for tests and benchmarks. On a cluster, bring your own."""
+    builder = SparkSession.builder.master(f"local[{cpus}]").appName(name)
+    if "spark.checkpoint.dir" not in os.environ.get("PYSPARK_SUBMIT_ARGS", ""):
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="rasterloom-"))
     return (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName(name)
+        builder
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
@@ -25,12 +27,11 @@ def local_session(name: str = "rasterloom", cpus: int | str = "*") -> SparkSessi
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; in local mode a temporary one if that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.gettempdir()
+    """A new folder below ``spark.checkpoint.dir``, or below the warehouse if that is unset.
+
+    Both are folders that the driver and all executors share.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/rasterloom-{purpose}-{uuid.uuid4().hex[:12]}"
 
 
