@@ -135,11 +135,18 @@ def tensor_stream(mel: np.ndarray, rate: float) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Small batches, so that what is made from one is small too."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def store(df: DataFrame, keep: list[str], rate: int = RATE) -> DataFrame:
     """Columns ``keep`` with ``media``: the bytes of ``payload`` as the samples of a WAV file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             files = [wav(p.as_py() or b"", rate) for p in batch.column("payload")]
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in keep} | {"media": pa.array(files, pa.binary())})
 
@@ -157,7 +164,7 @@ def features(df: DataFrame, keep: list[str], high: float = -9.0, low: float = -1
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             back, tensors, spans, frames = [], [], [], []
             for file in batch.column("media"):
                 samples, rate = read_wav(file.as_py())

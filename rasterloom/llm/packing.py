@@ -84,39 +84,32 @@ def _below(present: int, limit: int) -> int:
 
 
 def fillings(counts: list[int], present: int, room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` by one, two or three sizes, least waste first.
+    """Undominated fillings of ``room`` by up to three sizes, least waste first, at most ``most``.
 
-    For each leading choice only the largest size that still fits is taken: a filling with a
-    smaller one in its place is dominated by it.
+    Of two fillings that differ in one size, the one with the larger fits better and dominates the
+    other, so the last size of a filling is always the largest that still fits.
     """
-    one = _below(present, room)
-    if not one:
-        return [()]
-    found = {(one,): room - one}
-    a = one
-    while a > 0 and len(found) < 8 * most:
-        counts[a] -= 1
-        left = present if counts[a] else present & ~(1 << a)
-        b = min(_below(left, room - a), a) or 0
-        if b and b == a and not counts[a]:
-            b = _below(left, min(room - a, a - 1))
-        if b:
-            found[(a, b)] = room - a - b
-            counts[b] -= 1
-            after = left if counts[b] else left & ~(1 << b)
-            c = _below(after, min(room - a - b, b))
-            if c:
-                found[(a, b, c)] = room - a - b - c
-            counts[b] += 1
-        counts[a] += 1
-        if not min(found.values()):
-            break
-        a = _below(present, a - 1)
-    ordered = sorted(found.items(), key=lambda f: (f[1], [-s for s in f[0]]))
-    return [f for f, _ in ordered[:most]]
-
-
-def bin_completion(sizes: np.ndarray, capacity: int, nodes: int = 20_000, branches: int = 4) -> list[list[int]]:
+    found: dict[tuple[int, ...], int] = {}
+
+    def extend(head: tuple[int, ...], held: int, left: int, limit: int) -> None:
+        last = _below(held, min(left, limit))
+        if not last:
+            found[head] = left
+            return
+        found[(*head, last)] = left - last
+        tries, size = 0, last
+        while size and len(head) < 2 and tries < most:
+            counts[size] -= 1
+            extend((*head, size), held if counts[size] else held & ~(1 << size), left - size, size)
+            counts[size] += 1
+            size, tries = _below(held, size - 1), tries + 1
+
+    extend((), present, room, room)
+    fit = {f: lost for f, lost in found.items() if lost >= 0}
+    return sorted(fit, key=lambda f: (fit[f], [-s for s in f]))[:most]
+
+
+def bin_completion(sizes: np.ndarray, capacity: int, nodes: int = 4_000, branches: int = 6) -> list[list[int]]:
     """Bins of ``sizes``: best-fit as the incumbent, improved by branch and bound where it can be.
 
     The largest size left opens a bin, and the search branches over undominated fillings of the
