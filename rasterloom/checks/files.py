@@ -1,10 +1,9 @@
-"""Query and SQL check: image files. The frames are first stored as plain bitmap files."""
+"""Queries and SQL checks: image files. The frames are first stored as a folder of PNG files."""
 
 from __future__ import annotations
 
-import os
 import struct
-from urllib.parse import urlparse
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -12,50 +11,94 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.checks import sql
-from rasterloom.checks.pointwise import colour, out
+from rasterloom.checks.pointwise import out
+from rasterloom.operators.strips import planes_of
 from rasterloom.session import shared_folder
 from rasterloom.sources.images import read_frames, read_images
+from rasterloom.sources.vectors import scanlines_from_vectors
 
+# Colour type of a PNG file and its bands, by frame number modulo 3.
+KINDS = {0: (2, "rgb"), 1: (0, "v"), 2: (6, "rgba")}
 
-def store_bitmaps(scan: DataFrame, folder: str) -> int:
-    """Write each (small) frame as ``<frame_id>.bmp``; a file that is written again is the same."""
+
+def png(planes: dict[str, np.ndarray], kind: int, bands: str) -> bytes:
+    cube = np.stack([planes[b] for b in bands], 2).astype(np.uint8)
+    height, width, _ = cube.shape
+    raw = b"".join(b"\0" + line.tobytes() for line in cube)
+
+    def chunk(tag: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + tag + data + struct.pack(">I", zlib.crc32(tag + data))
+
+    head = struct.pack(">IIBBBBB", width, height, 8, kind, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def store_images(scan: DataFrame, folder: str) -> None:
+    """Each (small) frame as ``<frame_id>.png`` in colour, grey or with alpha, and one broken file.
+
+    Pictures are made in tasks and written one by one through Hadoop's file system, so the folder
+    may be in any store that Spark can read.
+    """
 
     def one(table: pa.Table) -> pa.Table:
         table = table.sort_by("y")
-        height, width = table.num_rows, table.column("width")[0].as_py()
-        bands = [
-            table.column(b).combine_chunks().flatten().to_numpy().reshape(height, width) for b in "bgr"
-        ]
-        lines = np.stack(bands, axis=2).astype(np.uint8)[::-1].reshape(height, -1)
-        lines = np.pad(lines, ((0, 0), (0, -lines.shape[1] % 4)))
-        head = struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, lines.size, 2835, 2835, 0, 0)
-        path = f"{folder}/{table.column('frame_id')[0].as_py()}.bmp"
-        with open(path, "wb") as f:
-            f.write(b"BM" + struct.pack("<IHHI", 54 + lines.size, 0, 0, 54) + head + lines.tobytes())
-        return pa.table({"height": pa.array([height], pa.int32())})
+        number = table.column("frame_id")[0].as_py()
+        planes = planes_of(table, ["r", "g", "b", "a"], slice(None))
+        planes["v"] = (planes["r"] * 19595 + planes["g"] * 38470 + planes["b"] * 7471 + 32768) >> 16
+        return pa.table({"number": pa.array([number]), "data": pa.array([png(planes, *KINDS[number % 3])], pa.binary())})
 
-    return scan.groupBy("frame_id").applyInArrow(one, "height int").count()
+    spark = scan.sparkSession
+    jvm = spark._jvm
+    base = jvm.org.apache.hadoop.fs.Path(folder)
+    files = base.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def write(name: str, data: bytes) -> None:
+        stream = files.create(jvm.org.apache.hadoop.fs.Path(base, name))
+        stream.write(data)
+        stream.close()
+
+    for row in scan.groupBy("frame_id").applyInArrow(one, "number long, data binary").toLocalIterator():
+        write(f"{row['number']}.png", bytes(row["data"]))
+    write("broken.png", b"\x89PNG\r\n\x1a\n no picture")
+
+
+def _folder(spark: SparkSession, d: str) -> str:
+    folder = shared_folder(spark, "images")
+    store_images(scanlines_from_vectors(spark, d, alpha=True), folder)
+    return folder
 
 
 def image_files(spark: SparkSession, d: str) -> DataFrame:
-    """Pixels read back from image files, by the number in the file's name."""
-    address = urlparse(shared_folder(spark, "images"))
-    if address.scheme not in ("", "file"):
-        raise RuntimeError("this check writes plain files: spark.checkpoint.dir must be a mounted folder")
-    folder = address.path
-    os.makedirs(folder)
-    store_bitmaps(colour(spark, d), folder)
+    """Pixels read back from files of all modes, by the number in the file's name."""
+    folder = _folder(spark, d)
     names = read_frames(spark, folder).select(
-        "frame_id", F.regexp_extract("name", r"^(\d+)", 1).cast("long").alias("number")
+        "frame_id", F.regexp_extract("name", r"^(\d*)", 1).try_cast("long").alias("number")
     )
-    return out(read_images(spark, folder)).join(names, "frame_id").select(
-        F.col("number").alias("frame_id"), "y", "x", "r", "g", "b"
+    return out(read_images(spark, folder, "RGBA", broken="skip")).join(names, "frame_id").select(
+        F.col("number").alias("frame_id"), "y", "x", "r", "g", "b", "a"
     )
 
 
+def image_modes(spark: SparkSession, d: str) -> DataFrame:
+    """Files by mode and size; the broken one has neither."""
+    found = read_frames(spark, _folder(spark, d))
+    return found.groupBy(
+        F.coalesce("mode", F.lit("broken")).alias("mode"),
+        F.coalesce("height", F.lit(-1)).alias("height"),
+        F.coalesce("width", F.lit(-1)).alias("width"),
+    ).agg(F.count("*").alias("files"))
+
+
 def queries() -> dict:
-    return {"s1_image_files": image_files}
+    return {"s1_image_files": image_files, "s1_image_modes": image_modes}
 
 
 def oracles() -> dict[str, str]:
-    return {"s1_image_files": f"WITH {sql.PX} SELECT frame_id, y, x, r, g, b FROM px"}
+    grey = "((r*19595+g*38470+b*7471+32768)>>16)::INT"
+    bands = ", ".join(f"CASE WHEN frame_id%3=1 THEN {grey} ELSE {b} END AS {b}" for b in "rgb")
+    return {
+        "s1_image_files": f"WITH {sql.PX} SELECT frame_id, y, x, {bands}, CASE WHEN frame_id%3=2 THEN a ELSE 255 END AS a FROM px",
+        "s1_image_modes": f"""WITH {sql.PX}
+SELECT CASE frame_id%3 WHEN 0 THEN 'RGB' WHEN 1 THEN 'L' ELSE 'RGBA' END AS mode, h AS height, w AS width, count(*) AS files
+FROM fr GROUP BY ALL UNION ALL SELECT 'broken', -1, -1, 1""",
+    }

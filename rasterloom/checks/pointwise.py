@@ -38,15 +38,6 @@ def on_grey(op, **params):
     return lambda spark, d: out(op(grey(colour(spark, d)), **params))
 
 
-def with_frames(op, pixels: bool = False, **params):
-    def run(spark, d):
-        scan = colour(spark, d)
-        raster = to_pixels(scan) if pixels else scan
-        return out(op(raster, frames=frames_of(scan), **params))
-
-    return run
-
-
 SEED = 42
 
 
@@ -58,10 +49,10 @@ def queries() -> dict:
             pixelwise.saturation, mode="random", range=[-0.5, 0.8], seed=7
         ),
         "p3_noise_gaussian": on_alpha(pixelwise.noise, mode="gaussian", amount=0.1, seed=SEED),
-        "p4_salt_pepper": with_frames(
-            pixelwise.salt_pepper, pixels=True, amount=0.05, salt_vs_pepper=0.4, seed=SEED
+        "p4_salt_pepper": on_pixels(
+            pixelwise.salt_pepper, amount=0.05, salt_vs_pepper=0.4, seed=SEED
         ),
-        "p4_salt_pepper_lines": with_frames(
+        "p4_salt_pepper_lines": on_colour(
             pixelwise.salt_pepper, amount=0.3, salt_vs_pepper=0.5, seed=11
         ),
         "p5_gamma": on_pixels(pixelwise.gamma_map, gamma=1.8),
@@ -71,10 +62,10 @@ def queries() -> dict:
         "l1_noise_row": on_pixels(pixelwise.noise, mode="row", amount=0.2, seed=SEED),
         "l1_noise_row_lines": on_colour(pixelwise.noise, mode="row", amount=0.2, seed=SEED),
         "l2_noise_column": on_grey(pixelwise.noise, mode="column", amount=0.2, seed=SEED),
-        "l3_corduroy_vertical": with_frames(
+        "l3_corduroy_vertical": on_colour(
             lines.corduroy, strength=0.8, orientation="vertical", density=0.3, seed=SEED
         ),
-        "l4_corduroy_horizontal": with_frames(
+        "l4_corduroy_horizontal": on_colour(
             lines.corduroy, strength=1.0, orientation="horizontal", density=0.8, seed=200
         ),
         "l5_gap_mask": gap_mask,
@@ -111,7 +102,7 @@ def queries() -> dict:
         ),
     }
     for kind in ("xor", "invert", "channel_shuffle"):
-        q[f"t5_grid_{kind}"] = with_frames(
+        q[f"t5_grid_{kind}"] = on_colour(
             tiles.buffer_corruption_grid,
             tile_size=12, severity=0.4, magnitude=99, corruption_type=kind, seed=SEED,
         )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.checks import neighbourhood, pointwise, sql, transform
@@ -22,35 +24,43 @@ def last_of(config, **options):
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         scan = colour(spark, d)
-        return out(list(run_steps(scan, config, frames=frames_of(scan), **options).values())[-1])
+        return out(list(run_steps(scan, config, **options).values())[-1])
 
     return run
 
 
 def every_step(spark: SparkSession, d: str) -> DataFrame:
-    """All steps of the saturation list, with their names."""
+    """All steps of a list, with their names."""
     parts = [
         out(df).withColumn("step", F.lit(name))
-        for name, df in run_steps(colour(spark, d), presets.SATURATION_STEPS).items()
+        for name, df in run_steps(colour(spark, d), presets.WORN_PRINT).items()
     ]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+    return reduce(DataFrame.unionAll, parts)
 
 
 def stored_steps(spark: SparkSession, d: str) -> DataFrame:
-    """Write every step, read the whole store back."""
+    """Write every step, the last one apart, and read both stores back."""
     folder = shared_folder(spark, "steps")
-    run_steps(colour(spark, d), presets.BLUR_SEQUENCE, sink=folder)
-    store = read_raster(spark, folder)
+    places = {"intermediate_dir": f"{folder}/intermediate", "final_dir": f"{folder}/final"}
+    run_steps(colour(spark, d), {"steps": presets.DRIFTING_TAPE, "output": places})
     total = [F.aggregate(b, F.lit(0).cast("long"), lambda s, v: s + v).alias(b) for b in "rgb"]
-    return store.select("step", "frame_id", "y", *total)
+    parts = [
+        read_raster(spark, at).select(F.lit(kind).alias("folder"), "step", "frame_id", "y", *total)
+        for kind, at in (("intermediate", places["intermediate_dir"]), ("final", places["final_dir"]))
+    ]
+    return parts[0].unionAll(parts[1])
 
 
-def streamed_mask(spark: SparkSession, d: str) -> DataFrame:
-    """Scan-line gaps and band swaps on a stream of scanlines."""
-    folder = shared_folder(spark, "stream")
+def _stream(spark: SparkSession, d: str, name: str) -> tuple[DataFrame, str]:
+    folder = shared_folder(spark, name)
     write_step(colour(spark, d), folder, "source")
     source = read_raster(spark, folder, "source")
-    stream = scanstream.read_scanline_stream(spark, f"{folder}/step=source", source.schema)
+    return scanstream.read_scanline_stream(spark, f"{folder}/step=source", source.schema), folder
+
+
+def streamed_mask(spark: SparkSession, d: str) -> DataFrame:
+    """Scan-line gaps and band swaps on a stream of scanlines."""
+    stream, folder = _stream(spark, d, "stream")
 
     def change(df: DataFrame) -> DataFrame:
         gapped = lines.slc_off(df, gap_width=0.22, scan_period=14)
@@ -62,17 +72,70 @@ def streamed_mask(spark: SparkSession, d: str) -> DataFrame:
     return out(spark.read.parquet(f"{folder}/out"))
 
 
+def streamed_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A whole list of line steps on the stream itself."""
+    stream, folder = _stream(spark, d, "lines")
+    scanstream.write_stateless(
+        stream,
+        lambda df: run_steps(df, presets.LINE_FAULTS)["cells"],
+        f"{folder}/out",
+        f"{folder}/checkpoint",
+    ).awaitTermination()
+    return out(spark.read.parquet(f"{folder}/out"))
+
+
 def streamed_steps(spark: SparkSession, d: str) -> DataFrame:
-    """A step list with neighbourhood work on each micro-batch."""
-    folder = shared_folder(spark, "batches")
-    write_step(colour(spark, d), folder, "source")
-    source = read_raster(spark, folder, "source")
-    stream = scanstream.read_scanline_stream(spark, f"{folder}/step=source", source.schema)
+    """A step list with neighbourhood work on each micro-batch, every step kept."""
+    stream, folder = _stream(spark, d, "batches")
     scanstream.run_steps_on_stream(
-        stream, presets.BLUR_SEQUENCE, f"{folder}/out", f"{folder}/checkpoint"
+        stream, presets.DRIFTING_TAPE, f"{folder}/out", f"{folder}/checkpoint"
     ).awaitTermination()
-    done = spark.read.parquet(f"{folder}/out/*/*")
-    return out(done)
+    steps = [s["name"] for s in presets.DRIFTING_TAPE]
+    parts = [
+        out(spark.read.parquet(f"{folder}/out/batch=*/step={name}")).withColumn("step", F.lit(name))
+        for name in steps
+    ]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def without_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """What holds whatever is drawn: pixels masked, pixels changed outside the mask, and whether the
+    hits and the striped rows stay within their numbers."""
+    scan = colour(spark, d)
+    gaps = {"gap_width": 0.3, "scan_period": 7}
+    steps = {
+        "gaps": ("slc_off", {**gaps, "fill_mode": "mean"}),
+        "dust": ("salt_pepper", {"amount": 0.05}),
+        "rows": ("corduroy", {"strength": 1.0, "orientation": "horizontal", "density": 0.4}),
+    }
+    bounds = lines.with_gaps(scan.select("frame_id", "height", "width", "y"), **gaps)
+    met = out(scan).join(bounds.select("frame_id", "height", "width", "y", "gap_from", "gap_to"), ["frame_id", "y"])
+    for name, (operation, params) in steps.items():
+        changed = run_steps(scan, [{"name": name, "operation": operation, "params": params}])[name]
+        other = out(changed).select("frame_id", "y", "x", F.struct("r", "g", "b").alias(name))
+        met = met.join(other, ["frame_id", "y", "x"])
+    own = F.struct("r", "g", "b")
+    inside = (F.col("x") >= F.col("gap_from")) & (F.col("x") < F.col("gap_to"))
+    noisy = F.col("dust") != own
+    extreme = (F.col("dust.r") % 255 == 0) & (F.col("dust.r") == F.col("dust.g")) & (F.col("dust.r") == F.col("dust.b"))
+
+    def count(condition) -> Column:
+        return F.sum(F.when(condition, 1).otherwise(0))
+
+    rows = met.groupBy("frame_id", "y", "height", "width").agg(
+        count(inside).alias("masked"),
+        count(~inside & (F.col("gaps") != own)).alias("strays"),
+        count(noisy).alias("hits"),
+        count(noisy & ~extreme).alias("odd_hits"),
+        F.max(F.when(F.col("rows") != own, 1).otherwise(0)).alias("striped"),
+    )
+    return rows.groupBy("frame_id").agg(
+        F.sum("masked").alias("masked"),
+        F.sum("strays").alias("strays"),
+        (F.sum("hits") <= (F.max("height") * F.max("width") * F.lit(0.05)).cast("int")).cast("int").alias("few_hits"),
+        F.sum("odd_hits").alias("odd_hits"),
+        (F.sum("striped") <= (F.max("height") * F.lit(0.4)).cast("int")).cast("int").alias("few_rows"),
+    )
 
 
 SEGMENT_RUN = {
@@ -113,24 +176,27 @@ def queries() -> dict:
         "x1_segment_run": segment_run,
         "s4_output_files": segment_files,
         "x1_glitch_art": last_of(presets.GLITCH_ART),
-        "x1_severe_degradation": last_of(presets.SEVERE_DEGRADATION),
+        "x1_severe_degradation": last_of(presets.SMALL_SENSOR),
         "x1_every_step": every_step,
-        "x1_jpeg_between": last_of(presets.BLUR_SEQUENCE[:2], jpeg_between=95),
-        "x2_repeat_compression": last_of(presets.REPEATED_COMPRESSION),
+        "x1_jpeg_between": last_of(presets.WORN_PRINT[:2], jpeg_between=95),
+        "x2_repeat_compression": last_of(presets.COPIES_OF_COPIES),
         "s2_s3_stored_steps": stored_steps,
+        "x1_unseeded_steps": without_seeds,
         "stream_stateless": streamed_mask,
+        "stream_line_steps": streamed_lines,
         "stream_micro_batches": streamed_steps,
     }
 
 
 def chain(*checks: str) -> str:
-    """SQL that feeds each check's result to the next one's ``px``."""
+    """SQL that feeds each check's result to the next one's ``px``, whose frames may be smaller."""
     parts, previous = [f"{sql.PX}"], None
     for i, check in enumerate(checks):
         if previous is not None:
             check = check.replace(
                 sql.PX,
                 f"""
+fr AS MATERIALIZED (SELECT frame_id, (max(y)+1)::INT AS h, (max(x)+1)::INT AS w FROM {previous} GROUP BY frame_id),
 px AS MATERIALIZED (SELECT s.frame_id, s.y, s.x, s.r, s.g, s.b, 0 AS a, f.h, f.w
   FROM {previous} s JOIN fr f ON f.frame_id=s.frame_id)""",
             )
@@ -139,8 +205,8 @@ px AS MATERIALIZED (SELECT s.frame_id, s.y, s.x, s.r, s.g, s.b, 0 AS a, f.h, f.w
     return f"WITH {', '.join(parts)} SELECT frame_id, y, x, r, g, b FROM {previous}"
 
 
-def _generation_check(quality: int) -> str:
-    return transform._colour([quality], (2, 2))
+def _generation_check(quality: int, cell: tuple[int, int] = (2, 2)) -> str:
+    return transform._colour([quality], cell)
 
 
 def _artifact_check(params: dict) -> str:
@@ -158,27 +224,35 @@ def _motion_check(size: int, angle: float) -> str:
     return neighbourhood._stencil(kernels.motion(size, float(angle)), "sum(t.k*s.v)::BIGINT>>16")
 
 
-def _random_factor(lo: float, hi: float, seed: int) -> str:
-    u = sql.uniform(seed, "saturation", "frame_id&2147483647", "(frame_id>>31)%2147483629")
-    return f"greatest(0.0::DOUBLE,1.0::DOUBLE+{lo!r}::DOUBLE+{u}*{hi - lo!r}::DOUBLE)"
+def _noisy(shift: str) -> str:
+    return pointwise._px(pointwise._noise(shift, "rgb"))
 
 
 def oracles() -> dict[str, str]:
     p = [s["params"] for s in presets.GLITCH_ART]
-    blur = [_motion_check(2, 0), _motion_check(2, 90), _motion_check(3, 45), _generation_check(60)]
-    saturation = [
-        pointwise._saturation(_random_factor(-0.3, 0.3, 1)),
-        pointwise._saturation(f"{1.0 + 1.2!r}::DOUBLE"),
-        pointwise._saturation(_random_factor(-0.2, 0.2, 2)),
+    row = sql.uniform(11, "row", "y", "{i}")
+    worn = [
+        pointwise._saturation(f"{1.0 + 0.35!r}::DOUBLE"),
+        neighbourhood._gaussian(1.5, grey=False),
+        _noisy(f"({row}*2.0::DOUBLE-1.0::DOUBLE)*{0.08 * 255.0!r}::DOUBLE"),
+    ]
+    drifting = [
+        neighbourhood._shifted(2, -1, alpha=False),
+        _motion_check(6, 120),
+        pointwise._stripes("w", "x", 0.4, 0.6, 8),
+        _generation_check(45, (1, 2)),
     ]
     named = " UNION ALL ".join(
-        f"SELECT *, '{s['name']}' AS step FROM ({chain(*saturation[: i + 1])})"
-        for i, s in enumerate(presets.SATURATION_STEPS)
+        f"SELECT *, '{s['name']}' AS step FROM ({chain(*worn[: i + 1])})"
+        for i, s in enumerate(presets.WORN_PRINT)
     )
-    stored = " UNION ALL ".join(
-        f"SELECT '{s['name']}' AS step, frame_id, y, sum(r)::BIGINT AS r, sum(g)::BIGINT AS g, "
-        f"sum(b)::BIGINT AS b FROM ({chain(*blur[: i + 1])}) GROUP BY frame_id, y"
-        for i, s in enumerate(presets.BLUR_SEQUENCE)
+    kept = " UNION ALL ".join(
+        f"SELECT *, '{s['name']}' AS step FROM ({chain(*drifting[: i + 1])})"
+        for i, s in enumerate(presets.DRIFTING_TAPE)
+    )
+    stored = (
+        "SELECT CASE WHEN step='copy' THEN 'final' ELSE 'intermediate' END AS folder, step, frame_id, y, "
+        f"sum(r)::BIGINT AS r, sum(g)::BIGINT AS g, sum(b)::BIGINT AS b FROM ({kept}) GROUP BY step, frame_id, y"
     )
     shown = """
 film AS (SELECT frame_id, 'v'||(frame_id%2) AS video_id, (frame_id//2)*0.04::DOUBLE AS pts FROM fr),
@@ -187,7 +261,6 @@ grid AS (SELECT video_id, unnest(range(lo, hi+1))::BIGINT AS slot FROM
   (SELECT video_id, min(k) AS lo, max(k) AS hi FROM s GROUP BY video_id)),
 chosen AS (SELECT g.video_id, g.slot, s.frame_id FROM grid g ASOF JOIN s ON s.video_id=g.video_id AND g.slot>=s.k)"""
     stem = "video_id||'_frame_'||lpad((slot+1)::VARCHAR,6,'0')"
-    generations = [_generation_check(q) for q in transform._by_hand(8, 40, 5, "exponential")]
     return {
         "x1_segment_run": f"""
 WITH {sql.PX}, done AS MATERIALIZED ({chain(pointwise._saturation('0.5::DOUBLE'), _motion_check(5, 0))}), {shown}
@@ -205,19 +278,28 @@ UNION ALL SELECT 1, 'smear', 'final', 'smear_muted_'||{stem}||'_step00_step01.jp
             _artifact_check(p[5]),
         ),
         "x1_severe_degradation": chain(
-            neighbourhood._downscale(0.15, "bicubic", "nearest"),
-            _generation_check(10),
-            _motion_check(3, 45),
-            *generations,
+            _noisy(pointwise._normal(21, "gaussian") + f"*{0.06 * 255.0!r}::DOUBLE"),
+            neighbourhood._downscale(0.5, "box"),
+            neighbourhood._bayer("GBRG"),
+            _generation_check(35),
         ),
         "x1_every_step": named,
-        "x1_jpeg_between": chain(
-            blur[0], _generation_check(95), blur[1], _generation_check(95)
-        ),
-        "x2_repeat_compression": chain(*[_generation_check(40)] * 5),
+        "x1_jpeg_between": chain(worn[0], _generation_check(95), worn[1], _generation_check(95)),
+        "x1_unseeded_steps": f"""
+WITH {sql.PX}, {pointwise._gap_ctes(0.3, 7)}
+SELECT fr.frame_id, coalesce(sum(gap_to-gap_from) FILTER (gap_from<gap_to),0)::BIGINT AS masked, 0::BIGINT AS strays,
+  1::INT AS few_hits, 0::BIGINT AS odd_hits, 1::INT AS few_rows
+FROM fr LEFT JOIN mask USING (frame_id) GROUP BY fr.frame_id""",
+        "x2_repeat_compression": chain(*[_generation_check(55)] * 10),
         "s2_s3_stored_steps": stored,
         "stream_stateless": chain(
             pointwise._gap_fill(0.22, 14, "0"), pointwise._band_swap(15, 0.1, 0.5, 42, (2, 1, 0))
         ),
-        "stream_micro_batches": chain(*blur),
+        "stream_line_steps": chain(
+            pointwise._salt_pepper(0.04, 0.7, 31),
+            pointwise._stripes("w", "x", 0.25, 0.9, 32),
+            pointwise._stripes("h", "y", 0.5, 0.5, 33),
+            pointwise._grid("xor", 9, 0.3, 63, 34),
+        ),
+        "stream_micro_batches": kept,
     }

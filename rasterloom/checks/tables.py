@@ -58,6 +58,7 @@ def raw_videos(spark: SparkSession, d: str) -> DataFrame:
         some(8, key % 3 * 1000).alias("filesize"),
         some(9, key * 2).alias("filesize_approx"),
         F.date_format("o_orderdate", "yyyyMMdd").alias("upload_date"),
+        some(11, F.concat(F.lit("/videos/"), key, F.lit(".mp4"))).alias("file_path"),
     )
 
 
@@ -90,6 +91,14 @@ def picked(quality_name: str, container: str):
     return lambda spark, d: frames.pick_format(format_table(spark, d), quality_name, container)
 
 
+def picked_by_name(spark: SparkSession, d: str) -> DataFrame:
+    """Formats with text ids, many of equal height."""
+    named = format_table(spark, d).withColumns(
+        {"format_id": F.concat("ext", F.lit("-"), F.col("format_id") % 7, F.lit("p")), "height": F.col("height") % 480}
+    )
+    return frames.pick_format(named, "720p", "webm")
+
+
 def name_requests(spark: SparkSession, d: str) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet")
     return docs.select(
@@ -97,6 +106,16 @@ def name_requests(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def numbered_directories(spark: SparkSession, d: str) -> DataFrame:
+    """Directory names, some with dots, beside those that exist."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    asked = docs.select(F.concat("source", F.lit(".d")).alias("name"), F.col("doc_id").alias("order_id"))
+    taken = docs.where("doc_id % 4 = 1").select(
+        F.format_string("%s.d_%03d", "source", F.col("doc_id") % 90).alias("name")
+    )
+    return naming.assign_incremental(asked, taken, start_index=3, directories=True)
+
+
 def names_taken(spark: SparkSession, d: str) -> DataFrame:
     """Names that exist: some plain, some numbered, some that only look numbered."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
@@ -171,6 +190,13 @@ def step_summary(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def lines_missing(spark: SparkSession, d: str) -> DataFrame:
+    """Frames are counted whatever lines they have."""
+    scan = colour(spark, d)
+    return quality.summarize({"tail": scan.where("y > 0"), "some": scan.where("y > 3 AND frame_id % 2 = 0"),
+                              "pixels": to_pixels(scan).where("x > 9")})
+
+
 def expected(spark: SparkSession, d: str) -> DataFrame:
     items = spark.read.parquet(f"{d}/lineitem.parquet").select(
         "l_orderkey",
@@ -238,12 +264,17 @@ def queries() -> dict:
         "f10_pick_best": picked("best", "mp4"),
         "f10_pick_worst": picked("worst", "webm"),
         "f10_pick_720p": picked("720p", "mkv"),
+        "f10_pick_text_ids": picked_by_name,
         "s4_s7_step_names": step_names,
         "s5_frame_name": named_frames,
         "s6_sanitize_name": safe_names,
         "s8_assign_incremental": lambda spark, d: naming.assign_incremental(
             name_requests(spark, d), names_taken(spark, d)
         ),
+        "s8_start_index": lambda spark, d: naming.assign_incremental(
+            name_requests(spark, d), names_taken(spark, d), start_index=5
+        ),
+        "s8_directories": numbered_directories,
         "i1_inventory_size": lambda spark, d: inventory.inventory_size(file_table(spark, d)),
         "i2_check_size": lambda spark, d: inventory.check_size(
             file_table(spark, d), max_size_gb=1.0, strict=False
@@ -254,6 +285,7 @@ def queries() -> dict:
         "x5_compare_missing": compared_pixels,
         "x6_frame_stats": statistics,
         "x7_step_summary": step_summary,
+        "x7_missing_lines": lines_missing,
         "x8_expected_frames": expected,
     }
 
@@ -286,7 +318,7 @@ def _pick(order: str, container: str) -> str:
     return f"""
 WITH {FORMATS}
 SELECT video_id, format_id, height, ext FROM formats
-QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY {order.format(c=container)}, format_id, ext DESC)=1"""
+QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY {order.format(c=container)}, format_id, ext)=1"""
 
 
 def _sanitized(c: str) -> str:
@@ -305,9 +337,9 @@ SELECT id, kind, CASE WHEN s='' THEN 'unnamed' WHEN length(s)<=255 THEN s
   ELSE left(stem,greatest(0,length(stem)+254-length(ext)))||'.'||ext END AS name FROM q"""
 
 
-def _incremental() -> str:
+def _incremental(start: int = 0) -> str:
     """Free numbers are listed per name and dealt out in order."""
-    return """
+    return f"""
 WITH req AS (SELECT source||'.jpg' AS name, source AS stem, doc_id AS order_id FROM documents),
 taken AS (
   SELECT DISTINCT CASE doc_id%3 WHEN 0 THEN source||'.jpg'
@@ -316,7 +348,7 @@ taken AS (
 ranked AS (SELECT r.*, row_number() OVER (PARTITION BY r.name ORDER BY order_id)-1
     -CASE WHEN t.name IS NULL THEN 1 ELSE 0 END AS need
   FROM req r LEFT JOIN taken t ON t.name=r.name),
-cand AS (SELECT name, stem, unnest(range(n+50)) AS i FROM (SELECT name, stem, count(*) AS n FROM req GROUP BY ALL)),
+cand AS (SELECT name, stem, unnest(range({start},n+50+{start})) AS i FROM (SELECT name, stem, count(*) AS n FROM req GROUP BY ALL)),
 free AS (SELECT c.name, printf('%s_%03d.jpg',c.stem,i) AS assigned, row_number() OVER (PARTITION BY c.name ORDER BY i)-1 AS need
   FROM cand c LEFT JOIN taken t ON t.name=printf('%s_%03d.jpg',c.stem,i) WHERE t.name IS NULL)
 SELECT r.name, r.order_id, coalesce(f.assigned, r.name) AS assigned
@@ -380,13 +412,18 @@ SELECT CASE WHEN {key}%5=0 THEN 'unknown' ELSE {key}::VARCHAR END AS video_id,
   CASE WHEN {key}%6<>0 THEN 25.0::DOUBLE END AS fps,
   CASE WHEN {key}%2=0 THEN 'mp4' ELSE 'webm' END AS format,
   CASE WHEN {key}%8<>0 AND {key}%3<>0 THEN ({key}%3*1000)::VARCHAR WHEN {key}%9<>0 THEN ({key}*2)::VARCHAR END AS file_size,
-  NULL::VARCHAR AS thumbnail_url, NULL::VARCHAR AS uploader, strftime(o_orderdate,'%Y%m%d') AS upload_date
+  NULL::VARCHAR AS thumbnail_url, NULL::VARCHAR AS uploader, strftime(o_orderdate,'%Y%m%d') AS upload_date,
+  CASE WHEN {key}%11<>0 THEN '/videos/'||{key}||'.mp4' END AS file_path
 FROM orders""",
         "f10_pick_best": _pick("(ext='{c}') DESC, height DESC", "mp4"),
         "f10_pick_worst": _pick("(ext='{c}') DESC, height", "webm"),
         "f10_pick_720p": _pick(
             f"({within} AND ext='{{c}}') DESC, ({within}) DESC, height DESC", "mkv"
         ),
+        "f10_pick_text_ids": f"""
+WITH {FORMATS}, n AS (SELECT video_id, ext||'-'||(format_id%7)||'p' AS format_id, height%480 AS height, ext FROM formats)
+SELECT video_id, format_id, height, ext FROM n
+QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY (ext='webm') DESC, height DESC, format_id, ext)=1""",
         "s4_s7_step_names": f"""
 SELECT page_id, trim(regexp_replace(url,'[^\\p{{L}}\\p{{N}}_ -]','','g')) AS step,
   'boost_blur_'||{_sanitized('url')}||'.v1_step00_step11.jpg' AS file FROM pages""",
@@ -396,6 +433,14 @@ SELECT event_id, printf('%d_frame_%06d.jpg',video_id,i) AS plain, printf('a_b_%d
   printf('%d_frame_%06d.jpg',video_id,i) AS fallback FROM n""",
         "s6_sanitize_name": _safe_names(),
         "s8_assign_incremental": _incremental(),
+        "s8_start_index": _incremental(5),
+        "s8_directories": """
+WITH req AS (SELECT source||'.d' AS name, doc_id AS order_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)-2 AS need FROM documents),
+taken AS (SELECT DISTINCT printf('%s.d_%03d',source,doc_id%90) AS name FROM documents WHERE doc_id%4=1),
+free AS (SELECT n.name, printf('%s_%03d',n.name,i) AS assigned, row_number() OVER (PARTITION BY n.name ORDER BY i)-1 AS need
+  FROM (SELECT name, unnest(range(3,count(*)+100)) AS i FROM req GROUP BY name) n
+  LEFT JOIN taken t ON t.name=printf('%s_%03d',n.name,i) WHERE t.name IS NULL)
+SELECT r.name, r.order_id, coalesce(f.assigned, r.name) AS assigned FROM req r LEFT JOIN free f ON f.name=r.name AND f.need=r.need""",
         "i1_inventory_size": "SELECT sum(trunc(o_totalprice*1000)::BIGINT)::BIGINT AS bytes, sum(trunc(o_totalprice*1000)::BIGINT)::BIGINT/1073741824.0::DOUBLE AS size_gb FROM orders",
         "i2_check_size": "SELECT b AS bytes, b/1073741824.0::DOUBLE AS size_gb, CASE WHEN b/1073741824.0::DOUBLE>1.0 THEN 0 ELSE 1 END AS within_limit FROM (SELECT sum(trunc(o_totalprice*1000)::BIGINT)::BIGINT AS b FROM orders)",
         "i3_retention": "SELECT '/cache/'||o_orderkey AS path, trunc(o_totalprice*1000)::BIGINT AS length, CASE WHEN o_orderdate<TIMESTAMP '2001-08-01'-INTERVAL 400 DAY THEN 'expire' ELSE 'keep' END AS state FROM orders",
@@ -410,6 +455,8 @@ FROM f, (VALUES ('on_start'),('on_exit'),('manual'),('never')) p(policy), (VALUE
 SELECT frame_id, count(*) AS pixels, count(*) FILTER (r=0 AND g=0 AND b=0) AS black_pixels,
   count(*) FILTER (r=255 AND g=255 AND b=255) AS white_pixels, {stats} FROM gapped GROUP BY frame_id""",
         "x7_step_summary": f"WITH {sql.PX} SELECT k AS step_no, s AS step, (SELECT count(*) FROM fr) AS images FROM (VALUES (0,'source'),(1,'muted'),(2,'squeezed')) t(k,s)",
+        "x7_missing_lines": f"""WITH {sql.PX} SELECT k AS step_no, s AS step,
+  (SELECT count(*) FROM fr WHERE k<>1 OR frame_id%2=0) AS images FROM (VALUES (0,'tail'),(1,'some'),(2,'pixels')) t(k,s)""",
         "x8_expected_frames": """SELECT l_linenumber, count(*) AS segments,
   sum(floor(((l_quantity+l_extendedprice/1000.0::DOUBLE)-l_quantity)/(l_linenumber/8.0::DOUBLE))::BIGINT)::BIGINT AS expected_frames
 FROM lineitem GROUP BY l_linenumber""",

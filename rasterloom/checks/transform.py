@@ -17,7 +17,10 @@ SCHEDULES = ((7, 60, 20, "linear"), (7, 80, 10, "exponential"), (7, 13, 4, "expo
 
 
 def _ycc(df: DataFrame) -> DataFrame:
-    return df.select("frame_id", "y", "x", "yy", "cb", "cr")
+    places = F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x")
+    return df.select("frame_id", "y", places, "yy", "cb", "cr").select(
+        "frame_id", "y", "x", *[F.get(F.col(c), F.col("x")).alias(c) for c in ("yy", "cb", "cr")]
+    )
 
 
 def coefficients(spark: SparkSession, d: str) -> DataFrame:
@@ -32,11 +35,13 @@ def quantised(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _coefficient_rows(made: DataFrame) -> DataFrame:
-    return made.select(
+    rows = made.select("frame_id", F.col("by").alias("block_y"), F.posexplode("v").alias("at", "coefficient"))
+    return rows.select(
         "frame_id",
-        F.col("by").alias("block_y"),
-        F.col("bx").alias("block_x"),
-        F.posexplode("v").alias("place", "coefficient"),
+        "block_y",
+        F.floor(F.col("at") / 64).cast("int").alias("block_x"),
+        (F.col("at") % 64).alias("place"),
+        "coefficient",
     )
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import secrets
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -116,3 +117,37 @@ def state_value(seed: int, label: str, *keys: int) -> int:
 def uniform_value(seed: int, label: str, *keys: int) -> float:
     """The same draw as :func:`uniform`, as a Python float."""
     return state_value(seed, label, *keys) / float(P1)
+
+
+# --- the same draws for arrays of keys -----------------------------------------------------
+
+
+def key_arrays(seed: int | None, frame_id: np.ndarray) -> list[np.ndarray]:
+    """:func:`frame_keys` of an array of frame ids."""
+    if seed is not None:
+        return []
+    frame_id = np.asarray(frame_id, np.int64)
+    high = (frame_id.view(np.uint64) >> np.uint64(31)).astype(np.int64) % P2
+    return [frame_id & 2147483647, high]
+
+
+def state_array(seed: int, label: str, *keys) -> np.ndarray:
+    """:func:`state` for integer arrays that broadcast against each other."""
+    h = np.int64(start(seed, label))
+    for key in keys:
+        h = ((h + np.asarray(key, np.int64)) * A1) % P1
+        h = ((h ^ X1) * B1) % P2
+    return ((h ^ X2) * A2) % P1
+
+
+def uniform_array(seed: int, label: str, *keys) -> np.ndarray:
+    return state_array(seed, label, *keys) / float(P1)
+
+
+def uniform_int_array(seed: int, label: str, lo: int, hi: int, *keys) -> np.ndarray:
+    return lo + np.floor(uniform_array(seed, label, *keys) * (hi - lo)).astype(np.int64)
+
+
+def normal_array(seed: int, label: str, *keys) -> np.ndarray:
+    u1 = (state_array(seed, label, *keys, 0) + 1) / float(P1)
+    return np.sqrt(-2.0 * np.log(u1)) * np.cos(6.283185307179586 * uniform_array(seed, label, *keys, 1))

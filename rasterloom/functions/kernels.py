@@ -55,6 +55,12 @@ def disc(radius: int) -> list[Tap]:
     return [(dy, dx, 1) for dy in side for dx in side if dy * dy + dx * dx <= radius * radius]
 
 
+def disc_runs(radius: int) -> list[tuple[int, int, int, int]]:
+    """The same as rows of neighbouring offsets: ``(dy, first dx, last dx, 1)``."""
+    halves = [(dy, math.isqrt(radius * radius - dy * dy)) for dy in range(-radius, radius + 1)]
+    return [(dy, -half, half, 1) for dy, half in halves]
+
+
 def motion(size: int, angle: float) -> list[Tap]:
     """A centred line of ``size`` taps, turned about the kernel's centre by bilinear sampling.
 

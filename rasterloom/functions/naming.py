@@ -135,15 +135,23 @@ def frame_name(
 
 
 def assign_incremental(
-    requests: DataFrame, existing: DataFrame, name: str = "name", order: str = "order_id"
+    requests: DataFrame,
+    existing: DataFrame,
+    name: str = "name",
+    order: str = "order_id",
+    start_index: int = 0,
+    directories: bool = False,
 ) -> DataFrame:
     """Give each request a free name: its own, else with ``_000``, ``_001``, ... before the suffix.
 
+    Numbers begin at ``start_index``. ``directories`` have no suffix: the number ends the name.
+
     ``order`` is a non-negative integer; earlier requests choose first. Names in ``existing`` and
     names that are themselves requested are not free for numbering. Requests of one name are
     counted in pieces of 65 536 order values, so one very common name does not become one task.
     """
-    suffix = F.regexp_extract(name, r"^.+(\.[^.]+)$", 1)
+    suffix = F.lit("") if directories else F.regexp_extract(name, r"^.+(\.[^.]+)$", 1)
+    shape = r"^(.+)_(\d{3,})()$" if directories else r"^(.+)_(\d{3,})(\.[^.]+)?$"
     stem = F.substring(F.col(name), F.lit(1), F.length(name) - F.length(suffix))
     asked = requests.withColumns({"_stem": stem, "_suffix": suffix})
     ranked = number_within(asked, [name], [order], F.floor(F.col(order) / 65536).cast("long"), "_rank")
@@ -156,9 +164,9 @@ def assign_incremental(
         .withColumn("_need", F.col("_rank") + F.col("_held") - 1)
     )
     numbered = taken.select(
-        F.regexp_extract(name, r"^(.+)_(\d{3,})(\.[^.]+)?$", 1).alias("_stem"),
-        F.regexp_extract(name, r"^(.+)_(\d{3,})(\.[^.]+)?$", 2).alias("_digits"),
-        F.regexp_extract(name, r"^(.+)_(\d{3,})(\.[^.]+)?$", 3).alias("_suffix"),
+        F.regexp_extract(name, shape, 1).alias("_stem"),
+        F.regexp_extract(name, shape, 2).alias("_digits"),
+        F.regexp_extract(name, shape, 3).alias("_suffix"),
     ).where("_digits <> '' and length(_digits) < 18")
     used = numbered.select(
         F.concat("_stem", "_suffix").alias(name), F.col("_digits").cast("long").alias("_index"), "_digits"
@@ -168,8 +176,8 @@ def assign_incremental(
     uses = used.groupBy(name).agg(F.count("*").alias("_used"))
     candidates = explode_range(
         per_name.join(uses, name, "left").where("_most >= 0"),
-        F.lit(0),
-        F.col("_most") + F.coalesce(F.col("_used"), F.lit(0)),
+        F.lit(start_index),
+        F.col("_most") + F.coalesce(F.col("_used"), F.lit(0)) + start_index,
         "_index",
     ).select(name, "_index")
     free = number_within(

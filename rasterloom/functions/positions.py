@@ -32,12 +32,14 @@ def number_within(
 def explode_range(
     df: DataFrame, first: Column, last: Column, name: str, chunk: int = 65536
 ) -> DataFrame:
-    """One row per integer ``first..last``, in chunks so that no single array is large."""
+    """One row per integer ``first..last``, in chunks that are dealt to all tasks: neither a large array
+    nor a row with a large range is one task's work."""
     step = F.lit(chunk).cast("long")
     return (
         df.withColumns({"_lo": first.cast("long"), "_hi": last.cast("long")})
         .where("_lo <= _hi")
         .withColumn("_at", F.explode(F.sequence("_lo", F.greatest("_lo", "_hi"), step)))
+        .repartition("_at", *df.columns)
         .withColumn(name, F.explode(F.sequence("_at", F.least(F.col("_at") + step - 1, F.col("_hi")))))
         .drop("_lo", "_hi", "_at")
     )

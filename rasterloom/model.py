@@ -19,8 +19,6 @@ from rasterloom.functions.binding import let
 
 COLOUR = ("r", "g", "b")
 KEYS = ("frame_id", "height", "width", "y")
-MAX_SIDE = 65535  # largest image side the model accepts; bounds every per-line table
-BROADCAST_ROWS = 1_000_000  # largest table, in rows, that is sent to every executor
 
 BandFn = Callable[[dict[str, Column]], dict[str, Column]]
 
@@ -129,29 +127,6 @@ def frames_of(df: DataFrame) -> DataFrame:
     return df.select("frame_id", "height", "width").distinct()
 
 
-def sizes_of(df: DataFrame) -> DataFrame:
-    """Distinct frame sizes present in the table."""
-    return df.select("height", "width").distinct()
-
-
-def checked_side(side: str) -> Column:
-    """A frame side, with an error beyond the largest the model accepts."""
-    message = F.concat(F.lit(f"{side} is above {MAX_SIDE}: "), F.col(side).cast("string"))
-    return F.when(F.col(side) <= MAX_SIDE, F.col(side)).otherwise(
-        F.raise_error(message).cast("int")
-    )
-
-
-def broadcast_per_size(table: DataFrame, frames: DataFrame, rows_per_size: int = 1) -> DataFrame:
-    """Broadcast a per-size table once the number of distinct sizes is known to be small.
-
-    Beyond the limit the table joins by shuffle, where adaptive execution splits hot sizes.
-    """
-    most = BROADCAST_ROWS // rows_per_size
-    sizes = sizes_of(frames).limit(most + 1).count()
-    return F.broadcast(table) if sizes <= most else table
-
-
 def check_range(name: str, value, lo, hi) -> None:
     if isinstance(value, bool) or not isinstance(value, (int, float)) or not lo <= value <= hi:
         raise ValueError(f"{name} must be a number between {lo} and {hi}, got {value!r}")

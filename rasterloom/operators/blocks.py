@@ -13,21 +13,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rasterloom.functions import draws
 from rasterloom.functions.binding import int_array
 from rasterloom.model import (
     KEYS,
+    all_bands,
     check_choice,
     check_range,
     clip_byte,
-    is_grey,
-    to_pixels,
+    is_scanlines,
     to_scanlines,
     value_bands,
 )
+from rasterloom.operators.passes import AreaKernel, Kernel, LineKernel, Lines, apply
 from rasterloom.operators.pixelwise import gamma_table
-from rasterloom.operators.strips import Planes, Strip, list_column, map_strips, with_halo
+from rasterloom.operators.strips import Planes, Strip, list_column, planes_of
 from rasterloom.operators.tiles import TILE_SIZE_RANGE, check_tiles, tile_geometry
 
 # The standard luminance and chrominance quantisation tables, row by row.
@@ -79,122 +81,163 @@ def check_quality(name: str, value, lo: int = 1, hi: int = 100) -> None:
     check_range(name, value, lo, hi)
 
 
-# --- colour space, as column expressions -------------------------------------------------
+# --- colour space ------------------------------------------------------------------------
 
 
 def to_ycbcr(df: DataFrame) -> DataFrame:
-    """Colour pixels to ``yy, cb, cr`` in 16-bit fixed point (alpha dropped)."""
-    r, g, b = F.col("r"), F.col("g"), F.col("b")
+    """Colour to ``yy, cb, cr`` in 16-bit fixed point (alpha dropped), in the layout given."""
     half = (128 << 16) + 32767
-    return to_pixels(df).select(
-        *KEYS,
-        "x",
-        F.shiftright(r * 19595 + g * 38470 + b * 7471 + 32768, 16).cast("int").alias("yy"),
-        F.shiftright(r * -11059 - g * 21709 + b * 32768 + half, 16).cast("int").alias("cb"),
-        F.shiftright(r * 32768 - g * 27439 - b * 5329 + half, 16).cast("int").alias("cr"),
-    )
+    weights = {
+        "yy": (19595, 38470, 7471, 32768), "cb": (-11059, -21709, 32768, half), "cr": (32768, -27439, -5329, half)
+    }
+    if not is_scanlines(df):
+        r, g, b = F.col("r"), F.col("g"), F.col("b")
+        made = [
+            F.shiftright(r * k[0] + g * k[1] + b * k[2] + k[3], 16).cast("int").alias(n) for n, k in weights.items()
+        ]
+        return df.select(*KEYS, "x", *made)
+
+    def band(k: tuple[int, int, int, int]) -> Column:
+        red_green = F.zip_with("r", "g", lambda r, g: r * k[0] + g * k[1] + k[3])
+        return F.zip_with(red_green, "b", lambda s, b: F.shiftright(s + b * k[2], 16).cast("int"))
+
+    return df.select(*KEYS, *[band(k).alias(n) for n, k in weights.items()])
 
 
 def to_rgb(df: DataFrame) -> DataFrame:
-    """``yy, cb, cr`` pixels back to clipped ``r, g, b``."""
-    y, cb, cr = F.col("yy"), F.col("cb") - 128, F.col("cr") - 128
+    """``yy, cb, cr`` back to clipped ``r, g, b``, in the layout given."""
+
+    def red(y: Column, cr: Column) -> Column:
+        return y + F.shiftright((cr - 128) * 91881 + 32768, 16)
+
+    def blue(y: Column, cb: Column) -> Column:
+        return y + F.shiftright((cb - 128) * 116130 + 32768, 16)
+
+    def green(y: Column, chroma: Column) -> Column:
+        return y - F.shiftright(chroma + 32768, 16)
+
+    def chroma(cb: Column, cr: Column) -> Column:
+        return (cb - 128) * 22554 + (cr - 128) * 46802
+
+    def byte(c: Column) -> Column:
+        return clip_byte(c).cast("int")
+
+    if isinstance(df.schema["yy"].dataType, T.IntegerType):
+        y, cb, cr = F.col("yy"), F.col("cb"), F.col("cr")
+        made = [byte(red(y, cr)), byte(green(y, chroma(cb, cr))), byte(blue(y, cb))]
+        return df.select(*KEYS, "x", *[c.alias(b) for c, b in zip(made, "rgb")])
     return df.select(
         *KEYS,
-        "x",
-        clip_byte(y + F.shiftright(cr * 91881 + 32768, 16)).cast("int").alias("r"),
-        clip_byte(y - F.shiftright(cb * 22554 + cr * 46802 + 32768, 16)).cast("int").alias("g"),
-        clip_byte(y + F.shiftright(cb * 116130 + 32768, 16)).cast("int").alias("b"),
+        F.zip_with("yy", "cr", lambda y, c: byte(red(y, c))).alias("r"),
+        F.zip_with("yy", F.zip_with("cb", "cr", chroma), lambda y, c: byte(green(y, c))).alias("g"),
+        F.zip_with("yy", "cb", lambda y, c: byte(blue(y, c))).alias("b"),
     )
 
 
+def cell_means(plane: np.ndarray, tall: int, broad: int) -> np.ndarray:
+    """Mean of each cell, half rounded up; cells at the rim may be smaller."""
+    rows, columns = np.arange(0, plane.shape[0], tall), np.arange(0, plane.shape[1], broad)
+    total = np.add.reduceat(np.add.reduceat(plane, rows, axis=0), columns, axis=1)
+    count = np.diff([*rows, plane.shape[0]])[:, None] * np.diff([*columns, plane.shape[1]])[None, :]
+    return (total + count // 2) // count
+
+
 def subsample_chroma(df: DataFrame, subsampling: int = 2) -> DataFrame:
-    """Replace ``cb`` and ``cr`` by their mean over 1x1, 1x2 or 2x2 cells (half rounds up).
+    """Replace ``cb`` and ``cr`` of scanlines by their mean over 1x1, 1x2 or 2x2 cells.
 
-    A group is one cell, at most four pixels.
+    Half rounds up. Cells of one line need no shuffle; cells of two lines meet in strips.
     """
     check_choice("subsampling", subsampling, tuple(CELLS))
-    down, across = CELLS[subsampling]
-    if down * across == 1:
+    tall, broad = CELLS[subsampling]
+    if tall * broad == 1:
         return df
-    n = F.count("*")
-    cell = df.groupBy(
-        "frame_id",
-        "height",
-        "width",
-        F.floor(F.col("y") / down).alias("cy"),
-        F.floor(F.col("x") / across).alias("cx"),
-    ).agg(
-        F.collect_list(F.struct("y", "x", "yy")).alias("members"),
-        *[F.floor((F.sum(c) + F.floor(n / 2)) / n).cast("int").alias(c) for c in ("cb", "cr")],
-    )
-    return cell.select("frame_id", "height", "width", F.explode("members").alias("m"), "cb", "cr").select(
-        "frame_id", "height", "width", "m.y", "m.x", "m.yy", "cb", "cr"
-    )
+    names = {"yy": "r", "cb": "g", "cr": "b"}
+
+    def run(planes: Planes, strip: Strip) -> Planes:
+        done = {"r": planes["r"]}
+        for band in "gb":
+            mean = cell_means(planes[band], tall, broad)
+            done[band] = mean.repeat(tall, 0)[: strip.rows].repeat(broad, 1)[:, : strip.width]
+        return done
+
+    def lines(planes: Planes, at: Lines) -> Planes:
+        return run(planes, Strip(0, len(at.y), 0, at.height, at.width))
+
+    chain: list[Kernel] = [AreaKernel(run, align=tall) if tall > 1 else LineKernel(lines)]
+    renamed = df.select(*KEYS, *[F.col(c).alias(b) for c, b in names.items()])
+    made = apply(renamed, chain)
+    return made.select(*KEYS, *[F.col(b).alias(c) for c, b in names.items()])
 
 
-# --- 8x8 blocks as rows ------------------------------------------------------------------
+# --- rows of 8x8 blocks --------------------------------------------------------------------
 
 
 def to_blocks(df: DataFrame, partial: str = "pad") -> DataFrame:
-    """Scanlines to rows of ``frame_id, height, width, by, bx, <band> ARRAY<BIGINT>[64]``.
+    """Scanlines to rows of blocks: ``frame_id, height, width, by, <band> ARRAY<BIGINT>``.
 
-    Partial blocks at the right and bottom repeat the last column and line (``pad``) or are
-    left out (``skip``). A group is the eight line pieces of one block.
+    A row holds the blocks of eight lines, 64 values each, from left to right. Partial blocks at the
+    right and bottom repeat the last column and line (``pad``) or are left out (``skip``). The
+    eight lines of a row meet in one shuffle.
     """
     check_choice("partial", partial, ("pad", "skip"))
     scan = to_scanlines(df)
     bands = value_bands(scan)
-    if partial == "pad":
-        across, down = (F.ceil(F.col(s) / 8).cast("int") for s in ("width", "height"))
-    else:
-        across, down = (F.floor(F.col(s) / 8).cast("int") for s in ("width", "height"))
-    copies = F.when(
-        F.col("y") == F.col("height") - 1, F.sequence(F.col("y"), F.greatest(F.col("y"), down * 8 - 1))
-    ).otherwise(F.array("y"))
-    padded = {
-        b: F.concat(
-            F.col(b),
-            F.array_repeat(F.element_at(F.col(b), -1), F.greatest(F.lit(0), across * 8 - F.col("width"))),
-        )
-        for b in bands
-    }
-    pieces = (
-        scan.withColumns(padded)
-        .withColumn("py", F.explode(copies))
-        .where((F.col("py") < down * 8) & (across > 0))
-        .withColumn("bx", F.explode(F.sequence(F.lit(0), across - 1)))
-        .select(
-            "frame_id", "height", "width",
-            F.floor(F.col("py") / 8).cast("int").alias("by"),
-            "bx",
-            (F.col("py") % 8).alias("row"),
-            *[F.slice(b, F.col("bx") * 8 + 1, 8).alias(b) for b in bands],
-        )
-    )
-    rows = F.sort_array(F.collect_list(F.struct("row", *bands))).alias("rows")
-    return pieces.groupBy("frame_id", "height", "width", "by", "bx").agg(rows).select(
-        "frame_id", "height", "width", "by", "bx",
-        *[F.flatten(F.col("rows")[b]).cast("array<bigint>").alias(b) for b in bands],
+
+    def run(table: pa.Table) -> pa.Table:
+        one = {c: table.column(c)[0].as_py() for c in ("frame_id", "height", "width", "by")}
+        height, width = one["height"], one["width"]
+        order = np.argsort(table.column("y").to_numpy(), kind="stable")
+        y = table.column("y").to_numpy()[order]
+        first = 8 * one["by"]
+        if not np.array_equal(y, np.arange(first, min(first + 8, height))):
+            raise ValueError(f"a frame must have each of its lines exactly once: frame {one['frame_id']}")
+        planes = planes_of(table, bands, order)
+        if partial == "skip":
+            keep = len(y) == 8 and width >= 8
+            planes = {b: p[:, : width - width % 8] if keep else p[:0, :0] for b, p in planes.items()}
+        else:
+            planes = {b: np.pad(p, ((0, 8 - len(y)), (0, -width % 8)), mode="edge") for b, p in planes.items()}
+        if not planes[bands[0]].size:
+            return pa.table({f.name: pa.array([], f.type) for f in arrow})
+        flat = {b: p.reshape(8, -1, 8).transpose(1, 0, 2).reshape(1, -1) for b, p in planes.items()}
+        offsets = pa.array([0, flat[bands[0]].size], pa.int32())
+        columns = {c: pa.array([one[c]], arrow.field(c).type) for c in ("frame_id", "height", "width", "by")}
+        columns |= {b: pa.ListArray.from_arrays(offsets, pa.array(f[0].astype(np.int64))) for b, f in flat.items()}
+        return pa.table(columns)
+
+    arrow = pa.schema(
+        [("frame_id", pa.int64()), ("height", pa.int32()), ("width", pa.int32()), ("by", pa.int32())]
+        + [(b, pa.list_(pa.int64())) for b in bands]
     )
+    schema = "frame_id long, height int, width int, by int, " + ", ".join(f"{b} array<bigint>" for b in bands)
+    rows = scan.select(*KEYS, F.floor(F.col("y") / 8).cast("int").alias("by"), *bands)
+    return rows.groupBy("frame_id", "by").applyInArrow(run, schema)
 
 
 def from_blocks(blocks: DataFrame) -> DataFrame:
-    """Block rows back to scanlines, padding dropped. A group is the pieces of one line."""
+    """Rows of blocks back to scanlines, padding dropped; each row gives its eight lines."""
     bands = value_bands(blocks)
-    pieces = blocks.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(7)))).select(
-        "frame_id", "height", "width",
-        (F.col("by") * 8 + F.col("row")).cast("int").alias("y"),
-        "bx",
-        *[F.slice(b, F.col("row") * 8 + 1, 8).alias(b) for b in bands],
-    )
-    line = F.sort_array(F.collect_list(F.struct("bx", *bands))).alias("line")
-    return pieces.where("y < height").groupBy(*KEYS).agg(line).select(
-        *KEYS,
-        *[
-            F.slice(F.flatten(F.col("line")[b]), 1, F.col("width")).cast("array<int>").alias(b)
-            for b in bands
-        ],
-    )
+    schema = "frame_id long, height int, width int, y int, " + ", ".join(f"{b} array<int>" for b in bands)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = {c: batch.column(c)[i].as_py() for c in ("frame_id", "height", "width", "by")}
+                first = 8 * one["by"]
+                n = min(8, one["height"] - first)
+                columns = {
+                    "frame_id": pa.array(np.full(n, one["frame_id"], np.int64)),
+                    "height": pa.array(np.full(n, one["height"], np.int32)),
+                    "width": pa.array(np.full(n, one["width"], np.int32)),
+                    "y": pa.array(np.arange(first, first + n, dtype=np.int32)),
+                }
+                for b in bands:
+                    flat = batch.column(b)[i].values.to_numpy()
+                    plane = flat.reshape(-1, 8, 8).transpose(1, 0, 2).reshape(8, -1)
+                    columns[b] = list_column(plane[:n, : one["width"]])
+                yield from pa.table(columns).to_batches()
+
+    return blocks.mapInArrow(run, schema)
 
 
 def _map_blocks(blocks: DataFrame, fn) -> DataFrame:
@@ -205,10 +248,11 @@ def _map_blocks(blocks: DataFrame, fn) -> DataFrame:
         for batch in batches:
             table = pa.table(batch)
             for b in bands:
-                flat = table.column(b).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-                done = fn(flat.astype(np.int64).reshape(-1, 8, 8)).reshape(-1, 64)
-                offsets = pa.array(np.arange(len(done) + 1, dtype=np.int32) * 64)
-                column = pa.ListArray.from_arrays(offsets, pa.array(done.ravel()))
+                lists = table.column(b).combine_chunks()
+                lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+                done = fn(lists.flatten().to_numpy().astype(np.int64).reshape(-1, 8, 8)).ravel()
+                offsets = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int32)
+                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(done))
                 table = table.set_column(table.schema.get_field_index(b), b, column)
             yield from table.to_batches()
 
@@ -225,12 +269,13 @@ def quantize(blocks: DataFrame, quality: int, chroma: bool = False) -> DataFrame
     check_quality("quality", quality)
     table = int_array(quantisers(quality, chroma)).cast("array<bigint>")
 
-    def nearest(c: Column, q: Column) -> Column:
+    def nearest(c: Column, place: Column) -> Column:
+        q = F.get(table, place % 64)
         level = F.floor((F.abs(c) + q * 4096) / (q * 8192)).cast("long")
         return F.when(c < 0, -level).otherwise(level) * q * 8192
 
     kept = [c for c in blocks.columns if c not in value_bands(blocks)]
-    return blocks.select(*kept, *[F.zip_with(b, table, nearest).alias(b) for b in value_bands(blocks)])
+    return blocks.select(*kept, *[F.transform(b, nearest).alias(b) for b in value_bands(blocks)])
 
 
 def block_idct(blocks: DataFrame) -> DataFrame:
@@ -309,30 +354,29 @@ def codec_round_trip(
 
 
 def _generations(
-    df: DataFrame, qualities: list[int], subsampling: int, gamma: float | None, partial: str
-) -> DataFrame:
-    scan = to_scanlines(df).drop("a")
-    bands = value_bands(scan)
+    qualities: list[int], subsampling: int, gamma: float | None = None, partial: str = "pad"
+) -> AreaKernel:
+    """All generations on strips of whole 16-line bands; alpha is dropped."""
     tone = np.array(gamma_table(gamma), dtype=np.int64) if gamma else None
 
     def run(planes: Planes, strip: Strip) -> Planes:
-        work = [planes[b] if tone is None else tone[planes[b]] for b in bands]
+        bands = [b for b in planes if b != "a"]
+        work = [planes[b].astype(np.int64) if tone is None else tone[planes[b]] for b in bands]
         for quality in qualities:
             work = codec_round_trip(work, quality, subsampling, partial)
         return dict(zip(bands, work))
 
-    return map_strips(with_halo(scan, 0, 0, mirror=False, multiple=16), run)
+    return AreaKernel(run, align=16, bands=lambda bands: [b for b in bands if b != "a"])
 
 
-def compression(
-    df: DataFrame,
+def compression_chain(
+    bands: list[str],
     quality: int,
     subsampling: int = 2,
     optimize: bool = True,
     gamma: float | None = None,
     partial: str = "pad",
-) -> DataFrame:
-    """One lossy generation after an optional tone curve. ``optimize`` never changes a pixel."""
+) -> list[Kernel]:
     check_quality("quality", quality)
     check_choice("subsampling", subsampling, tuple(CELLS))
     check_choice("partial", partial, ("pad", "skip"))
@@ -340,7 +384,19 @@ def compression(
         raise ValueError("optimize must be true or false")
     if gamma is not None and (isinstance(gamma, bool) or not isinstance(gamma, (int, float)) or gamma <= 0):
         raise ValueError("gamma must be a positive number")
-    return _generations(df, [quality], subsampling, gamma, partial)
+    return [_generations([quality], subsampling, gamma, partial)]
+
+
+def compression(
+    df: DataFrame,
+    quality: int,
+    subsampling: int = 2,
+    optimize: bool = True,
+    gamma: float | None = None,
+    partial: str = "pad",
+) -> DataFrame:
+    """One lossy generation after an optional tone curve. ``optimize`` never changes a pixel."""
+    return apply(df, compression_chain(all_bands(df), quality, subsampling, optimize, gamma, partial))
 
 
 def quality_schedule(
@@ -368,6 +424,18 @@ def quality_schedule(
     return [max(1, int(quality_start * math.exp(rate * s))) for s in steps]
 
 
+def multi_compress_chain(
+    bands: list[str],
+    iterations: int,
+    quality_start: int,
+    quality_end: int | None = None,
+    decay: str = "fixed",
+    subsampling: int = 2,
+) -> list[Kernel]:
+    check_choice("subsampling", subsampling, tuple(CELLS))
+    return [_generations(quality_schedule(iterations, quality_start, quality_end, decay), subsampling)]
+
+
 def multi_compress(
     df: DataFrame,
     iterations: int,
@@ -377,39 +445,32 @@ def multi_compress(
     subsampling: int = 2,
 ) -> DataFrame:
     """Chained lossy generations, all inside one pass over the strips."""
-    check_choice("subsampling", subsampling, tuple(CELLS))
-    qualities = quality_schedule(iterations, quality_start, quality_end, decay)
-    return _generations(df, qualities, subsampling, None, "pad")
+    return apply(
+        df, multi_compress_chain(all_bands(df), iterations, quality_start, quality_end, decay, subsampling)
+    )
 
 
-def compression_artifact(
-    df: DataFrame,
+def compression_artifact_chain(
+    bands: list[str],
     tile_count: int,
     quality: int,
     tile_size_range: tuple[float, float] = TILE_SIZE_RANGE,
     seed: int | None = None,
     partial: str = "pad",
-) -> DataFrame:
-    """Compress random tiles, each on its own block grid, in order; later tiles see earlier ones.
-
-    A tile's 16-line bands are independent, so an error at a strip's rim can travel at most 15
-    lines per overlapping tile. A halo of 16 lines per tile therefore makes every strip exact.
-    ``skip`` leaves partial blocks alone and does not subsample chroma.
-    """
+) -> list[Kernel]:
     lo, hi = check_tiles(tile_count, 30, tile_size_range)
     check_quality("quality", quality, 1, 20)
     check_choice("partial", partial, ("pad", "skip"))
     base = draws.fresh_seed(seed)
-    scan = to_scanlines(df)
-    bands = value_bands(scan)
-    grey = is_grey(scan)
     reach = 16 * tile_count
 
-    def run(planes: Planes, strip: Strip, frame_id: int) -> Planes:
-        start = draws.start(base, f"frame {frame_id}") if seed is None else base
-        work = [planes[b].copy() for b in bands]
-        lines = work[0].shape[0]
-        begin = strip.first - strip.top
+    def run(planes: Planes, strip: Strip) -> Planes:
+        start = draws.start(base, f"frame {strip.frame_id}") if seed is None else base
+        begin = max(0, strip.first - strip.top)
+        above = begin - (strip.first - strip.top)
+        lines = min(strip.height, strip.first + strip.rows + strip.top) - begin
+        bands = [b for b in planes if b != "a"]
+        work = [planes[b][above : above + lines].copy() for b in bands]
         for y0, x0, th, tw in tile_geometry(strip.height, strip.width, tile_count, lo, hi, start):
             # The tile's bands that lie wholly inside the lines at hand.
             top = max(0, -(-(begin - y0) // 16) * 16)
@@ -418,13 +479,33 @@ def compression_artifact(
                 continue
             part = (slice(y0 + top - begin, y0 + end - begin), slice(x0, x0 + tw))
             source = [p[part] for p in work]
+            grey = len(bands) == 1
             done = codec_round_trip(
                 source * 3 if grey else source, quality, 0 if partial == "skip" else 2, partial
             )
             for p, new in zip(work, done):
                 p[part] = new
-        own = slice(strip.top, strip.top + strip.rows)
+        own = slice(strip.first - begin, strip.first - begin + strip.rows)
         done = {b: p[own] for b, p in zip(bands, work)}
-        return done | ({"a": planes["a"][own]} if "a" in planes else {})
+        return done | ({"a": planes["a"][strip.top : strip.top + strip.rows]} if "a" in planes else {})
+
+    return [AreaKernel(run, reach, reach)]
+
 
-    return map_strips(with_halo(scan, reach, reach, mirror=False), run, with_frame=True)
+def compression_artifact(
+    df: DataFrame,
+    tile_count: int,
+    quality: int,
+    tile_size_range: tuple[float, float] = TILE_SIZE_RANGE,
+    seed: int | None = None,
+    partial: str = "pad",
+) -> DataFrame:
+    """Compress random tiles, each on its own block grid, in order; later tiles see earlier ones.
+
+    A tile's 16-line bands are independent, so an error at a strip's rim can travel at most 15
+    lines per overlapping tile. A halo of 16 lines per tile therefore makes every strip exact.
+    ``skip`` leaves partial blocks alone and does not subsample chroma.
+    """
+    return apply(
+        df, compression_artifact_chain(all_bands(df), tile_count, quality, tile_size_range, seed, partial)
+    )

@@ -147,6 +147,7 @@ def normalize_videos(raw: DataFrame, default_format: str = "mp4") -> DataFrame:
         F.coalesce(field("ext"), F.lit(default_format)).alias("format"),
         F.coalesce(F.nullif(field("filesize"), F.lit(0).cast("long")), field("filesize_approx"))
         .alias("file_size"),
+        field("file_path").alias("file_path"),
         field("thumbnail").alias("thumbnail_url"),
         field("uploader").alias("uploader"),
         field("upload_date").alias("upload_date"),
@@ -157,23 +158,24 @@ def pick_format(formats: DataFrame, quality: str = "best", container: str = "mp4
     """The format to download per video: ``best``, ``worst`` or a height such as ``720p``.
 
     A format that fits the height and the container is preferred, then one that fits the
-    height, then any. ``formats`` has ``video_id, format_id, height, ext``; ties go to the
-    smaller ``format_id``. One aggregate per video, combined before the shuffle.
+    height, then any. ``formats`` has ``video_id, format_id, height, ext``; ids are numbers or
+    text, ties go to the smaller one, and an unknown height comes last. One aggregate per video,
+    combined before the shuffle.
     """
     match = re.fullmatch(r"(\d+)p", quality)
-    fits = F.col("ext") == container
-    low_first = quality == "worst"
-    tier = fits.cast("int")
+    fits = F.coalesce(F.col("ext") == container, F.lit(False))
+    tier = F.when(fits, F.lit(0)).otherwise(F.lit(1))
     if match:
-        within = F.col("height") <= int(match.group(1))
-        tier = F.when(within & fits, F.lit(2)).when(within, F.lit(1)).otherwise(F.lit(0))
+        within = F.coalesce(F.col("height") <= int(match.group(1)), F.lit(False))
+        tier = F.when(within & fits, F.lit(0)).when(within, F.lit(1)).otherwise(F.lit(2))
+    size = F.col("height").cast("long")
     key = F.struct(
         tier.alias("tier"),
-        (-F.col("height") if low_first else F.col("height")).alias("rank"),
-        (-F.col("format_id")).alias("tie"),
+        F.coalesce(size if quality == "worst" else -size, F.lit((1 << 63) - 1)).alias("rank"),
+        F.col("format_id"),
         F.col("ext"),
         F.col("height"),
     )
-    return formats.groupBy("video_id").agg(F.max(key).alias("k")).select(
-        "video_id", (-F.col("k.tie")).alias("format_id"), "k.height", "k.ext"
+    return formats.groupBy("video_id").agg(F.min(key).alias("k")).select(
+        "video_id", "k.format_id", "k.height", "k.ext"
     )

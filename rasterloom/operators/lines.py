@@ -2,25 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions import draws
-from rasterloom.model import (
-    KEYS,
-    all_bands,
-    check_choice,
-    check_range,
-    checked_side,
-    clip_byte,
-    frames_of,
-    is_grey,
-    is_scanlines,
-    map_bands,
-    to_pixels,
-    to_scanlines,
-    value_bands,
-)
+from rasterloom.model import all_bands, check_choice, check_range, is_scanlines, value_bands
+from rasterloom.operators.passes import Kernel, LineKernel, Lines, apply
+from rasterloom.operators.strips import Planes
 
 # Fixed values.
 GAP_DRIFT = 0.3  # sideways drift of a scan-line gap, in pixels per row
@@ -28,68 +17,51 @@ FILL_SPREAD = 5  # a mean fill varies by -5..5
 STRIPE_SPREAD = 0.2  # a stripe's gain is within 1 +- 0.2*strength
 
 
-def _line_rank(base: int, per_frame: list[str], line: str) -> Column:
-    """Unique sort key of a line: its draw, then its number (MAX_SIDE < 2**16)."""
-    return F.shiftleft(draws.state(base, "stripe_pick", *per_frame, line), 16) + F.col(line)
+def stripes(side: int, density: float, spread: float, base: int, frame: list[int]) -> np.ndarray:
+    """16-bit gain of each line of an image side; the ``int(density*side)`` least draws are striped."""
+    line = np.arange(side)
+    drawn = draws.state_array(base, "stripe_pick", *frame, line)
+    picked = np.lexsort((line, drawn))[: int(density * side)]
+    gains = np.full(side, 65536, np.int64)
+    u = draws.uniform_array(base, "stripe_gain", *frame, picked)
+    gains[picked] = np.floor(((1.0 - spread) + u * (2.0 * spread)) * 65536.0).astype(np.int64)
+    return gains
 
 
-def stripe_cutoffs(
-    frames: DataFrame, side: str, density: float, base: int, per_frame: list[str]
-) -> DataFrame:
-    """The rank below which exactly ``int(density*side)`` lines fall.
+def corduroy_chain(
+    bands: list[str], strength: float, orientation: str, density: float, seed: int | None = None
+) -> list[Kernel]:
+    check_range("strength", strength, 0.0, 1.0)
+    check_choice("orientation", orientation, ("vertical", "horizontal"))
+    check_range("density", density, 0.0, 1.0)
+    if strength == 0 or density == 0:
+        return []
+    base, spread = draws.fresh_seed(seed), STRIPE_SPREAD * strength
 
-    Without per-frame keys there is one row per distinct side length, so at most MAX_SIDE rows.
-    The ranked group is the lines of one image side: also at most MAX_SIDE.
-    """
-    keys = [side] + (["frame_id"] if per_frame else [])
-    lines = (
-        frames.select(*keys)
-        .distinct()
-        .withColumn(side, checked_side(side))
-        .withColumn("picked", (F.lit(float(density)) * F.col(side)).cast("int"))
-        .withColumn("line", F.explode(F.sequence(F.lit(0), F.col(side) - 1)))
-        .select(*keys, "picked", _line_rank(base, per_frame, "line").alias("cutoff"))
-    )
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("cutoff"))
-    return lines.withColumn("nth", nth).where("nth = picked").select(*keys, "cutoff")
+    def run(planes: Planes, lines: Lines) -> Planes:
+        side = lines.width if orientation == "vertical" else lines.height
+        keys = draws.key_arrays(seed, lines.frame_id)
+        ids, place = np.unique(lines.frame_id, return_inverse=True) if keys else ([0], np.zeros(len(lines.y), int))
+        first = [int(np.flatnonzero(place == i)[0]) for i in range(len(ids))] if keys else [0]
+        gains = np.stack([stripes(side, density, spread, base, [int(k[f]) for k in keys]) for f in first])
+        gain = gains[place] if orientation == "vertical" else gains[place, lines.y][:, None]
+        return {
+            b: p if b == "a" else np.minimum(255, np.rint(p * gain / 65536.0)).astype(np.int32)
+            for b, p in planes.items()
+        }
+
+    return [LineKernel(run)]
 
 
 def corduroy(
-    df: DataFrame,
-    strength: float,
-    orientation: str,
-    density: float,
-    seed: int | None = None,
-    frames: DataFrame | None = None,
+    df: DataFrame, strength: float, orientation: str, density: float, seed: int | None = None
 ) -> DataFrame:
     """Multiply ``int(density*lines)`` random columns (vertical) or rows by 1 +- 0.2*strength.
 
-    ``frames`` (``frame_id, height, width``) saves a pass over the raster to learn its sizes.
+    Which lines of a side are striped depends on its length (without a seed also on the frame), so
+    every batch of lines works it out by itself.
     """
-    check_range("strength", strength, 0.0, 1.0)
-    check_choice("orientation", orientation, ("vertical", "horizontal"))
-    check_range("density", density, 0.0, 1.0)
-    if strength == 0 or density == 0:
-        return df
-    side, line = ("width", "x") if orientation == "vertical" else ("height", "y")
-    frames = frames_of(df) if frames is None else frames
-    base, per_frame = draws.fresh_seed(seed), draws.frame_keys(seed)
-    cutoffs = stripe_cutoffs(frames, side, density, base, per_frame)
-    if not per_frame:
-        cutoffs = F.broadcast(cutoffs)
-    spread = STRIPE_SPREAD * strength
-    u = draws.uniform(base, "stripe_gain", *per_frame, line)
-    gain = F.floor((F.lit(1.0 - spread) + u * F.lit(2.0 * spread)) * F.lit(65536.0))
-    hit = _line_rank(base, per_frame, line) <= F.col("cutoff")
-    # Rows keep the table's layout; columns need one pixel per row.
-    raster = df if orientation == "horizontal" else to_pixels(df)
-    joined = raster.join(cutoffs, [side] + (["frame_id"] if per_frame else []), "left")
-
-    def striped(value: Column, g: Column) -> Column:
-        return F.least(F.lit(255.0), F.rint(value * g / F.lit(65536.0)))
-
-    line_gain = F.when(hit, gain).otherwise(F.lit(65536))
-    return map_bands(joined, striped, lambda _: line_gain).select(*raster.columns)
+    return apply(df, corduroy_chain(all_bands(df), strength, orientation, density, seed))
 
 
 def with_gaps(df: DataFrame, gap_width: float, scan_period: int) -> DataFrame:
@@ -141,57 +113,71 @@ def with_gaps(df: DataFrame, gap_width: float, scan_period: int) -> DataFrame:
     )
 
 
-def slc_off(
-    df: DataFrame,
+def gap_bounds(height: int, width: int, gap_width: float, scan_period: int) -> tuple[np.ndarray, np.ndarray]:
+    """``gap_from, gap_to`` of every row of one frame size."""
+    y = np.arange(height)
+    reach = (np.abs(y - height // 2) / (height / 2.0) * gap_width * width).astype(np.int64)
+    first = y - y % scan_period
+    shown = (reach > 0) & (y == first)
+    lean = np.where((np.cumsum(shown) - shown)[first] % 2 == 0, 1, -1)
+    half = np.where(reach[first] > 0, reach // 2, 0)
+    middle = width // 2 + (GAP_DRIFT * (y - first) * lean).astype(np.int64)
+    return np.maximum(0, middle - half), np.minimum(width, middle + half)
+
+
+def slc_off_chain(
+    bands: list[str],
     gap_width: float,
     scan_period: int,
     fill_mode: str = "black",
     seed: int | None = None,
-) -> DataFrame:
-    """Wedge-shaped scan-line gaps filled with black, white or the row's varied mean.
-
-    The mask is one column range per row, so scanlines are spliced as arrays and pixels are
-    tested against two numbers; neither shuffles. Only a mean fill of pixel rows has to collect
-    lines first.
-    """
+) -> list[Kernel]:
     check_range("gap_width", gap_width, 0.0, 0.5)
     if not isinstance(scan_period, int):
         raise ValueError("scan_period must be an integer")
     check_range("scan_period", scan_period, 2, 100)
     check_choice("fill_mode", fill_mode, ("black", "white", "mean"))
     if gap_width == 0:
-        return df
-    bands = value_bands(df)
-    if fill_mode != "mean" and not is_scanlines(df):
-        inside = (F.col("x") >= F.col("gap_from")) & (F.col("x") < F.col("gap_to"))
-        fill = F.lit(0 if fill_mode == "black" else 255)
-        return with_gaps(df, gap_width, scan_period).select(
-            *[F.when(inside, fill).otherwise(F.col(c)).alias(c) if c in bands else c for c in df.columns]
-        )
-    scan = with_gaps(to_scanlines(df), gap_width, scan_period)
-    base, per_frame = draws.fresh_seed(seed), draws.frame_keys(seed)
-    length = F.greatest(F.lit(0), F.col("gap_to") - F.col("gap_from"))
-
-    def fill_of(i: int, band: str) -> Column:
-        if fill_mode != "mean":
-            return F.lit(0 if fill_mode == "black" else 255)
-        channel = 0 if is_grey(df) else i
-        shift = draws.uniform_int(
-            base, "gap_fill", -FILL_SPREAD, FILL_SPREAD + 1, *per_frame, "y", channel
-        )
-        total = F.aggregate(band, F.lit(0).cast("long"), lambda s, v: s + v)
-        masked = F.aggregate(
-            F.slice(band, F.col("gap_from") + 1, length), F.lit(0).cast("long"), lambda s, v: s + v
-        )
-        mean = F.floor((total - masked) / (F.col("width") - length)).cast("int")
-        return clip_byte(mean + shift)
+        return []
+    base = draws.fresh_seed(seed)
+
+    def run(planes: Planes, lines: Lines) -> Planes:
+        lo, hi = (b[lines.y][:, None] for b in gap_bounds(lines.height, lines.width, gap_width, scan_period))
+        x = np.arange(lines.width)[None, :]
+        inside = (x >= lo) & (x < hi)
+        outside = np.maximum(1, (~inside).sum(1, keepdims=True))
+        keys = draws.key_arrays(seed, lines.frame_id)
+        done = dict(planes)
+        for i, band in enumerate(b for b in planes if b != "a"):
+            fill = 0 if fill_mode == "black" else 255
+            if fill_mode == "mean":
+                mean = np.where(inside, 0, planes[band]).sum(1, keepdims=True, dtype=np.int64) // outside
+                shift = draws.uniform_int_array(base, "gap_fill", -FILL_SPREAD, FILL_SPREAD + 1, *keys, lines.y, i)
+                fill = np.clip(mean + shift[:, None], 0, 255)
+            done[band] = np.where(inside, fill, planes[band]).astype(np.int32)
+        return done
+
+    return [LineKernel(run)]
 
-    def spliced(i: int, band: str) -> Column:
-        before = F.slice(band, 1, F.col("gap_from"))
-        after = F.slice(band, F.col("gap_to") + 1, F.col("width") - F.col("gap_to"))
-        gap = F.array_repeat(fill_of(i, band), length)
-        return F.when(length > 0, F.concat(before, gap, after)).otherwise(F.col(band)).alias(band)
 
-    return scan.select(
-        *KEYS, *[spliced(i, b) for i, b in enumerate(bands)], *(["a"] if "a" in all_bands(df) else [])
+def slc_off(
+    df: DataFrame,
+    gap_width: float,
+    scan_period: int,
+    fill_mode: str = "black",
+    seed: int | None = None,
+) -> DataFrame:
+    """Wedge-shaped scan-line gaps filled with black, white or the row's varied mean.
+
+    The mask is one column range per row. Pixels are tested against two numbers and stay pixels;
+    only a mean fill of pixel rows has to collect lines first.
+    """
+    chain = slc_off_chain(all_bands(df), gap_width, scan_period, fill_mode, seed)
+    if is_scanlines(df) or fill_mode == "mean" or not chain:
+        return apply(df, chain)
+    bands = value_bands(df)
+    inside = (F.col("x") >= F.col("gap_from")) & (F.col("x") < F.col("gap_to"))
+    fill = F.lit(0 if fill_mode == "black" else 255)
+    return with_gaps(df, gap_width, scan_period).select(
+        *[F.when(inside, fill).otherwise(F.col(c)).alias(c) if c in bands else c for c in df.columns]
     )

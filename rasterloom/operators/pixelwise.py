@@ -1,33 +1,74 @@
-"""Operators that change each pixel on its own: no shuffle, one code-generated stage."""
+"""Operators that change each pixel on its own: no shuffle, on either layout."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions import draws
 from rasterloom.functions.binding import int_array
-from rasterloom.functions.positions import explode_range
 from rasterloom.model import (
-    BROADCAST_ROWS,
     KEYS,
     all_bands,
     check_choice,
     check_range,
-    frames_of,
     is_grey,
     is_scanlines,
     looked_up,
     map_bands,
     map_pixels,
-    sizes_of,
-    to_pixels,
     value_bands,
 )
+from rasterloom.operators.passes import Kernel, LineKernel, Lines, apply
+from rasterloom.operators.strips import Planes
+
+DRAWS = 1 << 20  # draws made at a time
+HELD_DRAWS = 1 << 22  # most hits kept for the next lines of frames of the same size
+
+
+def _saturation_draw(mode: str, value, range_, seed: int | None) -> tuple[float, float, int | None]:
+    """``(low, spread, seed)`` of the factor: ``low`` alone when it is fixed."""
+    check_choice("mode", mode, ("fixed", "random"))
+    if mode == "fixed":
+        if value is None:
+            raise ValueError("fixed mode needs 'value'")
+        check_range("value", value, -1.0, float("inf"))
+        return max(0.0, 1.0 + value), 0.0, None
+    if range_ is None or len(range_) != 2:
+        raise ValueError("random mode needs 'range' with two numbers")
+    lo, hi = (float(v) for v in range_)
+    check_range("range[0]", lo, -1.0, float("inf"))
+    if lo >= hi:
+        raise ValueError("range minimum must be below its maximum")
+    return lo, hi - lo, draws.fresh_seed(seed)
+
+
+def saturation_chain(
+    bands: list[str],
+    mode: str = "fixed",
+    value: float | None = None,
+    range: list[float] | None = None,
+    seed: int | None = None,
+) -> list[Kernel]:
+    lo, spread, base = _saturation_draw(mode, value, range, seed)
 
+    def run(planes: Planes, lines: Lines) -> Planes:
+        factor = lo
+        if base is not None:
+            u = draws.uniform_array(base, "saturation", *draws.key_arrays(None, lines.frame_id))
+            factor = np.maximum(0.0, 1.0 + lo + u * spread)[:, None]
+        colour = [planes["v"]] * 3 if "v" in planes else [planes[b] for b in "rgb"]
+        top, low = np.maximum.reduce(colour), np.minimum.reduce(colour)
+        flat = top == low
+        own = np.where(flat, 1.0, (top - low) / np.maximum(top, 1))
+        ratio = np.minimum(1.0, own * factor) / own
+        moved = [np.where(flat, c, (top - (top - c) * ratio).astype(np.int32)) for c in colour]
+        return dict(zip("rgb", moved))
 
-# Hits packed into arrays by line take four bytes each: at most 32 MB on every executor.
-BROADCAST_HITS = 8_000_000
+    return [LineKernel(run, lambda _: ["r", "g", "b"])]
 
 
 def saturation(
@@ -42,159 +83,152 @@ def saturation(
     With V the largest and m the smallest band, s = (V-m)/V becomes min(1, s*f), and each band
     moves along V - (V-c) * s'/s. Grey input becomes colour and alpha is dropped.
     """
-    check_choice("mode", mode, ("fixed", "random"))
-    if mode == "fixed":
-        if value is None:
-            raise ValueError("fixed mode needs 'value'")
-        check_range("value", value, -1.0, float("inf"))
-        factor = F.lit(max(0.0, 1.0 + value))
-    else:
-        if range is None or len(range) != 2:
-            raise ValueError("random mode needs 'range' with two numbers")
-        lo, hi = (float(v) for v in range)
-        check_range("range[0]", lo, -1.0, float("inf"))
-        if lo >= hi:
-            raise ValueError("range minimum must be below its maximum")
-        u = draws.uniform(draws.fresh_seed(seed), "saturation", *draws.FRAME_KEYS)
-        factor = F.greatest(F.lit(0.0), F.lit(1.0) + F.lit(lo) + u * F.lit(hi - lo))
-    px = to_pixels(convert(df, "RGB"))
+    if is_scanlines(df):
+        return apply(df, saturation_chain(all_bands(df), mode, value, range, seed))
+    lo, spread, base = _saturation_draw(mode, value, range, seed)
+    factor = F.lit(lo)
+    if base is not None:
+        u = draws.uniform(base, "saturation", *draws.FRAME_KEYS)
+        factor = F.greatest(F.lit(0.0), F.lit(1.0) + F.lit(lo) + u * F.lit(spread))
+    px = convert(df, "RGB")
     r, g, b = F.col("r"), F.col("g"), F.col("b")
+    own = (F.col("top") - F.col("low")) / F.greatest(F.col("top"), F.lit(1))
+    flat = F.col("top") == F.col("low")
     staged = px.withColumns({"top": F.greatest(r, g, b), "low": F.least(r, g, b)}).withColumn(
-        "ratio",
-        F.when(F.col("top") == F.col("low"), F.lit(1.0)).otherwise(
-            F.least(F.lit(1.0), (F.col("top") - F.col("low")) / F.col("top") * factor)
-            / ((F.col("top") - F.col("low")) / F.col("top"))
-        ),
+        "ratio", F.when(flat, F.lit(1.0)).otherwise(F.least(F.lit(1.0), own * factor) / F.when(~flat, own))
     )
 
     def moved(c: Column) -> Column:
-        return F.when(F.col("top") == F.col("low"), c).otherwise(
-            (F.col("top") - (F.col("top") - c) * F.col("ratio")).cast("int")
-        )
+        return F.when(flat, c).otherwise((F.col("top") - (F.col("top") - c) * F.col("ratio")).cast("int"))
 
-    return staged.select(
-        *KEYS, "x", moved(r).alias("r"), moved(g).alias("g"), moved(b).alias("b")
-    )
+    return staged.select(*KEYS, "x", moved(r).alias("r"), moved(g).alias("g"), moved(b).alias("b"))
 
 
-def noise(df: DataFrame, mode: str, amount: float, seed: int | None = None) -> DataFrame:
-    """Additive noise per pixel and band (``gaussian``), per row and band, or per column and band."""
+def noise_chain(bands: list[str], mode: str, amount: float, seed: int | None = None) -> list[Kernel]:
     check_choice("mode", mode, ("gaussian", "row", "column"))
     check_range("amount", amount, 0.0, 1.0)
     if amount == 0:
-        return df
-    per_frame, base = draws.frame_keys(seed), draws.fresh_seed(seed)
-    names = value_bands(df)
+        return []
+    base = draws.fresh_seed(seed)
+
+    def run(planes: Planes, lines: Lines) -> Planes:
+        frame = [k[:, None] for k in draws.key_arrays(seed, lines.frame_id)]
+        y, x = lines.y[:, None], np.arange(lines.width)[None, :]
+        done = dict(planes)
+        for i, band in enumerate(b for b in planes if b != "a"):
+            if mode == "gaussian":
+                shift = draws.normal_array(base, mode, *frame, y, x, i) * (amount * 255.0)
+            else:
+                u = draws.uniform_array(base, mode, *frame, y if mode == "row" else x, i)
+                shift = (u * 2.0 - 1.0) * (amount * 255.0)
+            done[band] = np.clip(planes[band] + shift, 0.0, 255.0).astype(np.int32)
+        return done
 
-    def added(value: Column, shift: Column) -> Column:
-        return F.greatest(F.lit(0.0), F.least(F.lit(255.0), value + shift))
+    return [LineKernel(run)]
 
-    def line_shift(line: str, i: int) -> Column:
-        u = draws.uniform(base, mode, *per_frame, line, i)
-        return (u * F.lit(2.0) - F.lit(1.0)) * F.lit(amount * 255.0)
 
-    if mode == "row":
-        return map_bands(df, added, lambda b: line_shift("y", names.index(b)))
+def noise(df: DataFrame, mode: str, amount: float, seed: int | None = None) -> DataFrame:
+    """Additive noise per pixel and band (``gaussian``), per row and band, or per column and band."""
+    chain = noise_chain(all_bands(df), mode, amount, seed)
+    if is_scanlines(df) or not chain:
+        return apply(df, chain)
+    per_frame, base = draws.frame_keys(seed), draws.fresh_seed(seed)
+    names = value_bands(df)
 
     def noisy(cols: dict[str, Column]) -> dict[str, Column]:
         out = {}
         for i, name in enumerate(names):
             if mode == "gaussian":
-                n = draws.normal(base, "gaussian", *per_frame, "y", "x", i)
-                shift = n * F.lit(amount * 255.0)
+                shift = draws.normal(base, "gaussian", *per_frame, "y", "x", i) * F.lit(amount * 255.0)
             else:
-                shift = line_shift("x", i)
-            out[name] = added(cols[name], shift)
+                u = draws.uniform(base, mode, *per_frame, "y" if mode == "row" else "x", i)
+                shift = (u * F.lit(2.0) - F.lit(1.0)) * F.lit(amount * 255.0)
+            out[name] = F.greatest(F.lit(0.0), F.least(F.lit(255.0), cols[name] + shift))
         return out
 
     return map_pixels(df, noisy)
 
 
-def salt_pepper_hits(
-    frames: DataFrame, amount: float, salt_vs_pepper: float, seed: int | None
-) -> DataFrame:
-    """Pixels hit by ``int(amount*height*width)`` draws with replacement, and the winning value.
-
-    One row per distinct frame size (per frame when unseeded). Draws are expanded in chunks, so
-    no single row has to hold all of them; pepper wins where draws collide.
-    """
-    per_frame, base = draws.frame_keys(seed), draws.fresh_seed(seed)
-    keys = ["height", "width"] + (["frame_id"] if seed is None else [])
-    n = (F.lit(float(amount)) * F.col("height") * F.col("width")).cast("long")
-    draws_per_size = explode_range(frames.select(*keys).distinct(), F.lit(0), n - 1, "i")
-    return (
-        draws_per_size.select(
-            *keys,
-            draws.uniform_int(base, "sp_y", 0, "height", *per_frame, "i").alias("y"),
-            draws.uniform_int(base, "sp_x", 0, "width", *per_frame, "i").alias("x"),
-            (draws.uniform(base, "sp_salt", *per_frame, "i") < F.lit(float(salt_vs_pepper)))
-            .cast("int")
-            .alias("salt"),
-        )
-        .groupBy(*keys, "y", "x")
-        .agg((F.min("salt") * 255).alias("hit"))
-    )
-
-
-def salt_pepper(
-    df: DataFrame,
-    amount: float,
-    salt_vs_pepper: float = 0.5,
-    seed: int | None = None,
-    frames: DataFrame | None = None,
-) -> DataFrame:
-    """Set randomly drawn pixels to 255 or 0 in every value band.
-
-    ``frames`` (``frame_id, height, width``) saves a pass over the raster to learn its sizes.
-    """
+def _hits(
+    base: int, amount: float, salt_vs_pepper: float, height: int, width: int, frame: list, wanted
+) -> Iterator[np.ndarray]:
+    """Hits of a frame in the wanted lines, as ``2 * (y * width + x) + salt``, a chunk of draws each."""
+    total = int(amount * height * width)
+    for first in range(0, total, DRAWS):
+        i = np.arange(first, min(total, first + DRAWS))
+        y = draws.uniform_int_array(base, "sp_y", 0, height, *frame, i)
+        if wanted is not None:
+            inside = wanted[y]
+            i, y = i[inside], y[inside]
+        x = draws.uniform_int_array(base, "sp_x", 0, width, *frame, i)
+        salt = draws.uniform_array(base, "sp_salt", *frame, i) < salt_vs_pepper
+        yield 2 * (y * width + x) + salt
+
+
+def _settled(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places hit, in order, and their values; pepper wins where draws meet."""
+    drawn = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+    place = drawn >> 1
+    first = np.ones(len(place), bool)
+    first[1:] = place[1:] != place[:-1]
+    return place[first], (drawn[first] & 1) * 255
+
+
+def salt_pepper_chain(
+    bands: list[str], amount: float, salt_vs_pepper: float = 0.5, seed: int | None = None
+) -> list[Kernel]:
     check_range("amount", amount, 0.0, 1.0)
     check_range("salt_vs_pepper", salt_vs_pepper, 0.0, 1.0)
     if amount == 0:
-        return df
-    frames = frames_of(df) if frames is None else frames
-    hits = salt_pepper_hits(frames, amount, salt_vs_pepper, seed)
-    on = ["height", "width", "y"] + (["frame_id"] if seed is None else [])
-    small = False
-    if seed is not None:
-        size = F.sum((F.lit(float(amount)) * F.col("height") * F.col("width")).cast("long"))
-        total = sizes_of(frames).agg(size.alias("n")).first()["n"] or 0
-        small = total <= (BROADCAST_HITS if is_scanlines(df) else BROADCAST_ROWS)
-    if not is_scanlines(df):
-        hits = F.broadcast(hits) if small else hits
-        return df.join(hits, [*on, "x"], "left").select(
-            *KEYS,
-            "x",
-            *[F.coalesce(F.col("hit"), F.col(b)).alias(b) for b in value_bands(df)],
-            *(["a"] if "a" in df.columns else []),
-        )
-    # A line's hits in order, packed as 256*x + value; a group is at most one line.
-    by_line = hits.groupBy(*on).agg(
-        F.sort_array(F.collect_list(F.col("x") * 256 + F.col("hit"))).alias("_hits")
-    )
-    by_line = F.broadcast(by_line) if small else by_line
-    return df.join(by_line, on, "left").select(
-        *KEYS,
-        *[_with_hits(b).alias(b) for b in value_bands(df)],
-        *(["a"] if "a" in df.columns else []),
-    )
-
-
-def _with_hits(band: str) -> Column:
-    """The line with its hits written in: the stretch before each hit, the hit, and the rest."""
-    hits = F.col("_hits")
+        return []
+    base = draws.fresh_seed(seed)
+    held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+
+    def hits_of(height: int, width: int, frame: tuple, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All hits of a frame if they are few enough to keep, else those of the lines ``y``."""
+        if (height, width, frame) in held:
+            return held[height, width, frame]
+        args = (base, amount, salt_vs_pepper, height, width, list(frame))
+        if int(amount * height * width) <= HELD_DRAWS:
+            held.clear()
+            held[height, width, frame] = _settled(list(_hits(*args, None)))
+            return held[height, width, frame]
+        wanted = np.zeros(height, bool)
+        wanted[y] = True
+        return _settled(list(_hits(*args, wanted)))
+
+    def run(planes: Planes, lines: Lines) -> Planes:
+        done = {b: p if b == "a" else p.copy() for b, p in planes.items()}
+        keys = draws.key_arrays(seed, lines.frame_id)
+        groups = [((), np.arange(len(lines.y)))]
+        if keys:
+            ids, place = np.unique(lines.frame_id, return_inverse=True)
+            rows = [np.flatnonzero(place == i) for i in range(len(ids))]
+            groups = [(tuple(int(k[r[0]]) for k in keys), r) for r in rows]
+        for frame, rows in groups:
+            y = lines.y[rows].astype(np.int64)
+            place, value = hits_of(lines.height, lines.width, frame, y)
+            begin, end = (np.searchsorted(place, (y + k) * lines.width) for k in (0, 1))
+            count = end - begin
+            at = np.arange(int(count.sum())) + np.repeat(begin - (np.cumsum(count) - count), count)
+            row, x = np.repeat(rows, count), place[at] % lines.width
+            for b, p in done.items():
+                if b != "a":
+                    p[row, x] = value[at]
+        return done
+
+    return [LineKernel(run)]
 
-    def place(n: Column) -> Column:
-        return F.shiftright(F.get(hits, n), 8)
 
-    def stretch(hit: Column, n: Column) -> Column:
-        start = F.when(n == 0, F.lit(0)).otherwise(place(n - 1) + 1)
-        x = F.shiftright(hit, 8)
-        return F.concat(F.slice(band, start + 1, x - start), F.array(hit.bitwiseAND(F.lit(255))))
+def salt_pepper(
+    df: DataFrame, amount: float, salt_vs_pepper: float = 0.5, seed: int | None = None
+) -> DataFrame:
+    """Set ``int(amount*height*width)`` draws of a pixel, with replacement, to 255 or 0 in all value bands.
 
-    after = place(F.size(hits) - 1) + 1
-    rest = F.slice(band, after + 1, F.col("width") - after)
-    written = F.concat(F.flatten(F.transform(hits, stretch)), rest)
-    return F.when(hits.isNull(), F.col(band)).otherwise(written)
+    Draws depend on the frame's size only (without a seed also on the frame), so every batch of
+    lines finds its own hits: no join, and nothing to learn about the raster first.
+    """
+    return apply(df, salt_pepper_chain(all_bands(df), amount, salt_vs_pepper, seed))
 
 
 def gamma_table(gamma: float) -> list[int]:

@@ -4,19 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from rasterloom.functions import kernels
 from rasterloom.functions.kernels import Tap
-from rasterloom.model import (
-    KEYS,
-    check_choice,
-    check_range,
-    is_grey,
-    to_scanlines,
-    value_bands,
-)
-from rasterloom.operators.strips import Planes, Strip, map_strips, with_halo
+from rasterloom.model import all_bands, check_choice, check_range
+from rasterloom.operators.passes import AreaKernel, Kernel, LineKernel, Lines, apply, mirrored
+from rasterloom.operators.strips import Planes, Strip
 
 # Colour (0 red, 1 green, 2 blue) of the top-left 2x2 sensor cells, row by row.
 MOSAICS = {
@@ -30,15 +23,12 @@ MOSAICS = {
 BLOCK = 1 << 15  # pixels summed at a time
 
 
-def mirrored(at: np.ndarray, n: int) -> np.ndarray:
-    """Source index of each place, the edge element repeated."""
-    m = np.mod(at, 2 * n)
-    return np.where(m < n, m, 2 * n - 1 - m)
+Run = tuple[int, int, int, int]  # dy, first and last dx, weight
 
 
-def _runs(taps: list[Tap]) -> list[tuple[int, int, int, int]]:
-    """Merge neighbouring taps of equal weight in a kernel row: ``(dy, dx_from, dx_to, weight)``."""
-    runs: list[tuple[int, int, int, int]] = []
+def runs_of(taps: list[Tap]) -> list[Run]:
+    """Merge neighbouring taps of equal weight in a kernel row."""
+    runs: list[Run] = []
     for dy, dx, w in sorted(taps):
         if runs and runs[-1][0] == dy and runs[-1][2] == dx - 1 and runs[-1][3] == w:
             runs[-1] = (dy, runs[-1][1], dx, w)
@@ -47,17 +37,16 @@ def _runs(taps: list[Tap]) -> list[tuple[int, int, int, int]]:
     return runs
 
 
-def weighted_sum(
-    plane: np.ndarray, taps: list[Tap], strip: Strip, largest: int = 255
-) -> np.ndarray:
-    """Integer sum of ``w * plane[y+dy, x+dx]`` over the strip's own lines.
+def weighted_sum(plane: np.ndarray, runs: list[Run], strip: Strip, largest: int = 255) -> np.ndarray:
+    """Integer sum of ``w * plane[y+dy, x+dx]`` over the strip's own lines, for runs of taps.
 
     Runs of equal weight cost two lookups in a running sum, whatever their length. Sums that
     fit 32 bits (``largest`` bounds the plane's values) are kept in 32 bits.
     """
     width = plane.shape[1]
-    runs = _runs(taps)
-    bound = max(largest * sum(abs(t[2]) for t in taps), largest * (width + 2 * len(taps)))
+    weights = sum(abs(w) * (hi - lo + 1) for _, lo, hi, w in runs)
+    longest = width + max(0, -min(r[1] for r in runs)) + max(0, max(r[2] for r in runs))
+    bound = largest * max(weights, longest)
     plane = plane.astype(np.int32 if bound < 1 << 31 else np.int64, copy=False)
     left = max(0, -min(r[1] for r in runs))
     right = max(0, max(r[2] for r in runs))
@@ -89,62 +78,71 @@ def weighted_sum(
     return total
 
 
-def stencil(df: DataFrame, taps: list[Tap], divisor: int, alpha: bool = False) -> DataFrame:
-    """``sum(w * in[y+dy, x+dx]) div divisor``, clipped to a byte, with mirrored edges.
-
-    ``taps`` are ``(dy, dx, weight)``. Alpha is kept as it is unless ``alpha`` is set.
-    """
-    if not taps or divisor <= 0:
-        raise ValueError("a stencil needs taps and a positive divisor")
-    scan = to_scanlines(df)
-    bands = set(value_bands(scan)) | ({"a"} if alpha else set())
-    before, after = max(0, -min(t[0] for t in taps)), max(0, max(t[0] for t in taps))
+def _stencil_kernel(runs: list[Run], divisor: int, alpha: bool) -> AreaKernel:
+    before, after = max(0, -min(r[0] for r in runs)), max(0, max(r[0] for r in runs))
 
     def run(planes: Planes, strip: Strip) -> Planes:
         own = slice(strip.top, strip.top + strip.rows)
         return {
-            b: np.clip(weighted_sum(p, taps, strip) // divisor, 0, 255) if b in bands else p[own]
+            b: p[own] if b == "a" and not alpha
+            else np.clip(weighted_sum(p, runs, strip) // divisor, 0, 255)
             for b, p in planes.items()
         }
 
-    return map_strips(with_halo(scan, before, after), run)
+    return AreaKernel(run, before, after)
 
 
-def blur_gaussian(df: DataFrame, sigma: float) -> DataFrame:
-    """Separable Gaussian in 16-bit weights; nothing is rounded between the two passes."""
+def stencil(df: DataFrame, taps: list[Tap], divisor: int, alpha: bool = False) -> DataFrame:
+    """``sum(w * in[y+dy, x+dx]) div divisor``, clipped to a byte, with mirrored edges.
+
+    ``taps`` are ``(dy, dx, weight)``. Alpha is kept as it is unless ``alpha`` is set.
+    """
+    if not taps or divisor <= 0:
+        raise ValueError("a stencil needs taps and a positive divisor")
+    return apply(df, [_stencil_kernel(runs_of(taps), divisor, alpha)])
+
+
+def blur_gaussian_chain(bands: list[str], sigma: float) -> list[Kernel]:
     check_range("sigma", sigma, 0.0, float("inf"))
     if sigma == 0:
-        return df
+        return []
     weights = kernels.gaussian(float(sigma))
     radius = len(weights) // 2
-    scan = to_scanlines(df)
-    bands = set(value_bands(scan))
+    vertical = [(k - radius, 0, 0, w) for k, w in enumerate(weights)]
+    across = [(0, k - radius, k - radius, w) for k, w in enumerate(weights)]
 
     def blurred(plane: np.ndarray, strip: Strip) -> np.ndarray:
         # Values below 2**24 after the first pass, below 2**40 after the second.
-        down = weighted_sum(plane, [(k - radius, 0, w) for k, w in enumerate(weights)], strip)
-        across = [(0, k - radius, w) for k, w in enumerate(weights)]
+        down = weighted_sum(plane, vertical, strip)
         return weighted_sum(down, across, strip._replace(top=0), 255 * kernels.ONE) >> 32
 
     def run(planes: Planes, strip: Strip) -> Planes:
         own = slice(strip.top, strip.top + strip.rows)
-        return {b: blurred(p, strip) if b in bands else p[own] for b, p in planes.items()}
+        return {b: p[own] if b == "a" else blurred(p, strip) for b, p in planes.items()}
 
-    return map_strips(with_halo(scan, radius, radius), run)
+    return [AreaKernel(run, radius, radius)]
 
 
-def blur_circular(df: DataFrame, radius: int) -> DataFrame:
-    """Mean over a disc; alpha is kept."""
+def blur_gaussian(df: DataFrame, sigma: float) -> DataFrame:
+    """Separable Gaussian in 16-bit weights; nothing is rounded between the two passes."""
+    return apply(df, blur_gaussian_chain(all_bands(df), sigma))
+
+
+def blur_circular_chain(bands: list[str], radius: int) -> list[Kernel]:
     if not isinstance(radius, int) or isinstance(radius, bool) or radius < 0:
         raise ValueError(f"radius must be a non-negative integer, got {radius!r}")
     if radius == 0:
-        return df
-    taps = kernels.disc(radius)
-    return stencil(df, taps, len(taps))
+        return []
+    runs = kernels.disc_runs(radius)
+    return [_stencil_kernel(runs, sum(hi - lo + 1 for _, lo, hi, _ in runs), False)]
 
 
-def motion_blur(df: DataFrame, kernel_size: int, angle: float = 0.0) -> DataFrame:
-    """Mean along a line of ``kernel_size`` pixels at ``angle`` degrees; alpha is blurred too."""
+def blur_circular(df: DataFrame, radius: int) -> DataFrame:
+    """Mean over a disc; alpha is kept."""
+    return apply(df, blur_circular_chain(all_bands(df), radius))
+
+
+def motion_blur_chain(bands: list[str], kernel_size: int, angle: float = 0.0) -> list[Kernel]:
     if not isinstance(kernel_size, int) or isinstance(kernel_size, bool):
         raise ValueError("kernel_size must be an integer")
     check_range("kernel_size", kernel_size, 1, 100)
@@ -152,57 +150,55 @@ def motion_blur(df: DataFrame, kernel_size: int, angle: float = 0.0) -> DataFram
     if angle >= 360:
         raise ValueError("angle must be below 360")
     if kernel_size == 1:
-        return df
+        return []
     taps = kernels.motion(kernel_size, float(angle))
-    return stencil(df, taps, kernel_size if angle == 0 else kernels.ONE, alpha=True)
+    return [_stencil_kernel(runs_of(taps), kernel_size if angle == 0 else kernels.ONE, True)]
 
 
-def chromatic_aberration(df: DataFrame, shift_x: int = 0, shift_y: int = 0) -> DataFrame:
-    """Move red by ``(shift_y, shift_x)`` and blue the other way; uncovered places become 0.
+def motion_blur(df: DataFrame, kernel_size: int, angle: float = 0.0) -> DataFrame:
+    """Mean along a line of ``kernel_size`` pixels at ``angle`` degrees; alpha is blurred too."""
+    return apply(df, motion_blur_chain(all_bands(df), kernel_size, angle))
 
-    Each line hands its red array to the line it moves to, its blue array to another, and keeps
-    the rest; lines meet by ``(frame_id, y)``, so no frame is gathered in one task.
-    """
+
+def _shifted(plane: np.ndarray, dx: int) -> np.ndarray:
+    """Lines moved ``dx`` places to the right, uncovered places 0."""
+    out = np.zeros_like(plane)
+    width = plane.shape[1]
+    if abs(dx) < width:
+        out[:, max(0, dx) : width + min(0, dx)] = plane[:, max(0, -dx) : width - max(0, dx)]
+    return out
+
+
+def chromatic_aberration_chain(bands: list[str], shift_x: int = 0, shift_y: int = 0) -> list[Kernel]:
     for name, value in (("shift_x", shift_x), ("shift_y", shift_y)):
         if not isinstance(value, int) or isinstance(value, bool):
             raise ValueError(f"{name} must be an integer")
-    if is_grey(df) or (shift_x == 0 and shift_y == 0):
-        return df
-    scan = to_scanlines(df)
-    width = F.col("width")
-
-    def moved(band: str, dx: int):
-        keep = F.greatest(F.lit(0), width - abs(dx))
-        blank = F.array_repeat(F.lit(0), F.least(F.lit(abs(dx)), width))
-        part = F.slice(band, 1 if dx >= 0 else 1 + abs(dx), keep)
-        return F.concat(blank, part) if dx >= 0 else F.concat(part, blank)
-
-    rest = ["g"] + (["a"] if "a" in scan.columns else [])
+    if "v" in bands or (shift_x == 0 and shift_y == 0):
+        return []
+    moves = {"r": (shift_y, shift_x), "b": (-shift_y, -shift_x)}
     if shift_y == 0:
-        return scan.withColumns({"r": moved("r", shift_x), "b": moved("b", -shift_x)})
-    none = F.lit(None).cast("array<int>")
-    sent = [
-        F.struct(
-            (F.col("y") + dy).alias("y"),
-            *[(value if name == band or (band == "rest" and name in rest) else none).alias(name)
-              for name, value in [("r", moved("r", shift_x)), ("b", moved("b", -shift_x))]
-              + [(c, F.col(c)) for c in rest]],
-        )
-        for band, dy in (("r", shift_y), ("b", -shift_y), ("rest", 0))
-    ]
-    size = ["frame_id", "height", "width"]
-    met = (
-        scan.select(*size, F.explode(F.array(*sent)).alias("s"))
-        .select(*size, "s.*")
-        .where("y >= 0 and y < height")
-        .groupBy(*KEYS)
-        .agg(*[F.first(c, ignorenulls=True).alias(c) for c in ["r", "b", *rest]])
-    )
-    blank = F.array_repeat(F.lit(0), width)
-    return met.select(
-        *KEYS, F.coalesce("r", blank).alias("r"), "g", F.coalesce("b", blank).alias("b"),
-        *(["a"] if "a" in rest else []),
-    )
+
+        def sideways(planes: Planes, lines: Lines) -> Planes:
+            return planes | {b: _shifted(planes[b], dx) for b, (_, dx) in moves.items()}
+
+        return [LineKernel(sideways)]
+
+    def run(planes: Planes, strip: Strip) -> Planes:
+        y = np.arange(strip.first, strip.first + strip.rows)
+        own = slice(strip.top, strip.top + strip.rows)
+        done = {b: p[own] for b, p in planes.items()}
+        for b, (dy, dx) in moves.items():
+            inside = (y - dy >= 0) & (y - dy < strip.height)
+            moved = planes[b][strip.top - dy : strip.top - dy + strip.rows]
+            done[b] = _shifted(np.where(inside[:, None], moved, 0), dx)
+        return done
+
+    return [AreaKernel(run, abs(shift_y), abs(shift_y))]
+
+
+def chromatic_aberration(df: DataFrame, shift_x: int = 0, shift_y: int = 0) -> DataFrame:
+    """Move red by ``(shift_y, shift_x)`` and blue the other way; uncovered places become 0."""
+    return apply(df, chromatic_aberration_chain(all_bands(df), shift_x, shift_y))
 
 
 def _cells(cells: tuple, strip: Strip, lines: int) -> np.ndarray:
@@ -218,25 +214,20 @@ def _sixteenths(total: np.ndarray) -> np.ndarray:
     return np.clip(low + ((rest > 8) | ((rest == 8) & (low & 1 == 1))), 0, 255)
 
 
-def _square(rows) -> list[Tap]:
-    return [(y - 2, x - 2, w) for y, row in enumerate(rows) for x, w in enumerate(row) if w]
-
+def _square(rows) -> list[Run]:
+    return runs_of([(y - 2, x - 2, w) for y, row in enumerate(rows) for x, w in enumerate(row) if w])
 
-def bayer_filter(df: DataFrame, pattern: str = "RGGB", method: str = "linear") -> DataFrame:
-    """Sample one colour per pixel through a 2x2 mosaic and rebuild the other two.
 
-    ``linear`` uses the 5x5 gradient-corrected filters, ``bilinear`` neighbour averages whose
-    border pixels keep their own colours. Alpha is kept; grey input is returned as it is.
-    """
+def bayer_filter_chain(bands: list[str], pattern: str = "RGGB", method: str = "linear") -> list[Kernel]:
     check_choice("pattern", pattern, tuple(MOSAICS))
     check_choice("method", method, ("linear", "bilinear"))
-    if is_grey(df):
-        return df
+    if "v" in bands:
+        return []
     cells = MOSAICS[pattern]
     red_rows = [0 in row for row in cells]
     green = _square(kernels.GREEN_AT_COLOUR)
     in_row = _square(kernels.COLOUR_IN_ROW)
-    in_column = [(dx, dy, w) for dy, dx, w in in_row]
+    in_column = _square(tuple(zip(*kernels.COLOUR_IN_ROW)))
     diagonal = _square(kernels.COLOUR_DIAGONAL)
 
     def linear(planes: Planes, strip: Strip) -> Planes:
@@ -246,7 +237,7 @@ def bayer_filter(df: DataFrame, pattern: str = "RGGB", method: str = "linear") -
         here, value = colour[own], mosaic[own]
         rows = np.array(red_rows)[np.arange(strip.first, strip.first + strip.rows) % 2][:, None]
         across, down, corner = (
-            _sixteenths(weighted_sum(mosaic, taps, strip)) for taps in (in_row, in_column, diagonal)
+            _sixteenths(weighted_sum(mosaic, runs, strip)) for runs in (in_row, in_column, diagonal)
         )
         done = {
             "r": np.where(here == 0, value, np.where(here == 2, corner, np.where(rows, across, down))),
@@ -265,7 +256,7 @@ def bayer_filter(df: DataFrame, pattern: str = "RGGB", method: str = "linear") -
         inner = inside_y[0] & inside_y[1] & inside_x[0] & inside_x[1]
 
         def pair(band: str, offsets) -> np.ndarray:
-            return weighted_sum(planes[band], [(dy, dx, 1) for dy, dx in offsets], strip)
+            return weighted_sum(planes[band], [(dy, dx, dx, 1) for dy, dx in offsets], strip)
 
         across, down = ((0, -1), (0, 1)), ((-1, 0), (1, 0))
         corners = ((-1, -1), (-1, 1), (1, -1), (1, 1))
@@ -297,7 +288,13 @@ def bayer_filter(df: DataFrame, pattern: str = "RGGB", method: str = "linear") -
             done[band] = np.where((here == code) | ~inner, own_band, built)
         return done | ({"a": planes["a"][own]} if "a" in planes else {})
 
-    scan = to_scanlines(df)
-    if method == "bilinear":
-        return map_strips(with_halo(scan, 1, 1), bilinear)
-    return map_strips(with_halo(scan, 2, 2), linear)
+    return [AreaKernel(bilinear, 1, 1) if method == "bilinear" else AreaKernel(linear, 2, 2)]
+
+
+def bayer_filter(df: DataFrame, pattern: str = "RGGB", method: str = "linear") -> DataFrame:
+    """Sample one colour per pixel through a 2x2 mosaic and rebuild the other two.
+
+    ``linear`` uses the 5x5 gradient-corrected filters, ``bilinear`` neighbour averages whose
+    border pixels keep their own colours. Alpha is kept; grey input is returned as it is.
+    """
+    return apply(df, bayer_filter_chain(all_bands(df), pattern, method))

@@ -8,7 +8,6 @@ strip has all it needs and the whole job is one shuffle of scanlines.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -16,8 +15,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.model import KEYS, all_bands
-
 STRIP_PIXELS = 1 << 20
 Planes = dict[str, np.ndarray]
 
@@ -30,9 +27,7 @@ class Strip(NamedTuple):
     top: int
     height: int
     width: int
-
-
-StripFn = Callable[[Planes, Strip], Planes]
+    frame_id: int = 0
 
 
 def strip_height(width: Column, halo: int, multiple: int = 1) -> Column:
@@ -83,7 +78,7 @@ def with_halo(
     )
 
 
-def planes_of(table: pa.Table, bands: list[str], order: np.ndarray) -> Planes:
+def planes_of(table: pa.Table, bands: list[str], order: np.ndarray | slice) -> Planes:
     """Each band's lines as one matrix of 32-bit integers."""
     n = table.num_rows
     return {
@@ -97,37 +92,3 @@ def list_column(plane: np.ndarray) -> pa.ListArray:
     rows, width = plane.shape
     offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * width)
     return pa.ListArray.from_arrays(offsets, pa.array(plane.astype(np.int32).ravel()))
-
-
-def map_strips(halo: DataFrame, fn: StripFn, with_frame: bool = False) -> DataFrame:
-    """Run ``fn(planes, strip)`` on each strip; it returns the strip's own lines.
-
-    With ``with_frame`` the frame id is passed as a third argument.
-    """
-    bands = all_bands(halo)
-    schema = "frame_id long, height int, width int, y int, " + ", ".join(
-        f"{b} array<int>" for b in bands
-    )
-
-    def run(table: pa.Table) -> pa.Table:
-        at = table.column("at").to_numpy()
-        order = np.argsort(at, kind="stable")
-        if at.max() - at.min() + 1 != len(at):
-            raise ValueError("a frame must have each of its lines exactly once")
-        one = {c: table.column(c)[0].as_py() for c in ("frame_id", "height", "width", "rows", "strip")}
-        first = one["strip"] * one["rows"]
-        n = min(one["rows"], one["height"] - first)
-        strip = Strip(first, n, first - int(at.min()), one["height"], one["width"])
-        extra = (one["frame_id"],) if with_frame else ()
-        done = fn(planes_of(table, bands, order), strip, *extra)
-        columns = {
-            "frame_id": pa.array(np.full(n, one["frame_id"], dtype=np.int64)),
-            "height": pa.array(np.full(n, one["height"], dtype=np.int32)),
-            "width": pa.array(np.full(n, one["width"], dtype=np.int32)),
-            "y": pa.array(np.arange(first, first + n, dtype=np.int32)),
-        }
-        columns.update({b: list_column(done[b]) for b in bands})
-        return pa.table(columns)
-
-    grouped = halo.select(*KEYS, "rows", "strip", "at", *bands).drop("y")
-    return grouped.groupBy("frame_id", "strip").applyInArrow(run, schema)

@@ -1,32 +1,22 @@
 """Random-tile operators.
 
-A tile's place depends only on the seed, its number and the frame size, so every scanline can
-work out by itself which tiles cross it: no tile join and no shuffle. The tiles that cross a
-line are applied to the line's arrays in order, so overlaps come out as if drawn one by one.
+A tile's place depends only on the seed, its number and the frame size, so any batch of lines
+works out by itself which tiles cross it: no tile join and no shuffle. Tiles are applied in order,
+so overlaps come out as if drawn one by one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions import draws
-from rasterloom.functions.binding import int_array, let
-from rasterloom.model import (
-    KEYS,
-    MAX_SIDE,
-    all_bands,
-    broadcast_per_size,
-    check_choice,
-    check_range,
-    checked_side,
-    frames_of,
-    is_grey,
-    looked_up,
-    to_pixels,
-    to_scanlines,
-    value_bands,
-)
+from rasterloom.model import all_bands, check_choice, check_range
+from rasterloom.operators.passes import Kernel, LineKernel, Lines, apply
+from rasterloom.operators.strips import Planes
 
 # Source band of each output band.
 PERMUTATIONS = {
@@ -38,6 +28,7 @@ PERMUTATIONS = {
 }
 ALL_ORDERS = ((0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0))
 TILE_SIZE_RANGE = (0.05, 0.2)
+CELLS = 1 << 20  # grid cells drawn at a time
 
 
 def check_tiles(tile_count, most: int, tile_size_range) -> tuple[float, float]:
@@ -54,51 +45,18 @@ def check_tiles(tile_count, most: int, tile_size_range) -> tuple[float, float]:
     return float(lo), float(hi)
 
 
-def _drawn_tiles(
-    count: int, lo: float, hi: float, seed: int | None, shuffles: float | None
-) -> Column:
-    """Array of each tile's draws: its share of the frame, its place, and maybe a band order.
-
-    Seeded draws are the same for every frame, so they are literals; unseeded draws also depend
-    on the frame id. ``shuffles`` is the probability that a tile gets a random band order.
-    """
-    if seed is not None:
-        rows = []
-        for i in range(count):
-            share = lo + draws.uniform_value(seed, "tile_size", i) * (hi - lo)
-            order = 0
-            if shuffles and draws.uniform_value(seed, "tile_happens", i) < shuffles:
-                order = int(draws.uniform_value(seed, "tile_order", i) * len(ALL_ORDERS))
-            at = [draws.uniform_value(seed, label, i) for label in ("tile_y", "tile_x")]
-            rows.append(
-                f"named_struct('i',{i},'share',{share!r}D,'uy',{at[0]!r}D,'ux',{at[1]!r}D,'order',{order})"
-            )
-        return F.expr(f"array({','.join(rows)})")
-    base = draws.fresh_seed(None)
-
-    def drawn(label: str, i: Column) -> Column:
-        return draws.finish(draws.prefix(base, label, *draws.FRAME_KEYS), i)
-
-    def tile(i: Column) -> Column:
-        order = F.lit(0)
-        if shuffles:
-            chosen = F.floor(drawn("tile_order", i) * len(ALL_ORDERS)).cast("int")
-            order = F.when(drawn("tile_happens", i) < F.lit(float(shuffles)), chosen).otherwise(order)
-        return F.struct(
-            i.alias("i"),
-            (F.lit(lo) + drawn("tile_size", i) * F.lit(hi - lo)).alias("share"),
-            drawn("tile_y", i).alias("uy"),
-            drawn("tile_x", i).alias("ux"),
-            order.alias("order"),
-        )
-
-    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), tile)
+def _drawn_tiles(count: int, lo: float, hi: float, seed: int) -> Column:
+    """Array of each tile's draws: its share of the frame and its place."""
+    rows = []
+    for i in range(count):
+        share = lo + draws.uniform_value(seed, "tile_size", i) * (hi - lo)
+        at = [draws.uniform_value(seed, label, i) for label in ("tile_y", "tile_x")]
+        rows.append(f"named_struct('i',{i},'share',{share!r}D,'uy',{at[0]!r}D,'ux',{at[1]!r}D)")
+    return F.expr(f"array({','.join(rows)})")
 
 
-def _placed_tiles(
-    count: int, lo: float, hi: float, seed: int | None, shuffles: float | None = None
-) -> Column:
-    """Array of ``(i, y0, x0, th, tw, order)`` as an expression of ``height`` and ``width``."""
+def _placed_tiles(count: int, lo: float, hi: float, seed: int) -> Column:
+    """Array of ``(i, y0, x0, th, tw)`` as an expression of ``height`` and ``width``."""
     h, w = F.col("height"), F.col("width")
 
     def sized(t: Column) -> Column:
@@ -108,7 +66,6 @@ def _placed_tiles(
             F.greatest(F.lit(1), (w * t["share"]).cast("int")).alias("tw"),
             t["uy"].alias("uy"),
             t["ux"].alias("ux"),
-            t["order"].alias("order"),
         )
 
     def placed(t: Column) -> Column:
@@ -119,22 +76,21 @@ def _placed_tiles(
             F.floor(t["ux"] * free_x).cast("int").alias("x0"),
             t["th"].alias("th"),
             t["tw"].alias("tw"),
-            t["order"].alias("order"),
         )
 
-    return F.transform(F.transform(_drawn_tiles(count, lo, hi, seed, shuffles), sized), placed)
+    return F.transform(F.transform(_drawn_tiles(count, lo, hi, seed), sized), placed)
 
 
 def tile_geometry(
-    height: int, width: int, count: int, lo: float, hi: float, base: int
+    height: int, width: int, count: int, lo: float, hi: float, base: int, frame: list[int] = ()
 ) -> list[tuple[int, int, int, int]]:
-    """``(y0, x0, th, tw)`` of each seeded tile of one frame size, as Python integers."""
+    """``(y0, x0, th, tw)`` of each tile of one frame size (of one frame, given its keys)."""
     out = []
     for i in range(count):
-        share = lo + draws.uniform_value(base, "tile_size", i) * (hi - lo)
+        share = lo + draws.uniform_value(base, "tile_size", *frame, i) * (hi - lo)
         th, tw = max(1, int(height * share)), max(1, int(width * share))
-        y0 = int(draws.uniform_value(base, "tile_y", i) * max(1, height - th + 1))
-        x0 = int(draws.uniform_value(base, "tile_x", i) * max(1, width - tw + 1))
+        y0 = int(draws.uniform_value(base, "tile_y", *frame, i) * max(1, height - th + 1))
+        x0 = int(draws.uniform_value(base, "tile_x", *frame, i) * max(1, width - tw + 1))
         out.append((y0, x0, th, tw))
     return out
 
@@ -156,176 +112,209 @@ def tile_table(
     )
 
 
-def _crossing(scan: DataFrame, tiles: Column) -> DataFrame:
-    """Keep, per scanline, the tiles that cross it, in drawing order."""
-    placed = scan.withColumn("_all", tiles)
-    crossing = F.filter(
-        "_all", lambda t: (F.col("y") >= t["y0"]) & (F.col("y") < t["y0"] + t["th"])
-    )
-    return placed.withColumn("_tiles", crossing).drop("_all")
-
-
-def _splice(line: Column, tile: Column, width: Column, middle: Column) -> Column:
-    """``line`` with the tile's columns replaced by ``middle``."""
-    end = tile["x0"] + tile["tw"]
-    return F.concat(F.slice(line, 1, tile["x0"]), middle, F.slice(line, end + 1, width - end))
+Tile = tuple[int, int, int, int, int]  # first line, first column, lines, columns, band order
 
 
-def _apply(scan: DataFrame, bands: list[str], change) -> DataFrame:
-    """Fold ``change(line_struct, tile) -> {band: array}`` over the tiles that cross each line."""
-    folded = F.aggregate(
-        "_tiles",
-        F.struct(*[F.col(b).alias(b) for b in bands]),
-        lambda line, t: F.struct(*[c.alias(b) for b, c in change(line, t).items()]),
-    )
-    untouched = F.size("_tiles") == 0
-    lines = F.when(untouched, F.struct(*[F.col(b).alias(b) for b in bands])).otherwise(folded)
-    keep = [b for b in all_bands(scan) if b not in bands]
-    return scan.withColumn("_out", lines).select(
-        *KEYS, *[F.col("_out")[b].alias(b) for b in bands], *keep
-    )
-
+def _tiles_of(
+    height: int, width: int, count: int, lo: float, hi: float, base: int, frame: list[int], shuffles: float | None
+) -> list[Tile]:
+    """The tiles of one frame size (of one frame when ``frame`` has its keys), in drawing order."""
+    out = []
+    for i, place in enumerate(tile_geometry(height, width, count, lo, hi, base, frame)):
+        order = 0
+        if shuffles and draws.uniform_value(base, "tile_happens", *frame, i) < shuffles:
+            order = int(draws.uniform_value(base, "tile_order", *frame, i) * len(ALL_ORDERS))
+        out.append((*place, order))
+    return out
 
-def _cut(line: Column, tile: Column) -> Column:
-    return F.slice(line, tile["x0"] + 1, tile["tw"])
 
+def _tile_kernel(change, count: int, lo: float, hi: float, seed: int | None, shuffles: float | None = None) -> LineKernel:
+    """Apply ``change(cut, number, order, y, x, keys) -> cut`` to every tile's part of the lines.
 
-def band_swap(
-    df: DataFrame,
+    A tile's place depends on the seed, its number and the frame size only (without a seed also on
+    the frame), so any batch of lines knows its tiles. They are applied in drawing order.
+    """
+    base = draws.fresh_seed(seed)
+    known: dict[tuple, list[Tile]] = {}
+
+    def run(planes: Planes, lines: Lines) -> Planes:
+        done = {b: p if b == "a" else p.copy() for b, p in planes.items()}
+        bands = [b for b in planes if b != "a"]
+        keys = draws.key_arrays(seed, lines.frame_id)
+        groups = [np.arange(len(lines.y))]
+        if keys:
+            ids, place = np.unique(lines.frame_id, return_inverse=True)
+            groups = [np.flatnonzero(place == i) for i in range(len(ids))]
+        for rows in groups:
+            frame = tuple(int(k[rows[0]]) for k in keys)
+            size = (lines.height, lines.width, frame)
+            if size not in known:
+                known.clear()
+                known[size] = _tiles_of(*size[:2], count, lo, hi, base, list(frame), shuffles)
+            y = lines.y[rows]
+            for i, (y0, x0, th, tw, order) in enumerate(known[size]):
+                crossed = rows[(y >= y0) & (y < y0 + th)]
+                if not len(crossed):
+                    continue
+                whole = crossed[-1] - crossed[0] + 1 == len(crossed)
+                at = slice(crossed[0], crossed[-1] + 1) if whole else crossed
+                cut = [done[b][at, x0 : x0 + tw] for b in bands]
+                x = np.arange(x0, x0 + tw)[None, :]
+                new = change(cut, i, order, lines.y[at][:, None], x, frame)
+                for b, c in zip(bands, [n.copy() if n.base is not None else n for n in new]):
+                    done[b][at, x0 : x0 + tw] = c
+        return done
+
+    return LineKernel(run)
+
+
+def band_swap_chain(
+    bands: list[str],
     tile_count: int,
     permutation: str,
     tile_size_range: tuple[float, float] = TILE_SIZE_RANGE,
     seed: int | None = None,
-) -> DataFrame:
-    """Permute the colour bands inside random tiles."""
+) -> list[Kernel]:
     lo, hi = check_tiles(tile_count, 50, tile_size_range)
     check_choice("permutation", permutation, tuple(PERMUTATIONS))
-    if is_grey(df):
+    if "v" in bands:
         raise ValueError("band_swap needs a colour raster")
     order = PERMUTATIONS[permutation]
-    tiles = _placed_tiles(tile_count, lo, hi, seed)
-    scan = _crossing(to_scanlines(df), tiles)
-    bands = value_bands(df)
 
-    def swap(line, t):
-        return {
-            b: line[b] if order[i] == i
-            else _splice(line[b], t, F.col("width"), _cut(line[bands[order[i]]], t))
-            for i, b in enumerate(bands)
-        }
+    def swap(cut, *_):
+        return [cut[k] for k in order]
 
-    return _apply(scan, bands, swap)
+    return [_tile_kernel(swap, tile_count, lo, hi, seed)]
 
 
-def buffer_corruption(
+def band_swap(
     df: DataFrame,
     tile_count: int,
+    permutation: str,
+    tile_size_range: tuple[float, float] = TILE_SIZE_RANGE,
+    seed: int | None = None,
+) -> DataFrame:
+    """Permute the colour bands inside random tiles."""
+    return apply(df, band_swap_chain(all_bands(df), tile_count, permutation, tile_size_range, seed))
+
+
+def buffer_corruption_chain(
+    bands: list[str],
+    tile_count: int,
     corruption_type: str,
     severity: float,
     tile_size_range: tuple[float, float] = TILE_SIZE_RANGE,
     seed: int | None = None,
-) -> DataFrame:
-    """Corrupt random tiles: ``xor`` with random masks, ``invert`` blend, or ``channel_shuffle``."""
+) -> list[Kernel]:
     lo, hi = check_tiles(tile_count, 20, tile_size_range)
     check_choice("corruption_type", corruption_type, ("xor", "invert", "channel_shuffle"))
     check_range("severity", severity, 0.0, 1.0)
-    grey = is_grey(df)
     most = int(255 * severity)
     if (
         severity == 0
         or (corruption_type == "xor" and most == 0)
-        or (corruption_type == "channel_shuffle" and grey)
+        or (corruption_type == "channel_shuffle" and "v" in bands)
     ):
-        return df
-    base, per_frame = draws.fresh_seed(seed), draws.frame_keys(seed)
-    bands = value_bands(df)
-
-    shuffles = severity if corruption_type == "channel_shuffle" else None
-    tiles = _placed_tiles(tile_count, lo, hi, seed, shuffles)
-    scan = _crossing(to_scanlines(df), tiles)
-
+        return []
+    seed_used = draws.fresh_seed(seed)
     keep, flip = 1.0 - severity, float(severity)
-    inverted = int_array(int(v * keep + (255 - v) * flip) for v in range(256))
-
-    def xored(cut: Column, t: Column, c: int) -> Column:
-        """Masks of a tile's line: all but the column is hashed once per line."""
-
-        channel = draws.prefix(base, "xor", *per_frame, "y", c)
+    inverted = np.array([int(v * keep + (255 - v) * flip) for v in range(256)], np.int32)
+
+    def change(cut, i, order, y, x, frame):
+        if corruption_type == "invert":
+            return [inverted[c] for c in cut]
+        if corruption_type == "channel_shuffle":
+            return [cut[k] for k in ALL_ORDERS[order]]
+        return [
+            c ^ draws.uniform_int_array(seed_used, "xor", 0, most + 1, *frame, y, k, i, x).astype(np.int32)
+            for k, c in enumerate(cut)
+        ]
 
-        def masked(shared: Column) -> Column:
-            def one(v: Column, k: Column) -> Column:
-                u = draws.finish(shared, t["x0"] + k)
-                return v.bitwiseXOR(F.floor(u * F.lit(most + 1)).cast("int"))
-
-            return F.transform(cut, one)
-
-        return let(draws.extend(channel, t["i"]), masked)
-
-    def change(line, t):
-        out = {}
-        for c, b in enumerate(bands):
-            cut = _cut(line[b], t)
-            if corruption_type == "xor":
+    shuffles = severity if corruption_type == "channel_shuffle" else None
+    return [_tile_kernel(change, tile_count, lo, hi, seed, shuffles)]
 
-                middle = xored(cut, t, c)
-            elif corruption_type == "invert":
-                middle = looked_up(cut, inverted)
-            else:
-                choice = F.lit(None)
-                for n, order in enumerate(ALL_ORDERS):
-                    source = _cut(line[bands[order[c]]], t)
-                    choice = F.when(t["order"] == n, source) if n == 0 else choice.when(
-                        t["order"] == n, source
-                    )
-                middle = choice
-            out[b] = _splice(line[b], t, F.col("width"), middle)
-        return out
 
-    return _apply(scan, bands, change)
+def buffer_corruption(
+    df: DataFrame,
+    tile_count: int,
+    corruption_type: str,
+    severity: float,
+    tile_size_range: tuple[float, float] = TILE_SIZE_RANGE,
+    seed: int | None = None,
+) -> DataFrame:
+    """Corrupt random tiles: ``xor`` with random masks, ``invert`` blend, or ``channel_shuffle``."""
+    return apply(
+        df, buffer_corruption_chain(all_bands(df), tile_count, corruption_type, severity, tile_size_range, seed)
+    )
 
 
-def grid_cutoffs(frames: DataFrame, tile_size: int, severity: float, seed: int) -> DataFrame:
-    """Per frame size, the rank at or below which ``int(severity*tiles)`` grid tiles fall.
+def grid_cutoff(down: int, across: int, picked: int, seed: int) -> tuple[int, int]:
+    """``(draw, cell)`` of the last of the ``picked`` cells with the least draws, in that order.
 
-    The n-th smallest of the tiles' ranks is found by counting: ranks are cut into 4096 equal
-    ranges, ranges are counted (partial aggregation), and only the range that holds the n-th
-    rank is sorted, so a size with very many tiles is not one task's work.
+    Cells are counted by 4096 ranges of draws, a chunk at a time; only the range that holds the last
+    one is kept and sorted, so memory does not follow the number of cells.
     """
-    s = F.lit(int(tile_size))
-    across = F.ceil(F.col("width") / s).cast("long")
-    down = F.ceil(F.col("height") / s).cast("long")
-    ranked = (
-        frames.select("height", "width")
-        .distinct()
-        .withColumns({side: checked_side(side) for side in ("height", "width")})
-        .withColumns({"across": across, "down": down})
-        .withColumn("picked", (F.lit(float(severity)) * F.col("across") * F.col("down")).cast("long"))
-        .where("picked > 0")
-        .withColumn("ty", F.explode(F.sequence(F.lit(0).cast("long"), F.col("down") - 1)))
-        .withColumn("tx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("across") - 1)))
-        .select("height", "width", "picked", grid_rank(seed).alias("rank"))
-        .withColumn("part", F.shiftright("rank", 51))
-    )
-    counts = ranked.groupBy("height", "width", "part").agg(F.count("*").alias("n"))
-    by_part = Window.partitionBy("height", "width").orderBy("part")
-    before = counts.withColumn(
-        "before", F.sum("n").over(by_part.rowsBetween(Window.unboundedPreceding, -1))
-    ).select("height", "width", "part", F.coalesce("before", F.lit(0)).alias("before"), "n")
-    target = ranked.join(before, ["height", "width", "part"]).where(
-        "picked > before and picked <= before + n"
-    )
-    nth = F.row_number().over(Window.partitionBy("height", "width").orderBy("rank"))
-    return (
-        target.withColumn("nth", nth + F.col("before"))
-        .where("nth = picked")
-        .select("height", "width", F.col("rank").alias("cutoff"))
-    )
-
-
-def grid_rank(seed: int) -> Column:
-    """Unique sort key of a grid tile: its draw, then its place (sides are below 2**16)."""
-    drawn = draws.state(seed, "grid_pick", "ty", "tx")
-    return F.shiftleft(drawn, 32) + F.shiftleft(F.col("ty"), 16) + F.col("tx")
+    cells = down * across
+
+    def chunks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for first in range(0, cells, CELLS):
+            cell = np.arange(first, min(cells, first + CELLS))
+            yield cell, draws.state_array(seed, "grid_pick", cell // across, cell % across)
+
+    counts = np.zeros(4096, np.int64)
+    for _, drawn in chunks():
+        counts += np.bincount(drawn >> 19, minlength=4096)
+    total = np.cumsum(counts)
+    part = int(np.searchsorted(total, picked))
+    kept = [(cell[drawn >> 19 == part], drawn[drawn >> 19 == part]) for cell, drawn in chunks()]
+    cell, drawn = (np.concatenate(k) for k in zip(*kept))
+    nth = np.lexsort((cell, drawn))[picked - int(total[part] - counts[part]) - 1]
+    return int(drawn[nth]), int(cell[nth])
+
+
+def buffer_corruption_grid_chain(
+    bands: list[str],
+    tile_size: int = 64,
+    severity: float = 0.5,
+    magnitude: int = 255,
+    corruption_type: str = "xor",
+    seed: int = 42,
+) -> list[Kernel]:
+    check_choice("corruption_type", corruption_type, ("xor", "invert", "channel_shuffle"))
+    check_range("severity", severity, 0.0, 1.0)
+    check_range("magnitude", magnitude, 0, 255)
+    check_range("tile_size", tile_size, 1, float("inf"))
+    if "v" in bands:
+        raise ValueError("buffer_corruption_grid needs a colour raster")
+    s = int(tile_size)
+    known: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def run(planes: Planes, lines: Lines) -> Planes:
+        colour = [planes[b] for b in "rgb"]
+        across, down = -(-lines.width // s), -(-lines.height // s)
+        picked = int(float(severity) * across * down)
+        if not picked:
+            return dict(zip("rgb", colour))
+        if (down, across) not in known:
+            known[down, across] = grid_cutoff(down, across, picked, seed)
+        last_draw, last_cell = known[down, across]
+        tile_rows, place = np.unique(lines.y // s, return_inverse=True)
+        ty, tx = tile_rows[:, None].astype(np.int64), np.arange(across)[None, :]
+        drawn = draws.state_array(seed, "grid_pick", ty, tx)
+        active = (drawn < last_draw) | ((drawn == last_draw) & (ty * across + tx <= last_cell))
+        hit = active[place][:, np.arange(lines.width) // s]
+        y, x = lines.y[:, None], np.arange(lines.width)[None, :]
+        if corruption_type == "invert":
+            changed = [255 - c for c in colour]
+        elif corruption_type == "xor":
+            mask = (draws.state_array(seed, "grid_value", y, x) >> 23) % (int(magnitude) + 1)
+            changed = [c ^ mask for c in colour]
+        else:
+            n = draws.uniform_int_array(seed, "grid_value", 0, len(ALL_ORDERS), y, x)
+            changed = [np.choose(np.array(ALL_ORDERS)[:, c][n], colour) for c in range(3)]
+        return {b: np.where(hit, new, c).astype(np.int32) for b, new, c in zip("rgb", changed, colour)}
+
+    return [LineKernel(run, lambda _: ["r", "g", "b"])]
 
 
 def buffer_corruption_grid(
@@ -335,37 +324,8 @@ def buffer_corruption_grid(
     magnitude: int = 255,
     corruption_type: str = "xor",
     seed: int = 42,
-    frames: DataFrame | None = None,
 ) -> DataFrame:
     """Corrupt ``int(severity*tiles)`` cells of a fixed grid; draws are per pixel; alpha is dropped."""
-    check_choice("corruption_type", corruption_type, ("xor", "invert", "channel_shuffle"))
-    check_range("severity", severity, 0.0, 1.0)
-    check_range("magnitude", magnitude, 0, 255)
-    check_range("tile_size", tile_size, 1, MAX_SIDE)
-    if is_grey(df):
-        raise ValueError("buffer_corruption_grid needs a colour raster")
-    bands = value_bands(df)
-    px = to_pixels(df).drop("a")
-    frames = frames_of(df) if frames is None else frames
-    cutoffs = broadcast_per_size(grid_cutoffs(frames, tile_size, severity, seed), frames)
-    s = int(tile_size)
-    cell = px.withColumns(
-        {"ty": F.floor(F.col("y") / s).cast("long"), "tx": F.floor(F.col("x") / s).cast("long")}
-    ).join(cutoffs, ["height", "width"], "left")
-    hit = grid_rank(seed) <= F.col("cutoff")
-    if corruption_type == "xor":
-        mask = F.shiftright(draws.state(seed, "grid_value", "y", "x"), 23).cast("int")
-        changed = {b: F.col(b).bitwiseXOR(mask % (magnitude + 1)) for b in bands}
-    elif corruption_type == "invert":
-        changed = {b: F.lit(255) - F.col(b) for b in bands}
-    else:
-        n = draws.uniform_int(seed, "grid_value", 0, len(ALL_ORDERS), "y", "x")
-        changed = {
-            b: F.element_at(
-                F.array(*[F.col(bands[order[c]]) for order in ALL_ORDERS]), n + 1
-            )
-            for c, b in enumerate(bands)
-        }
-    return cell.select(
-        *KEYS, "x", *[F.when(hit, changed[b]).otherwise(F.col(b)).cast("int").alias(b) for b in bands]
+    return apply(
+        df, buffer_corruption_grid_chain(all_bands(df), tile_size, severity, magnitude, corruption_type, seed)
     )

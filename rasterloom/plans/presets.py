@@ -1,7 +1,8 @@
-"""Ready step lists. Operations and their settings, in order."""
+"""Ready step lists."""
 
 from __future__ import annotations
 
+# The list behind the baseline's timing.
 GLITCH_ART = [
     {"name": "gaps", "operation": "slc_off",
      "params": {"gap_width": 0.5, "scan_period": 8, "fill_mode": "white"}},
@@ -18,34 +19,43 @@ GLITCH_ART = [
      "params": {"tile_count": 20, "quality": 1, "tile_size_range": [0.08, 0.25], "seed": 400}},
 ]
 
-SEVERE_DEGRADATION = [
-    {"name": "pixelate", "operation": "downscale",
-     "params": {"scale": 0.15, "upscale": True, "downscale_method": "bicubic",
-                "upscale_method": "nearest"}},
-    {"name": "squeeze", "operation": "compression",
-     "params": {"quality": 10, "subsampling": 2, "optimize": False}},
-    {"name": "smear", "operation": "motion_blur", "params": {"kernel_size": 3, "angle": 45}},
-    {"name": "generations", "operation": "multi_compress",
-     "params": {"iterations": 8, "quality_start": 40, "quality_end": 5, "decay": "exponential",
-                "subsampling": 2}},
+# A per-pixel step before a blur, and a line step behind it.
+WORN_PRINT = [
+    {"name": "warm", "operation": "saturation", "params": {"mode": "fixed", "value": 0.35}},
+    {"name": "soft", "operation": "blur_gaussian", "params": {"sigma": 1.5}},
+    {"name": "banded", "operation": "noise", "params": {"mode": "row", "amount": 0.08, "seed": 11}},
 ]
 
-BLUR_SEQUENCE = [
-    {"name": "sideways", "operation": "motion_blur", "params": {"kernel_size": 2, "angle": 0}},
-    {"name": "upright", "operation": "motion_blur", "params": {"kernel_size": 2, "angle": 90}},
-    {"name": "diagonal", "operation": "motion_blur", "params": {"kernel_size": 3, "angle": 45}},
-    {"name": "squeeze", "operation": "compression", "params": {"quality": 60, "subsampling": 2}},
+# Frames get smaller and stay small; what follows works on the new size.
+SMALL_SENSOR = [
+    {"name": "grain", "operation": "noise", "params": {"mode": "gaussian", "amount": 0.06, "seed": 21}},
+    {"name": "shrunk", "operation": "downscale",
+     "params": {"scale": 0.5, "upscale": False, "downscale_method": "box"}},
+    {"name": "mosaic", "operation": "bayer_filter", "params": {"pattern": "GBRG"}},
+    {"name": "stored", "operation": "compression", "params": {"quality": 35}},
 ]
 
-SATURATION_STEPS = [
-    {"name": "initial", "operation": "saturation",
-     "params": {"mode": "random", "range": [-0.3, 0.3], "seed": 1}},
-    {"name": "boost", "operation": "saturation", "params": {"mode": "fixed", "value": 1.2}},
-    {"name": "final", "operation": "saturation",
-     "params": {"mode": "random", "range": [-0.2, 0.2], "seed": 2}},
+# Four steps with neighbours of different reach, for stores and streams.
+DRIFTING_TAPE = [
+    {"name": "fringe", "operation": "chromatic_aberration", "params": {"shift_x": 2, "shift_y": -1}},
+    {"name": "drag", "operation": "motion_blur", "params": {"kernel_size": 6, "angle": 120}},
+    {"name": "ribs", "operation": "corduroy",
+     "params": {"strength": 0.6, "orientation": "vertical", "density": 0.4, "seed": 8}},
+    {"name": "copy", "operation": "compression", "params": {"quality": 45, "subsampling": 1}},
 ]
 
-REPEATED_COMPRESSION = [
-    {"name": "again", "operation": "compression", "repeat": 5,
-     "params": {"quality": 40, "subsampling": 2, "optimize": True}},
+# A step repeated more often than a lazy plan would stand as separate passes.
+COPIES_OF_COPIES = [
+    {"name": "copies", "operation": "compression", "repeat": 10, "params": {"quality": 55}},
+]
+
+# Only line work, so it runs on a stream as it is.
+LINE_FAULTS = [
+    {"name": "dust", "operation": "salt_pepper", "params": {"amount": 0.04, "salt_vs_pepper": 0.7, "seed": 31}},
+    {"name": "ribs", "operation": "corduroy",
+     "params": {"strength": 0.9, "orientation": "vertical", "density": 0.25, "seed": 32}},
+    {"name": "rows", "operation": "corduroy",
+     "params": {"strength": 0.5, "orientation": "horizontal", "density": 0.5, "seed": 33}},
+    {"name": "cells", "operation": "buffer_corruption_grid",
+     "params": {"tile_size": 9, "severity": 0.3, "magnitude": 63, "corruption_type": "xor", "seed": 34}},
 ]

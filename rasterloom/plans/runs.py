@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions.naming import DEFAULT_PATTERN, frame_name, output_name
-from rasterloom.model import BROADCAST_ROWS, all_bands
+from rasterloom.model import all_bands
 from rasterloom.operators.frames import sample_every_seconds, segment
 from rasterloom.plans.steps import Step, parse_segment, parse_steps, run_steps
 
@@ -48,12 +48,9 @@ def choose_frames(
 def take_frames(raster: DataFrame, chosen: DataFrame) -> DataFrame:
     """The raster of the chosen frames, under their new ids.
 
-    The frame list is broadcast once it is known to be short; a longer one joins by shuffle,
-    where adaptive execution splits a frame with very many lines.
+    Adaptive execution broadcasts a short list, and splits a frame with very many lines.
     """
     ids = chosen.select(F.col("frame_id").alias("_new"), F.col("source_id").alias("frame_id"))
-    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
     kept = [c for c in raster.columns if c not in ("frame_id", *all_bands(raster))]
     return raster.join(ids, "frame_id").select(
         F.col("_new").alias("frame_id"), *kept, *all_bands(raster)
@@ -61,7 +58,10 @@ def take_frames(raster: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def run(frames: DataFrame, raster: DataFrame, config: dict, **options) -> dict[str, DataFrame]:
-    """Choose the config's segment and run its steps; ``chosen`` in the result lists the frames."""
+    """Choose the config's segment and run its steps; ``chosen`` in the result lists the frames.
+
+    An ``output`` section of the config says where steps are stored (``run_steps``).
+    """
     chosen = choose_frames(frames, *parse_segment(config))
     return {"chosen": chosen} | run_steps(take_frames(raster, chosen), config, **options)
 

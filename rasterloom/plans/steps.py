@@ -8,38 +8,38 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from rasterloom.functions.naming import step_name
-from rasterloom.model import frames_of
+from rasterloom.model import all_bands
 from rasterloom.operators import blocks, lines, pixelwise, resample, stencils, tiles
-from rasterloom.session import cut_lineage
+from rasterloom.operators.passes import Kernel, alignment, apply, bands_after, reach
 from rasterloom.sources.raster import read_raster, write_step
 
 Operation = Callable[..., DataFrame]
-
-OPERATIONS: dict[str, Operation] = {
-    "band_swap": tiles.band_swap,
-    "bayer_filter": stencils.bayer_filter,
-    "blur_circular": stencils.blur_circular,
-    "blur_gaussian": stencils.blur_gaussian,
-    "buffer_corruption": tiles.buffer_corruption,
-    "buffer_corruption_grid": tiles.buffer_corruption_grid,
-    "chromatic_aberration": stencils.chromatic_aberration,
-    "compression": blocks.compression,
-    "compression_artifact": blocks.compression_artifact,
-    "corduroy": lines.corduroy,
-    "downscale": resample.downscale,
-    "motion_blur": stencils.motion_blur,
-    "multi_compress": blocks.multi_compress,
-    "noise": pixelwise.noise,
-    "salt_pepper": pixelwise.salt_pepper,
-    "saturation": pixelwise.saturation,
-    "slc_off": lines.slc_off,
+Chain = Callable[..., list[Kernel]]
+
+#: Operations that keep a frame's size, as chains of kernels: neighbours share a pass.
+CHAINS: dict[str, Chain] = {
+    "band_swap": tiles.band_swap_chain,
+    "bayer_filter": stencils.bayer_filter_chain,
+    "blur_circular": stencils.blur_circular_chain,
+    "blur_gaussian": stencils.blur_gaussian_chain,
+    "buffer_corruption": tiles.buffer_corruption_chain,
+    "buffer_corruption_grid": tiles.buffer_corruption_grid_chain,
+    "chromatic_aberration": stencils.chromatic_aberration_chain,
+    "compression": blocks.compression_chain,
+    "compression_artifact": blocks.compression_artifact_chain,
+    "corduroy": lines.corduroy_chain,
+    "motion_blur": stencils.motion_blur_chain,
+    "multi_compress": blocks.multi_compress_chain,
+    "noise": pixelwise.noise_chain,
+    "salt_pepper": pixelwise.salt_pepper_chain,
+    "saturation": pixelwise.saturation_chain,
+    "slc_off": lines.slc_off_chain,
 }
-USES_FRAMES = ("buffer_corruption_grid", "corduroy", "salt_pepper")
-CUT_EVERY = 8  # applications between lineage cuts of a repeated step
+OPERATIONS: dict[str, Operation] = {"downscale": resample.downscale}
 MOST_REPEATS = 100
+MOST_HALO = 512  # lines that one pass may read above or below a strip, unless one kernel reads more
 
 
 @dataclass(frozen=True)
@@ -83,79 +83,95 @@ def parse_segment(config: dict) -> tuple[float, float, float]:
     return start, end, interval
 
 
-def _frames_after(frames: DataFrame, step: Step) -> DataFrame:
-    """Frame sizes after a step: only a downscale that is not scaled back changes them."""
-    if step.operation != "downscale" or step.params.get("upscale", True):
-        return frames
-    scale = F.lit(float(step.params["scale"]))
-    smaller = {
-        side: F.greatest(F.lit(1), (F.col(side) * scale).cast("int")) for side in ("height", "width")
-    }
-    return frames.withColumns(smaller)
-
-
-def _accepted(operation: Operation, step: Step) -> dict[str, Any]:
+def _accepted(operation: Operation | Chain, step: Step) -> dict[str, Any]:
     """The step's parameters that the operation takes; a missing one is a ValueError."""
     takes = dict(list(inspect.signature(operation).parameters.items())[1:])
     missing = [n for n, p in takes.items() if p.default is p.empty and n not in step.params]
     if missing:
         raise ValueError(f"step {step.name!r}: {step.operation} needs {', '.join(missing)}")
-    return {n: v for n, v in step.params.items() if n in takes and n != "frames"}
+    return {n: v for n, v in step.params.items() if n in takes}
+
+
+class _Fused:
+    """A raster and the kernels still to be run on it; kernels join the last pass while it is not
+    too wide."""
+
+    def __init__(self, raster: DataFrame):
+        self.raster, self.chain = raster, []
+
+    @property
+    def bands(self) -> list[str]:
+        return bands_after(all_bands(self.raster), self.chain)
+
+    def add(self, more: list[Kernel]) -> None:
+        whole = [*self.chain, *more]
+        if self.chain and max(reach(whole, alignment(whole))) > MOST_HALO:
+            self.raster, whole = self.current(), more
+        self.chain = whole
+
+    def current(self) -> DataFrame:
+        return apply(self.raster, self.chain)
+
+
+def _targets(config: dict | list, sink: str | dict | None, steps: list[Step]) -> list[str | None]:
+    """The folder of each step: all in ``sink``, or by the config's or the sink's
+    ``final_dir`` for the last and ``intermediate_dir`` for the others."""
+    named = sink if isinstance(sink, dict) else None
+    if sink is None and isinstance(config, dict):
+        named = config.get("output") or config.get("pipeline", {}).get("output")
+    if named is None:
+        return [sink] * len(steps)
+    if not {"final_dir", "intermediate_dir"} <= set(named):
+        raise ValueError("the output needs final_dir and intermediate_dir")
+    return [named["intermediate_dir"]] * (len(steps) - 1) + [named["final_dir"]]
 
 
 def run_steps(
     raster: DataFrame,
     config: dict | list,
-    frames: DataFrame | None = None,
-    sink: str | None = None,
+    sink: str | dict | None = None,
     jpeg_between: int | None = None,
     extra: dict[str, Operation] | None = None,
 ) -> dict[str, DataFrame]:
     """Run every step in order; the result maps step names to rasters (a later namesake wins).
 
-    Without ``sink`` the steps are one lazy plan: per-pixel steps fuse, and a shuffle happens
-    only where a step needs neighbours. With ``sink`` each step is written there and the next
-    step reads it back, so no step is computed twice and a lost executor costs one step.
-    ``jpeg_between`` adds a lossy generation of that quality after each step. ``extra`` adds
-    operations ``fn(raster, **params) -> raster`` by name; parameters that a built-in operation
-    does not know are ignored. ``frames`` (``frame_id, height,
-    width``) saves passes over the raster by steps that need the sizes present.
+    Steps are chains of kernels, and neighbouring ones, repeats too, share a pass: one map over
+    batches of lines, or one shuffle into strips as soon as a kernel reads other lines. A downscale
+    and operations from outside stand between passes. ``sink`` is a folder, or a mapping with
+    ``final_dir`` and ``intermediate_dir``; the config's ``output`` section serves as such a
+    mapping. With one each step is written and read back, so no step is computed twice and a lost
+    executor costs one step. ``jpeg_between`` adds a lossy generation of that quality after each
+    step. ``extra`` adds operations ``fn(raster, **params) -> raster`` by name; parameters that a
+    built-in operation does not know are ignored.
     """
     steps = parse_steps(config)
-    known = OPERATIONS | (extra or {})
+    own = extra or {}
+    known = CHAINS | OPERATIONS | own
     for step in steps:
         if step.operation not in known:
             raise KeyError(f"unknown operation {step.operation!r}; known: {', '.join(sorted(known))}")
-    own = extra or {}
     params = [
         step.params if step.operation in own else _accepted(known[step.operation], step)
         for step in steps
     ]
-    seen: list[str] = []
+    seen: list[tuple[str, str | None]] = []
     results: dict[str, DataFrame] = {}
-    current = raster
-    for step, given_params in zip(steps, params):
-        needs_frames = step.operation in USES_FRAMES and step.operation not in own
-        for turn in range(step.repeat):
-            given = {}
-            if needs_frames:
-                frames = frames_of(current) if frames is None else frames
-                given = {"frames": frames}
-            current = known[step.operation](current, **given_params, **given)
-            if step.operation in own:
-                frames = None  # an operation from outside may have changed the sizes
-            elif frames is not None:
-                frames = _frames_after(frames, step)
-            if turn % CUT_EVERY == CUT_EVERY - 1 and turn + 1 < step.repeat:
-                current = cut_lineage(current)
+    state = _Fused(raster)
+    for step, given, target in zip(steps, params, _targets(config, sink, steps)):
+        operation = known[step.operation]
+        for _ in range(step.repeat):
+            if step.operation in CHAINS and step.operation not in own:
+                state.add(operation(state.bands, **given))
+            else:
+                state = _Fused(operation(state.current(), **given))
         if jpeg_between is not None:
-            current = blocks.compression(current, quality=jpeg_between)
-        if sink is not None:
+            state.add(blocks.compression_chain(state.bands, quality=jpeg_between))
+        if target is not None:
             # A later namesake gets a folder of its own, because it may read the earlier one.
-            earlier = seen.count(step.name)
+            earlier = seen.count((step.name, target))
             stored = f"{step.name}_{earlier:02d}" if earlier else step.name
-            write_step(current, sink, stored)
-            current = read_raster(raster.sparkSession, sink, stored)
-        seen.append(step.name)
-        results[step.name] = current
+            write_step(state.current(), target, stored)
+            state = _Fused(read_raster(raster.sparkSession, target, stored))
+        seen.append((step.name, target))
+        results[step.name] = state.current()
     return results

@@ -2,7 +2,7 @@
 
 Per-pixel, per-line and tile operators keep nothing between rows, so they run on a streaming
 table as they are. Operators that gather neighbours run on each micro-batch; a batch must then
-hold whole frames.
+hold whole frames, and one that lacks lines of a frame fails with that frame's name.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from rasterloom.plans.steps import run_steps
-from rasterloom.sources.raster import write_step
 
 
 def read_scanline_stream(
@@ -45,15 +44,15 @@ def write_stateless(
 def run_steps_on_stream(
     stream: DataFrame, config: dict | list, target: str, checkpoint: str, **options
 ) -> StreamingQuery:
-    """Run the steps on each micro-batch of whole frames.
+    """Run the steps on each micro-batch of whole frames, and keep every step.
 
-    A batch's result goes to its own ``step=<name>`` folder below ``batch=<id>``; a batch that is
-    run again after a failure replaces its folder, so results appear exactly once.
+    A batch's steps go to ``step=<name>`` folders below ``batch=<id>``, each written once and read by
+    the next; a batch that is run again after a failure replaces its folders, so results appear
+    exactly once.
     """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        name, last = list(run_steps(batch, config, **options).items())[-1]
-        write_step(last, f"{target}/batch={batch_id}", name)
+        run_steps(batch, config, sink=f"{target}/batch={batch_id}", **options)
 
     return (
         stream.writeStream.foreachBatch(one_batch)

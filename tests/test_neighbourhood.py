@@ -202,7 +202,15 @@ def test_block_round_trip(raster, planes):
 
 def test_skip_keeps_partial_blocks(raster):
     made = blocks.to_blocks(raster({1: picture(21, 19, 2, "v")}), partial="skip")
-    assert sorted((r.by, r.bx) for r in made.collect()) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+    assert sorted((r.by, len(r.v)) for r in made.collect()) == [(0, 128), (1, 128)]
+
+
+def test_block_work_shuffles_once(raster):
+    scan = raster({1: picture(21, 19, 2, "v")})
+    rebuilt = blocks.from_blocks(blocks.block_idct(blocks.quantize(blocks.block_dct(blocks.to_blocks(scan)), 20)))
+    colour = blocks.to_ycbcr(raster({1: picture(21, 19, 2)}))
+    for df, most in ((rebuilt, 1), (blocks.subsample_chroma(colour, 2), 1), (blocks.subsample_chroma(colour, 1), 0)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == most
 
 
 def test_quality_schedule():
@@ -220,6 +228,11 @@ def test_missing_line_is_an_error(raster):
     scan = raster({1: picture(10, 8, 1)}).where("y <> 4")
     with pytest.raises(Exception, match="exactly once"):
         stencils.blur_circular(scan, 2).collect()
+    for lost in ("y > 0", "y < 9"):
+        part = raster({7: picture(10, 8, 1)}).where(lost)
+        for op in (lambda d: stencils.blur_circular(d, 2), lambda d: blocks.compression(d, 50)):
+            with pytest.raises(Exception, match="exactly once: frame 7"):
+                op(part).collect()
 
 
 def test_pixel_and_line_input_agree(raster, planes):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import draws
 from rasterloom.model import to_pixels, to_scanlines
-from rasterloom.operators import lines, pixelwise, tiles
+from rasterloom.operators import lines, pixelwise, stencils, tiles
 
 
 def test_draws_agree_with_python(spark):
@@ -161,18 +161,73 @@ def test_grid_count(raster, planes):
     assert int((cells[:, 0] == 255).sum()) == 12
 
 
-def test_too_large_side_is_an_error(spark):
-    row = spark.range(1).select(
-        F.col("id").alias("frame_id"), F.lit(70000).alias("height"), F.lit(1).alias("width"),
-        F.lit(0).alias("y"), F.array(F.lit(1)).alias("v"),
-    )
-    with pytest.raises(Exception, match="height is above 65535"):
-        lines.corduroy(row, 1.0, "horizontal", 0.5, seed=1).collect()
+@pytest.mark.parametrize(
+    "op",
+    [
+        lambda d: lines.corduroy(d, 1.0, "vertical", 0.5, seed=1),
+        lambda d: lines.corduroy(d, 1.0, "horizontal", 0.5, seed=1),
+        lambda d: tiles.buffer_corruption_grid(d, 64, 0.5),
+        lambda d: pixelwise.salt_pepper(d, 0.2, seed=1),
+    ],
+)
+def test_very_wide_frames(raster, planes, op):
+    frame = {b: np.full((3, 70_000), 100) for b in "rgb"}
+    got = planes(op(raster({1: frame})))[1]
+    assert got["r"].shape == (3, 70_000) and (got["r"] != 100).any() and (got["r"] == 100).any()
 
 
-def test_grey_rules(raster, planes):
-    from rasterloom.operators import stencils
+def shuffles(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+@pytest.mark.parametrize(
+    "op",
+    [
+        lambda d: pixelwise.saturation(d, "fixed", 0.5),
+        lambda d: pixelwise.noise(d, "gaussian", 0.1, seed=1),
+        lambda d: pixelwise.noise(d, "column", 0.1, seed=1),
+        lambda d: pixelwise.salt_pepper(d, 0.1),
+        lambda d: lines.corduroy(d, 1.0, "vertical", 0.5),
+        lambda d: tiles.buffer_corruption_grid(d, 8, 0.5),
+        lambda d: tiles.band_swap(d, 5, "BGR"),
+    ],
+)
+def test_line_work_costs_no_shuffle(raster, op):
+    """Neither before a sink nor on the way to a neighbourhood step, which has one of its own."""
+    scan = raster({1: picture(20, 20, 1)})
+    assert shuffles(to_scanlines(op(scan))) == 0
+    assert shuffles(stencils.blur_gaussian(op(scan), 1.0)) == 1
+
+
+def test_grid_cutoff_in_chunks(monkeypatch):
+    whole = tiles.grid_cutoff(37, 29, 400, 5)
+    monkeypatch.setattr(tiles, "CELLS", 100)
+    assert tiles.grid_cutoff(37, 29, 400, 5) == whole
+    cell = np.arange(37 * 29)
+    drawn = draws.state_array(5, "grid_pick", cell // 29, cell % 29)
+    assert ((drawn < whole[0]) | ((drawn == whole[0]) & (cell <= whole[1]))).sum() == 400
+
 
+def test_hits_of_lines_are_those_of_the_frame(raster, planes, monkeypatch):
+    """Few hits are kept for the next lines, many are drawn again for each batch."""
+    scan = raster({1: picture(60, 50, 1), 2: picture(33, 20, 2)})
+    kept = planes(pixelwise.salt_pepper(scan, 0.3, seed=2))
+    monkeypatch.setattr(pixelwise, "HELD_DRAWS", 0)
+    monkeypatch.setattr(pixelwise, "DRAWS", 64)
+    again = planes(pixelwise.salt_pepper(scan.repartition(9), 0.3, seed=2))
+    assert all((kept[f][b] == again[f][b]).all() for f in kept for b in "rgb")
+
+
+def test_draws_of_arrays_agree_with_columns():
+    keys = np.arange(50)
+    assert draws.state_array(3, "n", keys, 7).tolist() == [draws.state_value(3, "n", k, 7) for k in range(50)]
+    ids = np.array([-5, 0, 1 << 40])
+    low, high = draws.key_arrays(None, ids)
+    assert low.tolist() == [i & 2147483647 for i in ids.tolist()]
+    assert high.tolist() == [((i % (1 << 64)) >> 31) % draws.P2 for i in ids.tolist()]
+
+
+def test_grey_rules(raster, planes):
     scan = raster({1: picture(8, 8, 1, "v")})
     with pytest.raises(ValueError):
         tiles.band_swap(scan, 1, "BGR")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import naming
 from rasterloom.functions.positions import explode_range, number_within
-from rasterloom.operators import frames, inventory, quality
+from rasterloom.operators import frames, inventory, quality, stencils, strips
 from rasterloom.plans.steps import parse_segment, parse_steps, run_steps
 from rasterloom.sources.images import read_frames, read_images
 from rasterloom.sources.raster import read_raster, write_step
@@ -226,11 +226,55 @@ def test_config_file(tmp_path):
         load_config(str(path))
 
 
-def test_repeat_cuts_lineage(raster, planes):
+def test_many_repeats_are_one_pass(raster, planes):
     scan = raster({1: picture(12, 12, 1, "v")})
-    step = {"name": "again", "operation": "blur_circular", "params": {"radius": 1}, "repeat": 20}
-    got = planes(run_steps(scan, [step])["again"])[1]["v"]
-    assert got.std() < planes(scan)[1]["v"].std() / 4
+    step = {"name": "again", "operation": "blur_circular", "params": {"radius": 1}, "repeat": 100}
+    again = run_steps(scan, [step])["again"]
+    assert again._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = planes(again)[1]["v"]
+    assert got.std() < planes(scan)[1]["v"].std() / 10
+    one = scan
+    for _ in range(3):
+        one = stencils.blur_circular(one, 1)
+    few = run_steps(scan, [step | {"repeat": 3}])["again"]
+    assert (planes(one)[1]["v"] == planes(few)[1]["v"]).all()
+
+
+def test_steps_share_passes(raster, planes, monkeypatch):
+    """A fused list over many small strips equals its operations one by one."""
+    scan = raster({1: picture(150, 11, 1, "rgba"), 2: picture(40, 23, 2, "rgba")})
+    steps = [
+        {"name": "a", "operation": "motion_blur", "params": {"kernel_size": 6, "angle": 100}},
+        {"name": "b", "operation": "corduroy",
+         "params": {"strength": 1, "orientation": "horizontal", "density": 0.5, "seed": 1}},
+        {"name": "c", "operation": "compression", "params": {"quality": 20}, "repeat": 2},
+        {"name": "d", "operation": "chromatic_aberration", "params": {"shift_x": 1, "shift_y": 3}},
+        {"name": "e", "operation": "compression_artifact",
+         "params": {"tile_count": 2, "quality": 5, "tile_size_range": [0.3, 0.6], "seed": 2}},
+        {"name": "f", "operation": "blur_gaussian", "params": {"sigma": 1.2}},
+    ]
+    single, current = {}, scan
+    for step in steps:
+        for _ in range(step.get("repeat", 1)):
+            current = run_steps(current, [step | {"repeat": 1}])[step["name"]]
+        single[step["name"]] = planes(current)
+    monkeypatch.setattr(strips, "STRIP_PIXELS", 1)
+    fused = run_steps(scan, steps)
+    assert fused["f"]._jdf.queryExecution().executedPlan().toString().count("applyInArrow") <= 1
+    for name, want in single.items():
+        got = planes(fused[name])
+        assert all((got[f][b] == want[f][b]).all() for f in want for b in want[f]), name
+
+
+def test_output_folders(raster, planes, spark, tmp_path):
+    scan = raster({1: picture(8, 8, 1)})
+    steps = [{"name": n, "operation": "blur_circular", "params": {"radius": 1}} for n in ("one", "two")]
+    places = {"intermediate_dir": str(tmp_path / "between"), "final_dir": str(tmp_path / "end")}
+    run_steps(scan, {"steps": steps, "output": places})
+    assert [r.step for r in read_raster(spark, places["intermediate_dir"]).select("step").distinct().collect()] == ["one"]
+    assert [r.step for r in read_raster(spark, places["final_dir"]).select("step").distinct().collect()] == ["two"]
+    with pytest.raises(ValueError, match="final_dir"):
+        run_steps(scan, {"steps": steps, "output": {"final_dir": "x"}})
 
 
 def test_store(raster, planes, spark, tmp_path):
@@ -281,20 +325,29 @@ def png(path, array):
 
 def test_image_files(spark, planes, tmp_path):
     rng = np.random.default_rng(1)
-    colour, small = rng.integers(0, 256, (5, 7, 3)), rng.integers(0, 256, (2, 3, 3))
-    png(tmp_path / "a.png", colour)
-    png(tmp_path / "b.png", small)
-    png(tmp_path / "c.png", rng.integers(0, 256, (4, 4)))
+    colour, grey, clear = rng.integers(0, 256, (5, 7, 3)), rng.integers(0, 256, (4, 4)), rng.integers(0, 256, (3, 2, 4))
+    for name, array in (("a", colour), ("b", grey), ("c", clear)):
+        png(tmp_path / f"{name}.png", array)
     listed = {r.name: r for r in read_frames(spark, str(tmp_path)).collect()}
     assert {n: (r.height, r.width, r.mode) for n, r in listed.items()} == {
-        "a.png": (5, 7, "RGB"), "b.png": (2, 3, "RGB"), "c.png": (4, 4, "L")
+        "a.png": (5, 7, "RGB"), "b.png": (4, 4, "L"), "c.png": (3, 2, "RGBA")
     }
     got = planes(read_images(spark, str(tmp_path)))
-    for name, want in (("a.png", colour), ("b.png", small)):
-        bands = got[listed[name].frame_id]
-        for i, b in enumerate("rgb"):
-            assert (bands[b] == want[:, :, i]).all()
-    assert list(planes(read_images(spark, str(tmp_path), "L"))) == [listed["c.png"].frame_id]
+    for name, want in (("a", colour), ("b", np.repeat(grey[:, :, None], 3, 2)), ("c", clear[:, :, :3])):
+        bands = got[listed[f"{name}.png"].frame_id]
+        assert all((bands[b] == want[:, :, i]).all() for i, b in enumerate("rgb"))
+    luma = planes(read_images(spark, str(tmp_path), "L"))
+    assert (luma[listed["b.png"].frame_id]["v"] == grey).all()
+    red, green, blue = (colour[:, :, i] for i in range(3))
+    assert (luma[listed["a.png"].frame_id]["v"] == (red * 19595 + green * 38470 + blue * 7471 + 32768) >> 16).all()
+    with_alpha = planes(read_images(spark, str(tmp_path), "RGBA"))
+    assert (with_alpha[listed["c.png"].frame_id]["a"] == clear[:, :, 3]).all()
+    (tmp_path / "d.png").write_bytes(b"no picture")
+    broken = {r.name: r for r in read_frames(spark, str(tmp_path)).collect()}["d.png"]
+    assert (broken.height, broken.width, broken.mode) == (None, None, None)
+    with pytest.raises(Exception, match="not an image"):
+        read_images(spark, str(tmp_path)).collect()
+    assert len(planes(read_images(spark, str(tmp_path), broken="skip"))) == 3
 
 
 def test_file_listing(spark, tmp_path):
