@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 
-from rasterloom.checks import sql
+from rasterloom.checks import constants, sql
 from rasterloom.checks.pointwise import on_alpha, on_colour, on_grey
-from rasterloom.functions import kernels
 from rasterloom.operators import resample, stencils
 
 BOX3 = [(dy, dx, w) for dy, row in enumerate(((1, 2, 1), (2, 4, 2), (1, 2, 1)), -1)
@@ -164,12 +163,12 @@ def _code(pattern: str, y: str, x: str) -> str:
 
 
 def _bayer(pattern: str) -> str:
-    named = {"g": kernels.GREEN_AT_COLOUR, "h": kernels.COLOUR_IN_ROW, "d": kernels.COLOUR_DIAGONAL}
-    named["u"] = tuple(zip(*kernels.COLOUR_IN_ROW))
-    taps = [
-        (y - 2, x - 2, *(named[n][y][x] for n in "ghud")) for y in range(5) for x in range(5)
-        if any(named[n][y][x] for n in "ghud")
-    ]
+    weights = {"g": {}, "h": {}, "u": {}, "d": {}}
+    for name, filter_taps in (("g", constants.GREEN), ("h", constants.IN_ROW), ("d", constants.DIAGONAL)):
+        weights[name] = {(y, x): k for y, x, k in filter_taps}
+    weights["u"] = {(x, y): k for (y, x), k in weights["h"].items()}
+    places = sorted({at for one in weights.values() for at in one})
+    taps = [(*at, *(weights[n].get(at, 0) for n in "ghud")) for at in places]
     red_even = "R" in pattern[:2]
     red_row = f"y%2={0 if red_even else 1}"
     code = _code(pattern, "y", "x")
@@ -321,8 +320,8 @@ WITH {sql.PX}, {CH_ALPHA if alpha else sql.CH}, {', '.join(ctes)}, res AS (SELEC
 
 
 def oracles() -> dict[str, str]:
-    angled = kernels.motion(7, 45.0)
-    vertical = kernels.motion(4, 90.0)
+    angled = constants.turned_line(7, 45.0)
+    vertical = constants.turned_line(4, 90.0)
     o = {
         "c1_blur_gaussian": _gaussian(1.5, grey=False),
         "c1_blur_gaussian_wide": _gaussian(20.0, grey=True),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.checks import sql
+from rasterloom.checks import constants, sql
 from rasterloom.model import frames_of, is_scanlines, to_pixels, value_bands
 from rasterloom.operators import lines, pixelwise, tiles
 from rasterloom.sources.vectors import grey, scanlines_from_vectors
@@ -274,7 +274,7 @@ SELECT frame_id, y, x, r, g, b FROM steps WHERE k=0"""
 
 def _shuffle(count, lo, hi, seed, severity) -> str:
     """Follow each output band back through the covering tiles, last tile first."""
-    orders = tiles.ALL_ORDERS
+    orders = constants.ORDERS
     table = "[" + ",".join("[" + ",".join(map(str, o)) + "]" for o in orders) + "]"
     pick = (
         f"CASE WHEN {sql.uniform(seed, 'tile_happens', 'i')}<{severity!r}::DOUBLE "
@@ -296,7 +296,7 @@ SELECT frame_id, y, x, {final} FROM steps WHERE n=len(o)+1"""
 
 
 def _grid(kind: str, size: int, severity: float, magnitude: int, seed: int) -> str:
-    orders = tiles.ALL_ORDERS
+    orders = constants.ORDERS
     if kind == "xor":
         change = f"xor({{b}},(({sql.state(seed, 'grid_value', 'y', 'x')}>>23)%{magnitude + 1})::INT)::INT"
     elif kind == "invert":

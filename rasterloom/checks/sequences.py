@@ -7,9 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.checks import neighbourhood, pointwise, sql, transform
+from rasterloom.checks import constants, neighbourhood, pointwise, sql, transform
 from rasterloom.checks.pointwise import colour, out
-from rasterloom.functions import kernels
 from rasterloom.model import frames_of
 from rasterloom.operators import lines, tiles
 from rasterloom.plans import presets, runs
@@ -221,7 +220,7 @@ SELECT frame_id, y, x, r, g, b FROM {last}"""
 def _motion_check(size: int, angle: float) -> str:
     if angle == 0:
         return neighbourhood._box_blur(size, alpha=False)
-    return neighbourhood._stencil(kernels.motion(size, float(angle)), "sum(t.k*s.v)::BIGINT>>16")
+    return neighbourhood._stencil(constants.turned_line(size, float(angle)), "sum(t.k*s.v)::BIGINT>>16")
 
 
 def _noisy(shift: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterloom.functions import draws
+from rasterloom.checks import constants
 
 # Every pixel of the raster, its frame size, and the lines' size table.
 PX = """
@@ -39,15 +39,16 @@ FROM res GROUP BY frame_id, y, x"""
 
 def state(seed: int, label: str, *keys) -> str:
     """SQL for one integer draw."""
-    h = f"{draws.start(seed, label)}::BIGINT"
+    (p, q), (a, b, c), (x, z) = constants.MODULI, constants.MULTIPLIERS, constants.MASKS
+    h = f"{constants.stream_start(seed, label)}::BIGINT"
     for key in keys:
-        h = f"((({h})+({key})::BIGINT)*{draws.A1})%{draws.P1}"
-        h = f"(xor({h},{draws.X1}::BIGINT)*{draws.B1})%{draws.P2}"
-    return f"((xor({h},{draws.X2}::BIGINT)*{draws.A2})%{draws.P1})"
+        h = f"((({h})+({key})::BIGINT)*{a})%{p}"
+        h = f"(xor({h},{x}::BIGINT)*{b})%{q}"
+    return f"((xor({h},{z}::BIGINT)*{c})%{p})"
 
 
 def uniform(seed: int, label: str, *keys) -> str:
-    return f"({state(seed, label, *keys)}::DOUBLE/{draws.P1}.0::DOUBLE)"
+    return f"({state(seed, label, *keys)}::DOUBLE/{constants.MODULI[0]}.0::DOUBLE)"
 
 
 def uniform_int(seed: int, label: str, lo, hi, *keys) -> str:

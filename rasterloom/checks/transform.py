@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.checks import sql
+from rasterloom.checks import constants, sql
 from rasterloom.checks.pointwise import colour, on_alpha, on_colour, on_grey, out, tile_cte
 from rasterloom.operators import blocks
 from rasterloom.sources.vectors import grey
@@ -102,7 +102,7 @@ def queries() -> dict:
 
 def quantiser_values(quality: int, chroma: bool) -> str:
     """``(pos, q)`` rows of a quality's divisors, by the textbook formula in SQL."""
-    base = blocks.CHROMA_TABLE if chroma else blocks.LUMA_TABLE
+    base = constants.quantiser_table(chroma)
     scale = 5000.0 / quality if quality < 50 else 200.0 - 2 * quality
     rows = ",".join(f"({i},{q})" for i, q in enumerate(base))
     return (

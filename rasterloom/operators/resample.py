@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,50 +19,42 @@ METHODS = ("nearest", "bilinear", "bicubic", "lanczos", "box", "bilinear_point",
 BITS = 22
 
 
-def _filter(method: str, x: float) -> float:
-    x = abs(x)
+def _filter(method: str, x: np.ndarray) -> np.ndarray:
+    x = np.abs(x)
     if method == "box":
-        return 1.0 if x <= 0.5 else 0.0
+        return (x <= 0.5).astype(float)
     if method == "bilinear":
-        return max(0.0, 1.0 - x)
+        return np.maximum(0.0, 1.0 - x)
     if method == "bicubic":
-        if x < 1.0:
-            return (1.5 * x - 2.5) * x * x + 1.0
-        return ((-0.5 * x + 2.5) * x - 4.0) * x + 2.0 if x < 2.0 else 0.0
-    if x >= 3.0:
-        return 0.0
-    if x == 0.0:
-        return 1.0
-    a, b = math.pi * x, math.pi * x / 3.0
-    return math.sin(a) / a * (math.sin(b) / b)
-
-
-def weights(source: int, target: int, method: str) -> tuple[np.ndarray, np.ndarray]:
-    """``(index, weight)`` matrices, one row of taps per output position, in 22-bit fixed point."""
-    rows: list[tuple[list[int], list[int]]] = []
+        near = (1.5 * x - 2.5) * x * x + 1.0
+        return np.where(x < 1.0, near, np.where(x < 2.0, ((-0.5 * x + 2.5) * x - 4.0) * x + 2.0, 0.0))
+    a, b = np.pi * np.where(x == 0, 1.0, x), np.pi * np.where(x == 0, 1.0, x) / 3.0
+    return np.where(x >= 3.0, 0.0, np.where(x == 0, 1.0, np.sin(a) / a * (np.sin(b) / b)))
+
+
+def weights(
+    source: int, target: int, method: str, first: int = 0, last: int | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """``(index, weight)`` matrices, one row of taps for each of the output positions ``first..last-1``,
+    in 22-bit fixed point."""
+    i = np.arange(first, target if last is None else last)
     scale = source / target
-    for i in range(target):
-        if method == "bilinear_point":
-            at = (i + 0.5) * source / target - 0.5
-            low = math.floor(at)
-            part = round((at - low) * (1 << BITS))
-            taps = [min(max(low, 0), source - 1), min(max(low + 1, 0), source - 1)]
-            rows.append((taps, [(1 << BITS) - part, part]))
-            continue
-        wide = max(1.0, scale)
-        centre = (i + 0.5) * scale
-        reach = SUPPORT[method] * wide
-        taps = list(range(max(0, int(centre - reach + 0.5)), min(source, int(centre + reach + 0.5))))
-        raw = [_filter(method, (j - centre + 0.5) / wide) for j in taps]
-        total = sum(raw)
-        rows.append((taps, [math.floor(0.5 + r / total * (1 << BITS)) for r in raw]))
-    most = max(len(t) for t, _ in rows)
-    index = np.zeros((target, most), dtype=np.int64)
-    value = np.zeros((target, most), dtype=np.int64)
-    for i, (taps, ws) in enumerate(rows):
-        index[i, : len(taps)] = taps
-        value[i, : len(ws)] = ws
-    return index, value
+    if method == "bilinear_point":
+        at = (i + 0.5) * source / target - 0.5
+        low = np.floor(at).astype(np.int64)
+        part = np.rint((at - low) * (1 << BITS)).astype(np.int64)
+        taps = np.clip(np.stack([low, low + 1], 1), 0, source - 1)
+        return taps, np.stack([(1 << BITS) - part, part], 1)
+    wide = max(1.0, scale)
+    centre = (i + 0.5) * scale
+    reach = SUPPORT[method] * wide
+    begin = np.maximum(0, (centre - reach + 0.5).astype(np.int64))
+    end = np.minimum(source, (centre + reach + 0.5).astype(np.int64))
+    taps = begin[:, None] + np.arange(max(1, int((end - begin).max(initial=1))))
+    inside = taps < end[:, None]
+    raw = np.where(inside, _filter(method, (taps - centre[:, None] + 0.5) / wide), 0.0)
+    value = np.floor(0.5 + raw / raw.sum(1, keepdims=True) * (1 << BITS)).astype(np.int64)
+    return np.where(inside, taps, 0), np.where(inside, value, 0)
 
 
 def _across(plane: np.ndarray, taps: tuple[np.ndarray, np.ndarray], method: str) -> np.ndarray:
@@ -95,13 +85,15 @@ def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
 
 
 class _Taps(dict):
-    """Weights by ``(source, target)``, made once per task."""
+    """Weights by ``(source, target)``: of the last few sizes only, however many there are."""
 
     def __init__(self, method: str):
         super().__init__()
         self.method = method
 
     def __missing__(self, sides: tuple[int, int]):
+        if len(self) >= 4:
+            self.clear()
         self[sides] = weights(*sides, self.method)
         return self[sides]
 
@@ -229,7 +221,7 @@ def resize(
         one = {c: table.column(c)[0].as_py() for c in (*keys, *carry)}
         begin = one["strip"] * one["rows"]
         lines = np.arange(begin, min(begin + one["rows"], one["_h"]))
-        index, weight = (m[lines] for m in taps[one["height"], one["_h"]])
+        index, weight = weights(one["height"], one["_h"], method, begin, begin + len(lines))
         place = np.searchsorted(y, np.where(weight != 0, index, index[:, :1]))
         n = len(lines)
         columns = {
