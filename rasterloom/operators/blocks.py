@@ -462,16 +462,29 @@ def compression_artifact_chain(
     check_quality("quality", quality, 1, 20)
     check_choice("partial", partial, ("pad", "skip"))
     base = draws.fresh_seed(seed)
-    reach = 16 * tile_count
+    known: dict[tuple[int, int, int], list[tuple[int, int, int, int]]] = {}
+
+    def placed(height: int, width: int, frame_id: int) -> list[tuple[int, int, int, int]]:
+        start = draws.start(base, f"frame {frame_id}") if seed is None else base
+        if (height, width, start) not in known:
+            known.clear()
+            known[height, width, start] = tile_geometry(height, width, tile_count, lo, hi, start)
+        return known[height, width, start]
+
+    def need(first: int, last: int, height: int, width: int, frame_id: int) -> tuple[int, int]:
+        """Going back through the tiles, each one asks for the whole of the 16-line bands it makes."""
+        for y0, _, th, _ in reversed(placed(height, width, frame_id)):
+            if y0 < last and first < y0 + th:
+                above, below = max(first, y0) - y0, min(last, y0 + th) - y0
+                first = min(first, y0 + above // 16 * 16)
+                last = max(last, y0 + min(th, -(-below // 16) * 16))
+        return first, last
 
     def run(planes: Planes, strip: Strip) -> Planes:
-        start = draws.start(base, f"frame {strip.frame_id}") if seed is None else base
-        begin = max(0, strip.first - strip.top)
-        above = begin - (strip.first - strip.top)
-        lines = min(strip.height, strip.first + strip.rows + strip.top) - begin
         bands = [b for b in planes if b != "a"]
-        work = [planes[b][above : above + lines].copy() for b in bands]
-        for y0, x0, th, tw in tile_geometry(strip.height, strip.width, tile_count, lo, hi, start):
+        work = [planes[b].copy() for b in bands]
+        begin, lines = strip.first - strip.top, len(work[0])
+        for y0, x0, th, tw in placed(strip.height, strip.width, strip.frame_id):
             # The tile's bands that lie wholly inside the lines at hand.
             top = max(0, -(-(begin - y0) // 16) * 16)
             end = th if y0 + th <= begin + lines else (begin + lines - y0) // 16 * 16
@@ -485,11 +498,11 @@ def compression_artifact_chain(
             )
             for p, new in zip(work, done):
                 p[part] = new
-        own = slice(strip.first - begin, strip.first - begin + strip.rows)
+        own = slice(strip.top, strip.top + strip.rows)
         done = {b: p[own] for b, p in zip(bands, work)}
-        return done | ({"a": planes["a"][strip.top : strip.top + strip.rows]} if "a" in planes else {})
+        return done | ({"a": planes["a"][own]} if "a" in planes else {})
 
-    return [AreaKernel(run, reach, reach)]
+    return [AreaKernel(run, need=need)]
 
 
 def compression_artifact(
@@ -502,8 +515,8 @@ def compression_artifact(
 ) -> DataFrame:
     """Compress random tiles, each on its own block grid, in order; later tiles see earlier ones.
 
-    A tile's 16-line bands are independent, so an error at a strip's rim can travel at most 15
-    lines per overlapping tile. A halo of 16 lines per tile therefore makes every strip exact.
+    A tile's 16-line bands are independent, so a strip needs, besides its own lines, only the rest of
+    the bands that it shares with tiles, and of the bands that those lines are in before them.
     ``skip`` leaves partial blocks alone and does not subsample chroma.
     """
     return apply(

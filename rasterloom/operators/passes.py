@@ -2,8 +2,9 @@
 
 A kernel is vectorised work on matrices of lines. Line kernels need nothing but their own lines, so
 a chain of them is one map over batches, without a shuffle. Area kernels also read lines near by;
-a chain with them is one pass over strips, whose halo is the sum of what the chain's kernels read.
-Between kernels only lines inside the picture are kept, and lines beyond it are mirrored anew.
+a chain with them is one pass over strips. Going back through the chain tells which lines each
+kernel has to make for a strip, and so which the strip has to be sent. Between kernels only lines
+inside the picture are kept, and lines beyond it are mirrored anew.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rasterloom.model import KEYS, all_bands, to_scanlines
+from rasterloom.operators import strips as strips_module
 from rasterloom.operators.strips import Planes, Strip, list_column, planes_of, with_halo
 
 Bands = Callable[[list[str]], list[str]]
@@ -43,7 +46,9 @@ class LineKernel:
 class AreaKernel:
     """``run(planes, strip)`` reads ``before`` lines above and ``after`` below those it returns.
 
-    With ``align`` it works on whole groups of so many lines, counted from a frame's first.
+    With ``align`` it works on whole groups of so many lines, counted from a frame's first. With
+    ``need(first, last, height, width, frame_id)`` what it reads depends on the place: the bounds of
+    the lines it is given, in place of ``before`` and ``after``.
     """
 
     run: Callable[[Planes, Strip], Planes]
@@ -51,23 +56,43 @@ class AreaKernel:
     after: int = 0
     align: int = 1
     bands: Bands = list
+    need: Callable[[int, int, int, int, int], tuple[int, int]] | None = None
 
 
 Kernel = LineKernel | AreaKernel
 
 
-def reach(chain: list[Kernel], aligned: int) -> tuple[int, int]:
-    """Lines that a chain reads above and below a strip whose bounds are multiples of ``aligned``."""
-    lo = hi = 0
+def ranges_of(
+    chain: list[Kernel], first: int, last: int, height: int, width: int = 0, frame_id: int = 0
+) -> list[tuple[int, int]]:
+    """Bounds of the lines at hand before the chain and after each kernel, to make ``first..last-1``.
+
+    A kernel that reads ``n`` lines one way is given as many both ways, so that mirrored lines
+    at a picture's edge are at hand as well.
+    """
+    found, lo, hi = [], first, last
     for kernel in reversed(chain):
         if isinstance(kernel, AreaKernel):
-            lo, hi = lo - kernel.before, hi + kernel.after
-            if kernel.align > 1:
-                step = kernel.align
-                lo, hi = lo // step * step, -(-hi // step) * step
-                if aligned % step:
-                    lo, hi = lo - step, hi + step
-    return -lo, hi
+            step = kernel.align
+            lo, hi = lo // step * step, min(height, -(-hi // step) * step)
+            found.append((lo, hi))
+            if kernel.need is not None:
+                lo, hi = kernel.need(lo, hi, height, width, frame_id)
+            else:
+                most = max(kernel.before, kernel.after)
+                lo, hi = max(0, lo - most), min(height, hi + most)
+        else:
+            found.append((lo, hi))
+    return [(lo, hi), *reversed(found)]
+
+
+def reach(chain: list[Kernel], aligned: int) -> int:
+    """Lines that a chain reads above or below a strip whose bounds are multiples of ``aligned``;
+    kernels whose needs depend on the place are not counted."""
+    fixed = [k for k in chain if isinstance(k, LineKernel) or k.need is None]
+    first = aligned * 1_000_000
+    lo, hi = ranges_of(fixed, first, first + aligned, 2 * first)[0]
+    return max(first - lo, hi - first - aligned)
 
 
 def alignment(chain: list[Kernel]) -> int:
@@ -86,15 +111,17 @@ def mirrored(at: np.ndarray, n: int) -> np.ndarray:
     return np.where(m < n, m, 2 * n - 1 - m)
 
 
-def _run_area(kernel: AreaKernel, planes: Planes, lo: int, hi: int, height: int, width: int, frame_id: int):
-    """Apply a kernel to lines ``lo..hi-1``; returns the planes it can make and their bounds."""
-    first = 0 if lo == 0 else -(-(lo + kernel.before) // kernel.align) * kernel.align
-    last = height if hi == height else (hi - kernel.after) // kernel.align * kernel.align
+def _run_area(
+    kernel: AreaKernel, planes: Planes, given: tuple[int, int], made: tuple[int, int], height: int, width: int, frame_id: int
+) -> Planes:
+    """Lines ``made`` of a kernel from the lines ``given``."""
+    (lo, hi), (first, last) = given, made
+    if kernel.need is not None:
+        return kernel.run(planes, Strip(first, last - first, first - lo, height, width, frame_id))
     at = mirrored(np.arange(first - kernel.before, last + kernel.after), height) - lo
     whole = len(at) == hi - lo and (at[0], at[-1]) == (0, hi - lo - 1)
     held = planes if whole else {b: p[at] for b, p in planes.items()}
-    strip = Strip(first, last - first, kernel.before, height, width, frame_id)
-    return kernel.run(held, strip), first, last
+    return kernel.run(held, Strip(first, last - first, kernel.before, height, width, frame_id))
 
 
 def _table(planes: Planes, bands: list[str], frame_id: np.ndarray, height: int, width: int, y) -> pa.Table:
@@ -125,34 +152,75 @@ def _line_pass(scan: DataFrame, chain: list[LineKernel], bands: list[str], made:
     return scan.select(*KEYS, *bands).mapInArrow(run, schema)
 
 
+def _dealt(scan: DataFrame, chain: list[Kernel], bands: list[str], step: int) -> DataFrame:
+    """Lines beside the strips that need them, worked out for each frame size (or frame) by itself."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in scan.select(*KEYS, *bands).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, list[tuple[int, int]]] = {}
+        for batch in batches:
+            table = pa.table(batch)
+            key = np.stack([table.column(c).to_numpy() for c in ("frame_id", "height", "width")], 1)
+            y = table.column("y").to_numpy()
+            picked, strips, heights = [], [], []
+            for frame_id, height, width in np.unique(key, axis=0).tolist():
+                rows = -(-max(64, strips_module.STRIP_PIXELS // width) // step) * step
+                size = (frame_id, height, width)
+                if size not in known:
+                    if len(known) >= 256:
+                        known.clear()
+                    known[size] = [
+                        ranges_of(chain, first, min(first + rows, height), height, width, frame_id)[0]
+                        for first in range(0, height, rows)
+                    ]
+                own = np.flatnonzero((key == size).all(1))
+                for number, (lo, hi) in enumerate(known[size]):
+                    read = own[(y[own] >= lo) & (y[own] < hi)]
+                    picked.append(read)
+                    strips.append(np.full(len(read), number, np.int32))
+                    heights.append(np.full(len(read), rows, np.int32))
+            dealt = table.take(np.concatenate(picked))
+            dealt = dealt.append_column("rows", pa.array(np.concatenate(heights)))
+            yield from dealt.append_column("strip", pa.array(np.concatenate(strips))).to_batches()
+
+    dealt = scan.select(*KEYS, *bands).mapInArrow(run, f"{schema}, rows int, strip int")
+    return dealt.withColumn("at", F.col("y"))
+
+
 def _strip_pass(scan: DataFrame, chain: list[Kernel], bands: list[str], made: list[str], schema: str) -> DataFrame:
     step = alignment(chain)
-    before, after = reach(chain, step)
+    placed = any(isinstance(k, AreaKernel) and k.need is not None for k in chain)
+    halo = reach(chain, step)
 
     def run(table: pa.Table) -> pa.Table:
         one = {c: table.column(c)[0].as_py() for c in ("frame_id", "height", "width", "rows", "strip")}
-        height, width = one["height"], one["width"]
+        frame_id, height, width = one["frame_id"], one["height"], one["width"]
         first = one["strip"] * one["rows"]
         last = min(first + one["rows"], height)
         at = table.column("at").to_numpy()
         order = np.argsort(at, kind="stable")
-        lo, hi = max(0, first - before), min(height, last + after)
+        ranges = ranges_of(chain, first, last, height, width, frame_id)
+        lo, hi = ranges[0] if placed else (max(0, first - halo), min(height, last + halo))
         if not np.array_equal(at[order], np.arange(lo, hi)):
             raise ValueError(
-                f"a frame must have each of its lines exactly once: frame {one['frame_id']}, lines {lo} to {hi - 1}"
+                f"a frame must have each of its lines exactly once: frame {frame_id}, lines {lo} to {hi - 1}"
             )
-        planes = planes_of(table, bands, order)
-        for kernel in chain:
+        planes = planes_of(table, bands, order[ranges[0][0] - lo : ranges[0][1] - lo])
+        for kernel, given, out in zip(chain, ranges[:-1], ranges[1:]):
             if isinstance(kernel, LineKernel):
-                y = np.arange(lo, hi)
-                planes = kernel.run(planes, Lines(np.full(len(y), one["frame_id"]), height, width, y))
+                y = np.arange(*out)
+                planes = kernel.run(planes, Lines(np.full(len(y), frame_id), height, width, y))
             else:
-                planes, lo, hi = _run_area(kernel, planes, lo, hi, height, width, one["frame_id"])
+                planes = _run_area(kernel, planes, given, out, height, width, frame_id)
+        lo = ranges[-1][0]
         own = {b: planes[b][first - lo : last - lo] for b in made}
-        return _table(own, made, np.full(last - first, one["frame_id"]), height, width, np.arange(first, last))
+        return _table(own, made, np.full(last - first, frame_id), height, width, np.arange(first, last))
 
-    halo = with_halo(scan, before, after, mirror=False, multiple=step)
-    grouped = halo.select(*KEYS, "rows", "strip", "at", *bands).drop("y")
+    if placed:
+        dealt = _dealt(scan, chain, bands, step)
+    else:
+        dealt = with_halo(scan, halo, halo, mirror=False, multiple=step)
+    grouped = dealt.select(*KEYS, "rows", "strip", "at", *bands).drop("y")
     return grouped.groupBy("frame_id", "strip").applyInArrow(run, schema)
 
 

@@ -105,7 +105,7 @@ class _Fused:
 
     def add(self, more: list[Kernel]) -> None:
         whole = [*self.chain, *more]
-        if self.chain and max(reach(whole, alignment(whole))) > MOST_HALO:
+        if self.chain and reach(whole, alignment(whole)) > MOST_HALO:
             self.raster, whole = self.current(), more
         self.chain = whole
 

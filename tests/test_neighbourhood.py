@@ -7,7 +7,7 @@ import pytest
 from conftest import picture
 
 from rasterloom.functions import kernels
-from rasterloom.operators import blocks, resample, stencils, strips
+from rasterloom.operators import blocks, passes, resample, stencils, strips
 from rasterloom.model import to_pixels
 
 
@@ -44,6 +44,28 @@ def test_stencil_over_strips(raster, planes, small_strips):
             assert (got[f][b] == brute(plane, TAPS) // 16).all()
 
 
+@pytest.mark.parametrize("dy", [-90, 90])
+def test_one_sided_stencil(raster, planes, small_strips, dy):
+    """Mirrored lines at the last, short strip are at hand whichever way a stencil reads."""
+    frames = {1: picture(150, 5, 1, "v"), 2: picture(40, 5, 2, "v")}
+    taps = [(dy, 0, 1), (0, 1, 2)]
+    got = planes(stencils.stencil(raster(frames), taps, 3))
+    for f, bands in frames.items():
+        assert (got[f]["v"] == brute(bands["v"], taps) // 3).all()
+
+
+def test_tiles_send_few_lines(raster, monkeypatch):
+    """A strip gets its own lines and parts of 16-line bands, not 16 lines for each tile."""
+    monkeypatch.setattr(strips, "STRIP_PIXELS", 1)
+    chain = blocks.compression_artifact_chain(["r", "g", "b"], 20, 5, (0.08, 0.25), seed=400)
+    sent = sum(
+        hi - lo
+        for first in range(0, 2160, 64)
+        for lo, hi in [passes.ranges_of(chain, first, min(first + 64, 2160), 2160, 3840)[0]]
+    )
+    assert 2160 <= sent < 2160 + 34 * 2 * 64
+
+
 def test_stencil_wider_than_frame(raster, planes):
     """The mirror image repeats when a kernel reaches past it."""
     frames = {5: picture(4, 3, 7, "v")}
