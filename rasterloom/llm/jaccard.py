@@ -364,3 +364,24 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     return sketch.join(owners, ["set", "twin", "size"], "left").select(
         "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+#: The same by joining all shingles; components by walking the links.
+SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n} - 1], ' ')) END) AS g FROM t),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN c cx ON cx.doc_id = x JOIN c cy ON cy.doc_id = y WHERE 100 * k >= {percent} * (cx.n + cy.n - k)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS m FROM documents UNION SELECT e.x, r.m FROM e JOIN r ON r.doc_id = e.y)
+SELECT r.doc_id, coalesce(any_value(c.n), 0)::BIGINT AS n_shingles, min(r.m) AS component_id
+FROM r LEFT JOIN c ON c.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+
+def sql(n: int, percent: int) -> str:
+    """SQL for ``near_duplicates`` over ``documents`` with distinct ids."""
+    return SQL.replace("{n}", str(n)).replace("{percent}", str(percent))

@@ -146,4 +146,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {"op5_line_dedup": linededup.sql()}
+    return {"op5_line_dedup": linededup.sql(), "op9_jaccard": jaccard.sql(3, 90)}
