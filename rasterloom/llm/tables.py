@@ -13,7 +13,7 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     What follows starts from the files: it is not computed twice, and lost executors cost nothing.
     """
     folder = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
