@@ -83,79 +83,103 @@ def _below(present: int, limit: int) -> int:
     return (present & ((1 << (limit + 1)) - 1)).bit_length() - 1 if limit > 0 and present & ((1 << (limit + 1)) - 2) else 0
 
 
-def fillings(counts: list[int], present: int, room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` by up to three sizes, least waste first, at most ``most``.
+def fillings(counts: list[int], present: int, room: int, most: int, steps: int = 400) -> list[tuple[int, ...]]:
+    """Undominated fillings of ``room``, least waste first, at most ``most``.
 
-    Of two fillings that differ in one size, the one with the larger fits better and dominates the
-    other, so the last size of a filling is always the largest that still fits.
+    Sizes are tried from the largest down, so that small ones are saved for later bins. Of two
+    fillings that differ in one size, the one with the larger fits better and dominates the other,
+    so the last size of a filling is always the largest that still fits. The search ends with
+    ``most`` fillings without waste, or after ``steps``.
     """
     found: dict[tuple[int, ...], int] = {}
+    exact = 0
 
     def extend(head: tuple[int, ...], held: int, left: int, limit: int) -> None:
-        last = _below(held, min(left, limit))
-        if not last:
+        nonlocal exact, steps
+        size, tries = _below(held, min(left, limit)), 0
+        if not size:
             found[head] = left
             return
-        found[(*head, last)] = left - last
-        tries, size = 0, last
-        while size and len(head) < 2 and tries < most:
-            counts[size] -= 1
-            extend((*head, size), held if counts[size] else held & ~(1 << size), left - size, size)
-            counts[size] += 1
+        while size and tries < most and exact < most and steps > 0:
+            steps -= 1
+            if size == left:
+                found[(*head, size)] = 0
+                exact += 1
+            else:
+                counts[size] -= 1
+                extend((*head, size), held if counts[size] else held & ~(1 << size), left - size, size)
+                counts[size] += 1
             size, tries = _below(held, size - 1), tries + 1
 
     extend((), present, room, room)
-    fit = {f: lost for f, lost in found.items() if lost >= 0}
-    return sorted(fit, key=lambda f: (fit[f], [-s for s in f]))[:most]
+    return sorted(found, key=lambda f: (found[f], [-s for s in f]))[:most] or [()]
+
+
+class _Left:
+    """Sizes that are still to be packed."""
+
+    def __init__(self, sizes: np.ndarray, capacity: int):
+        self.counts = np.bincount(sizes, minlength=capacity + 1).tolist()
+        self.present = sum(1 << s for s, c in enumerate(self.counts) if c)
+        self.capacity = capacity
+
+    def take(self, bin_: tuple[int, ...], sign: int = -1) -> None:
+        for s in bin_:
+            self.counts[s] += sign
+            self.present = self.present | 1 << s if self.counts[s] else self.present & ~(1 << s)
+
+    def completions(self, most: int) -> list[tuple[int, ...]]:
+        """Bins around the largest size left, the fullest first."""
+        largest = self.present.bit_length() - 1
+        self.take((largest,))
+        found = fillings(self.counts, self.present, self.capacity - largest, most)
+        self.take((largest,), 1)
+        return [(largest, *f) for f in found]
+
+
+def completed(sizes: np.ndarray, capacity: int, branches: int) -> list[list[int]]:
+    """Each bin in turn is the fullest around the largest size left."""
+    left, bins = _Left(sizes, capacity), []
+    while left.present:
+        bins.append(list(left.completions(branches)[0]))
+        left.take(tuple(bins[-1]))
+    return bins
 
 
 def bin_completion(sizes: np.ndarray, capacity: int, nodes: int = 4_000, branches: int = 6) -> list[list[int]]:
-    """Bins of ``sizes``: best-fit as the incumbent, improved by branch and bound where it can be.
+    """Bins of ``sizes``: a best-fit solution as the incumbent, improved by branch and bound.
 
-    The largest size left opens a bin, and the search branches over undominated fillings of the
-    rest. A branch ends when its waste exceeds what one bin fewer than the incumbent allows. A
-    solution at the lower bound (weight over capacity) ends the search; so do ``nodes`` steps, after
-    which the incumbent stands.
+    The incumbent is the better of best-fit decreasing and of taking the fullest bin around the
+    largest size left again and again. Then the largest size left opens a bin, and the search
+    branches over undominated fillings of the rest; a branch ends when its waste exceeds what one bin
+    fewer than the incumbent allows. A solution at the lower bound (weight over capacity) ends the
+    search; so do ``nodes`` steps, after which the incumbent stands.
     """
+    least = -(-int(sizes.sum()) // capacity)
     incumbent = best_fit(sizes, capacity)
-    total = int(sizes.sum())
-    if len(incumbent) <= -(-total // capacity):
+    if len(incumbent) > least:
+        incumbent = min(incumbent, completed(sizes, capacity, branches), key=len)
+    if len(incumbent) <= least:
         return incumbent
-    allowed = (len(incumbent) - 1) * capacity - total
-    counts = np.bincount(sizes, minlength=capacity + 1).tolist()
-    present = sum(1 << s for s, c in enumerate(counts) if c)
+    allowed = (len(incumbent) - 1) * capacity - int(sizes.sum())
+    left = _Left(sizes, capacity)
     path: list[tuple[tuple[int, ...], list[tuple[int, ...]], int]] = []
-    waste = steps = 0
-
-    def take(bin_: tuple[int, ...], sign: int) -> None:
-        nonlocal present
-        for s in bin_:
-            counts[s] += sign
-            present = present | 1 << s if counts[s] else present & ~(1 << s)
-
-    def options() -> tuple[int, list[tuple[int, ...]]]:
-        largest = present.bit_length() - 1
-        take((largest,), -1)
-        found = fillings(counts, present, capacity - largest, branches)
-        take((largest,), 1)
-        return largest, [(largest, *f) for f in found]
-
-    choices = options()[1]
-    while steps < nodes:
-        steps += 1
-        while choices and waste + (lost := capacity - sum(choices[0])) > allowed:
+    waste, choices = 0, left.completions(branches)
+    for _ in range(nodes):
+        while choices and waste + capacity - sum(choices[0]) > allowed:
             choices = choices[1:]
         if choices:
             bin_, rest = choices[0], choices[1:]
-            take(bin_, -1)
+            lost = capacity - sum(bin_)
+            left.take(bin_)
             path.append((bin_, rest, lost))
             waste += lost
-            if not present:
+            if not left.present:
                 return [list(b) for b, _, _ in path]
-            choices = options()[1]
+            choices = left.completions(branches)
         elif path:
             bin_, choices, lost = path.pop()
-            take(bin_, 1)
+            left.take(bin_, 1)
             waste -= lost
         else:
             break
