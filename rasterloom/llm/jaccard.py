@@ -131,59 +131,76 @@ def linked(overlap, na, nb, percent: int):
     return 100 * overlap >= percent * (na + nb - overlap)
 
 
-def sketches(df: DataFrame, n: int, percent: int) -> DataFrame:
-    """``doc_id, size, set, twin`` (digests of the set) and ``parts`` of each row."""
+def digests(df: DataFrame, n: int) -> DataFrame:
+    """``doc_id, size, set, twin`` of each row: the size of its set and 128 bits of digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = band_edges(1 << 31)
         for batch in batches:
-            sizes, digests, parts, ends = [], [], [], [0]
-            for _, _, data, offsets in texts.text_blocks(batch.column("text")):
-                for grams in shingles(data, offsets, n):
-                    sizes.append(len(grams))
-                    digests.append(set_digest(grams))
-                    parts.append(part_signatures(grams, edges, percent))
-                    ends.append(ends[-1] + len(parts[-1]))
-            flat = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
-            one, two = zip(*digests, strict=True) if digests else ((), ())
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "size": pa.array(sizes, pa.int64()),
-                    "set": pa.array(one, pa.int64()),
-                    "twin": pa.array(two, pa.int64()),
-                    "parts": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat),
-                }
-            )
-
-    schema = f"{schema_of(df, ['doc_id'])}, size long, set long, twin long, parts array<long>"
-    return df.select("doc_id", "text").mapInArrow(run, schema)
+            for first, last, data, offsets in texts.text_blocks(batch.column("text")):
+                sets = shingles(data, offsets, n)
+                one, two = zip(*[set_digest(s) for s in sets], strict=True)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": batch.column("doc_id").slice(first, last - first),
+                        "size": pa.array([len(s) for s in sets], pa.int64()),
+                        "set": pa.array(one, pa.int64()),
+                        "twin": pa.array(two, pa.int64()),
+                    }
+                )
 
+    return df.select("doc_id", "text").mapInArrow(run, f"{schema_of(df, ['doc_id'])}, size long, set long, twin long")
 
-def _sets(df: DataFrame, n: int) -> DataFrame:
-    """``found, size, grams, bits`` of each row: its set's digest, sorted elements and bitmap."""
+
+def postings(df: DataFrame, n: int, percent: int) -> DataFrame:
+    """``tile, set``: every signature of every row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = band_edges(1 << 31)
         for batch in batches:
             for _, _, data, offsets in texts.text_blocks(batch.column("text")):
                 sets = shingles(data, offsets, n)
+                parts = [part_signatures(s, edges, percent) for s in sets]
+                digest = np.array([set_digest(s)[0] for s in sets], np.int64)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "set": pa.array([set_digest(s)[0] for s in sets], pa.int64()),
-                        "size": pa.array([len(s) for s in sets], pa.int64()),
-                        "grams": pa.array([s.tobytes() for s in sets], pa.binary()),
-                        "bits": pa.array([bitmap(s) for s in sets], pa.binary()),
+                        "tile": pa.array(np.concatenate(parts)),
+                        "set": pa.array(np.repeat(digest, [len(p) for p in parts])),
                     }
                 )
 
-    return df.select("text").mapInArrow(run, "set long, size long, grams binary, bits binary")
+    return df.select("text").mapInArrow(run, "tile long, set long")
+
 
+def tiles(df: DataFrame, n: int, percent: int) -> DataFrame:
+    """``tile, set``: the sets that share a part with another set, once each.
+
+    Signatures are made twice, for the list of shared ones and for their members, and stored never.
+    """
+    sides = postings(df, n, percent).groupBy("tile").agg(F.min("set").alias("lo"), F.max("set").alias("hi"))
+    shared = stored(sides.where("lo <> hi").select("tile"), "shared-tiles")
+    return stored(postings(df, n, percent).join(shared, "tile").distinct(), "tiles")
+
+
+def _sets(df: DataFrame, n: int) -> DataFrame:
+    """``node, size, grams, bits`` of rows (node, set, text): elements and bitmap of the text's set,
+    where it is the one with that digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = batch.column("set").to_pylist()
+            for first, last, data, offsets in texts.text_blocks(batch.column("text")):
+                sets = shingles(data, offsets, n)
+                own = [i for i, s in enumerate(sets) if set_digest(s)[0] == wanted[first + i]]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "node": batch.column("node").slice(first, last - first).take(pa.array(own, pa.int64())),
+                        "size": pa.array([len(sets[i]) for i in own], pa.int64()),
+                        "grams": pa.array([sets[i].tobytes() for i in own], pa.binary()),
+                        "bits": pa.array([bitmap(sets[i]) for i in own], pa.binary()),
+                    }
+                )
 
-def tiles(sketch: DataFrame) -> DataFrame:
-    """``tile, set``: the sets that share a part with another set, once each."""
-    postings = sketch.select(F.explode("parts").alias("tile"), "set")
-    shared = postings.groupBy("tile").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo <> hi")
-    return postings.join(shared.select("tile"), "tile").distinct()
+    return df.select("node", "set", "text").mapInArrow(run, "node long, size long, grams binary, bits binary")
 
 
 def _bounded(percent: int):
@@ -223,17 +240,19 @@ def _intersected(percent: int):
 
 
 def _beside(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
-    """``pairs`` with columns of the sets of both sides."""
+    """``pairs`` with columns of the sets of both sides; a repeated row's set counts once."""
     for side in ("a", "b"):
-        pairs = pairs.join(
-            sets.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side
-        )
+        one = sets.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+        pairs = pairs.join(one.dropDuplicates([side]), side)
     return pairs
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: exact intersections of those that the bitmaps allow."""
-    return _beside(pairs, sets, ["grams"]).select("a", "b", "grams_a", "grams_b").mapInArrow(
+    """The pairs (a, b) that link, by exact intersections; only the sets of pairs are moved twice."""
+    pairs = stored(pairs, "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    used = stored(sets.select("node", "grams").join(ends, "node", "left_semi").dropDuplicates(["node"]), "used-sets")
+    return _beside(pairs, used, ["grams"]).select("a", "b", "grams_a", "grams_b").mapInArrow(
         _intersected(percent), "a long, b long"
     )
 
@@ -313,7 +332,7 @@ def across_components(members: DataFrame, sets: DataFrame, joined: DataFrame, pe
         placed.join(mixed, "tile")
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .join(sets.select("node", "size", "bits"), "node")
+        .join(sets.select("node", "size", "bits").dropDuplicates(["node"]), "node")
         .select("tile", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "component", "size", "bits")
     )
     keys = ["tile", "one", "two"]
@@ -332,8 +351,8 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     collision of 64-bit hashes.
     """
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = stored(sketches(docs, n, percent), "sketches")
-    members = stored(tiles(sketch), "tiles")
+    sketch = stored(digests(docs, n), "digests")
+    members = tiles(docs, n, percent)
     sizes = members.groupBy("tile").agg(F.count("*").alias("n"))
     hubs = members.join(sizes, "tile").groupBy("set").agg(F.sum("n").alias("hub"))
     nodes = stored(
@@ -341,9 +360,8 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     )  # the larger the node, the more it shares
     members = stored(members.join(nodes, "set").select("tile", "node"), "members")
     owners = sketch.where("size > 0").groupBy("set", "twin", "size").agg(F.min("doc_id").alias("doc_id"))
-    wanted = owners.join(nodes, "set").select("doc_id", "set")
-    held = _sets(docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), n)
-    sets = stored(held.join(nodes, "set").dropDuplicates(["node"]), "sets")
+    wanted = owners.join(nodes, "set").select("doc_id", "node", "set")
+    sets = stored(_sets(docs.join(wanted, "doc_id"), n), "sets")
 
     centres = members.groupBy("tile").agg(F.max("node").alias("a"))
     stars = members.join(centres, "tile").where("node <> a").select("a", F.col("node").alias("b")).distinct()

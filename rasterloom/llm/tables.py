@@ -7,14 +7,24 @@ from pyspark.sql import DataFrame
 from rasterloom.session import shared_folder
 
 
+#: Spark's own setting by which a write removes its shuffle files when it is done.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written as Parquet below ``spark.checkpoint.dir`` and read back.
 
-    What follows starts from the files: it is not computed twice, and lost executors cost nothing.
+    What follows starts from the files: it is not computed twice, lost executors cost nothing, and
+    the shuffle files behind it can go at once.
     """
-    folder = shared_folder(df.sparkSession, purpose)
-    df.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    spark, folder = df.sparkSession, shared_folder(df.sparkSession, purpose)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(folder)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def schema_of(df: DataFrame, columns: list[str]) -> str:
