@@ -38,7 +38,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated passages; one of which no word is left goes."""
     rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
-    found = linededup.dedup_lines(rows, ["_row"])
+    found = linededup.dedup_lines(rows, ["_row"], whole_runs=True)
     left = (F.col("n_deleted") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     cut = F.col("n_deleted") > 0
     changed = {"text": F.col("text"), "n_chars": F.when(cut, F.length("text")).otherwise(F.col("_row.n_chars"))}

@@ -70,6 +70,47 @@ def test_repeated_rows_leave_one(spark):
     assert dedup(spark, [], 30)[0] == []
 
 
+def whole_runs_by_hand(rows, min_words):
+    """Every earlier place with the same line is followed on as far as lines are the same."""
+    texts = [(t or "").split("\n") for _, t in rows]
+    full = [[i for i, line in enumerate(lines) if WORD.search(line)] for lines in texts]
+    spots = [(k, a) for k in range(len(rows)) for a in range(len(full[k]))]
+    gone = defaultdict(set)
+    for n, (k, a) in enumerate(spots):
+        for j, b in spots[:n]:
+            size = words = 0
+            while a + size < len(full[k]) and b + size < len(full[j]):
+                line = texts[k][full[k][a + size]]
+                if line != texts[j][full[j][b + size]]:
+                    break
+                words, size = words + len(WORD.findall(line)), size + 1
+            if words >= min_words:
+                gone[k].update(full[k][a : a + size])
+    return [sorted(gone[k]) for k in range(len(rows))]
+
+
+def test_whole_runs_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    lines = ["a b", "c", "d e f", "", " ", "g", "h i j k l m", "n"]
+    rows = [(i, "\n".join(rng.choice(lines, rng.integers(0, 14)))) for i in range(40)] + [(40, None), (41, ""), (42, "\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for min_words in (1, 4, 9):
+        got = linededup.dedup_lines(df, ["doc_id"], min_words, whole_runs=True).collect()
+        runs = {r["doc_id"]: [i for s in r["runs"] for i in range(s["first"], s["last"] + 1)] for r in got}
+        worded = [[i for i in runs[k] if WORD.search(t.split("\n")[i])] for k, t in rows[:40]]
+        assert worded + [runs[k] for k, _ in rows[40:]] == whole_runs_by_hand(rows, min_words)
+
+
+def test_the_last_lines_of_a_passage_go_too(spark):
+    for sizes in ((40, 15), (12, 12, 12, 12, 3)):
+        passage = "\n".join(" ".join(f"p{i}w{j}" for j in range(n)) for i, n in enumerate(sizes))
+        rows = [(i, f"only {i} here\n{passage}\nand the end of {i}") for i in range(3)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = linededup.dedup_lines(df, ["doc_id"], 30, whole_runs=True).orderBy("doc_id").collect()
+        assert [r["n_deleted"] for r in got] == [0, len(sizes), len(sizes)]
+        assert got[2]["text"] == "only 2 here\nand the end of 2"
+
+
 def shingle_set(text, n):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
