@@ -11,8 +11,29 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words that mark the host of an unwanted site; the labels of this library's own queries.
-MARKED = "spam pills pharma casino adult xxx porn viagra malware phish warez".split()
+#: Words that mark a host wherever they stand in it, by kinds as published block lists have them; the
+#: labels of this library's own queries.
+MARKED = {
+    "adult": "adult xxx porn hentai camgirl nudes onlyfans",
+    "advertising": "adserv adclick adsense adtech adnetwork advertis doubleclick popunder clickbait",
+    "betting": "sportsbet betting bookmaker bookie sportsbook",
+    "drugs": "pills pharma viagra steroids xanax tramadol cannabis cocaine kratom vicodin",
+    "fraud": "spam malware phish warez ransomware spyware keygen torrent ponzi getrich freemoney payday",
+    "gambling": "casino gambl jackpot roulette blackjack baccarat poker lottery slotmachine freespin",
+    "tracking": "tracker tracking webstat analytics telemetry hitcount fingerprintjs",
+}
+
+#: Words that mark a host as a whole token only (between signs, digits and dots); as parts of others they
+#: say nothing. ``ad`` is also a country's last label, where it does not count.
+MARKED_TOKENS = {
+    "adult": "sex sexy nude cams fetish escort escorts erotic milf",
+    "advertising": r"ads ad(?=[^\p{L}]) adv advert adverts sponsor sponsored popup popups banner banners",
+    "betting": "bet bets odds wager wagers",
+    "drugs": "pill drugs drug meds rx weed opioids cialis",
+    "fraud": "crack cracks cracked hack hacks fraud fake counterfeit replica virus trojan scam scams",
+    "gambling": "slot slots bingo lotto keno spins",
+    "tracking": "track tracks trk pixel beacon beacons counter metrics stats",
+}
 
 LEXICAL = (
     "n_chars host_chars n_labels path_depth digit_share host_digit_share host_entropy n_params "
@@ -136,11 +157,13 @@ def score(df: DataFrame, model: PipelineModel | None, statistics: dict[int, Data
     return found.select(*kept, F.get(vector_to_array("probability"), F.lit(1)).alias("blocked"))
 
 
-def weak_labels(df: DataFrame, words: list[str] = MARKED) -> DataFrame:
-    """``df`` with ``label``: 1 where a marked word is part of the host."""
-    marked = F.lit(False)
-    for word in words:
-        marked = marked | F.contains(F.col("host"), F.lit(word))
+def weak_labels(
+    df: DataFrame, words: dict[str, str] = MARKED, tokens: dict[str, str] = MARKED_TOKENS
+) -> DataFrame:
+    """``df`` with ``label``: 1 where a marked word is part of the host, or a marked token one of its tokens."""
+    parts = "|".join(" ".join(words.values()).split())
+    whole = "|".join(" ".join(tokens.values()).split())
+    marked = F.col("host").rlike(rf"{parts}|(?:^|[^\p{{L}}])(?:{whole})(?:$|[^\p{{L}}])")
     return df.withColumn("label", marked.cast("int"))
 
 

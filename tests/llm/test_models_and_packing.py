@@ -219,6 +219,35 @@ def test_trees_judge_unseen_urls_and_use_no_python(spark):
     assert urls.judge(fresh.limit(0), queries.RULES, model, suffixes).count() == 0
 
 
+PLANTED = {
+    "adult": "adult-x.example.com sex-chat.example.org myporntube.example.net",
+    "advertising": "m.ads-track.example.com ad.example.org adserver7.example.net",
+    "betting": "free-bets.example.com bet365.example.org liveodds-betting.example.net",
+    "drugs": "cheap-pills.example.com rx-meds.example.org buyviagra.example.net",
+    "fraud": "spam-farm.example.com fake-shop.example.org bankphishing.example.net",
+    "gambling": "casino-win.example.com slots1.example.org pokerroom.example.net",
+    "tracking": "trk.example.com pixel.example.org mytracker.example.net",
+}
+CLEAN = "loads.example.com alphabet.example.org middlesex.example.net www.tracked.ad better.example.com racetracks.example.org specialists.example.net milford.example.org"
+
+
+def test_planted_hosts_of_every_kind(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    hosts = [(kind, host) for kind, held in PLANTED.items() for host in held.split()]
+    hosts += [("clean", host) for host in CLEAN.split()]
+    made = [(10_000_000 + 40 * i + k, f"http://{host}/p/{k}") for i, (_, host) in enumerate(hosts) for k in range(40)]
+    whole = pages.unionByName(spark.createDataFrame(made, "page_id long, url string"))
+    known = labelled(whole)
+    said = {r["host"]: r["label"] for r in known.select("host", "label").distinct().collect()}
+    assert {h for _, h in hosts if said[h]} == {h for kind, h in hosts if kind != "clean"}
+    model, suffixes = urls.train(labelled(whole.where("page_id % 4 > 0")))
+    found = urls.judge(whole.where("page_id % 4 = 0 AND page_id >= 10000000"), [], model, suffixes)
+    blocked = {r["host"]: r["share"] for r in found.groupBy("host").agg(F.avg((F.col("verdict") == "block").cast("int")).alias("share")).collect()}
+    for kind, held in PLANTED.items():
+        assert np.mean([blocked[h] for h in held.split()]) > 0.8, kind
+    assert np.mean([blocked[h] for h in CLEAN.split()]) < 0.2
+
+
 def test_urls_with_labels_of_one_kind(spark):
     pages = spark.createDataFrame([(1, "http://a.b/c"), (2, None)], "page_id long, url string")
     got = urls.judge(pages, [], *urls.train(labelled(pages))).collect()
