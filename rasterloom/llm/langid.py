@@ -2,8 +2,8 @@
 
 Words are runs of letters (of ASCII) and bytes beyond ASCII. A word's score in a language is the
 sum of the log shares of its hashed byte trigrams. The script of a word leaves only languages that
-were seen in that script. Viterbi with a penalty for switching then labels spans, so a text in two
-languages has two spans and not one label for all.
+were seen in that script; words in a script of no learned language belong to none. Viterbi with a penalty
+for switching then labels spans, so a text in two languages has two spans and not one label for all.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from rasterloom.llm.tables import schema_of
 
 BUCKETS = 1 << 16
 
-#: First code point of each range of scripts, and the script that begins there.
+#: First code point of each range of scripts, and the script that begins there. Signs,
+#: ligatures of Latin letters, variation selectors, the byte order mark and emoji count as Latin.
 SCRIPT_RANGES = [
     (0x0000, "Latin"),
     (0x0370, "Greek"),
@@ -46,7 +47,14 @@ SCRIPT_RANGES = [
     (0xAC00, "Hangul"),
     (0xD800, "Other"),
     (0xF900, "Han"),
-    (0xFB00, "Other"),
+    (0xFB00, "Latin"),
+    (0xFB07, "Other"),
+    (0xFE00, "Latin"),
+    (0xFE10, "Other"),
+    (0xFEFF, "Latin"),
+    (0xFF00, "Other"),
+    (0x1F000, "Latin"),
+    (0x1FB00, "Other"),
     (0x20000, "Han"),
     (0x30000, "Other"),
 ]
@@ -223,8 +231,10 @@ def label(df: DataFrame, model: Model, keep: list[str], penalty: float = 10.0) -
 
     A span is a run of words in one language, with its place in the bytes of the text. The
     predicted language has the most bytes of words (the first by name where even), and the score is
-    its share of them. A text that is null or has no letters is ``und`` with score 0 and no spans;
-    so is every text when no language was learned. Rows do not depend on each other.
+    its share of the bytes of all words. Words in a script that no learned language allows are in no
+    language and no span, and part the spans around them. A text that is null, has no letters or only
+    such words is ``und`` with score 0 and no spans; so is every text when no language was learned.
+    Rows do not depend on each other.
     """
     held = df.sparkSession.sparkContext.broadcast(model)
 
@@ -242,9 +252,11 @@ def label(df: DataFrame, model: Model, keep: list[str], penalty: float = 10.0) -
                     spans += [[]] * rows
                     continue
                 labels = viterbi(word_scores(found, own), found.bounds, penalty)
+                labels[~own.allowed[found.scripts].any(1)] = count
                 owner = np.repeat(np.arange(rows), np.diff(found.bounds))
                 sizes = found.ends - found.starts
-                share = np.bincount(owner * count + labels, sizes, rows * count).reshape(rows, count)
+                share = np.bincount(owner * (count + 1) + labels, sizes, rows * (count + 1)).reshape(rows, count + 1)
+                whole, share = share.sum(1), share[:, :count]
                 best = share.argmax(1)
                 plain = np.zeros(256, bool)
                 plain[[*range(65, 91), *range(97, 123)]] = True
@@ -262,7 +274,7 @@ def label(df: DataFrame, model: Model, keep: list[str], penalty: float = 10.0) -
                         spans.append([])
                         continue
                     predicted.append(own.languages[best[i]])
-                    scores.append(float(share[i, best[i]] / share[i].sum()))
+                    scores.append(float(share[i, best[i]] / whole[i]))
                     spans.append(
                         [
                             {
@@ -271,6 +283,7 @@ def label(df: DataFrame, model: Model, keep: list[str], penalty: float = 10.0) -
                                 "lang": own.languages[labels[begin[k]]],
                             }
                             for k in range(by_row[i], by_row[i + 1])
+                            if labels[begin[k]] < count
                         ]
                     )
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))

@@ -136,6 +136,23 @@ def test_languages_held_out_mixed_and_missing(spark):
     assert {r["lang_pred"] for r in langid.label(rows, nothing, ["doc_id"]).collect()} == {"und"}
 
 
+def test_scripts_that_were_not_learned(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs, F.lit(True))
+    english = docs.where("lang = 'en' AND n_chars between 600 and 900").orderBy("doc_id").first()["text"]
+    strange = {1: "привет мир, это письмо", 2: "καλημέρα κόσμε", 3: "你好世界", 4: english[:100] + " привет" * 100}
+    known = {5: english, 6: english + " \u2764\ufe0f" * 4 + " 😀😀" * 4, 7: english + " привет мир " + english}
+    rows = spark.createDataFrame([*strange.items(), *known.items()], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in langid.label(rows, model, ["doc_id"]).collect()}
+    for i in (1, 2, 3):
+        assert (found[i]["lang_pred"], found[i]["score"], found[i]["spans"]) == ("und", 0.0, [])
+    assert found[4]["lang_pred"] == "en" and found[4]["score"] < 0.5
+    assert all(found[i]["lang_pred"] == "en" and found[i]["score"] > 0.9 for i in (5, 6, 7))
+    raw = known[7].encode()
+    assert [s["lang"] for s in found[7]["spans"]] == ["en", "en"]
+    assert not any("привет" in raw[s["start"] : s["end"]].decode() for s in found[7]["spans"])
+
+
 def test_quality_of_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     forest = quality.train(docs, labels.where("doc_id % 3 > 0"))
