@@ -146,26 +146,18 @@ def completed(sizes: np.ndarray, capacity: int, branches: int) -> list[list[int]
     return bins
 
 
-def bin_completion(sizes: np.ndarray, capacity: int, nodes: int = 4_000, branches: int = 6) -> list[list[int]]:
-    """Bins of ``sizes``: a best-fit solution as the incumbent, improved by branch and bound.
+def _fewer(
+    sizes: np.ndarray, capacity: int, allowed: int, nodes: int, branches: int
+) -> tuple[list[list[int]] | None, int]:
+    """Bins of ``sizes`` that waste at most ``allowed`` (or None), and how many of ``nodes`` are left.
 
-    The incumbent is the better of best-fit decreasing and of taking the fullest bin around the
-    largest size left again and again. Then the largest size left opens a bin, and the search
-    branches over undominated fillings of the rest; a branch ends when its waste exceeds what one bin
-    fewer than the incumbent allows. A solution at the lower bound (weight over capacity) ends the
-    search; so do ``nodes`` steps, after which the incumbent stands.
+    Placements are bounded by the bins of one path and those that steps back open again, so only steps
+    back are counted.
     """
-    least = -(-int(sizes.sum()) // capacity)
-    incumbent = best_fit(sizes, capacity)
-    if len(incumbent) > least:
-        incumbent = min(incumbent, completed(sizes, capacity, branches), key=len)
-    if len(incumbent) <= least:
-        return incumbent
-    allowed = (len(incumbent) - 1) * capacity - int(sizes.sum())
     left = _Left(sizes, capacity)
     path: list[tuple[tuple[int, ...], list[tuple[int, ...]], int]] = []
     waste, choices = 0, left.completions(branches)
-    for _ in range(nodes):
+    while True:
         while choices and waste + capacity - sum(choices[0]) > allowed:
             choices = choices[1:]
         if choices:
@@ -175,14 +167,50 @@ def bin_completion(sizes: np.ndarray, capacity: int, nodes: int = 4_000, branche
             path.append((bin_, rest, lost))
             waste += lost
             if not left.present:
-                return [list(b) for b, _, _ in path]
+                return [list(b) for b, _, _ in path], nodes
             choices = left.completions(branches)
-        elif path:
+        elif path and nodes:
+            nodes -= 1
             bin_, choices, lost = path.pop()
             left.take(bin_, 1)
             waste -= lost
         else:
+            return None, nodes
+
+
+def bin_completion(sizes: np.ndarray, capacity: int, nodes: int = 4_000, branches: int = 6) -> list[list[int]]:
+    """Bins of ``sizes``: a best-fit solution as the incumbent, improved by branch and bound.
+
+    The incumbent is the better of best-fit decreasing and of taking the fullest bin around the
+    largest size left again and again. Then the largest size left opens a bin, and the search
+    branches over undominated fillings of the rest; a branch ends when its waste exceeds what one bin
+    fewer than the incumbent allows. A solution at the lower bound (weight over capacity) ends the
+    search; so do ``nodes`` steps back, after which the incumbent stands.
+
+    Where there are many bins, steps back from the end of a path change only its last bins. So
+    the fullest bins of the incumbent are kept first, and the search is for its 8, 32, 128, ... least
+    full bins with an even part of the steps, then for all of them with the rest. A part that gets
+    fewer bins is tried again.
+    """
+    least = -(-int(sizes.sum()) // capacity)
+    incumbent = best_fit(sizes, capacity)
+    if len(incumbent) > least:
+        incumbent = min(incumbent, completed(sizes, capacity, branches), key=len)
+    opened = 8
+    while len(incumbent) > least and nodes:
+        incumbent.sort(key=sum)
+        part = np.array([s for b in incumbent[:opened] for s in b])
+        whole = opened >= len(incumbent)
+        allowed = (min(opened, len(incumbent)) - 1) * capacity - int(part.sum())
+        share = nodes if whole else nodes // 4
+        found, spare = _fewer(part, capacity, allowed, share, branches) if allowed >= 0 else (None, share)
+        nodes -= share - spare
+        if found:
+            incumbent = found + incumbent[opened:]
+        elif whole:
             break
+        else:
+            opened *= 4
     return incumbent
 
 

@@ -53,6 +53,15 @@ def test_bin_completion_beats_best_fit_where_it_can():
     assert better >= 5
 
 
+def test_bin_completion_of_more_bins_than_steps():
+    rng = np.random.default_rng(1)
+    sizes = np.clip(rng.lognormal(6.2, 0.8, 14168).astype(int), 1, 2047)
+    found = packing.bin_completion(sizes, 2048)
+    assert sorted(itertools.chain(*found)) == sorted(sizes.tolist()) and max(map(sum, found)) <= 2048
+    greedy = min(len(packing.best_fit(sizes, 2048)), len(packing.completed(sizes, 2048, 6)))
+    assert 4000 < len(found) < greedy
+
+
 @given(st.integers(0, 9000), st.integers(1, 2048))
 def test_only_the_first_piece_is_short(n, capacity):
     spans = packing.piece_spans(n, capacity)
