@@ -11,6 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.llm.tables import stored
+
 #: Words that mark a host wherever they stand in it, by kinds as published block lists have them; the
 #: labels of this library's own queries.
 MARKED = {
@@ -74,7 +76,7 @@ def _count(text: Column, signs: str) -> Column:
 
 
 def with_features(df: DataFrame) -> DataFrame:
-    """``df`` (with ``url, host, path``) and its lexical features and host suffixes."""
+    """``df`` (with ``url, host, path``) and its lexical features."""
     url, host = F.coalesce("url", F.lit("")), F.col("host")
     n = F.greatest(F.length(host), F.lit(1))
     entropy = F.lit(0.0)
@@ -97,8 +99,11 @@ def with_features(df: DataFrame) -> DataFrame:
         "longest_label": F.array_max(F.transform(labels, F.length)),
         "secure": F.lower(F.substr(url, F.lit(1), F.lit(6))) == "https:",
     }
-    found = df.withColumns({k: v.cast("double") for k, v in made.items()})
-    return found.withColumns({f"suffix{k}": F.substring_index(host, ".", -k) for k in SUFFIXES})
+    return df.withColumns({k: v.cast("double") for k, v in made.items()})
+
+
+def host_suffixes(df: DataFrame) -> DataFrame:
+    return df.withColumns({f"suffix{k}": F.substring_index("host", ".", -k) for k in SUFFIXES})
 
 
 def suffix_statistics(labelled: DataFrame, n: int) -> DataFrame:
@@ -111,46 +116,56 @@ def suffix_statistics(labelled: DataFrame, n: int) -> DataFrame:
 
 
 def with_suffixes(df: DataFrame, statistics: dict[int, DataFrame]) -> DataFrame:
-    """``df`` with the statistics of its suffixes; an unseen suffix is undecided. The tables have at
-    most one row per labelled URL, whose number is bounded, so they are broadcast."""
+    """``df`` (with ``host``) with its suffixes and their statistics; an unseen suffix is undecided. The
+    tables grow with the hosts, so how they are joined is left to adaptive execution."""
+    df = host_suffixes(df)
     for n, table in statistics.items():
-        df = df.join(F.broadcast(table), f"suffix{n}", "left")
+        df = df.join(table, f"suffix{n}", "left")
     return df.fillna({f"suffix{n}_share": 0.5 for n in statistics} | {f"suffix{n}_seen": 0.0 for n in statistics})
 
 
 def train(labelled: DataFrame, most: int = 5_000, trees: int = 8, depth: int = 3) -> tuple[PipelineModel | None, dict[int, DataFrame]]:
     """Trees and suffix tables from ``labelled`` (url, host, path, label 0 or 1).
 
-    ``most`` bounds the URLs used: the distinct ones with the smallest hashes, half of them for
-    suffix tables and half for the trees, so that these see suffixes as they will be in new URLs.
-    With labels of one kind only there are no trees.
+    The trees are fitted to at most ``most`` distinct URLs: those with the smallest hashes of one half of
+    all, by another hash. Suffix tables cover all distinct labelled URLs; those for fitting leave out
+    the URLs fitted to, so that the trees see suffixes as they will be in new URLs. With labels of one
+    kind only there are no trees.
     """
-    sample = (
+    known = stored(
         labelled.where("url IS NOT NULL AND label IS NOT NULL")
         .groupBy("url", "host", "path")
-        .agg(F.max("label").cast("double").alias("label"))
-        .orderBy(F.xxhash64("url"), "url")
-        .limit(most)
-        .transform(with_features)
-        .cache()
+        .agg(F.max("label").cast("double").alias("label")),
+        "labelled-urls",
     )
     half = F.pmod(F.xxhash64(F.lit("half"), F.col("url")), F.lit(2)) == 0
-    statistics = {n: suffix_statistics(sample.where(half), n) for n in SUFFIXES}
+    place = F.struct(F.xxhash64("url").alias("hash"), "url")
+    sample = known.where(~half).orderBy(place).limit(most).cache()
+    last = sample.agg(F.max(place).alias("last")).first()["last"]
+    others = known
+    if last is not None:
+        others = known.where(half | (place > F.struct(F.lit(last["hash"]), F.lit(last["url"]))))
+    others, statistics = host_suffixes(others), {}
+    for n in SUFFIXES:
+        wanted = host_suffixes(sample).select(f"suffix{n}").distinct()  # at most ``most`` rows
+        statistics[n] = suffix_statistics(others.join(F.broadcast(wanted), f"suffix{n}", "left_semi"), n)
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(
-        with_suffixes(sample.where(~half), statistics)
+        with_features(with_suffixes(sample, statistics))
     )
     rows = rows.select("features", "label").coalesce(1).cache()
+    whole = host_suffixes(known)
+    tables = {n: suffix_statistics(whole, n) for n in SUFFIXES}
     if rows.select("label").distinct().count() < 2:
-        return None, statistics
+        return None, tables
     boosted = GBTClassifier(maxIter=trees, maxDepth=depth, seed=1, maxBins=32).fit(rows)
     model = PipelineModel([VectorAssembler(inputCols=FEATURES, outputCol="features"), boosted])
-    return model, {n: suffix_statistics(sample, n) for n in SUFFIXES}
+    return model, tables
 
 
 def score(df: DataFrame, model: PipelineModel | None, statistics: dict[int, DataFrame]) -> DataFrame:
     """``df`` (url, host, path and columns to keep) with ``blocked``, the probability of a block."""
     kept = df.columns
-    found = with_suffixes(with_features(df), statistics)
+    found = with_features(with_suffixes(df, statistics))
     if model is None:
         return found.select(*kept, F.lit(0.0).alias("blocked"))
     found = model.transform(found)

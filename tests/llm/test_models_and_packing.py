@@ -274,6 +274,21 @@ def test_planted_hosts_of_every_kind(spark):
     assert np.mean([blocked[h] for h in CLEAN.split()]) < 0.2
 
 
+def test_suffix_tables_cover_all_labelled_urls(spark):
+    held = [(i, f"http://h{i % 300}.{'spam' if i % 3 else 'calm'}{i % 7}.org/{i}") for i in range(3000)]
+    known = labelled(spark.createDataFrame(held + held[:50], "page_id long, url string").repartition(3))
+    model, tables = urls.train(known, most=40)
+    want = {}
+    for _, url in held:
+        host = url.split("/")[2]
+        n, blocked = want.get(host, (0, 0))
+        want[host] = n + 1, blocked + ("spam" in host)
+    got = {r["suffix3"]: (r["suffix3_share"], r["suffix3_seen"]) for r in tables[3].collect()}
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[h], ((b + 1) / (n + 2), np.log1p(n))) for h, (n, b) in want.items())
+    assert model is not None
+
+
 def test_urls_with_labels_of_one_kind(spark):
     pages = spark.createDataFrame([(1, "http://a.b/c"), (2, None)], "page_id long, url string")
     got = urls.judge(pages, [], *urls.train(labelled(pages))).collect()
