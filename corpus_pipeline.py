@@ -48,10 +48,17 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; a repeated id is one row."""
-    found = jaccard.near_duplicates(docs, n=5, percent=80)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each group of near duplicates: the smallest id, nulls last, then the first row.
+
+    Rows are told by a stored number, not by ``doc_id``: of rows with one id, or none, only near
+    duplicates go. Rows without words are near duplicates of nothing and stay.
+    """
+    rows = stored(docs.select(F.struct("*").alias("_kept"), F.monotonically_increasing_id().alias("_row")), "numbered")
+    found = jaccard.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "_kept.text"), n=5, percent=80)
+    named = found.withColumnRenamed("doc_id", "_row").join(rows.select("_row", "_kept.doc_id"), "_row")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")
+    kept = named.groupBy("component_id").agg(F.min(order)["_row"].alias("_row")).select("_row")
+    return rows.join(kept, "_row", "left_semi").select("_kept.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

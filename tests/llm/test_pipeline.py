@@ -71,6 +71,18 @@ def similar(a, b):
     return 100 * len(a & b) >= 80 * len(a | b)
 
 
+def test_rows_with_one_id_or_none(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abcdef"}
+    held = [(None, "a"), (None, "b"), (None, "b"), (7, "c"), (7, "d"), (7, "d"), (9, "e"), (None, "e"), (8, "e"), (3, "f"), (2, "f")]
+    rows = [(i, text[k]) for i, k in held] + [(None, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_row", F.lit("clash"))
+    out = STAGES["near_duplicates"](spark, docs.repartition(3), SF)
+    assert out.columns == docs.columns
+    want = [(None, "a"), (None, "b"), (7, "c"), (7, "d"), (8, "e"), (2, "f")]
+    want = [(i, text[k]) for i, k in want] + [(None, None), (5, "")]
+    assert sorted([(r["doc_id"], r["text"]) for r in out.collect()], key=repr) == sorted(want, key=repr)
+
+
 def test_the_whole_run(spark):
     out = corpus_pipeline.run(spark, SF).toPandas()
     assert out.groupby("sequence_id").length.sum().max() <= 2048
