@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import audio, bpe, counts, jaccard, langid, linededup, packing, quality, shards, urls
+from rasterloom.llm import (
+    alignment,
+    audio,
+    bpe,
+    collocations,
+    counts,
+    jaccard,
+    langid,
+    linededup,
+    packing,
+    pii,
+    quality,
+    shards,
+    urls,
+)
 from rasterloom.session import shared_folder
 
 RULES = [
@@ -130,6 +144,19 @@ def op10_language(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, d: str) -> DataFrame:
+    return collocations.collocations(table(spark, d, "documents"))
+
+
+def op12_pii(spark: SparkSession, d: str) -> DataFrame:
+    return pii.report(pii.find(table(spark, d, "documents"), ["doc_id"]), ["doc_id"])
+
+
+def op13_alignment(spark: SparkSession, d: str) -> DataFrame:
+    first, second = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(table(spark, d, "documents"), first, second, ["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_audio": op1_audio,
@@ -142,8 +169,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_jaccard": op9_jaccard,
         "op10_language": op10_language,
+        "op11_collocations": op11_collocations,
+        "op12_pii": op12_pii,
+        "op13_alignment": op13_alignment,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op5_line_dedup": linededup.sql(), "op9_jaccard": jaccard.sql(3, 90)}
+    return {
+        "op5_line_dedup": linededup.sql(),
+        "op9_jaccard": jaccard.sql(3, 90),
+        "op11_collocations": collocations.sql(),
+    }
