@@ -142,7 +142,7 @@ def test_base_spans_against_plain_patterns():
 
 
 def test_base_spans_of_very_long_texts():
-    for text in ("a" * 10**6, "1" * 10**6, "1 " * 10**6, "@" * 10**6, "+" * 10**6, "+1" + " " * 10**6, "1." * 10**6, "a@" * 10**6):
+    for text in ("a" * 2 * 10**5, "1" * 2 * 10**5, "1 " * 2 * 10**5, "@" * 2 * 10**5, "+" * 2 * 10**5, "+1" + " " * 2 * 10**5, "1." * 2 * 10**5, "a@" * 2 * 10**5):
         pii.candidate_spans(text, pii.base_spans(text))
 
 
