@@ -3,16 +3,17 @@
 A block of texts becomes word hashes; prefix sums of ``hash * c^i`` give the polynomial fingerprint
 of any run of words as a difference, so all runs of a length cost one numpy expression. Languages and
 lengths are mixed into the fingerprint. Fingerprints are counted level by level: words, then pairs of
-frequent words, then longer runs whose pairs are all frequent; only counts of fingerprints are
-shuffled, each task's already summed. A run that is frequent has frequent parts, so nothing is lost. Equal
-fingerprints of different runs can only make counts larger, so they only let more through.
+frequent words, then longer runs whose pairs are all frequent; what is shuffled is each task's sum for a
+fingerprint and a pointer, the id of a document that has it. A run that is frequent has frequent
+parts, so nothing is lost. Equal fingerprints of different runs can only make counts larger.
 
-What is let through is read from the texts again: equal fingerprints are compared word by word, and
-counts are summed by the words themselves, with a pointer to an occurrence. So the result does not
-depend on the fingerprints, and only frequent phrases become strings.
+Only frequent phrases become strings, each where its pointer says. Then all occurrences of frequent
+fingerprints are held against the text at the pointer, by a second hash of their letters. A
+fingerprint of which one differs stands for several phrases: these are read from the texts and counted
+by their words. So the result does not depend on the fingerprints.
 
-Frequent fingerprints reach the tasks as a Bloom filter of at most ``2^27`` bits. Past its capacity it
-lets more runs into the shuffle, which counts them all the same.
+Frequent fingerprints, pointers and second hashes reach the tasks as Bloom filters of at most ``2^27``
+bits. Past their capacity they let more runs into the shuffle, which counts them all the same.
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ C_INVERSE = pow(C, -1, 1 << 64)
 HELD = 1 << 21
 #: Bits of a part of the filter: what ``bitmap_construct_agg`` fills.
 PART = 1 << 15
+#: Tasks at least that a language's phrases are dealt to.
+DEALS = 256
+#: Values of the bytes in the second hash.
+OTHER_LETTERS = texts.splitmix(np.arange(1_000, 1_256, dtype=np.uint64)) | np.uint64(1)
 #: The place of an occurrence without an id.
 NO_ID = -(1 << 63)
 
@@ -47,6 +52,12 @@ def _table(signs: str) -> np.ndarray:
     return found
 
 
+def _prefix_sums(hashes: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * texts.powers(len(hashes))[: len(hashes)], out=sums[1:])
+    return sums
+
+
 class Runs:
     """Words of a block and the fingerprints of their runs inside a piece."""
 
@@ -73,10 +84,8 @@ class Runs:
         if bits < 64:
             self.hashes &= np.uint64((1 << bits) - 1)
         self.langs, self.bits = langs, bits
-        n = len(self.starts)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.hashes * texts.powers(n)[:n], out=self.sums[1:])
-        back = np.full(max(n, 1), C_INVERSE, np.uint64)
+        self.sums = _prefix_sums(self.hashes)
+        back = np.full(max(len(self.starts), 1), C_INVERSE, np.uint64)
         back[0] = 1
         self.back = np.multiply.accumulate(back)
 
@@ -93,6 +102,15 @@ class Runs:
         found = texts.splitmix(found + self.langs[self.rows[at]] + np.uint64(n))
         return found & np.uint64((1 << self.bits) - 1) if self.bits < 64 else found
 
+    def with_checks(self) -> Runs:
+        """Adds sums of other hashes of the words, for ``checks``."""
+        self.others = _prefix_sums(texts.span_hashes(self.data, self.starts, self.ends, OTHER_LETTERS))
+        return self
+
+    def checks(self, at: np.ndarray, n: int) -> np.ndarray:
+        """A second hash of runs, all bits of it."""
+        return texts.splitmix((self.others[at + n] - self.others[at]) * self.back[at] + self.langs[self.rows[at]])
+
     def passing(self, most: int, frequent: np.ndarray | None, known: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """``n, first words, fingerprints`` of runs of up to ``most`` words all of whose parts of up to
         ``known`` words are in the filter ``frequent``."""
@@ -124,9 +142,9 @@ def contains(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
     return found
 
 
-def filter_of(prints: DataFrame, n: int, most_bits: int = 27) -> np.ndarray:
+def filter_of(prints: DataFrame, n: int, least_bits: int = 20, most_bits: int = 27) -> np.ndarray:
     """A Bloom filter of the column ``print`` of ``n`` rows, at most ``2^most_bits`` bits in all."""
-    width = min(max((16 * n).bit_length(), 15), most_bits)
+    width = min(max((256 * n).bit_length(), least_bits), most_bits)
     places = F.array(
         F.col("print").bitwiseAND(F.lit((1 << width) - 1)), F.shiftrightunsigned("print", 64 - width)
     )
@@ -139,9 +157,16 @@ def filter_of(prints: DataFrame, n: int, most_bits: int = 27) -> np.ndarray:
     return bits
 
 
-def _summed(prints: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    kinds, place = np.unique(prints, return_inverse=True)
-    return kinds, np.bincount(place, counts, len(kinds)).astype(np.int64)
+def joined(prints: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """One key of a fingerprint and another number."""
+    return texts.splitmix(prints ^ texts.splitmix(other.view(np.uint64)))
+
+
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Distinct fingerprints of ``(fingerprints, counts, documents)``, sums, and a document of each."""
+    prints, counts, docs = (np.concatenate(c) for c in zip(*parts, strict=True))
+    kinds, one, place = np.unique(prints, return_index=True, return_inverse=True)
+    return kinds, np.bincount(place, counts, len(kinds)).astype(np.int64), docs[one]
 
 
 def _lang_hashes(names: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -157,36 +182,52 @@ def _lang_hashes(names: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 def _counted(lengths: range, held, known: int, bits: int):
-    """Counts of fingerprints of a task's runs of ``lengths`` words."""
+    """Counts of fingerprints of a task's runs of ``lengths`` words, and a document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints, counts, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        parts: list[tuple[np.ndarray, ...]] = []
+        waiting = 0
 
-        def send(kinds: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"print": pa.array(kinds.view(np.int64)), "n": pa.array(n)})
+        def send(prints: np.ndarray, counts: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict(
+                {"print": pa.array(prints.view(np.int64)), "n": pa.array(counts), "doc_id": pa.array(docs)}
+            )
 
         for batch in batches:
             _, _, hashes = _lang_hashes(batch.column("lang"))
+            ids = batch.column("doc_id").to_numpy()
             for first, last, data, offsets in texts.text_blocks(batch.column("text")):
                 runs = Runs(data, offsets, hashes[first:last], bits)
-                for n, _, found in runs.passing(lengths[-1], held.value if held else None, known):
+                for n, at, found in runs.passing(lengths[-1], held.value if held else None, known):
                     if n in lengths:
-                        kinds, times = np.unique(found, return_counts=True)
-                        parts.append((kinds, times))
+                        kinds, one, times = np.unique(found, return_index=True, return_counts=True)
+                        parts.append((kinds, times, ids[first + runs.rows[at[one]]]))
                         waiting += len(kinds)
                 if waiting >= HELD:
-                    prints, counts = _summed(
-                        np.concatenate([prints, *[p for p, _ in parts]]), np.concatenate([counts, *[c for _, c in parts]])
-                    )
-                    parts, waiting = [], 0
-                    if len(prints) >= HELD:
-                        yield send(prints, counts)
-                        prints, counts = prints[:0], counts[:0]
-        if parts or len(prints):
-            yield send(
-                *_summed(np.concatenate([prints, *[p for p, _ in parts]]), np.concatenate([counts, *[c for _, c in parts]]))
-            )
+                    parts = [_summed(parts)]
+                    waiting = 0
+                    if len(parts[0][0]) >= HELD:
+                        yield send(*parts.pop())
+        if parts:
+            yield send(*_summed(parts))
+
+    return run
+
+
+def _differing(most: int, held, texts_held, bits: int):
+    """Frequent fingerprints of occurrences that are not the text at the pointer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, hashes = _lang_hashes(batch.column("lang"))
+            for first, last, data, offsets in texts.text_blocks(batch.column("text")):
+                runs, odd = Runs(data, offsets, hashes[first:last], bits).with_checks(), []
+                for n, at, prints in runs.passing(most, None, 0):
+                    fits = contains(held.value, prints)
+                    at, prints = at[fits], prints[fits]
+                    same = contains(texts_held.value, joined(prints, runs.checks(at, n)))
+                    odd.append(prints[~same])
+                yield pa.RecordBatch.from_pydict({"print": pa.array(np.unique(np.concatenate(odd)).view(np.int64))})
 
     return run
 
@@ -226,7 +267,7 @@ class _Pool:
         return found
 
     def add(self, n: int, prints: np.ndarray, words: np.ndarray, langs: np.ndarray, places: np.ndarray) -> None:
-        """Occurrences: fingerprint, ``n`` word numbers, language, and ``(id, start)``."""
+        """Occurrences: fingerprint, ``n`` word numbers, language, and ``(id, start, second hash)``."""
         _, one, kind, counts = np.unique(prints, return_index=True, return_inverse=True, return_counts=True)
         if not (np.array_equal(words[one[kind]], words) and np.array_equal(langs[one[kind]], langs)):
             # a fingerprint of several phrases: tell them by their words
@@ -236,7 +277,7 @@ class _Pool:
             one, counts = one[order], counts[order]
             double = np.zeros(len(one), bool)
             double[1:] = prints[one][1:] == prints[one][:-1]
-            self.apart.append((words[one][double], langs[one][double], counts[double], places[one][double]))
+            self.apart.append((prints[one][double], words[one][double], langs[one][double], counts[double], places[one][double]))
             one, counts = one[~double], counts[~double]
         new = (prints[one], words[one], langs[one], counts, places[one])
         old = self.held.get(n)
@@ -249,7 +290,7 @@ class _Pool:
         old[3][at[same]] += new[3][same]
         other = hit & ~same
         if other.any():
-            self.apart.append((new[1][other], new[2][other], new[3][other], new[4][other]))
+            self.apart.append(tuple(a[other] for a in new))
         if not hit.all():
             joined = [np.concatenate([a, b[~hit]]) for a, b in zip(old, new, strict=True)]
             order = np.argsort(joined[0], kind="stable")
@@ -261,94 +302,140 @@ class _Pool:
     def sent(self, names: list[str]) -> Iterator[pa.RecordBatch]:
         """All phrases as rows; the pool is empty then."""
         by_id = list(self.words)
-        groups = [h[1:] for h in self.held.values()] + self.apart
-        for words, langs, counts, places in groups:
+        for prints, words, langs, counts, places in [*self.held.values(), *self.apart]:
             phrases = [b" ".join([by_id[w] for w in row]).decode() for row in words.tolist()]
-            yield _rows([names[i] for i in langs.tolist()], phrases, words.shape[1], counts, places)
+            yield _rows([names[i] for i in langs.tolist()], phrases, words.shape[1], counts, places, prints)
         self.__init__()
 
 
-def _rows(langs, phrases, size: int, counts: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+def _rows(langs, phrases, size: int, counts: np.ndarray, places: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(
         {
             "lang": pa.array(langs, pa.string()),
             "phrase": pa.array(phrases, pa.string()),
             "words": pa.array([size] * len(phrases), pa.int32()),
             "n": pa.array(counts.astype(np.int64)),
-            "doc_id": pa.array(places[:, 0], pa.int64(), mask=places[:, 0] == NO_ID),
+            "doc_id": pa.array(places[:, 0]),
             "start": pa.array(places[:, 1]),
+            "print": pa.array(prints.view(np.int64)),
+            "other": pa.array(places[:, 2]),
         }
     )
 
 
-PHRASES = "lang string, phrase string, words int, n long, doc_id long, start long"
+PHRASES = "lang string, phrase string, words int, n long, doc_id long, start long, print long, other long"
 
 
-def _materialised(most: int, held, bits: int):
-    """Phrases in the filter with their counts in a task; a row of 0 words has all words of a language."""
+def _materialised(most: int, held, pointers, bits: int):
+    """Phrases of a task with their counts: those at ``pointers``, or without them all in ``held``.
+
+    With pointers, a row of 0 words has all words of a language.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool, names, total = _Pool(), {}, {}
         for batch in batches:
             kinds, codes, hashes = _lang_hashes(batch.column("lang"))
             numbers = np.array([names.setdefault(k, len(names)) for k in kinds] or [0])[codes]
-            ids = batch.column("doc_id").fill_null(NO_ID).to_numpy()
+            ids = batch.column("doc_id").to_numpy()
             for first, last, data, offsets in texts.text_blocks(batch.column("text")):
-                runs = Runs(data, offsets, hashes[first:last], bits)
+                runs = Runs(data, offsets, hashes[first:last], bits).with_checks()
                 for number, words in enumerate(np.bincount(numbers[first:last][runs.rows], minlength=len(names))):
                     total[number] = total.get(number, 0) + int(words)
-                word_ids = None
-                for n, at, prints in runs.passing(most, held.value, most):
-                    if word_ids is None:  # every longer run is made of frequent words
-                        used = np.zeros(len(runs.starts), bool)
-                        used[at] = True
-                        word_ids = pool.word_ids(runs, used)
-                    if not len(at):
-                        break
-                    words = np.column_stack([word_ids[at + k] for k in range(n)])
-                    row = runs.rows[at]
-                    places = np.column_stack([ids[first:last][row], runs.starts[at] - offsets[row]])
-                    pool.add(n, prints, words, numbers[first:last][row], places)
+                chosen, used = [], np.zeros(len(runs.starts), bool)
+                for n, at, prints in runs.passing(most, None, 0):
+                    if pointers:
+                        fits = contains(pointers.value, joined(prints, ids[first + runs.rows[at]]))
+                        at, prints = at[fits], prints[fits]
+                    fits = contains(held.value, prints)
+                    at, prints = at[fits], prints[fits]
+                    chosen.append((n, at, prints))
+                    for k in range(n):
+                        used[at + k] = True
+                word_ids = pool.word_ids(runs, used)
+                for n, at, prints in chosen:
+                    if len(at):
+                        words = np.column_stack([word_ids[at + k] for k in range(n)])
+                        row = runs.rows[at]
+                        places = np.column_stack(
+                            [ids[first + row], runs.starts[at] - offsets[row], runs.checks(at, n).view(np.int64)]
+                        )
+                        pool.add(n, prints, words, numbers[first:last][row], places)
                 if len(pool) >= HELD:
                     yield from pool.sent(list(names))
         by_number = list(names)
         yield from pool.sent(by_number)
-        if total:
-            nowhere = np.column_stack([np.full(len(total), NO_ID), np.zeros(len(total), np.int64)])
-            yield _rows([by_number[i] for i in total], [""] * len(total), 0, np.array(list(total.values())), nowhere)
+        if total and pointers:
+            nowhere = np.column_stack([np.full(len(total), NO_ID)] + 2 * [np.zeros(len(total), np.int64)])
+            counts = np.array(list(total.values()))
+            yield _rows(
+                [by_number[i] for i in total], [""] * len(total), 0, counts, nowhere, np.zeros(len(total), np.uint64)
+            )
+
+    return run
+
+
+def _sent(spark, prints: DataFrame, n: int):
+    return spark.sparkContext.broadcast(filter_of(prints, n))
+
+
+def _key(other: str):
+    """``joined`` as rows of a table have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = joined(batch.column("print").to_numpy().view(np.uint64), batch.column(other).to_numpy())
+            yield pa.RecordBatch.from_pydict({"print": pa.array(keys.view(np.int64))})
 
     return run
 
 
 def frequent_phrases(df: DataFrame, most: int = 5, least: int = 100, bits: int = 64) -> DataFrame:
-    """``lang, phrase, words, n, doc_id, start`` of the runs of 1 to ``most`` words found ``least`` times or
-    more in a language, and of each language's words in all (``words`` 0, an empty phrase).
+    """``lang, phrase, words, n, doc_id`` of the runs of 1 to ``most`` words found ``least`` times or more in a
+    language, and of each language's words in all (``words`` 0, an empty phrase).
 
-    ``n`` counts occurrences inside pieces, overlaps included; ``doc_id, start`` is the place (in
-    bytes of the text) of one of them. A-Z are lowered, a null text is empty, a null ``lang`` is ``und``.
-    Repeated rows and ids count as often as they stand there. An empty table gives no rows. Of other columns
-    none is read. ``bits`` is the width of the fingerprints and does not change the result.
+    ``n`` counts occurrences inside pieces, overlaps included; ``doc_id`` is a document that has one. A-Z
+    are lowered, a null text is empty, a null ``lang`` is ``und``. Repeated rows and ids count as often as
+    they stand there. An empty table gives no rows. Of other columns none is read. ``bits`` is the width
+    of the fingerprints and does not change the result.
     """
     spark = df.sparkSession
     read = df.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
     held, known, prints = None, 0, None
     levels = [range(n, n + 1) for n in (1, 2) if n <= most] + ([range(3, most + 1)] if most > 2 else [])
     for lengths in levels:
-        counted = read.select("lang", "text").mapInArrow(_counted(lengths, held, known, bits), "print long, n long")
-        level = counted.groupBy("print").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("print")
-        level = stored(level, "frequent-prints")
+        counted = read.mapInArrow(_counted(lengths, held, known, bits), "print long, n long, doc_id long")
+        level = counted.groupBy("print").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id"))
+        level = stored(level.where(F.col("n") >= least), "frequent-prints")
         prints = level if prints is None else prints.unionByName(level)
-        held = spark.sparkContext.broadcast(filter_of(prints, prints.count()))
+        size = prints.count()
+        held = _sent(spark, prints.select("print"), size)
         known = lengths[-1]
-    phrases = read.mapInArrow(_materialised(most, held, bits), PHRASES)
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "start")
-    summed = phrases.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"), F.min(place).alias("place"))
-    kept = summed.where((F.col("n") >= least) | (F.col("words") == 0))
-    return kept.select("lang", "phrase", "words", "n", "place.doc_id", "place.start")
+    if bits < 64:  # levels may share fingerprints
+        prints = prints.groupBy("print").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id"))
+    pointers = _sent(spark, prints.select("print", "doc_id").mapInArrow(_key("doc_id"), "print long"), size)
+    found = stored(read.mapInArrow(_materialised(most, held, pointers, bits), PHRASES), "phrases")
+    whole = found.where("words = 0").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+    one = F.min(F.struct("lang", "phrase", "words", "other")).alias("_one")
+    named = found.where("words > 0").join(prints.select("print", F.col("n").alias("_n"), "doc_id"), ["print", "doc_id"])
+    named = named.groupBy("print", "doc_id", F.col("_n").alias("n")).agg(one).select("print", "doc_id", "n", "_one.*")
+    named = stored(named, "named")
+    checks = _sent(spark, named.select("print", "other").mapInArrow(_key("other"), "print long"), size)
+    odd = read.mapInArrow(_differing(most, held, checks, bits), "print long").distinct()
+    odd = stored(odd.join(prints.select("print"), "print", "left_semi"), "collisions")
+    columns = ["lang", "phrase", "words", "n", F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id")]
+    result = named.join(odd, "print", "left_anti").select(*columns)
+    differing = odd.count()
+    if differing:
+        again = read.mapInArrow(_materialised(most, _sent(spark, odd, differing), None, bits), PHRASES)
+        again = again.join(odd, "print", "left_semi").groupBy("lang", "phrase", "words")
+        again = again.agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id")).where(F.col("n") >= least)
+        result = result.unionByName(again.select(*columns))
+    return result.unionByName(whole.select("lang", "phrase", "words", "n", F.lit(None).cast("long").alias("doc_id")))
 
 
 def scored(phrases: DataFrame) -> DataFrame:
@@ -358,7 +445,10 @@ def scored(phrases: DataFrame) -> DataFrame:
     cuts the one with the shortest first part counts.
     """
     counts = phrases.where("words > 0").select("lang", "phrase", "n")
-    whole = phrases.where("words = 0").select("lang", F.col("n").alias("total"))  # one row a language
+    # one row a language, dealt out so that a frequent language is not one task
+    deal = F.pmod(F.xxhash64("phrase"), F.lit(DEALS)).cast("int").alias("deal")
+    whole = phrases.where("words = 0").select("lang", F.col("n").alias("total"))
+    whole = whole.select("*", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).alias("deal"))
     split = F.split("phrase", " ")
     cuts = (
         phrases.where("words > 1")
@@ -372,7 +462,8 @@ def scored(phrases: DataFrame) -> DataFrame:
     )
     left = counts.select("lang", F.col("phrase").alias("left"), F.col("n").alias("l"))
     right = counts.select("lang", F.col("phrase").alias("right"), F.col("n").alias("r"))
-    found = cuts.join(left, ["lang", "left"]).join(right, ["lang", "right"]).join(whole, "lang")
+    found = cuts.join(left, ["lang", "left"]).join(right, ["lang", "right"])
+    found = found.select("*", deal).join(whole, ["lang", "deal"])
     wide = "decimal(19,0)"
     up = F.lit(1000).cast("decimal(4,0)") * F.col("a").cast("decimal(15,0)") * F.col("total").cast("decimal(17,0)")
     found = found.withColumn("_up", up).withColumn("_down", F.col("l").cast(wide) * F.col("r").cast("decimal(18,0)"))

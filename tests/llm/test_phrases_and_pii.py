@@ -80,12 +80,10 @@ def test_phrases_have_counts_and_a_place(spark):
     assert {r["lang"]: r["n"] for r in found if not r["words"]} == dict(totals)
     texts = defaultdict(list)
     for doc_id, _, text in rows:
-        texts[doc_id].append((text or "").translate(LOWER).encode())
+        texts[doc_id].append(" ".join(WORDS.findall((text or "").translate(LOWER).replace("\x0b", " "))))
     for r in found:
         if r["words"]:
-            spots = [WORDS.findall(t[r["start"] :].decode()) for t in texts[r["doc_id"]] if len(t) > r["start"]]
-            first = r["phrase"].split(" ")
-            assert any(PIECES.split(" ".join(s[: len(first)]))[0].startswith(r["phrase"][:1]) for s in spots)
+            assert any(r["phrase"] in t for t in texts[r["doc_id"]])
 
 
 def test_phrases_of_an_empty_table(spark):
