@@ -4,13 +4,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rasterloom.llm import langid, packing, quality, queries, texts, urls
+from rasterloom.llm import langid, packing, quality, queries, tables, texts, urls
 
 SF = "/root/testdata/sf0.01"
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,8 +38,43 @@ def test_bin_completion_against_all_partitions(sizes, capacity):
         search(left[1:], [*bins, left[0]])
 
     search(sorted(sizes, reverse=True), [])
-    assert best <= len(found) <= len(packing.best_fit(np.array(sizes), capacity))
-    assert len(found) <= best + 1
+    assert len(found) == best
+
+
+def planted(bins, seed):
+    rng = np.random.default_rng(seed)
+    pairs = [rng.integers(300, 900, 2) for _ in range(bins)]
+    return np.array([s for a, b in pairs for s in (a, b, 2048 - a - b)])
+
+
+@pytest.mark.parametrize("bins", [10, 20])
+def test_full_sequences_that_were_planted_are_found(bins):
+    for seed in range(5):
+        sizes = planted(bins, seed)
+        found = packing.bin_completion(sizes, 2048)
+        assert len(found) == bins < len(packing.best_fit(sizes, 2048))
+        assert sorted(itertools.chain(*found)) == sorted(sizes.tolist()) and max(map(sum, found)) <= 2048
+
+
+def test_all_undominated_fillings_are_enumerated():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        sizes = rng.integers(1, 14, rng.integers(1, 9))
+        left = packing._Left(sizes, 40, 10**6)
+        room = int(rng.integers(1, 30))
+        every = {
+            tuple(sorted(c, reverse=True))
+            for k in range(len(sizes) + 1)
+            for c in itertools.combinations(sizes.tolist(), k)
+            if sum(c) <= room
+        }
+        by_sum = {c for t in range(room + 1) for c in left.exact(t)}
+        assert by_sum == every
+        found = [f for _, f in left.fillings(room, room)]
+        assert set(found) <= every and found
+        assert sum(found[0]) == max(map(sum, every))
+        for other in every - set(found):  # each has a filling that is as full with fewer sizes, or fuller
+            assert any(sum(f) > sum(other) or (sum(f) == sum(other) and len(f) < len(other)) for f in found)
 
 
 def test_bin_completion_beats_best_fit_where_it_can():
@@ -58,8 +94,9 @@ def test_bin_completion_of_more_bins_than_steps():
     sizes = np.clip(rng.lognormal(6.2, 0.8, 14168).astype(int), 1, 2047)
     found = packing.bin_completion(sizes, 2048)
     assert sorted(itertools.chain(*found)) == sorted(sizes.tolist()) and max(map(sum, found)) <= 2048
-    greedy = min(len(packing.best_fit(sizes, 2048)), len(packing.completed(sizes, 2048, 6)))
-    assert 4000 < len(found) < greedy
+    assert -(-sizes.sum() // 2048) <= len(found) < len(packing.best_fit(sizes, 2048))
+    few = packing.bin_completion(sizes, 2048, steps=500)  # too few to fill all bins
+    assert sorted(itertools.chain(*few)) == sorted(sizes.tolist()) and max(map(sum, few)) <= 2048
 
 
 @given(st.integers(0, 9000), st.integers(1, 2048))
@@ -97,6 +134,15 @@ def test_groups_pack_apart(spark):
     assert len(rows) == 4000 and rows.groupby("sequence_id").length.sum().max() <= 2048
     whole = packing.pack(found, 2048).toPandas()
     assert rows.sequence_id.nunique() <= whole.sequence_id.nunique() * 1.03
+    with pytest.raises(ValueError, match="offset"):
+        packing.pack(found.withColumnRenamed("offset_of", "offset"), 2048)
+
+
+def test_groups_have_the_same_mix(spark):
+    pairs = spark.range(3000).selectExpr("id", "explode(array(1025L, 1023L)) length").repartition(7, "id")
+    rows = packing.pack(tables.stored(pairs, "pairs"), 2048, rows_in_group=500).toPandas()
+    assert len(rows) == 6000 and rows.groupby("sequence_id").length.sum().max() == 2048
+    assert rows.sequence_id.nunique() <= 3000 + 12  # at most one more a group
 
 
 def test_viterbi_against_all_paths():
