@@ -5,12 +5,11 @@ ranks of the two halves, and positions whose lines occur nowhere else leave. Ran
 of the sorted sequences, so they are the groups of a suffix array cut at that depth: equal ranks are
 an interval of suffixes with a common prefix of ``2^k`` lines.
 
-A run counts when it has ``min_words`` words. Let ``n(p)`` be the fewest lines from position p with
-so many words. Each repeated window ``[p, p + n(p))`` is part of a maximal repeated run of enough words,
-but the windows in a run do not cover it: its last lines stay where they hold fewer words together and
-no window reaches them. With the shortest windows of enough words that end at each line they do: a line
-of the run from whose start there are enough words up to it ends such a window, and any other is in the
-window that opens the run. ``whole_runs`` takes both kinds.
+A run counts when it has ``min_words`` words, and every line of a repeated run goes but in its first copy.
+Let ``n(p)`` be the fewest lines from position p with so many words. The windows ``[p, p + n(p))`` and
+the shortest windows of enough words that end at each line cover such a run: a line from which there are enough
+words to the run's end begins one, a line up to which there are enough from its start ends one, and any
+other line is in the window that opens the run.
 
 So it is enough to find, for every window, the interval of suffixes that share its lines, which are
 at most ``min_words``; that bounds the rounds. A prefix of ``n`` lines is told by two ranks of
@@ -26,12 +25,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rasterloom.llm import texts
 from rasterloom.llm.tables import stored
 
 
-def _line_rows(min_words: int, whole_runs: bool):
+def _line_rows(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uids, ids = batch.column("_uid").to_numpy(), batch.column("doc_id")
@@ -45,7 +45,7 @@ def _line_rows(min_words: int, whole_runs: bool):
                 end = np.searchsorted(total, total[:-1] + min_words)
                 fits = end <= bounds[owner + 1]
                 begin = np.searchsorted(total, total[1:] - min_words, "right") - 1
-                closes = (begin >= bounds[owner]) & (end[begin] != np.arange(1, len(full) + 1)) & whole_runs
+                closes = (begin >= bounds[owner]) & (end[begin] != np.arange(1, len(full) + 1))
                 raw = data.tobytes()
                 lines = [
                     hashlib.blake2b(raw[a:b], digest_size=16).digest()
@@ -92,7 +92,8 @@ def suffix_ranks(lines: DataFrame, depth: int) -> DataFrame:
 
 
 def later_copies(lines: DataFrame, min_words: int) -> DataFrame:
-    """``uid, first, last`` (lines) of the windows of enough words that occur earlier in the corpus.
+    """``uid, at, need, first, last`` of the windows of enough words that occur earlier in the corpus:
+    place and number of their lines with words, and their first and last of all lines.
 
     Earlier means a smaller ``doc_id`` (null first), then an earlier row, then an earlier line.
     """
@@ -110,34 +111,49 @@ def later_copies(lines: DataFrame, min_words: int) -> DataFrame:
     keys = ["need", "head", "rest"]
     own = F.struct("doc_id", "uid", "at")
     kinds = found.groupBy(*keys).agg(F.min(own).alias("original"), F.count("*").alias("n")).where("n > 1")
-    return found.join(kinds.drop("n"), keys).where(own != F.col("original")).select("uid", "first", "last")
+    return found.join(kinds.drop("n"), keys).where(own != F.col("original")).select(
+        "uid", "at", "need", "first", "last"
+    )
+
 
+def merged(windows: DataFrame) -> DataFrame:
+    """``uid, runs``: sorted runs (``first, last``) of the lines that windows cover.
 
-def _merged(windows: Column) -> Column:
-    """Runs of lines that sorted windows cover; windows that touch are one run."""
+    Windows whose lines with words touch are one run, so lines without a word between them go too. A row's
+    windows are sorted once, whatever their number.
+    """
+    order = Window.partitionBy("uid").orderBy("at", "need")
+    reach = F.max(F.col("at") + F.col("need")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce(F.col("at") > reach, F.lit(True)).cast("long")
+    marked = windows.withColumn("opens", opens).withColumn(
+        "run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    )
+    runs = marked.groupBy("uid", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return runs.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
-    def joined(runs: Column, window: Column) -> Column:
-        last = F.try_element_at(runs, F.lit(-1))
-        longer = F.struct(last["first"].alias("first"), F.greatest(last["last"], window["last"]).alias("last"))
-        return F.when(
-            window["first"] <= last["last"] + 1, F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(longer))
-        ).otherwise(F.concat(runs, F.array(window)))
 
-    return F.aggregate(windows, F.array().cast("array<struct<first: bigint, last: bigint>>"), joined)
+def _without(lines: Column, runs: Column) -> Column:
+    """Lines outside the sorted runs, cut out as slices."""
+    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform(runs, lambda r: r["last"] + 1))
+    ends = F.concat(F.transform(runs, lambda r: r["first"]), F.array(F.size(lines).cast("long")))
+    return F.flatten(
+        F.zip_with(begins, ends, lambda a, b: F.slice(lines, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")))
+    )
 
 
-def dedup_lines(df: DataFrame, keep: list[str], min_words: int = 30, whole_runs: bool = False) -> DataFrame:
+def dedup_lines(df: DataFrame, keep: list[str], min_words: int = 30) -> DataFrame:
     """Columns ``keep`` and ``text`` without later copies of repeated runs of lines.
 
     Lines are parted by ``\\n``; ids are digests of whole lines, and lines without a word are passed
-    over (one inside a deleted window goes with it). A run is deleted where the same lines, ``min_words``
-    words or more, stand earlier in the corpus; its first copy stays. Without ``whole_runs`` (the rule
-    of ``sql``) only the shortest windows of enough words from each line on are looked up, and last
-    lines of a run that none of them reaches stay. ``n_lines`` counts the lines
-    there were, ``n_deleted`` those that went, ``runs`` holds their numbers from 0. All lines of a
-    row may go; the text is then empty. Null and empty texts stay as they are, repeated rows lose
-    what the first of them has. ``df`` needs an integer ``doc_id`` and ``text``.
+    over (they go where the lines with words on both sides go). A run is deleted, to its last line, where the
+    same lines, ``min_words`` words or more, stand earlier in the corpus; its first copy stays. ``n_lines``
+    counts the lines there were, ``n_deleted`` those that went, ``runs`` holds their numbers from 0. All
+    lines of a row may go; the text is then empty. Null and empty texts stay as they are, repeated rows
+    lose what the first of them has. ``df`` needs an integer ``doc_id`` and ``text``; ``keep`` may not
+    have the other names of the result.
     """
+    if taken := [c for c in keep if c.lower() in ("n_lines", "n_deleted", "runs")]:
+        raise ValueError(f"columns {taken} are made here")
     columns = [c for c in keep if c != "text"]
     held = stored(
         df.select(F.struct(*columns).alias("_kept"), F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
@@ -147,24 +163,18 @@ def dedup_lines(df: DataFrame, keep: list[str], min_words: int = 30, whole_runs:
     )
     lines = stored(
         held.select("_uid", "doc_id", "text").mapInArrow(
-            _line_rows(min_words, whole_runs),
+            _line_rows(min_words),
             "uid long, doc_id long, at long, line binary, need long, first long, last long, back long, begin long",
         ),
         "line-ids",
     )
-    copies = later_copies(lines, min_words).groupBy(F.col("uid").alias("_uid")).agg(
-        _merged(F.sort_array(F.collect_list(F.struct("first", "last")))).alias("runs")
-    )
+    copies = merged(later_copies(lines, min_words)).withColumnRenamed("uid", "_uid")
     none = F.array().cast("array<struct<first: bigint, last: bigint>>")
     parted = F.split(F.coalesce("text", F.lit("")), "\n")
-
-    def kept(line: Column, i: Column) -> Column:
-        return ~F.exists("runs", lambda r: (i >= r["first"]) & (i <= r["last"]))
-
     return (
         held.join(copies, "_uid", "left")
         .withColumns({"runs": F.coalesce("runs", none), "_lines": parted})
-        .withColumn("_left", F.when(F.size("runs") > 0, F.filter("_lines", kept)).otherwise(F.col("_lines")))
+        .withColumn("_left", F.when(F.size("runs") > 0, _without(F.col("_lines"), F.col("runs"))).otherwise(F.col("_lines")))
         .select(
             "_kept.*",
             F.when(F.size("runs") > 0, F.array_join("_left", "\n")).otherwise(F.col("text")).alias("text"),
@@ -175,20 +185,20 @@ def dedup_lines(df: DataFrame, keep: list[str], min_words: int = 30, whole_runs:
     )
 
 
-#: The rule by brute force: every shortest window of enough words as one string.
+#: The rule by maximal runs: equal lines whose places differ by the same number follow one another.
 SQL = r"""
 WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
 f AS (SELECT doc_id, line, i, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
-g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r,
-  sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM f WHERE n > 0),
-h AS (SELECT doc_id, list(line ORDER BY r) AS held, list(c ORDER BY r) AS cs, list(i ORDER BY r) AS places FROM g GROUP BY doc_id),
-w AS (SELECT g.doc_id, g.r, g.i,
-  list_position(list_transform(h.cs, lambda x: x >= g.c - g.n + {words}), true) AS q, h.held, h.places
-  FROM g JOIN h USING (doc_id)),
-v AS (SELECT doc_id, i, places[q] AS last, array_to_string(held[r:q], chr(10)) AS win FROM w WHERE q > 0),
-x AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS nth FROM v),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, last + 1)) AS i FROM x WHERE nth > 1)
+g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM f WHERE n > 0),
+m AS (SELECT a.doc_id, a.r, a.i, a.n, b.doc_id AS other, a.r - b.r AS apart FROM g a JOIN g b
+  ON a.line = b.line AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.r < a.r))),
+s AS (SELECT *, r - row_number() OVER (PARTITION BY doc_id, other, apart ORDER BY r) AS run FROM m),
+t AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, other, apart, run) AS words FROM s),
+full_gone AS (SELECT DISTINCT doc_id, r, i FROM t WHERE words >= {words}),
+between_gone AS (SELECT a.doc_id, unnest(range(a.i + 1, b.i)) AS i
+  FROM full_gone a JOIN full_gone b ON a.doc_id = b.doc_id AND b.r = a.r + 1),
+gone AS (SELECT doc_id, i FROM full_gone UNION ALL SELECT doc_id, i FROM between_gone)
 SELECT l.doc_id, any_value(d.text IS NULL) AS was_null,
   coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (gone.i IS NULL), '') AS text,
   count(*) AS n_lines, count(gone.i) AS n_deleted

@@ -1,3 +1,4 @@
+import itertools
 import re
 from collections import defaultdict
 
@@ -12,30 +13,6 @@ from rasterloom.llm import components, jaccard, linededup
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def dedup_by_hand(rows, min_words):
-    """Later copies go, by comparing every shortest window of enough words as a string."""
-    seen, gone = {}, defaultdict(set)
-    for key, text in enumerate(t for _, t in rows):
-        lines = (text or "").split("\n")
-        full = [i for i, line in enumerate(lines) if WORD.search(line)]
-        for a in range(len(full)):
-            total = 0
-            for b in range(a, len(full)):
-                total += len(WORD.findall(lines[full[b]]))
-                if total >= min_words:
-                    window = tuple(lines[i] for i in full[a : b + 1])
-                    if window in seen:
-                        gone[key].update(range(full[a], full[b] + 1))
-                    seen.setdefault(window, key)
-                    break
-    out = []
-    for key, (doc_id, text) in enumerate(rows):
-        lines = (text or "").split("\n")
-        left = "\n".join(line for i, line in enumerate(lines) if i not in gone[key])
-        out.append((doc_id, left if gone[key] or text is not None else None, len(lines), len(gone[key])))
-    return sorted(out, key=repr)
-
-
 def dedup(spark, rows, min_words):
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).withColumn("at", F.lit("clash"))
     got = linededup.dedup_lines(df, ["doc_id", "at"], min_words).collect()
@@ -43,16 +20,6 @@ def dedup(spark, rows, min_words):
     return sorted([(r["doc_id"], r["text"], r["n_lines"], r["n_deleted"]) for r in got], key=repr), got
 
 
-def test_lines_against_brute_force(spark):
-    rng = np.random.default_rng(4)
-    lines = ["a b", "c", "d e f", "", " ", "g", "h i j k l m", "n"]
-    rows = [(i, "\n".join(rng.choice(lines, rng.integers(0, 14)))) for i in range(60)]
-    rows += [(60, None), (61, ""), (62, "\n\n"), (63, rows[5][1]), (64, rows[5][1])]
-    for min_words in (1, 4, 9):
-        got, _ = dedup(spark, rows, min_words)
-        assert got == dedup_by_hand(rows, min_words)
-
-
 def test_a_passage_is_kept_once_and_clean_text_left_alone(spark):
     passage = "\n".join(" ".join(f"p{i}w{j}" for j in range(20)) for i in range(4))
     short = "a line that many share"
@@ -86,19 +53,35 @@ def whole_runs_by_hand(rows, min_words):
                 words, size = words + len(WORD.findall(line)), size + 1
             if words >= min_words:
                 gone[k].update(full[k][a : a + size])
+    for k, at in enumerate(full):
+        for i, j in itertools.pairwise(at):
+            if {i, j} <= gone[k]:
+                gone[k].update(range(i, j))
     return [sorted(gone[k]) for k in range(len(rows))]
 
 
-def test_whole_runs_against_brute_force(spark):
+def test_lines_against_brute_force(spark):
     rng = np.random.default_rng(5)
     lines = ["a b", "c", "d e f", "", " ", "g", "h i j k l m", "n"]
-    rows = [(i, "\n".join(rng.choice(lines, rng.integers(0, 14)))) for i in range(40)] + [(40, None), (41, ""), (42, "\n")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    rows = [(i, "\n".join(rng.choice(lines, rng.integers(0, 14)))) for i in range(60)]
+    rows += [(60, None), (61, ""), (62, "\n\n"), (63, rows[5][1]), (64, rows[5][1])]
     for min_words in (1, 4, 9):
-        got = linededup.dedup_lines(df, ["doc_id"], min_words, whole_runs=True).collect()
-        runs = {r["doc_id"]: [i for s in r["runs"] for i in range(s["first"], s["last"] + 1)] for r in got}
-        worded = [[i for i in runs[k] if WORD.search(t.split("\n")[i])] for k, t in rows[:40]]
-        assert worded + [runs[k] for k, _ in rows[40:]] == whole_runs_by_hand(rows, min_words)
+        got, full = dedup(spark, rows, min_words)
+        runs = {r["doc_id"]: [i for s in r["runs"] for i in range(s["first"], s["last"] + 1)] for r in full}
+        gone = whole_runs_by_hand(rows, min_words)
+        assert [runs[k] for k, _ in rows] == gone
+        for (k, text), own in zip(rows, gone, strict=True):
+            left = "\n".join(t for i, t in enumerate((text or "").split("\n")) if i not in own)
+            assert (k, left if own or text is not None else None, len((text or "").split("\n")), len(own)) in got
+
+
+def test_many_runs_in_one_document(spark):
+    part = [" ".join(f"r{i}w{j}" for j in range(30)) for i in range(3000)]
+    long = "\n".join(line for i, p in enumerate(part) for line in (f"own {i}", p))
+    rows = [(1, "\n".join(part)), (2, long)]
+    _, full = dedup(spark, rows, 30)
+    assert {r["doc_id"]: len(r["runs"]) for r in full} == {1: 0, 2: 3000}
+    assert next(r["text"] for r in full if r["doc_id"] == 2) == "\n".join(f"own {i}" for i in range(3000))
 
 
 def test_the_last_lines_of_a_passage_go_too(spark):
@@ -106,7 +89,7 @@ def test_the_last_lines_of_a_passage_go_too(spark):
         passage = "\n".join(" ".join(f"p{i}w{j}" for j in range(n)) for i, n in enumerate(sizes))
         rows = [(i, f"only {i} here\n{passage}\nand the end of {i}") for i in range(3)]
         df = spark.createDataFrame(rows, "doc_id long, text string")
-        got = linededup.dedup_lines(df, ["doc_id"], 30, whole_runs=True).orderBy("doc_id").collect()
+        got = linededup.dedup_lines(df, ["doc_id"], 30).orderBy("doc_id").collect()
         assert [r["n_deleted"] for r in got] == [0, len(sizes), len(sizes)]
         assert got[2]["text"] == "only 2 here\nand the end of 2"
 
