@@ -26,15 +26,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round hangs all neighbours of a node on its least one, first the larger, then the
     smaller; the number of rounds grows with the logarithm of a component. Each round's edges are
-    stored, at most as many as before. A node in no edge, and a table without edges, gives no rows.
+    stored, at most as many as before; rounds end when two 64-bit sums over them repeat. A node in no edge, and a table without edges, gives no rows.
     """
     now = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
     mark = None
     while True:
         now = stored(_small_star(_large_star(now)).distinct(), "edges")
-        seen = now.agg(
-            F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h")
-        ).first()
+        sums = [F.sum(F.xxhash64(F.lit(i), "a", "b").cast("decimal(38,0)")) for i in range(2)]
+        seen = now.agg(F.count("*").alias("n"), *[s.alias(f"h{i}") for i, s in enumerate(sums)]).first()
         if seen == mark or not seen["n"]:
             break
         mark = seen

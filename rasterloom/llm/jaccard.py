@@ -132,7 +132,7 @@ def linked(overlap, na, nb, percent: int):
 
 
 def digests(df: DataFrame, n: int) -> DataFrame:
-    """``doc_id, size, set, twin`` of each row: the size of its set and 128 bits of digest."""
+    """``uid, doc_id, size, set, twin`` of each row: the size of its set and 128 bits of digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,6 +141,7 @@ def digests(df: DataFrame, n: int) -> DataFrame:
                 one, two = zip(*[set_digest(s) for s in sets], strict=True)
                 yield pa.RecordBatch.from_pydict(
                     {
+                        "uid": batch.column("uid").slice(first, last - first),
                         "doc_id": batch.column("doc_id").slice(first, last - first),
                         "size": pa.array([len(s) for s in sets], pa.int64()),
                         "set": pa.array(one, pa.int64()),
@@ -148,7 +149,7 @@ def digests(df: DataFrame, n: int) -> DataFrame:
                     }
                 )
 
-    return df.select("doc_id", "text").mapInArrow(run, f"{schema_of(df, ['doc_id'])}, size long, set long, twin long")
+    return df.select("uid", "doc_id", "text").mapInArrow(run, "uid long, doc_id long, size long, set long, twin long")
 
 
 def postings(df: DataFrame, n: int, percent: int) -> DataFrame:
@@ -340,17 +341,23 @@ def across_components(members: DataFrame, sets: DataFrame, joined: DataFrame, pe
     return dealt.mapInArrow(_across(percent), "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, numbered: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row of ``df``.
 
     Two rows link when their sets of ``n``-word shingles (A-Z as a-z, words ``[^\\x20\\x09-\\x0D]+``;
     fewer words are one shingle) have a Jaccard similarity of ``percent`` or more, and a component's
     id is the smallest ``doc_id`` that links lead to. Null or empty texts and texts without words
-    have no shingles and stand alone, as do rows without near duplicates. Rows with equal sets are
-    one set with a list of rows, whatever their number; repeated rows stay. No link is lost but by a
-    collision of 64-bit hashes.
+    have no shingles and stand alone, as do rows without near duplicates. Rows are told by a stored
+    number, so repeated ids and rows without one lose no links; a component's id is null only where all its
+    rows are without one. ``numbered`` says that ``doc_id`` is such a number already (of a stored
+    table, unique, never null). Rows with equal sets are one set with a list of rows, whatever their
+    number; repeated rows stay. No link is lost but by a collision of 64-bit hashes.
     """
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if numbered:
+        docs = docs.withColumn("uid", F.col("doc_id"))
+    else:
+        docs = stored(docs.withColumn("uid", F.monotonically_increasing_id()), "numbered")
     sketch = stored(digests(docs, n), "digests")
     members = tiles(docs, n, percent)
     sizes = members.groupBy("tile").agg(F.count("*").alias("n"))
@@ -359,9 +366,10 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         hubs.orderBy("hub", "set").select("set", F.monotonically_increasing_id().alias("node")), "nodes"
     )  # the larger the node, the more it shares
     members = stored(members.join(nodes, "set").select("tile", "node"), "members")
-    owners = sketch.where("size > 0").groupBy("set", "twin", "size").agg(F.min("doc_id").alias("doc_id"))
-    wanted = owners.join(nodes, "set").select("doc_id", "node", "set")
-    sets = stored(_sets(docs.join(wanted, "doc_id"), n), "sets")
+    owners = sketch.where("size > 0").groupBy("set", "twin", "size")
+    owners = owners.agg(F.min("uid").alias("uid"), F.min("doc_id").alias("doc_id"))
+    wanted = owners.join(nodes, "set").select("uid", "node", "set")
+    sets = stored(_sets(docs.join(wanted, "uid"), n), "sets")
 
     centres = members.groupBy("tile").agg(F.max("node").alias("a"))
     stars = members.join(centres, "tile").where("node <> a").select("a", F.col("node").alias("b")).distinct()

@@ -176,12 +176,15 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarra
     return labels
 
 
-def train(df: DataFrame, usable: Column, most: int = 20_000, least_share: float = 0.005) -> Model:
+def train(
+    df: DataFrame, usable: Column, most: int = 20_000, least_share: float = 0.005, most_languages: int = 200
+) -> Model:
     """Model from ``text`` and ``lang`` of the rows of ``df`` that are ``usable``.
 
     ``most`` bounds the documents used: those with the smallest hashes of ``doc_id``. Counts of
-    hashed trigrams are summed by Spark; the driver gets at most 65,536 a language. A language is
-    allowed in a script that at least ``least_share`` of its words are in.
+    hashed trigrams are summed by Spark; the driver gets at most 65,536 a language, and at most
+    ``most_languages`` are learned: the most frequent in the sample, the first by name where even. A
+    language is allowed in a script that at least ``least_share`` of its words are in.
     """
     good = df.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     picked = good.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -206,8 +209,10 @@ def train(df: DataFrame, usable: Column, most: int = 20_000, least_share: float
                 {"lang": pa.array([name] * len(at), pa.string()), "bucket": pa.array(at), "n": pa.array(held[at])}
             )
 
+    sample = good.join(F.broadcast(picked), "doc_id", "left_semi").select("lang", "text")
+    frequent = sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).select("lang")
     counted = (
-        good.join(F.broadcast(picked), "doc_id", "left_semi")
+        sample.join(F.broadcast(frequent), "lang", "left_semi")
         .select("lang", "text")
         .mapInArrow(count, "lang string, bucket long, n long")
         .groupBy("lang", "bucket")
@@ -232,9 +237,9 @@ def label(df: DataFrame, model: Model, keep: list[str], penalty: float = 10.0) -
     A span is a run of words in one language, with its place in the bytes of the text. The
     predicted language has the most bytes of words (the first by name where even), and the score is
     its share of the bytes of all words. Words in a script that no learned language allows are in no
-    language and no span, and part the spans around them. A text that is null, has no letters or only
-    such words is ``und`` with score 0 and no spans; so is every text when no language was learned.
-    Rows do not depend on each other.
+    language and no span, and part the spans around them; a text of only such words has score 0, no
+    spans, and the first language by name. A text that is null or has no letters is ``und`` with score 0
+    and no spans; so is every text when no language was learned. Rows do not depend on each other.
     """
     held = df.sparkSession.sparkContext.broadcast(model)
 
@@ -268,13 +273,13 @@ def label(df: DataFrame, model: Model, keep: list[str], penalty: float = 10.0) -
                 by_row = np.searchsorted(owner[begin], np.arange(rows + 1))
                 for i in range(rows):
                     text = data[offsets[i] : offsets[i + 1]].tobytes().decode() if total[i + 1] == total[i] else "a"
-                    if not share[i].sum() or not any(c.isalpha() for c in text):
+                    if not any(c.isalpha() for c in text):
                         predicted.append("und")
                         scores.append(0.0)
                         spans.append([])
                         continue
                     predicted.append(own.languages[best[i]])
-                    scores.append(float(share[i, best[i]] / whole[i]))
+                    scores.append(float(share[i, best[i]] / max(whole[i], 1)))
                     spans.append(
                         [
                             {

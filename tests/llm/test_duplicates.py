@@ -117,13 +117,13 @@ def components_by_hand(rows, n, percent):
     least = defaultdict(lambda: None)
     for i, (doc_id, _) in enumerate(rows):
         least[root(i)] = doc_id if least[root(i)] is None else min(least[root(i)], doc_id)
-    return sorted((rows[i][0], len(sets[i]), least[root(i)]) for i in range(len(rows)))
+    return sorted(((rows[i][0], len(sets[i]), least[root(i)]) for i in range(len(rows))), key=repr)
 
 
 def near(spark, rows, n, percent):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("set", F.lit("clash"))
     got = jaccard.near_duplicates(df.repartition(3), n, percent).collect()
-    return sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got)
+    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr)
 
 
 def copies(rng, base, count, most):
@@ -211,3 +211,15 @@ def test_a_run_over_many_batches():
     cut = [b.to_pydict() for b in jaccard._across(90)(iter(parts))]
     pairs = lambda found: {p for b in found for p in zip(b["a"], b["b"], strict=True)}
     assert len(pairs(whole)) == 15 and pairs(whole) == pairs(cut)
+
+
+def test_rows_without_an_id_and_repeated_ids_keep_their_links(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in rng.integers(0, 10**9, 300)]
+    near_copy = " ".join([*words[:150], "other", *words[151:]])
+    longer = " ".join([*words, "more"])
+    apart = " ".join(f"z{i}" for i in range(40))
+    rows = [(5, " ".join(words)), (None, near_copy), (7, longer), (7, apart), (None, apart + " z40"), (None, "quite alone here")]
+    got = sorted(near(spark, rows, 3, 90), key=repr)
+    want = sorted([(5, 298, 5), (None, 298, 5), (7, 299, 5), (7, 38, 7), (None, 39, 7), (None, 1, None)], key=repr)
+    assert got == want

@@ -191,6 +191,13 @@ def test_languages_held_out_mixed_and_missing(spark):
     assert {r["lang_pred"] for r in langid.label(rows, nothing, ["doc_id"]).collect()} == {"und"}
 
 
+def test_the_most_frequent_languages_are_learned(spark):
+    rows = [(i, "de" if i % 3 else f"x{i}", "ein Wort und noch eins") for i in range(60)] + [(99, "aa", "ein Wort")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    assert langid.train(df, F.lit(True), most_languages=2).languages == ["aa", "de"]
+    assert len(langid.train(df, F.lit(True)).languages) == 22
+
+
 def test_scripts_that_were_not_learned(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.train(docs, F.lit(True))
@@ -199,8 +206,8 @@ def test_scripts_that_were_not_learned(spark):
     known = {5: english, 6: english + " \u2764\ufe0f" * 4 + " 😀😀" * 4, 7: english + " привет мир " + english}
     rows = spark.createDataFrame([*strange.items(), *known.items()], "doc_id long, text string")
     found = {r["doc_id"]: r for r in langid.label(rows, model, ["doc_id"]).collect()}
-    for i in (1, 2, 3):
-        assert (found[i]["lang_pred"], found[i]["score"], found[i]["spans"]) == ("und", 0.0, [])
+    for i in (1, 2, 3):  # they have letters, so a learned language is named
+        assert (found[i]["lang_pred"], found[i]["score"], found[i]["spans"]) == (model.languages[0], 0.0, [])
     assert found[4]["lang_pred"] == "en" and found[4]["score"] < 0.5
     assert all(found[i]["lang_pred"] == "en" and found[i]["score"] > 0.9 for i in (5, 6, 7))
     raw = known[7].encode()
