@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rasterloom.llm import texts
-from rasterloom.llm.tables import stored
+from rasterloom.llm.tables import scope, stored
 
 #: What ends a piece, and what parts the words of a piece.
 ENDS, BLANKS = ".,;:!?\n\v\f\r", " \t"
@@ -497,7 +497,9 @@ def collocations(df: DataFrame, top: int = 2000, most: int = 5, least: int = 100
     ``a`` downwards, then by the bytes of the phrase. A language without a frequent phrase of two words
     has no rows.
     """
-    found = without_inner(scored(stored(frequent_phrases(df, most, least, bits), "phrases")))
+    with scope(df.sparkSession):
+        phrases = stored(frequent_phrases(df, most, least, bits), "phrases", outlives=True)
+    found = without_inner(scored(phrases))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

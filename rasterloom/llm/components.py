@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.tables import stored
+from rasterloom.llm.tables import scope, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,14 +28,16 @@ def components(edges: DataFrame) -> DataFrame:
     smaller; the number of rounds grows with the logarithm of a component. Each round's edges are
     stored, at most as many as before; rounds end when two 64-bit sums over them repeat. A node in no edge, and a table without edges, gives no rows.
     """
-    now = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    mark = None
-    while True:
-        now = stored(_small_star(_large_star(now)).distinct(), "edges")
-        sums = [F.sum(F.xxhash64(F.lit(i), "a", "b").cast("decimal(38,0)")) for i in range(2)]
-        seen = now.agg(F.count("*").alias("n"), *[s.alias(f"h{i}") for i, s in enumerate(sums)]).first()
-        if seen == mark or not seen["n"]:
-            break
-        mark = seen
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    with scope(edges.sparkSession):
+        now = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
+        mark = None
+        while True:
+            now = stored(_small_star(_large_star(now)).distinct(), "edges")
+            sums = [F.sum(F.xxhash64(F.lit(i), "a", "b").cast("decimal(38,0)")) for i in range(2)]
+            seen = now.agg(F.count("*").alias("n"), *[s.alias(f"h{i}") for i, s in enumerate(sums)]).first()
+            if seen == mark or not seen["n"]:
+                break
+            mark = seen
+        roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+        found = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+        return stored(found, "components", outlives=True)

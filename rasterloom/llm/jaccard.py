@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm import texts
 from rasterloom.llm.components import components
-from rasterloom.llm.tables import schema_of, stored
+from rasterloom.llm.tables import scope, stored
 
 RATIO = 1.5
 BITS_MOST = 1 << 13
@@ -353,40 +353,42 @@ def near_duplicates(df: DataFrame, n: int = 5, percent: int = 80, numbered: bool
     table, unique, never null). Rows with equal sets are one set with a list of rows, whatever their
     number; repeated rows stay. No link is lost but by a collision of 64-bit hashes.
     """
-    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if numbered:
-        docs = docs.withColumn("uid", F.col("doc_id"))
-    else:
-        docs = stored(docs.withColumn("uid", F.monotonically_increasing_id()), "numbered")
-    sketch = stored(digests(docs, n), "digests")
-    members = tiles(docs, n, percent)
-    sizes = members.groupBy("tile").agg(F.count("*").alias("n"))
-    hubs = members.join(sizes, "tile").groupBy("set").agg(F.sum("n").alias("hub"))
-    nodes = stored(
-        hubs.orderBy("hub", "set").select("set", F.monotonically_increasing_id().alias("node")), "nodes"
-    )  # the larger the node, the more it shares
-    members = stored(members.join(nodes, "set").select("tile", "node"), "members")
-    owners = sketch.where("size > 0").groupBy("set", "twin", "size")
-    owners = owners.agg(F.min("uid").alias("uid"), F.min("doc_id").alias("doc_id"))
-    wanted = owners.join(nodes, "set").select("uid", "node", "set")
-    sets = stored(_sets(docs.join(wanted, "uid"), n), "sets")
-
-    centres = members.groupBy("tile").agg(F.max("node").alias("a"))
-    stars = members.join(centres, "tile").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    allowed = _beside(stars, sets, ["size", "bits"]).select("a", "b", "size_a", "size_b", "bits_a", "bits_b")
-    links = stored(verified(allowed.mapInArrow(_bounded(percent), "a long, b long"), sets, percent), "links")
-    joined = components(links)
-    more = stored(verified(across_components(members, sets, joined, percent), sets, percent), "links")
-    joined = components(
-        joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-    )
-
-    grouped = owners.join(nodes, "set").join(joined, "node")
-    least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = grouped.join(least, "component").select("set", "twin", "size", "component_id")
-    owners = owners.join(named, ["set", "twin", "size"], "left").select(
-        "set", "twin", "size", F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    with scope(df.sparkSession):
+        docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        if numbered:
+            docs = docs.withColumn("uid", F.col("doc_id"))
+        else:
+            docs = stored(docs.withColumn("uid", F.monotonically_increasing_id()), "numbered")
+        sketch = stored(digests(docs, n), "digests", outlives=True)
+        members = tiles(docs, n, percent)
+        sizes = members.groupBy("tile").agg(F.count("*").alias("n"))
+        hubs = members.join(sizes, "tile").groupBy("set").agg(F.sum("n").alias("hub"))
+        nodes = stored(
+            hubs.orderBy("hub", "set").select("set", F.monotonically_increasing_id().alias("node")), "nodes"
+        )  # the larger the node, the more it shares
+        members = stored(members.join(nodes, "set").select("tile", "node"), "members")
+        owners = sketch.where("size > 0").groupBy("set", "twin", "size")
+        owners = owners.agg(F.min("uid").alias("uid"), F.min("doc_id").alias("doc_id"))
+        wanted = owners.join(nodes, "set").select("uid", "node", "set")
+        sets = stored(_sets(docs.join(wanted, "uid"), n), "sets")
+
+        centres = members.groupBy("tile").agg(F.max("node").alias("a"))
+        stars = members.join(centres, "tile").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+        allowed = _beside(stars, sets, ["size", "bits"]).select("a", "b", "size_a", "size_b", "bits_a", "bits_b")
+        links = stored(verified(allowed.mapInArrow(_bounded(percent), "a long, b long"), sets, percent), "links")
+        joined = components(links)
+        more = stored(verified(across_components(members, sets, joined, percent), sets, percent), "links")
+        joined = components(
+            joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+        )
+
+        grouped = owners.join(nodes, "set").join(joined, "node")
+        least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        named = grouped.join(least, "component").select("set", "twin", "size", "component_id")
+        owners = owners.join(named, ["set", "twin", "size"], "left").select(
+            "set", "twin", "size", F.coalesce("component_id", "doc_id").alias("component_id")
+        )
+        owners = stored(owners, "owners", outlives=True)
     return sketch.join(owners, ["set", "twin", "size"], "left").select(
         "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )

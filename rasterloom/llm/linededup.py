@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rasterloom.llm import texts
-from rasterloom.llm.tables import stored
+from rasterloom.llm.tables import scope, stored
 
 
 def _line_rows(min_words: int):
@@ -155,20 +155,23 @@ def dedup_lines(df: DataFrame, keep: list[str], min_words: int = 30) -> DataFram
     if taken := [c for c in keep if c.lower() in ("n_lines", "n_deleted", "runs")]:
         raise ValueError(f"columns {taken} are made here")
     columns = [c for c in keep if c != "text"]
-    held = stored(
-        df.select(F.struct(*columns).alias("_kept"), F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
-            "_uid", F.monotonically_increasing_id()
-        ),
-        "line-texts",
-    )
-    lines = stored(
-        held.select("_uid", "doc_id", "text").mapInArrow(
-            _line_rows(min_words),
-            "uid long, doc_id long, at long, line binary, need long, first long, last long, back long, begin long",
-        ),
-        "line-ids",
-    )
-    copies = merged(later_copies(lines, min_words)).withColumnRenamed("uid", "_uid")
+    with scope(df.sparkSession):
+        held = stored(
+            df.select(F.struct(*columns).alias("_kept"), F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
+                "_uid", F.monotonically_increasing_id()
+            ),
+            "line-texts",
+            outlives=True,
+        )
+        lines = stored(
+            held.select("_uid", "doc_id", "text").mapInArrow(
+                _line_rows(min_words),
+                "uid long, doc_id long, at long, line binary, need long, first long, last long, back long, begin long",
+            ),
+            "line-ids",
+        )
+        copies = merged(later_copies(lines, min_words)).withColumnRenamed("uid", "_uid")
+        copies = stored(copies, "line-runs", outlives=True)
     none = F.array().cast("array<struct<first: bigint, last: bigint>>")
     parted = F.split(F.coalesce("text", F.lit("")), "\n")
     return (

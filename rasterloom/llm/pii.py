@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.tables import schema_of, stored
+from rasterloom.llm.tables import schema_of, scope, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters before and after a match in which the words of its patterns are looked for.
@@ -241,9 +241,12 @@ def find(df: DataFrame, keep: list[str], threshold: int = 700, support: int = 5,
     """
     names = [f"_{i}" for i in range(len(keep))]
     read = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col("text").alias("text"))
-    rows = stored(scanned(read, names).withColumn("uid", F.monotonically_increasing_id()), "seen")
-    seen = rows.select("uid", F.inline("seen"))
-    _, instances = bootstrapped(seen, threshold, support, rounds)
+    with scope(df.sparkSession):
+        rows = scanned(read, names).withColumn("uid", F.monotonically_increasing_id())
+        rows = stored(rows, "seen", outlives=True)
+        seen = rows.select("uid", F.inline("seen"))
+        _, instances = bootstrapped(seen, threshold, support, rounds)
+        instances = stored(instances, "instances", outlives=True)
     loose = seen.select("uid", "start", "end", "value", F.explode("kinds").alias("marked")).where("marked LIKE '-%'")
     loose = loose.select("uid", "start", "end", "value", F.substring("marked", 2, 9).alias("kind"))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))

@@ -1,3 +1,4 @@
+import os
 import re
 
 import corpus_pipeline
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.llm import jaccard, langid, quality
-from rasterloom.llm.tables import stored
+from rasterloom.llm.tables import scope, stored
 
 SF = "/root/testdata/sf0.001"
 STAGES = dict(corpus_pipeline.STAGES)
@@ -95,3 +96,13 @@ def test_no_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stored(stage(spark, docs, SF), f"empty-{name}").count() == 0
+
+
+def test_what_stages_store_besides_is_dropped(spark, corpus):
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    before = set(os.listdir(base))
+    with scope(spark):
+        kept = stored(STAGES["near_duplicates"](spark, corpus, SF), "test-kept", outlives=True)
+    new = [f for f in set(os.listdir(base)) - before if f.startswith("rasterloom-")]
+    assert len(new) == 1 and new[0].startswith("rasterloom-test-kept-")
+    assert kept.count() > 0
