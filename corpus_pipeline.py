@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import jaccard, langid, linededup, packing, quality
-from rasterloom.llm.tables import stored
+from rasterloom.llm.tables import scope, stored
 
 #: A document goes when no language has so large a share of its words.
 LANGUAGE_SHARE = 0.5
@@ -54,7 +54,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     duplicates go. Rows without words are near duplicates of nothing and stay.
     """
     rows = stored(docs.select(F.struct("*").alias("_kept"), F.monotonically_increasing_id().alias("_row")), "numbered")
-    found = jaccard.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "_kept.text"), n=5, percent=80)
+    found = jaccard.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "_kept.text"), n=5, percent=80, numbered=True)
     named = found.withColumnRenamed("doc_id", "_row").join(rows.select("_row", "_kept.doc_id"), "_row")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")
     kept = named.groupBy("component_id").agg(F.min(order)["_row"].alias("_row")).select("_row")
@@ -79,8 +79,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each one's result stored and read by the next."""
+    """All stages over ``documents``, each one's result stored and read by the next; what a stage stored
+    besides goes when it is done."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scope(spark):
+            docs = stored(stage(spark, docs, sf_dir), name, outlives=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -27,11 +28,16 @@ def local_session(name: str = "rasterloom", cpus: int | str = "*") -> SparkSessi
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, or below the warehouse if that is unset.
+    """A new folder below ``spark.checkpoint.dir``, which the driver and all executors share.
 
-    Both are folders that the driver and all executors share.
+    On one machine without that setting it is below the warehouse; on a cluster that is an error, as
+    the default warehouse is a folder of the driver's own.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/rasterloom-{purpose}-{uuid.uuid4().hex[:12]}"
 
 

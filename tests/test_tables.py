@@ -1,6 +1,10 @@
 """Frames, names, inventories, steps, image files and streams."""
 
+import os
 import struct
+import subprocess
+import sys
+import types
 import zlib
 from datetime import datetime
 
@@ -12,6 +16,7 @@ from pyspark.sql import functions as F
 from rasterloom.functions import naming
 from rasterloom.functions.positions import explode_range, number_within
 from rasterloom.operators import frames, inventory, quality, stencils, strips
+from rasterloom.session import shared_folder
 from rasterloom.plans.steps import parse_segment, parse_steps, run_steps
 from rasterloom.sources.images import read_frames, read_images
 from rasterloom.sources.raster import read_raster, write_step
@@ -353,3 +358,30 @@ def test_image_files(spark, planes, tmp_path):
 def test_file_listing(spark, tmp_path):
     (tmp_path / "x.bin").write_bytes(b"12345")
     assert inventory.inventory_size(inventory.list_files(spark, str(tmp_path))).first().bytes == 5
+
+
+def test_raster_queries_without_the_libraries_of_others():
+    """A failed import of the training-data operators leaves the raster queries."""
+    code = (
+        "import sys; sys.modules['public_tokenizers'] = None\n"
+        "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, check=True).stdout.split()
+    assert int(said[0]) >= 113 and said[1] == "False"
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Settings(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    def session(master, **settings):
+        context = types.SimpleNamespace(master=master)
+        return types.SimpleNamespace(sparkContext=context, conf=Settings({"spark.sql.warehouse.dir": "/w", **settings}))
+
+    assert shared_folder(session("local[2]"), "x").startswith("/w/")
+    assert shared_folder(session("yarn", **{"spark.checkpoint.dir": "hdfs://c/"}), "x").startswith("hdfs://c/rasterloom-x-")
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_folder(session(master), "x")
