@@ -16,6 +16,8 @@ from rasterloom.operators import blocks, frames, inventory, lines, pixelwise, qu
 ORIGIN = 1704067200  # 2024-01-01 in seconds
 HOUR = 3600.0
 NOW = datetime(2001, 8, 1)
+#: What stands before the suffix of requested names; a number may be asked for before or after it is given.
+NAME_TAILS = ["", "_000", "", "_001", "_000_000", "", "_002", "_000", "_0001", "_001_000", "", "_004", "_000"]
 SLOTS = {"fps": 1 / HOUR, "tie": "event_id"}
 
 
@@ -106,6 +108,16 @@ def name_requests(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def dependent_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Requests for names that are numbers of names requested before or after them."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    tails = F.array(*[F.lit(t) for t in NAME_TAILS])
+    tail = F.element_at(tails, (F.col("doc_id") * 7 % len(NAME_TAILS) + 1).cast("int"))
+    asked = docs.select(F.concat("source", tail, F.lit(".jpg")).alias("name"), F.col("doc_id").alias("order_id"))
+    there = docs.where("doc_id % 11 = 3").select(F.format_string("%s_%03d.jpg", "source", F.col("doc_id") % 9).alias("name"))
+    return naming.assign_incremental(asked, there)
+
+
 def numbered_directories(spark: SparkSession, d: str) -> DataFrame:
     """Directory names, some with dots, beside those that exist."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
@@ -275,6 +287,7 @@ def queries() -> dict:
             name_requests(spark, d), names_taken(spark, d), start_index=5
         ),
         "s8_directories": numbered_directories,
+        "s8_dependent_requests": dependent_requests,
         "i1_inventory_size": lambda spark, d: inventory.inventory_size(file_table(spark, d)),
         "i2_check_size": lambda spark, d: inventory.check_size(
             file_table(spark, d), max_size_gb=1.0, strict=False
@@ -434,6 +447,17 @@ SELECT event_id, printf('%d_frame_%06d.jpg',video_id,i) AS plain, printf('a_b_%d
         "s6_sanitize_name": _safe_names(),
         "s8_assign_incremental": _incremental(),
         "s8_start_index": _incremental(5),
+        "s8_dependent_requests": f"""
+WITH RECURSIVE req AS (SELECT source, doc_id, source||([{', '.join(f"'{t}'" for t in NAME_TAILS)}])[doc_id*7%{len(NAME_TAILS)}+1] AS stem,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+run AS (SELECT r.source, 0::BIGINT AS n, coalesce(list(DISTINCT printf('%s_%03d.jpg',d.source,d.doc_id%9)) FILTER (d.source IS NOT NULL), []) AS taken, NULL::VARCHAR AS assigned
+  FROM (SELECT DISTINCT source FROM documents) r LEFT JOIN documents d ON d.source=r.source AND d.doc_id%11=3 GROUP BY r.source
+  UNION ALL SELECT source, n, list_append(taken, given), given FROM (
+    SELECT r.source, q.n, r.taken, CASE WHEN NOT list_contains(r.taken, q.stem||'.jpg') THEN q.stem||'.jpg'
+      ELSE list_filter(list_transform(range(0, len(r.taken)+1), lambda i: printf('%s_%03d.jpg', q.stem, i)),
+        lambda x: NOT list_contains(r.taken, x))[1] END AS given
+    FROM run r JOIN req q ON q.source=r.source AND q.n=r.n+1))
+SELECT q.stem||'.jpg' AS name, q.doc_id AS order_id, run.assigned FROM run JOIN req q USING (source, n)""",
         "s8_directories": """
 WITH req AS (SELECT source||'.d' AS name, doc_id AS order_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)-2 AS need FROM documents),
 taken AS (SELECT DISTINCT printf('%s.d_%03d',source,doc_id%90) AS name FROM documents WHERE doc_id%4=1),

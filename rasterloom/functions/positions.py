@@ -12,9 +12,10 @@ def number_within(
     """0-based position within ``keys`` by ``order``, counted part by part.
 
     ``part`` is a non-decreasing function of the order, so a hot key is sorted in pieces: only
-    the piece sizes of a key are ever gathered together.
+    the piece sizes of a key are ever gathered together. Rows are dealt out by pieces once, for their
+    positions and for the sizes.
     """
-    split = df.withColumn("_part", part)
+    split = df.withColumn("_part", part).repartition(*keys, "_part")
     sizes = split.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(

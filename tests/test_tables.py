@@ -131,6 +131,37 @@ def test_free_names_by_hand(spark):
     assert got == {0: "a_001.jpg", 1: "a_003.jpg", 2: "b", 3: "a_004.jpg", 4: "c.png", 5: "a_005.jpg"}
 
 
+def assigned_one_by_one(asked, there, start, directories):
+    """Requests take the first free name, one after another."""
+    taken, out = set(there), {}
+    for name, at in sorted(asked, key=lambda r: r[1]):
+        given, index = name, start
+        stem, dot, ending = (name, "", "") if directories else name.rpartition(".")
+        if not stem or not ending:
+            stem, dot, ending = name, "", ""
+        while given in taken:
+            given, index = f"{stem}_{index:03d}{dot}{ending}", index + 1
+        taken.add(given)
+        out[at] = given
+    return out
+
+
+@pytest.mark.parametrize("start, directories", [(0, False), (1, False), (0, True)])
+def test_names_are_given_in_request_order(spark, start, directories):
+    rng = np.random.default_rng(11 + start)
+    stems = ["a", "b.c", "d_000"]
+    names = [f"{s}{n}{e}" for s in stems for n in ("", "_000", "_001", "_002", "_000_000", "_000_001", "_001_000", "_0001", "_1000") for e in (".jpg", "")]
+    for size in (6, 40, 300):
+        asked = [(str(rng.choice(names)), int(at)) for at in rng.permutation(3 * size)[:size] * 40_000]
+        there = [str(n) for n in rng.choice(names, 8, replace=False)]
+        df = spark.createDataFrame(asked, "name string, order_id long").withColumn("assigned_to", F.lit("x"))
+        got = naming.assign_incremental(
+            df, spark.createDataFrame([(n,) for n in there], "name string"), start_index=start, directories=directories
+        )
+        assert {r["order_id"]: r["assigned"] for r in got.collect()} == assigned_one_by_one(asked, there, start, directories)
+        assert got.columns == ["name", "order_id", "assigned_to", "assigned"]
+
+
 def test_inventory(spark):
     rows = [("/a", datetime(2024, 1, 1), 3 << 30), ("/b", datetime(2024, 1, 9), 1 << 30)]
     files = spark.createDataFrame(rows, "path string, modificationTime timestamp, length long")
