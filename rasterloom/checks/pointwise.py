@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,14 @@ def queries() -> dict:
         "l1_noise_row": on_pixels(pixelwise.noise, mode="row", amount=0.2, seed=SEED),
         "l1_noise_row_lines": on_colour(pixelwise.noise, mode="row", amount=0.2, seed=SEED),
         "l2_noise_column": on_grey(pixelwise.noise, mode="column", amount=0.2, seed=SEED),
+        "l1_noise_row_ordered": on_colour(pixelwise.noise, mode="row", amount=0.2, seed=SEED, ordered=True),
+        "l2_noise_column_ordered": on_alpha(pixelwise.noise, mode="column", amount=0.2, seed=SEED, ordered=True),
+        "l7_gaps_mean_ordered": on_alpha(
+            lines.slc_off, gap_width=0.3, scan_period=7, fill_mode="mean", seed=SEED, ordered=True
+        ),
+        "t0_tiles_ordered": lambda spark, d: tiles.tile_table(
+            frames_of(colour(spark, d)), 12, (0.05, 0.4), SEED, ordered=True
+        ),
         "l3_corduroy_vertical": on_colour(
             lines.corduroy, strength=0.8, orientation="vertical", density=0.3, seed=SEED
         ),
@@ -208,6 +217,57 @@ m AS (SELECT frame_id, y, {means} FROM j GROUP BY frame_id, y)
 SELECT j.frame_id, j.y, x, {fill}, a FROM j JOIN m ON m.frame_id=j.frame_id AND m.y=j.y"""
 
 
+def _rows(values) -> str:
+    return ", ".join(f"({', '.join(str(v) for v in row)})" for row in values)
+
+
+def _ordered_noise(seed: int, amount: float, key: str, more: str = "") -> str:
+    """All draws of a line of 64 by 3, in the order of one generator."""
+    drawn = np.random.default_rng(seed).uniform(-amount, amount, (64, 3))
+    listed = _rows((i, *(f"{v!r}::DOUBLE" for v in row)) for i, row in enumerate(drawn.tolist()))
+    bands = ", ".join(
+        f"trunc(greatest(0.0::DOUBLE,least(1.0::DOUBLE,({b}::FLOAT/255::FLOAT)::DOUBLE+d{b}))*255.0::DOUBLE)::INT AS {b}"
+        for b in "rgb"
+    )
+    return f"WITH {sql.PX}, d(k, dr, dg, db) AS (VALUES {listed}) SELECT frame_id, y, x, {bands}{more} FROM px JOIN d ON d.k = px.{key}"
+
+
+def _ordered_gap_mean(gap: float, period: int, seed: int) -> str:
+    """Lines with a gap take draws one after another; which those are follows from the height."""
+    rng = np.random.default_rng(seed)
+    listed = _rows((i, *(int(v) for v in rng.integers(-5, 6, size=3, dtype=np.int16))) for i in range(64))
+    means = ", ".join(
+        f"sum(CASE WHEN gap_from IS NULL OR x<gap_from OR x>=gap_to THEN {b} END)::BIGINT"
+        f"//count(CASE WHEN gap_from IS NULL OR x<gap_from OR x>=gap_to THEN 1 END) AS m{b}"
+        for b in "rgb"
+    )
+    fill = ", ".join(
+        f"CASE WHEN x>=gap_from AND x<gap_to THEN greatest(0,least(255,m{b}+d{b}))::INT ELSE {b} END AS {b}" for b in "rgb"
+    )
+    return f"""
+WITH {sql.PX}, {_gap_ctes(gap, period)}, d(k, dr, dg, db) AS (VALUES {listed}),
+nth AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY y)-1 AS k FROM mask WHERE gap_from<gap_to),
+j AS (SELECT px.*, gap_from, gap_to, dr, dg, db FROM px
+  LEFT JOIN nth ON nth.frame_id=px.frame_id AND nth.y=px.y LEFT JOIN d ON d.k=nth.k),
+m AS (SELECT frame_id, y, {means} FROM j GROUP BY frame_id, y)
+SELECT j.frame_id, j.y, x, {fill}, a FROM j JOIN m ON m.frame_id=j.frame_id AND m.y=j.y"""
+
+
+def _ordered_tiles(count: int, lo: float, hi: float, seed: int) -> str:
+    """Tiles of every height up to 64, each height with a generator of its own."""
+    rows = []
+    for height in range(1, 65):
+        rng = np.random.default_rng(seed)
+        for i in range(count):
+            share = rng.uniform(lo, hi)
+            th, tw = max(1, int(height * share)), max(1, int(64 * share))
+            y0, x0 = (int(rng.integers(0, side - part + 1)) for side, part in ((height, th), (64, tw)))
+            rows.append((height, 64, i, y0, x0, th, tw))
+    return f"""
+WITH {sql.PX}, t(height, width, i, y0, x0, th, tw) AS (VALUES {_rows(rows)})
+SELECT t.* FROM t JOIN (SELECT DISTINCT h, w FROM fr) f ON f.h=t.height AND f.w=t.width"""
+
+
 def tile_cte(count: int, lo: float, hi: float, seed: int) -> str:
     share = f"({lo!r}::DOUBLE+{sql.uniform(seed, 'tile_size', 'i')}*{hi - lo!r}::DOUBLE)"
     return f"""
@@ -365,6 +425,10 @@ def oracles() -> dict[str, str]:
         "l6_gaps_black": _gap_fill(0.22, 14, "0"),
         "l6_gaps_white": _gap_fill(0.5, 8, "255"),
         "l7_gaps_mean": _gap_mean(0.3, 7, SEED),
+        "l1_noise_row_ordered": _ordered_noise(SEED, 0.2, "y"),
+        "l2_noise_column_ordered": _ordered_noise(SEED, 0.2, "x", ", a"),
+        "l7_gaps_mean_ordered": _ordered_gap_mean(0.3, 7, SEED),
+        "t0_tiles_ordered": _ordered_tiles(12, 0.05, 0.4, SEED),
         "t0_tiles": f"WITH {sql.PX}, {tile_cte(12, 0.05, 0.4, SEED)} "
         "SELECT h AS height, w AS width, i, y0, x0, th, tw FROM tiles",
         "t1_band_swap_bgr": _band_swap(15, 0.1, 0.5, SEED, (2, 1, 0)),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rasterloom.functions import draws
+from rasterloom.functions import ordered as ordered_draws
 from rasterloom.functions.binding import int_array
 from rasterloom.model import (
     KEYS,
@@ -457,8 +458,10 @@ def compression_artifact_chain(
     tile_size_range: tuple[float, float] = TILE_SIZE_RANGE,
     seed: int | None = None,
     partial: str = "pad",
+    ordered: bool = False,
 ) -> list[Kernel]:
     lo, hi = check_tiles(tile_count, 30, tile_size_range)
+    ordered_draws.check(ordered, seed)
     check_quality("quality", quality, 1, 20)
     check_choice("partial", partial, ("pad", "skip"))
     base = draws.fresh_seed(seed)
@@ -468,7 +471,11 @@ def compression_artifact_chain(
         start = draws.start(base, f"frame {frame_id}") if seed is None else base
         if (height, width, start) not in known:
             known.clear()
-            known[height, width, start] = tile_geometry(height, width, tile_count, lo, hi, start)
+            if ordered:
+                found = [t[:4] for t in ordered_draws.tiles(seed, height, width, tile_count, lo, hi)]
+            else:
+                found = tile_geometry(height, width, tile_count, lo, hi, start)
+            known[height, width, start] = found
         return known[height, width, start]
 
     def need(first: int, last: int, height: int, width: int, frame_id: int) -> tuple[int, int]:
@@ -512,6 +519,7 @@ def compression_artifact(
     tile_size_range: tuple[float, float] = TILE_SIZE_RANGE,
     seed: int | None = None,
     partial: str = "pad",
+    ordered: bool = False,
 ) -> DataFrame:
     """Compress random tiles, each on its own block grid, in order; later tiles see earlier ones.
 
@@ -520,5 +528,5 @@ def compression_artifact(
     ``skip`` leaves partial blocks alone and does not subsample chroma.
     """
     return apply(
-        df, compression_artifact_chain(all_bands(df), tile_count, quality, tile_size_range, seed, partial)
+        df, compression_artifact_chain(all_bands(df), tile_count, quality, tile_size_range, seed, partial, ordered)
     )

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions import draws
+from rasterloom.functions import ordered as ordered_draws
 from rasterloom.model import all_bands, check_choice, check_range, is_scanlines, value_bands
 from rasterloom.operators.passes import Kernel, LineKernel, Lines, apply
 from rasterloom.operators.strips import Planes
@@ -28,15 +29,48 @@ def stripes(side: int, density: float, spread: float, base: int, frame: list[int
     return gains
 
 
+def ordered_stripes(side: int, density: float, spread: float, seed: int) -> np.ndarray:
+    """Gain of each line of an image side, with the draws of a sequential generator."""
+    rng, count = ordered_draws.generator(seed), int(density * side)
+    gains = np.ones(side, np.float32)
+    if count:
+        picked = rng.choice(side, size=count, replace=False)
+        gains[picked] = rng.uniform(1.0 - spread, 1.0 + spread, size=count)
+    return gains
+
+
+def _ordered_corduroy(orientation: str, density: float, spread: float, seed: int) -> LineKernel:
+    def run(planes: Planes, lines: Lines) -> Planes:
+        upright = orientation == "vertical"
+        gains = ordered_stripes(lines.width if upright else lines.height, density, spread, seed)
+        gain = gains[None, :] if upright else gains[lines.y][:, None]
+        done = dict(planes)
+        for b, p in planes.items():
+            if b != "a":
+                share = np.clip(p.astype(np.float32) * np.float32(1 / 255) * gain, 0.0, 1.0)
+                done[b] = np.rint(share * np.float32(255)).astype(np.int32)
+        return done
+
+    return LineKernel(run)
+
+
 def corduroy_chain(
-    bands: list[str], strength: float, orientation: str, density: float, seed: int | None = None
+    bands: list[str],
+    strength: float,
+    orientation: str,
+    density: float,
+    seed: int | None = None,
+    ordered: bool = False,
 ) -> list[Kernel]:
     check_range("strength", strength, 0.0, 1.0)
     check_choice("orientation", orientation, ("vertical", "horizontal"))
     check_range("density", density, 0.0, 1.0)
+    ordered_draws.check(ordered, seed)
     if strength == 0 or density == 0:
         return []
     base, spread = draws.fresh_seed(seed), STRIPE_SPREAD * strength
+    if ordered:
+        return [_ordered_corduroy(orientation, density, spread, seed)]
 
     def run(planes: Planes, lines: Lines) -> Planes:
         side = lines.width if orientation == "vertical" else lines.height
@@ -54,14 +88,19 @@ def corduroy_chain(
 
 
 def corduroy(
-    df: DataFrame, strength: float, orientation: str, density: float, seed: int | None = None
+    df: DataFrame,
+    strength: float,
+    orientation: str,
+    density: float,
+    seed: int | None = None,
+    ordered: bool = False,
 ) -> DataFrame:
     """Multiply ``int(density*lines)`` random columns (vertical) or rows by 1 +- 0.2*strength.
 
     Which lines of a side are striped depends on its length (without a seed also on the frame), so
     every batch of lines works it out by itself.
     """
-    return apply(df, corduroy_chain(all_bands(df), strength, orientation, density, seed))
+    return apply(df, corduroy_chain(all_bands(df), strength, orientation, density, seed, ordered))
 
 
 def with_gaps(df: DataFrame, gap_width: float, scan_period: int) -> DataFrame:
@@ -125,21 +164,43 @@ def gap_bounds(height: int, width: int, gap_width: float, scan_period: int) -> t
     return np.maximum(0, middle - half), np.minimum(width, middle + half)
 
 
+def _ordered_shifts(height: int, width: int, gap_width: float, scan_period: int, seed: int, bands: int) -> np.ndarray:
+    """What a mean fill adds in each line and band: lines with a gap draw one after another."""
+    lo, hi = gap_bounds(height, width, gap_width, scan_period)
+    rng, found = ordered_draws.generator(seed), np.zeros((height, bands), np.int64)
+    for y in np.flatnonzero(lo < hi):
+        if bands == 1:
+            found[y] = rng.integers(-FILL_SPREAD, FILL_SPREAD + 1)
+        else:
+            found[y] = rng.integers(-FILL_SPREAD, FILL_SPREAD + 1, size=bands, dtype=np.int16)
+    return found
+
+
 def slc_off_chain(
     bands: list[str],
     gap_width: float,
     scan_period: int,
     fill_mode: str = "black",
     seed: int | None = None,
+    ordered: bool = False,
 ) -> list[Kernel]:
     check_range("gap_width", gap_width, 0.0, 0.5)
     if not isinstance(scan_period, int):
         raise ValueError("scan_period must be an integer")
     check_range("scan_period", scan_period, 2, 100)
     check_choice("fill_mode", fill_mode, ("black", "white", "mean"))
+    ordered_draws.check(ordered, seed)
     if gap_width == 0:
         return []
     base = draws.fresh_seed(seed)
+    known: dict[tuple[int, int, int], np.ndarray] = {}
+
+    def ordered_shift(lines: Lines, bands: int) -> np.ndarray:
+        size = (lines.height, lines.width, bands)
+        if size not in known:
+            known.clear()
+            known[size] = _ordered_shifts(*size[:2], gap_width, scan_period, seed, bands)
+        return known[size][lines.y]
 
     def run(planes: Planes, lines: Lines) -> Planes:
         lo, hi = (b[lines.y][:, None] for b in gap_bounds(lines.height, lines.width, gap_width, scan_period))
@@ -148,11 +209,15 @@ def slc_off_chain(
         outside = np.maximum(1, (~inside).sum(1, keepdims=True))
         keys = draws.key_arrays(seed, lines.frame_id)
         done = dict(planes)
-        for i, band in enumerate(b for b in planes if b != "a"):
+        names = [b for b in planes if b != "a"]
+        for i, band in enumerate(names):
             fill = 0 if fill_mode == "black" else 255
             if fill_mode == "mean":
                 mean = np.where(inside, 0, planes[band]).sum(1, keepdims=True, dtype=np.int64) // outside
-                shift = draws.uniform_int_array(base, "gap_fill", -FILL_SPREAD, FILL_SPREAD + 1, *keys, lines.y, i)
+                if ordered:
+                    shift = ordered_shift(lines, len(names))[:, i]
+                else:
+                    shift = draws.uniform_int_array(base, "gap_fill", -FILL_SPREAD, FILL_SPREAD + 1, *keys, lines.y, i)
                 fill = np.clip(mean + shift[:, None], 0, 255)
             done[band] = np.where(inside, fill, planes[band]).astype(np.int32)
         return done
@@ -166,13 +231,14 @@ def slc_off(
     scan_period: int,
     fill_mode: str = "black",
     seed: int | None = None,
+    ordered: bool = False,
 ) -> DataFrame:
     """Wedge-shaped scan-line gaps filled with black, white or the row's varied mean.
 
     The mask is one column range per row. Pixels are tested against two numbers and stay pixels;
     only a mean fill of pixel rows has to collect lines first.
     """
-    chain = slc_off_chain(all_bands(df), gap_width, scan_period, fill_mode, seed)
+    chain = slc_off_chain(all_bands(df), gap_width, scan_period, fill_mode, seed, ordered)
     if is_scanlines(df) or fill_mode == "mean" or not chain:
         return apply(df, chain)
     bands = value_bands(df)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions import draws
+from rasterloom.functions import ordered as ordered_draws
 from rasterloom.functions.binding import int_array
 from rasterloom.model import (
     KEYS,
@@ -104,11 +105,42 @@ def saturation(
     return staged.select(*KEYS, "x", moved(r).alias("r"), moved(g).alias("g"), moved(b).alias("b"))
 
 
-def noise_chain(bands: list[str], mode: str, amount: float, seed: int | None = None) -> list[Kernel]:
+def _ordered_noise(mode: str, amount: float, seed: int) -> LineKernel:
+    """Noise whose draws are those of a generator that goes along the whole picture, band by band."""
+    walks: dict[tuple[int, int], ordered_draws.Walk] = {}
+
+    def shifts(lines: Lines, bands: int) -> np.ndarray:
+        if mode == "row":
+            return ordered_draws.row_uniforms(seed, lines.y, bands, -amount, amount)[:, None, :]
+        if mode == "column":
+            return ordered_draws.generator(seed).uniform(-amount, amount, (1, lines.width, bands))
+        size = (lines.width, bands)
+        if size not in walks:
+            walks[size] = ordered_draws.Walk(seed, lambda rng, _: rng.normal(0, amount, size))
+        return walks[size].values(lines.y)
+
+    def run(planes: Planes, lines: Lines) -> Planes:
+        names = [b for b in planes if b != "a"]
+        drawn = shifts(lines, len(names))
+        done = dict(planes)
+        for i, band in enumerate(names):
+            share = planes[band].astype(np.float32) / np.float32(255.0)
+            done[band] = (np.clip(share + drawn[:, :, i], 0.0, 1.0) * 255.0).astype(np.int32)
+        return done
+
+    return LineKernel(run)
+
+
+def noise_chain(
+    bands: list[str], mode: str, amount: float, seed: int | None = None, ordered: bool = False
+) -> list[Kernel]:
     check_choice("mode", mode, ("gaussian", "row", "column"))
     check_range("amount", amount, 0.0, 1.0)
+    ordered_draws.check(ordered, seed)
     if amount == 0:
         return []
+    if ordered:
+        return [_ordered_noise(mode, amount, seed)]
     base = draws.fresh_seed(seed)
 
     def run(planes: Planes, lines: Lines) -> Planes:
@@ -127,10 +159,16 @@ def noise_chain(bands: list[str], mode: str, amount: float, seed: int | None = N
     return [LineKernel(run)]
 
 
-def noise(df: DataFrame, mode: str, amount: float, seed: int | None = None) -> DataFrame:
-    """Additive noise per pixel and band (``gaussian``), per row and band, or per column and band."""
-    chain = noise_chain(all_bands(df), mode, amount, seed)
-    if is_scanlines(df) or not chain:
+def noise(
+    df: DataFrame, mode: str, amount: float, seed: int | None = None, ordered: bool = False
+) -> DataFrame:
+    """Additive noise per pixel and band (``gaussian``), per row and band, or per column and band.
+
+    ``ordered`` draws are those of numpy's default generator for the seed, in the order of the picture; pixel
+    rows are collected to lines for them.
+    """
+    chain = noise_chain(all_bands(df), mode, amount, seed, ordered)
+    if is_scanlines(df) or not chain or ordered:
         return apply(df, chain)
     per_frame, base = draws.frame_keys(seed), draws.fresh_seed(seed)
     names = value_bands(df)
@@ -174,11 +212,21 @@ def _settled(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return place[first], (drawn[first] & 1) * 255
 
 
+def _ordered_hits(
+    seed: int, amount: float, salt_vs_pepper: float, height: int, width: int, wanted
+) -> Iterator[np.ndarray]:
+    """As ``_hits``, with the draws of a sequential generator."""
+    for y, x, salt in ordered_draws.hits(seed, amount, salt_vs_pepper, height, width):
+        found = 2 * (y * width + x) + salt
+        yield found if wanted is None else found[wanted[y]]
+
+
 def salt_pepper_chain(
-    bands: list[str], amount: float, salt_vs_pepper: float = 0.5, seed: int | None = None
+    bands: list[str], amount: float, salt_vs_pepper: float = 0.5, seed: int | None = None, ordered: bool = False
 ) -> list[Kernel]:
     check_range("amount", amount, 0.0, 1.0)
     check_range("salt_vs_pepper", salt_vs_pepper, 0.0, 1.0)
+    ordered_draws.check(ordered, seed)
     if amount == 0:
         return []
     base = draws.fresh_seed(seed)
@@ -188,14 +236,15 @@ def salt_pepper_chain(
         """All hits of a frame if they are few enough to keep, else those of the lines ``y``."""
         if (height, width, frame) in held:
             return held[height, width, frame]
-        args = (base, amount, salt_vs_pepper, height, width, list(frame))
+        args = (base, amount, salt_vs_pepper, height, width, *([] if ordered else [list(frame)]))
+        hits = _ordered_hits if ordered else _hits
         if int(amount * height * width) <= HELD_DRAWS:
             held.clear()
-            held[height, width, frame] = _settled(list(_hits(*args, None)))
+            held[height, width, frame] = _settled(list(hits(*args, None)))
             return held[height, width, frame]
         wanted = np.zeros(height, bool)
         wanted[y] = True
-        return _settled(list(_hits(*args, wanted)))
+        return _settled(list(hits(*args, wanted)))
 
     def run(planes: Planes, lines: Lines) -> Planes:
         done = {b: p if b == "a" else p.copy() for b, p in planes.items()}
@@ -221,14 +270,15 @@ def salt_pepper_chain(
 
 
 def salt_pepper(
-    df: DataFrame, amount: float, salt_vs_pepper: float = 0.5, seed: int | None = None
+    df: DataFrame, amount: float, salt_vs_pepper: float = 0.5, seed: int | None = None, ordered: bool = False
 ) -> DataFrame:
     """Set ``int(amount*height*width)`` draws of a pixel, with replacement, to 255 or 0 in all value bands.
 
     Draws depend on the frame's size only (without a seed also on the frame), so every batch of
-    lines finds its own hits: no join, and nothing to learn about the raster first.
+    lines finds its own hits: no join, and nothing to learn about the raster first. ``ordered`` draws are
+    those of numpy's default generator for the seed.
     """
-    return apply(df, salt_pepper_chain(all_bands(df), amount, salt_vs_pepper, seed))
+    return apply(df, salt_pepper_chain(all_bands(df), amount, salt_vs_pepper, seed, ordered))
 
 
 def gamma_table(gamma: float) -> list[int]:

@@ -10,10 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions import draws
+from rasterloom.functions import ordered as ordered_draws
 from rasterloom.model import all_bands, check_choice, check_range
 from rasterloom.operators.passes import Kernel, LineKernel, Lines, apply
 from rasterloom.operators.strips import Planes
@@ -100,9 +102,31 @@ def tile_table(
     tile_count: int,
     tile_size_range: tuple[float, float] = TILE_SIZE_RANGE,
     seed: int = 0,
+    ordered: bool = False,
 ) -> DataFrame:
-    """One row per distinct frame size and tile: ``height, width, i, y0, x0, th, tw``."""
+    """One row per distinct frame size and tile: ``height, width, i, y0, x0, th, tw``.
+
+    ``ordered`` draws are those of numpy's default generator for the seed.
+    """
     lo, hi = check_tiles(tile_count, 50, tile_size_range)
+    if ordered:
+        ordered_draws.check(ordered, seed)
+
+        def run(batches):
+            for batch in batches:
+                sizes = zip(*(batch.column(c).to_pylist() for c in ("height", "width")), strict=True)
+                rows = [
+                    (h, w, i, *tile[:4])
+                    for h, w in sizes
+                    for i, tile in enumerate(ordered_draws.tiles(seed, h, w, tile_count, lo, hi))
+                ]
+                names = ["height", "width", "i", "y0", "x0", "th", "tw"]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[k] for r in rows], pa.int32()) for k in range(len(names))], names=names
+                )
+
+        sizes = frames.select("height", "width").distinct()
+        return sizes.mapInArrow(run, "height int, width int, i int, y0 int, x0 int, th int, tw int")
     tiles = _placed_tiles(tile_count, lo, hi, seed)
     return (
         frames.select("height", "width")
@@ -128,11 +152,14 @@ def _tiles_of(
     return out
 
 
-def _tile_kernel(change, count: int, lo: float, hi: float, seed: int | None, shuffles: float | None = None) -> LineKernel:
+def _tile_kernel(
+    change, count: int, lo: float, hi: float, seed: int | None, shuffles: float | None = None, listed=None
+) -> LineKernel:
     """Apply ``change(cut, number, order, y, x, keys) -> cut`` to every tile's part of the lines.
 
     A tile's place depends on the seed, its number and the frame size only (without a seed also on
-    the frame), so any batch of lines knows its tiles. They are applied in drawing order.
+    the frame), so any batch of lines knows its tiles. They are applied in drawing order. ``listed(height,
+    width)`` gives the tiles of a frame size where they are drawn otherwise.
     """
     base = draws.fresh_seed(seed)
     known: dict[tuple, list[Tile]] = {}
@@ -150,7 +177,8 @@ def _tile_kernel(change, count: int, lo: float, hi: float, seed: int | None, shu
             size = (lines.height, lines.width, frame)
             if size not in known:
                 known.clear()
-                known[size] = _tiles_of(*size[:2], count, lo, hi, base, list(frame), shuffles)
+                own = listed(*size[:2]) if listed else _tiles_of(*size[:2], count, lo, hi, base, list(frame), shuffles)
+                known[size] = own
             y = lines.y[rows]
             for i, (y0, x0, th, tw, order) in enumerate(known[size]):
                 crossed = rows[(y >= y0) & (y < y0 + th)]
@@ -174,9 +202,11 @@ def band_swap_chain(
     permutation: str,
     tile_size_range: tuple[float, float] = TILE_SIZE_RANGE,
     seed: int | None = None,
+    ordered: bool = False,
 ) -> list[Kernel]:
     lo, hi = check_tiles(tile_count, 50, tile_size_range)
     check_choice("permutation", permutation, tuple(PERMUTATIONS))
+    ordered_draws.check(ordered, seed)
     if "v" in bands:
         raise ValueError("band_swap needs a colour raster")
     order = PERMUTATIONS[permutation]
@@ -184,7 +214,10 @@ def band_swap_chain(
     def swap(cut, *_):
         return [cut[k] for k in order]
 
-    return [_tile_kernel(swap, tile_count, lo, hi, seed)]
+    def listed(height: int, width: int) -> list[Tile]:
+        return ordered_draws.tiles(seed, height, width, tile_count, lo, hi)
+
+    return [_tile_kernel(swap, tile_count, lo, hi, seed, listed=listed if ordered else None)]
 
 
 def band_swap(
@@ -193,9 +226,10 @@ def band_swap(
     permutation: str,
     tile_size_range: tuple[float, float] = TILE_SIZE_RANGE,
     seed: int | None = None,
+    ordered: bool = False,
 ) -> DataFrame:
     """Permute the colour bands inside random tiles."""
-    return apply(df, band_swap_chain(all_bands(df), tile_count, permutation, tile_size_range, seed))
+    return apply(df, band_swap_chain(all_bands(df), tile_count, permutation, tile_size_range, seed, ordered))
 
 
 def buffer_corruption_chain(
@@ -205,8 +239,10 @@ def buffer_corruption_chain(
     severity: float,
     tile_size_range: tuple[float, float] = TILE_SIZE_RANGE,
     seed: int | None = None,
+    ordered: bool = False,
 ) -> list[Kernel]:
     lo, hi = check_tiles(tile_count, 20, tile_size_range)
+    ordered_draws.check(ordered, seed)
     check_choice("corruption_type", corruption_type, ("xor", "invert", "channel_shuffle"))
     check_range("severity", severity, 0.0, 1.0)
     most = int(255 * severity)
@@ -225,13 +261,41 @@ def buffer_corruption_chain(
             return [inverted[c] for c in cut]
         if corruption_type == "channel_shuffle":
             return [cut[k] for k in ALL_ORDERS[order]]
+        if ordered:
+            state, first, th, tw = order
+            rows = y[:, 0] - first
+            lo_row, hi_row = int(rows.min()), int(rows.max()) + 1
+            mask = ordered_draws.byte_rows(state, most, th, tw * len(cut), lo_row, hi_row)
+            mask = mask.reshape(-1, tw, len(cut))[rows - lo_row]
+            return [c ^ mask[:, :, k].astype(np.int32) for k, c in enumerate(cut)]
         return [
             c ^ draws.uniform_int_array(seed_used, "xor", 0, most + 1, *frame, y, k, i, x).astype(np.int32)
             for k, c in enumerate(cut)
         ]
 
+    bands_in = len([b for b in bands if b != "a"])
+
+    def listed(height: int, width: int) -> list[Tile]:
+        """Tiles, and what each one draws besides its place: an order of bands, or where its masks begin."""
+
+        def after(rng: np.random.Generator, th: int, tw: int):
+            if corruption_type == "channel_shuffle":
+                happens = rng.random() < severity
+                return ALL_ORDERS.index(tuple(rng.permutation(3).tolist())) if happens else 0
+            if corruption_type == "xor":
+                state = rng.bit_generator.state
+                for _ in ordered_draws.bounded_bytes(rng.bit_generator, most, th * tw * bands_in):
+                    pass
+                return state
+            return None
+
+        found = ordered_draws.tiles(seed, height, width, tile_count, lo, hi, after)
+        if corruption_type == "xor":
+            return [(y0, x0, th, tw, (state, y0, th, tw)) for y0, x0, th, tw, state in found]
+        return found
+
     shuffles = severity if corruption_type == "channel_shuffle" else None
-    return [_tile_kernel(change, tile_count, lo, hi, seed, shuffles)]
+    return [_tile_kernel(change, tile_count, lo, hi, seed, shuffles, listed if ordered else None)]
 
 
 def buffer_corruption(
@@ -241,10 +305,12 @@ def buffer_corruption(
     severity: float,
     tile_size_range: tuple[float, float] = TILE_SIZE_RANGE,
     seed: int | None = None,
+    ordered: bool = False,
 ) -> DataFrame:
     """Corrupt random tiles: ``xor`` with random masks, ``invert`` blend, or ``channel_shuffle``."""
     return apply(
-        df, buffer_corruption_chain(all_bands(df), tile_count, corruption_type, severity, tile_size_range, seed)
+        df,
+        buffer_corruption_chain(all_bands(df), tile_count, corruption_type, severity, tile_size_range, seed, ordered),
     )
 
 
