@@ -97,6 +97,12 @@ def queries() -> dict:
             decay="linear", subsampling=0,
         ),
         "t6_compression_artifact": on_alpha(blocks.compression_artifact, **TILE_ARGS),
+        "b1_compression_smooth": on_alpha(blocks.compression, quality=10, smooth=True),
+        "b1_compression_smooth_422": on_colour(blocks.compression, quality=30, subsampling=1, smooth=True),
+        "b8_multi_compress_smooth": on_colour(
+            blocks.multi_compress, iterations=3, quality_start=40, quality_end=5, decay="linear", smooth=True
+        ),
+        "t6_compression_artifact_smooth": on_alpha(blocks.compression_artifact, **TILE_ARGS, smooth=True),
     }
 
 
@@ -151,9 +157,34 @@ def _inverse(p: str) -> str:
   FROM {p}_ir s JOIN cosines t ON t.u=s.u GROUP BY ALL)"""
 
 
-def generation(p: str, source: str, size: str, quality: int, cell: tuple[int, int]) -> str:
+def _enlarged(p: str, source: str, size: str, cell: tuple[int, int]) -> str:
+    """Chroma at every pixel: three parts of its cell and one of the cell it is nearest to, each way."""
+    near = "greatest(0,least(({side}+1)//2-1,{at}//2+CASE WHEN {at}%2=1 THEN 1 ELSE -1 END))"
+    if cell[0] == 2:
+        i, i2 = "s.y//2", near.format(side="z.h", at="s.y")
+        value = "(3*(3*a.v+b.v)+(3*d.v+e.v)+CASE WHEN s.x%2=1 THEN 7 ELSE 8 END)>>4"
+    else:
+        i, i2 = "s.y", "s.y"
+        value = "(3*a.v+d.v+CASE WHEN s.x%2=1 THEN 2 ELSE 1 END)>>2"
+
+    def beside(name: str, row: str, column: str) -> str:
+        return f"JOIN {p}_pl {name} ON {name}.c=s.c AND {name}.frame_id=s.frame_id AND {name}.y=s.{row} AND {name}.x=s.{column}"
+
+    return f"""
+{p}_near AS MATERIALIZED (
+  SELECT s.frame_id, s.y, s.x, c, {i} AS i, {i2} AS i2, s.x//2 AS j, {near.format(side="z.w", at="s.x")} AS j2
+  FROM {source} s JOIN {size} z ON z.frame_id=s.frame_id, (VALUES (1),(2)) v(c)),
+{p}_up AS MATERIALIZED (
+  SELECT s.frame_id, s.c, s.y, s.x, {value} AS v FROM {p}_near s
+  {beside('a', 'i', 'j')} {beside('b', 'i2', 'j')} {beside('d', 'i', 'j2')} {beside('e', 'i2', 'j2')}),"""
+
+
+def generation(
+    p: str, source: str, size: str, quality: int, cell: tuple[int, int], smooth: bool = False
+) -> str:
     """One colour generation of ``source(frame_id, y, x, r, g, b)`` as ``p_out`` (same columns)."""
     tall, broad = cell
+    chroma, (tall_out, broad_out) = (f"{p}_up", (1, 1)) if smooth else (f"{p}_pl", cell)
     return f"""
 {p}_pad AS MATERIALIZED (
   SELECT g.frame_id, g.y, g.x, s.r, s.g, s.b FROM (
@@ -168,7 +199,7 @@ def generation(p: str, source: str, size: str, quality: int, cell: tuple[int, in
   SELECT frame_id, 0 AS c, y, x, yy AS v FROM {p}_ycc
   UNION ALL SELECT frame_id, 1, y//{tall}, x//{broad}, (sum(cb)::BIGINT+{tall * broad // 2})//{tall * broad} FROM {p}_ycc GROUP BY ALL
   UNION ALL SELECT frame_id, 2, y//{tall}, x//{broad}, (sum(cr)::BIGINT+{tall * broad // 2})//{tall * broad} FROM {p}_ycc GROUP BY ALL),
-{_forward(p, f'{p}_in')},{_levels(p, quality, True)},{_inverse(p)},
+{_forward(p, f'{p}_in')},{_levels(p, quality, True)},{_inverse(p)},{_enlarged(p, source, size, cell) if smooth else ""}
 {p}_out AS MATERIALIZED (
   SELECT s.frame_id, s.y, s.x,
     greatest(0,least(255,yy.v+((91881*(cr.v-128)+32768)>>16)))::INT AS r,
@@ -176,8 +207,8 @@ def generation(p: str, source: str, size: str, quality: int, cell: tuple[int, in
     greatest(0,least(255,yy.v+((116130*(cb.v-128)+32768)>>16)))::INT AS b
   FROM {source} s
   JOIN {p}_pl yy ON yy.c=0 AND yy.frame_id=s.frame_id AND yy.y=s.y AND yy.x=s.x
-  JOIN {p}_pl cb ON cb.c=1 AND cb.frame_id=s.frame_id AND cb.y=s.y//{tall} AND cb.x=s.x//{broad}
-  JOIN {p}_pl cr ON cr.c=2 AND cr.frame_id=s.frame_id AND cr.y=s.y//{tall} AND cr.x=s.x//{broad})"""
+  JOIN {chroma} cb ON cb.c=1 AND cb.frame_id=s.frame_id AND cb.y=s.y//{tall_out} AND cb.x=s.x//{broad_out}
+  JOIN {chroma} cr ON cr.c=2 AND cr.frame_id=s.frame_id AND cr.y=s.y//{tall_out} AND cr.x=s.x//{broad_out})"""
 
 
 def grey_generation(p: str, source: str, size: str, quality: int) -> str:
@@ -194,17 +225,19 @@ def grey_generation(p: str, source: str, size: str, quality: int) -> str:
   JOIN {p}_pl p ON p.frame_id=s.frame_id AND p.y=s.y AND p.x=s.x)"""
 
 
-def colour_chain(source: str, qualities: list[int], cell: tuple[int, int], size: str = "fr") -> tuple[str, str]:
+def colour_chain(
+    source: str, qualities: list[int], cell: tuple[int, int], size: str = "fr", smooth: bool = False
+) -> tuple[str, str]:
     """CTEs of chained generations and the name of the last result."""
     parts = []
     for i, quality in enumerate(qualities):
-        parts.append(generation(f"g{i}", source, size, quality, cell))
+        parts.append(generation(f"g{i}", source, size, quality, cell, smooth))
         source = f"g{i}_out"
     return ", ".join(parts), source
 
 
-def _colour(qualities: list[int], cell: tuple[int, int], first: str = "r, g, b") -> str:
-    ctes, last = colour_chain("src", qualities, cell)
+def _colour(qualities: list[int], cell: tuple[int, int], first: str = "r, g, b", smooth: bool = False) -> str:
+    ctes, last = colour_chain("src", qualities, cell, smooth=smooth)
     return f"""
 WITH {sql.PX}, {BASIS}, src AS MATERIALIZED (SELECT frame_id, y, x, {first} FROM px), {ctes}
 SELECT frame_id, y, x, r, g, b FROM {last}"""
@@ -249,7 +282,9 @@ SELECT p.frame_id, p.y, p.x, coalesce(n.r,p.r) AS r, coalesce(n.g,p.g) AS g, coa
 FROM px p LEFT JOIN g0_out n ON n.frame_id=p.frame_id AND n.y=p.y AND n.x=p.x"""
 
 
-def artifact_chain(source: str, count: int, quality: int, prefix: str = "") -> tuple[str, str]:
+def artifact_chain(
+    source: str, count: int, quality: int, prefix: str = "", smooth: bool = False
+) -> tuple[str, str]:
     """CTEs that compress the tiles of table ``tiles`` one after another."""
     parts = []
     for i in range(count):
@@ -259,7 +294,7 @@ def artifact_chain(source: str, count: int, quality: int, prefix: str = "") -> t
 {t}_src AS MATERIALIZED (
   SELECT s.frame_id, s.y-y0 AS y, s.x-x0 AS x, r, g, b FROM {source} s JOIN {t}_at a
   ON a.frame_id=s.frame_id AND s.y>=y0 AND s.y<y0+h AND s.x>=x0 AND s.x<x0+w),
-{generation(t, f'{t}_src', f'{t}_at', quality, (2, 2))},
+{generation(t, f'{t}_src', f'{t}_at', quality, (2, 2), smooth)},
 {t}_all AS MATERIALIZED (
   SELECT s.frame_id, s.y, s.x, coalesce(n.r,s.r) AS r, coalesce(n.g,s.g) AS g, coalesce(n.b,s.b) AS b
   FROM {source} s JOIN {t}_at a ON a.frame_id=s.frame_id
@@ -268,10 +303,10 @@ def artifact_chain(source: str, count: int, quality: int, prefix: str = "") -> t
     return ", ".join(parts), source
 
 
-def _artifact() -> str:
+def _artifact(smooth: bool = False) -> str:
     lo, hi = TILE_ARGS["tile_size_range"]
     count, quality, seed = (TILE_ARGS[k] for k in ("tile_count", "quality", "seed"))
-    ctes, last = artifact_chain("src", count, quality)
+    ctes, last = artifact_chain("src", count, quality, smooth=smooth)
     return f"""
 WITH {sql.PX}, {tile_cte(count, lo, hi, seed)}, {BASIS},
 src AS MATERIALIZED (SELECT frame_id, y, x, r, g, b FROM px), {ctes}
@@ -339,4 +374,8 @@ SELECT frame_id, y, x, greatest(0,least(255,yy+((91881*cr+32768)>>16)))::INT AS
         "b8_multi_compress": _colour(_by_hand(4, 40, 5, "exponential"), (2, 2)),
         "b8_multi_compress_444_grey": _grey(_by_hand(3, 50, 20, "linear")),
         "t6_compression_artifact": _artifact(),
+        "b1_compression_smooth": _colour([10], (2, 2), smooth=True),
+        "b1_compression_smooth_422": _colour([30], (1, 2), smooth=True),
+        "b8_multi_compress_smooth": _colour(_by_hand(3, 40, 5, "linear"), (2, 2), smooth=True),
+        "t6_compression_artifact_smooth": _artifact(smooth=True),
     }

@@ -314,8 +314,34 @@ def _padded(plane: np.ndarray) -> np.ndarray:
     return np.pad(plane, ((0, -height % 16), (0, -width % 16)), mode="edge")
 
 
+def _between(plane: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray]:
+    """The neighbours before and behind each value along an axis, the rim's value repeated."""
+    last = plane.shape[axis] - 1
+    at = np.arange(last + 1)
+    return plane.take(np.maximum(at - 1, 0), axis), plane.take(np.minimum(at + 1, last), axis)
+
+
+def smooth_chroma(plane: np.ndarray, tall: int, broad: int) -> np.ndarray:
+    """Chroma at full size: three parts of the own cell and one of the next one, each way.
+
+    Rounding alternates from column to column; planes of one or two columns are only repeated.
+    """
+    if broad == 1:
+        return plane
+    if plane.shape[1] <= 2:
+        return plane.repeat(tall, axis=0).repeat(broad, axis=1)
+    sums, shift, rounding = plane, 2, (1, 2)
+    if tall == 2:
+        above, below = _between(plane, 0)
+        sums = np.stack([3 * plane + above, 3 * plane + below], 1).reshape(-1, plane.shape[1])
+        shift, rounding = 4, (8, 7)
+    before, behind = _between(sums, 1)
+    pairs = [(3 * sums + other + r) >> shift for other, r in zip((before, behind), rounding)]
+    return np.stack(pairs, 2).reshape(len(sums), -1)
+
+
 def codec_round_trip(
-    planes: list[np.ndarray], quality: int, subsampling: int, partial: str = "pad"
+    planes: list[np.ndarray], quality: int, subsampling: int, partial: str = "pad", smooth: bool = False
 ) -> list[np.ndarray]:
     """One generation of compression of a grey plane or of red, green and blue planes."""
     height, width = planes[0].shape
@@ -342,32 +368,56 @@ def codec_round_trip(
     ):
         cells = c.reshape(c.shape[0] // tall, tall, c.shape[1] // broad, broad)
         mean = (cells.sum(axis=(1, 3)) + tall * broad // 2) // (tall * broad)
-        rebuilt = _plane_round_trip(mean, chroma)
-        colour.append(rebuilt.repeat(tall, axis=0).repeat(broad, axis=1) - 128)
-    y = _plane_round_trip(y, luma)
+        rebuilt = _plane_round_trip(mean, chroma)[: -(-height // tall), : -(-width // broad)]
+        whole = smooth_chroma(rebuilt, tall, broad) if smooth else rebuilt.repeat(tall, axis=0).repeat(broad, axis=1)
+        colour.append(whole[:height, :width] - 128)
+    y = _plane_round_trip(y, luma)[:height, :width]
     cb, cr = colour
     rgb = (
         y + ((cr * 91881 + 32768) >> 16),
         y - ((cb * 22554 + cr * 46802 + 32768) >> 16),
         y + ((cb * 116130 + 32768) >> 16),
     )
-    return [np.clip(p[:height, :width], 0, 255) for p in rgb]
+    return [np.clip(p, 0, 255) for p in rgb]
 
 
 def _generations(
-    qualities: list[int], subsampling: int, gamma: float | None = None, partial: str = "pad"
-) -> AreaKernel:
-    """All generations on strips of whole 16-line bands; alpha is dropped."""
+    qualities: list[int], subsampling: int, gamma: float | None = None, partial: str = "pad", smooth: bool = False
+) -> list[Kernel]:
+    """All generations on strips of whole 16-line bands; alpha is dropped.
+
+    They are one kernel, as bands do not depend on each other. With ``smooth`` chroma of two lines a
+    cell, a line at a band's rim also depends on the next band's chroma, so each generation is a kernel
+    that reads a band more on either side.
+    """
     tone = np.array(gamma_table(gamma), dtype=np.int64) if gamma else None
+    kept = {"align": 16, "bands": lambda bands: [b for b in bands if b != "a"]}
 
-    def run(planes: Planes, strip: Strip) -> Planes:
-        bands = [b for b in planes if b != "a"]
-        work = [planes[b].astype(np.int64) if tone is None else tone[planes[b]] for b in bands]
-        for quality in qualities:
-            work = codec_round_trip(work, quality, subsampling, partial)
-        return dict(zip(bands, work))
+    def kernel(qualities: list[int], tone, reach: int) -> AreaKernel:
+        def run(planes: Planes, strip: Strip) -> Planes:
+            bands = [b for b in planes if b != "a"]
+            # mirrored lines beyond the picture go: the codec has its own way to fill the last band
+            above = max(0, strip.top - strip.first)
+            below = strip.height - strip.first + strip.top
+            work = [planes[b][above:below].astype(np.int64) for b in bands]
+            work = work if tone is None else [tone[p] for p in work]
+            for quality in qualities:
+                work = codec_round_trip(work, quality, subsampling, partial, smooth)
+            first = strip.top - above
+            return {b: p[first : first + strip.rows] for b, p in zip(bands, work)}
+
+        return AreaKernel(run, before=reach, after=reach, **kept)
 
-    return AreaKernel(run, align=16, bands=lambda bands: [b for b in bands if b != "a"])
+    if smooth and CELLS[subsampling][0] == 2:
+        return [kernel([q], None if i else tone, 16) for i, q in enumerate(qualities)]
+    return [kernel(qualities, tone, 0)]
+
+
+def _check_smooth(smooth: bool, partial: str) -> None:
+    if not isinstance(smooth, bool):
+        raise ValueError("smooth must be true or false")
+    if smooth and partial == "skip":
+        raise ValueError("partial blocks are left out only without smooth chroma")
 
 
 def compression_chain(
@@ -377,6 +427,7 @@ def compression_chain(
     optimize: bool = True,
     gamma: float | None = None,
     partial: str = "pad",
+    smooth: bool = False,
 ) -> list[Kernel]:
     check_quality("quality", quality)
     check_choice("subsampling", subsampling, tuple(CELLS))
@@ -385,7 +436,8 @@ def compression_chain(
         raise ValueError("optimize must be true or false")
     if gamma is not None and (isinstance(gamma, bool) or not isinstance(gamma, (int, float)) or gamma <= 0):
         raise ValueError("gamma must be a positive number")
-    return [_generations([quality], subsampling, gamma, partial)]
+    _check_smooth(smooth, partial)
+    return _generations([quality], subsampling, gamma, partial, smooth)
 
 
 def compression(
@@ -395,9 +447,13 @@ def compression(
     optimize: bool = True,
     gamma: float | None = None,
     partial: str = "pad",
+    smooth: bool = False,
 ) -> DataFrame:
-    """One lossy generation after an optional tone curve. ``optimize`` never changes a pixel."""
-    return apply(df, compression_chain(all_bands(df), quality, subsampling, optimize, gamma, partial))
+    """One lossy generation after an optional tone curve. ``optimize`` never changes a pixel.
+
+    ``smooth`` enlarges chroma with a triangle filter on decoding; else its cells are repeated.
+    """
+    return apply(df, compression_chain(all_bands(df), quality, subsampling, optimize, gamma, partial, smooth))
 
 
 def quality_schedule(
@@ -432,9 +488,12 @@ def multi_compress_chain(
     quality_end: int | None = None,
     decay: str = "fixed",
     subsampling: int = 2,
+    smooth: bool = False,
 ) -> list[Kernel]:
     check_choice("subsampling", subsampling, tuple(CELLS))
-    return [_generations(quality_schedule(iterations, quality_start, quality_end, decay), subsampling)]
+    _check_smooth(smooth, "pad")
+    qualities = quality_schedule(iterations, quality_start, quality_end, decay)
+    return _generations(qualities, subsampling, smooth=smooth)
 
 
 def multi_compress(
@@ -444,10 +503,12 @@ def multi_compress(
     quality_end: int | None = None,
     decay: str = "fixed",
     subsampling: int = 2,
+    smooth: bool = False,
 ) -> DataFrame:
-    """Chained lossy generations, all inside one pass over the strips."""
+    """Chained lossy generations, all inside one pass over the strips; with ``smooth`` chroma of two
+    lines a cell, a pass has as many generations as its halo allows."""
     return apply(
-        df, multi_compress_chain(all_bands(df), iterations, quality_start, quality_end, decay, subsampling)
+        df, multi_compress_chain(all_bands(df), iterations, quality_start, quality_end, decay, subsampling, smooth)
     )
 
 
@@ -459,8 +520,11 @@ def compression_artifact_chain(
     seed: int | None = None,
     partial: str = "pad",
     ordered: bool = False,
+    smooth: bool = False,
 ) -> list[Kernel]:
     lo, hi = check_tiles(tile_count, 30, tile_size_range)
+    _check_smooth(smooth, partial)
+    more = 16 if smooth else 0  # smooth chroma reads the bands beside
     ordered_draws.check(ordered, seed)
     check_quality("quality", quality, 1, 20)
     check_choice("partial", partial, ("pad", "skip"))
@@ -483,8 +547,8 @@ def compression_artifact_chain(
         for y0, _, th, _ in reversed(placed(height, width, frame_id)):
             if y0 < last and first < y0 + th:
                 above, below = max(first, y0) - y0, min(last, y0 + th) - y0
-                first = min(first, y0 + above // 16 * 16)
-                last = max(last, y0 + min(th, -(-below // 16) * 16))
+                first = min(first, y0 + max(0, above // 16 * 16 - more))
+                last = max(last, y0 + min(th, -(-below // 16) * 16 + more))
         return first, last
 
     def run(planes: Planes, strip: Strip) -> Planes:
@@ -501,7 +565,7 @@ def compression_artifact_chain(
             source = [p[part] for p in work]
             grey = len(bands) == 1
             done = codec_round_trip(
-                source * 3 if grey else source, quality, 0 if partial == "skip" else 2, partial
+                source * 3 if grey else source, quality, 0 if partial == "skip" else 2, partial, smooth
             )
             for p, new in zip(work, done):
                 p[part] = new
@@ -520,13 +584,18 @@ def compression_artifact(
     seed: int | None = None,
     partial: str = "pad",
     ordered: bool = False,
+    smooth: bool = False,
 ) -> DataFrame:
     """Compress random tiles, each on its own block grid, in order; later tiles see earlier ones.
 
     A tile's 16-line bands are independent, so a strip needs, besides its own lines, only the rest of
     the bands that it shares with tiles, and of the bands that those lines are in before them.
-    ``skip`` leaves partial blocks alone and does not subsample chroma.
+    ``skip`` leaves partial blocks alone and does not subsample chroma. With ``smooth`` chroma a strip
+    needs one band more on either side for each tile.
     """
     return apply(
-        df, compression_artifact_chain(all_bands(df), tile_count, quality, tile_size_range, seed, partial, ordered)
+        df,
+        compression_artifact_chain(
+            all_bands(df), tile_count, quality, tile_size_range, seed, partial, ordered, smooth
+        ),
     )

@@ -22,6 +22,8 @@ from rasterloom.model import KEYS, all_bands, to_scanlines
 from rasterloom.operators import strips as strips_module
 from rasterloom.operators.strips import Planes, Strip, list_column, planes_of, with_halo
 
+#: Lines that one pass may read above or below a strip, unless one kernel reads more.
+MOST_HALO = 512
 Bands = Callable[[list[str]], list[str]]
 
 
@@ -225,9 +227,17 @@ def _strip_pass(scan: DataFrame, chain: list[Kernel], bands: list[str], made: li
 
 
 def apply(df: DataFrame, chain: list[Kernel]) -> DataFrame:
-    """Run a chain on a raster; an empty one returns it as it is."""
+    """Run a chain on a raster; an empty one returns it as it is.
+
+    A chain that reads over ``MOST_HALO`` lines above or below a strip is run in several passes.
+    """
     if not chain:
         return df
+    held = len(chain)
+    while held > 1 and reach(chain[:held], alignment(chain[:held])) > MOST_HALO:
+        held -= 1
+    if held < len(chain):
+        return apply(apply(df, chain[:held]), chain[held:])
     scan = to_scanlines(df)
     bands = all_bands(scan)
     made = bands_after(bands, chain)

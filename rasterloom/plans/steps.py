@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from rasterloom.functions.naming import step_name
 from rasterloom.model import all_bands
 from rasterloom.operators import blocks, lines, pixelwise, resample, stencils, tiles
-from rasterloom.operators.passes import Kernel, alignment, apply, bands_after, reach
+from rasterloom.operators.passes import MOST_HALO, Kernel, alignment, apply, bands_after, reach
 from rasterloom.sources.raster import read_raster, write_step
 
 Operation = Callable[..., DataFrame]
@@ -39,7 +39,6 @@ CHAINS: dict[str, Chain] = {
 }
 OPERATIONS: dict[str, Operation] = {"downscale": resample.downscale}
 MOST_REPEATS = 100
-MOST_HALO = 512  # lines that one pass may read above or below a strip, unless one kernel reads more
 
 
 @dataclass(frozen=True)

@@ -262,3 +262,51 @@ def test_pixel_and_line_input_agree(raster, planes):
     a = planes(stencils.motion_blur(scan, 5, 20.0))
     b = planes(stencils.motion_blur(to_pixels(scan).repartition(7), 5, 20.0))
     assert all((a[1][c] == b[1][c]).all() for c in "rgba")
+
+
+def by_hand_enlarged(plane, tall, broad):
+    """Each pixel takes three parts of its chroma cell and one of the nearer neighbour, each way."""
+    rows, columns = plane.shape
+    out = np.zeros((rows * tall, columns * broad), np.int64)
+    for y in range(rows * tall):
+        i = y // tall
+        i2 = min(max(i + (1 if y % 2 else -1), 0), rows - 1)
+        for x in range(columns * broad):
+            j = x // broad
+            j2 = min(max(j + (1 if x % 2 else -1), 0), columns - 1)
+            if columns <= 2:
+                out[y, x] = plane[i, j]
+            elif tall == 2:
+                near, far = (3 * plane[i, k] + plane[i2, k] for k in (j, j2))
+                out[y, x] = (3 * near + far + (7 if x % 2 else 8)) >> 4
+            else:
+                out[y, x] = (3 * plane[i, j] + plane[i, j2] + (2 if x % 2 else 1)) >> 2
+    return out
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (5, 2), (1, 7), (6, 3), (9, 12)])
+def test_enlarged_chroma(shape):
+    plane = np.random.default_rng(1).integers(0, 256, shape)
+    for tall, broad in ((2, 2), (1, 2)):
+        assert (blocks.smooth_chroma(plane, tall, broad) == by_hand_enlarged(plane, tall, broad)).all()
+    assert (blocks.smooth_chroma(plane, 1, 1) == plane).all()
+
+
+def test_smooth_chroma_does_not_depend_on_strips(raster, planes, monkeypatch):
+    """Bands read their neighbours' chroma across strips and generations."""
+    frames = {1: picture(333, 37, 5), 2: picture(18, 41, 6)}
+    scan = raster(frames)
+    tiled = dict(tile_count=4, quality=5, tile_size_range=(0.3, 0.8), seed=3, smooth=True)
+    whole = planes(blocks.compression_artifact(scan, **tiled))
+    monkeypatch.setattr(strips, "STRIP_PIXELS", 1)
+    got = planes(blocks.compression_artifact(scan, **tiled))
+    assert all((got[f][b] == whole[f][b]).all() for f in whole for b in "rgb")
+    for generations, subsampling in ((1, 2), (3, 2), (40, 2), (3, 1), (2, 0)):  # 40 are several passes
+        got = planes(blocks.multi_compress(scan, generations, 30, subsampling=subsampling, smooth=True))
+        for f, held in frames.items():
+            work = [held[b].astype(np.int64) for b in "rgb"]
+            for _ in range(generations):
+                work = blocks.codec_round_trip(work, 30, subsampling, smooth=True)
+            assert all((got[f][b] == w).all() for b, w in zip("rgb", work)), (f, generations, subsampling)
+    with pytest.raises(ValueError, match="smooth"):
+        blocks.compression(scan, 10, partial="skip", smooth=True)
