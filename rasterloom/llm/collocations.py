@@ -34,8 +34,8 @@ ENDS, BLANKS = ".,;:!?\n\v\f\r", " \t"
 #: An odd multiplier and its inverse modulo 2^64.
 C = 0xD1342543DE82EF95
 C_INVERSE = pow(C, -1, 1 << 64)
-#: Fingerprints that a task holds before it sums and sends them.
-HELD = 1 << 21
+#: Fingerprints that a task holds before it sums and sends them, and rows of a batch that it sends.
+HELD, SENT = 1 << 19, 1 << 16
 #: Bits of a part of the filter: what ``bitmap_construct_agg`` fills.
 PART = 1 << 15
 #: Tasks at least that a language's phrases are dealt to.
@@ -188,10 +188,10 @@ def _counted(lengths: range, held, known: int, bits: int):
         parts: list[tuple[np.ndarray, ...]] = []
         waiting = 0
 
-        def send(prints: np.ndarray, counts: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict(
-                {"print": pa.array(prints.view(np.int64)), "n": pa.array(counts), "doc_id": pa.array(docs)}
-            )
+        def send(prints: np.ndarray, counts: np.ndarray, docs: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(prints), SENT):
+                columns = (prints[i : i + SENT].view(np.int64), counts[i : i + SENT], docs[i : i + SENT])
+                yield pa.RecordBatch.from_pydict(dict(zip(("print", "n", "doc_id"), map(pa.array, columns), strict=True)))
 
         for batch in batches:
             _, _, hashes = _lang_hashes(batch.column("lang"))
@@ -207,9 +207,9 @@ def _counted(lengths: range, held, known: int, bits: int):
                     parts = [_summed(parts)]
                     waiting = 0
                     if len(parts[0][0]) >= HELD:
-                        yield send(*parts.pop())
+                        yield from send(*parts.pop())
         if parts:
-            yield send(*_summed(parts))
+            yield from send(*_summed(parts))
 
     return run
 
