@@ -420,9 +420,10 @@ def frequent_phrases(df: DataFrame, most: int = 5, least: int = 100, bits: int =
     pointers = _sent(spark, prints.select("print", "doc_id").mapInArrow(_key("doc_id"), "print long"), size)
     found = stored(read.mapInArrow(_materialised(most, held, pointers, bits), PHRASES), "phrases")
     whole = found.where("words = 0").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-    one = F.min(F.struct("lang", "phrase", "words", "other")).alias("_one")
-    named = found.where("words > 0").join(prints.select("print", F.col("n").alias("_n"), "doc_id"), ["print", "doc_id"])
-    named = named.groupBy("print", "doc_id", F.col("_n").alias("n")).agg(one).select("print", "doc_id", "n", "_one.*")
+    # the filter of pointers may let other documents through: their text is as good
+    one = F.min(F.struct("lang", "phrase", "words", "other", "doc_id")).alias("_one")
+    named = found.where("words > 0").join(prints.select("print", F.col("n").alias("_n")), "print")
+    named = named.groupBy("print", F.col("_n").alias("n")).agg(one).select("print", "n", "_one.*")
     named = stored(named, "named")
     checks = _sent(spark, named.select("print", "other").mapInArrow(_key("other"), "print long"), size)
     odd = read.mapInArrow(_differing(most, held, checks, bits), "print long").distinct()
