@@ -178,7 +178,7 @@ def _lang_hashes(names: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     hashes = np.zeros(max(len(kinds), 1), np.uint64)
     hashes[full] = texts.span_hashes(data, offsets[:-1][full], offsets[1:][full], texts._letters(False))
     codes = coded.indices.to_numpy()
-    return kinds, codes, hashes[codes]
+    return kinds, codes, texts.splitmix(hashes)[codes]  # unlike the hash of a word that is spelt the same
 
 
 def _counted(lengths: range, held, known: int, bits: int):
