@@ -175,7 +175,7 @@ def queries() -> dict:
         "x1_segment_run": segment_run,
         "s4_output_files": segment_files,
         "x1_glitch_art": last_of(presets.GLITCH_ART),
-        "x1_severe_degradation": last_of(presets.SMALL_SENSOR),
+        "x1_small_sensor": last_of(presets.SMALL_SENSOR),
         "x1_every_step": every_step,
         "x1_jpeg_between": last_of(presets.WORN_PRINT[:2], jpeg_between=95),
         "x2_repeat_compression": last_of(presets.COPIES_OF_COPIES),
@@ -276,7 +276,7 @@ UNION ALL SELECT 1, 'smear', 'final', 'smear_muted_'||{stem}||'_step00_step01.jp
             pointwise._salt_pepper(0.005, 0.5, 300),
             _artifact_check(p[5]),
         ),
-        "x1_severe_degradation": chain(
+        "x1_small_sensor": chain(
             _noisy(pointwise._normal(21, "gaussian") + f"*{0.06 * 255.0!r}::DOUBLE"),
             neighbourhood._downscale(0.5, "box"),
             neighbourhood._bayer("GBRG"),
