@@ -10,28 +10,28 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from rasterloom.functions.positions import number_within
-from rasterloom.session import cut_lineage
+from rasterloom.llm.tables import stored
 
 SCALE = (1 << 31) - 1
 BINS = 1024
 
 
-def scaled(df: DataFrame, dims: dict[str, Column], tie: Column) -> DataFrame:
-    """``df`` with ``_at``: each dimension scaled to 31 bits, with 31 bits of the hash ``tie`` below.
+def _scaled(named: DataFrame, dims: list[str]) -> DataFrame:
+    """``named`` (with ``_dim_<d>`` and ``_tie``) with ``_at``: each dimension scaled to 31 bits, with 31
+    bits of the hash below.
 
     Rows that agree in all of these are never parted; a null counts as the least value.
     """
-    named = df.withColumns({f"_dim_{d}": c.cast("double") for d, c in dims.items()})
     edges = named.agg(
         *[f(f"_dim_{d}").alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]
     ).first()
-    low_bits = tie.cast("long").bitwiseAND(F.lit(SCALE).cast("long"))
+    low_bits = F.col("_tie").bitwiseAND(F.lit(SCALE).cast("long"))
     held = []
     for d in dims:
         lo, hi = edges[f"lo_{d}"] or 0.0, edges[f"hi_{d}"] or 0.0
         share = (F.coalesce(F.col(f"_dim_{d}"), F.lit(lo)) - lo) / (hi - lo) if hi > lo else F.lit(0.0)
         held.append(F.floor(share * SCALE).cast("long") * (SCALE + 1) + low_bits)
-    return named.withColumn("_at", F.array(*held)).drop(*[f"_dim_{d}" for d in dims])
+    return named.withColumn("_at", F.array(*held)).drop("_tie", *[f"_dim_{d}" for d in dims])
 
 
 def _medians(df: DataFrame, open_nodes: list[dict], tolerance: float) -> dict[int, int]:
@@ -98,10 +98,23 @@ def kd_shards(
     cut along the dimension that is widest in it, at the weighted median of ``k // 2`` to the rest.
     Medians come from histograms over all rows, within ``tolerance`` of the wanted weight unless a
     single coordinate weighs more. Only one line per node and pass reaches the driver. Cuts are
-    broadcast; there are fewer of them than shards. An empty table stays empty.
+    broadcast; there are fewer of them than shards. An empty table stays empty. Columns of ``df`` come
+    along under any names; one called ``shard`` is replaced. A null weight counts as 0 and a null tie as
+    0. ``df`` is computed once and stored, so keep what it does not need (whole texts) out of it.
     """
-    base = cut_lineage(scaled(df.withColumn("_weight", weight.cast("long")), dims, tie))
-    spark, placed = df.sparkSession, base.withColumn("_node", F.lit(0).cast("long"))
+    spark = df.sparkSession
+    # The root's number is stored with the rows: as a literal it would be folded, and joins on it lose their key.
+    named = stored(
+        df.select(
+            F.struct("*").alias("_row"),
+            F.coalesce(weight.cast("long"), F.lit(0)).alias("_weight"),
+            F.coalesce(tie.cast("long"), F.lit(0)).alias("_tie"),
+            *[c.cast("double").alias(f"_dim_{d}") for d, c in dims.items()],
+            F.lit(0).cast("long").alias("_node"),
+        ),
+        "kd-rows",
+    )
+    placed = _scaled(named, list(dims))
     needs: dict[int, int | None] = {0: shards}
     leaves: dict[int, tuple[int, ...]] = {}
     paths: dict[int, tuple[int, ...]] = {0: ()}
@@ -145,12 +158,15 @@ def kd_shards(
     order = sorted(leaves, key=lambda n: leaves[n])
     schema = T.StructType([T.StructField("_node", T.LongType()), T.StructField("shard", T.IntegerType())])
     names = spark.createDataFrame([(n, i) for i, n in enumerate(order)], schema)
-    return placed.join(F.broadcast(names), "_node").drop("_node", "_at", "_weight")
+    kept = [F.col(f"_row.`{c}`") for c in df.columns if c.lower() != "shard"]
+    return placed.join(F.broadcast(names), "_node").select(*kept, "shard")
 
 
 def with_slots(df: DataFrame, key: str, rows_in_piece: int = 50_000) -> DataFrame:
-    """``df`` with ``slot``, gapless from 0 in each shard, numbered in pieces of a hash of ``key``."""
+    """``df`` with ``slot``, gapless from 0 in each shard, numbered in pieces of a hash of ``key``. A column
+    ``slot`` of ``df`` is replaced; rows of one key follow each other in any order."""
     bits = max(0, math.ceil(math.log2(max(1, df.count()) / rows_in_piece)))
-    hashed = df.withColumn("_hash", F.xxhash64(key))
+    hashed = df.select(F.struct("*").alias("_row"), "shard", F.xxhash64(key).alias("_hash"))
     part = F.expr(f"shiftright(_hash, {64 - bits})") if bits else F.lit(0).cast("long")
-    return number_within(hashed, ["shard"], ["_hash", key], part, "slot").drop("_hash")
+    kept = [F.col(f"_row.`{c}`") for c in df.columns if c.lower() != "slot"]
+    return number_within(hashed, ["shard"], ["_hash"], part, "slot").select(*kept, "slot")

@@ -98,6 +98,69 @@ def test_shards_are_even_and_groups_stay_whole(spark):
         assert sorted(part["slot"]) == list(range(len(part)))
 
 
+def tree_by_hand(at, weight, shards):
+    """Shard of each row by a plain k-d tree: cut the widest dimension where its share of the weight is nearest."""
+    shard, numbered = np.full(len(at), -1), 0
+
+    def down(rows, k):
+        nonlocal numbered
+        if not len(rows):
+            return
+        wide = at[rows].max(0) - at[rows].min(0)
+        dim = int(wide.argmax())
+        if k == 1 or wide[dim] == 0:
+            shard[rows], numbered = numbered, numbered + 1
+            return
+        goal, total = weight[rows].sum() * (k // 2) / k, 0
+        for c in np.unique(at[rows, dim]):
+            before, total = total, total + weight[rows][at[rows, dim] == c].sum()
+            if total >= goal:
+                break
+        left = at[rows, dim] < c if goal - before <= total - goal and before > 0 else at[rows, dim] <= c
+        down(rows[left], k // 2)
+        down(rows[~left], k - k // 2)
+
+    down(np.arange(len(at)), shards)
+    return shard
+
+
+@pytest.mark.parametrize("k", [2, 3, 8])
+def test_cuts_equal_a_plain_tree(spark, k):
+    rng = np.random.default_rng(k)
+    group = np.where(rng.random(900) < 1 / 3, 0, rng.integers(0, 250, 900))
+    a, b = rng.integers(0, 40, 250)[group], (rng.pareto(1, 250) * 10).round(2)[group]
+    tie, w = rng.integers(0, 1 << 40, 250)[group], rng.integers(0, 30, 250)[group]
+    rows = [(i, float(a[i]), float(b[i]), int(w[i]), int(tie[i])) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, a double, b double, w long, tie long").repartition(5)
+    found = shards.kd_shards(df, {"a": F.col("a"), "b": F.col("b")}, F.col("w"), F.col("tie"), shards=k, tolerance=0)
+    got = found.toPandas().set_index("doc_id")["shard"].sort_index().to_numpy()
+    at = []
+    for d in (a.astype(float), b):
+        share = (d - d.min()) / (d.max() - d.min())
+        at.append(np.floor(share * shards.SCALE).astype(np.int64) * (shards.SCALE + 1) + (tie & shards.SCALE))
+    assert (got == tree_by_hand(np.stack(at, 1), w, k)).all()
+
+
+def test_clashing_columns_nulls_and_repeated_rows(spark):
+    rows = [(i % 30 if i % 7 else None, float(i % 9) if i % 5 else None, i % 4 or None, i % 13 or None, "s", i, i, i) for i in range(200)]
+    names = "doc_id long, a double, w long, tie long, `shard` string, _node long, _at long, _weight long"
+    df = spark.createDataFrame(rows, names).withColumns({"slot": F.lit("x"), "_hash": F.lit(1), "_part": F.lit(2), "_row": F.lit(3)})
+    found = shards.with_slots(shards.kd_shards(df, {"a": F.col("a")}, F.col("w"), F.col("tie"), shards=4), "doc_id", 20)
+    assert sorted(found.columns) == sorted(df.columns)
+    got = found.toPandas()
+    assert sorted(got["_at"]) == list(range(200)) and (got["_hash"] == 1).all() and (got["_row"] == 3).all()
+    for _, part in got.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+    assert got.assign(key=got["_at"].map(lambda i: (rows[i][1], rows[i][3] or 0))).groupby("key")["shard"].nunique().max() == 1
+
+
+def test_rows_are_read_once_and_joined_by_key(spark):
+    df = spark.range(300).selectExpr("id doc_id", "id % 100 a", "1L w", "xxhash64(id) tie")
+    found = shards.kd_shards(df, {"a": F.col("a")}, F.col("w"), F.col("tie"), shards=8)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Range" not in plan
+
+
 def test_leaves_reach_the_target(spark):
     df = spark.range(3000).selectExpr("id doc_id", "id % 100 a", "id * id % 97 b", "1L w", "xxhash64(id) tie")
     found = placed(df, 0, target=400)
