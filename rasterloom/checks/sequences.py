@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from rasterloom.checks import constants, neighbourhood, pointwise, sql, transform
 from rasterloom.checks.pointwise import colour, out
-from rasterloom.model import frames_of
+from rasterloom.model import frames_of, to_pixels
 from rasterloom.operators import lines, tiles
 from rasterloom.plans import presets, runs
-from rasterloom.plans.steps import run_steps
+from rasterloom.plans.steps import all_steps, run_steps
 from rasterloom.session import shared_folder
-from rasterloom.sources.raster import read_raster, write_step
+from rasterloom.sources.raster import read_raster, write_parts, write_step
 from rasterloom.streaming import scanstream
 
 
@@ -29,12 +29,10 @@ def last_of(config, **options):
 
 
 def every_step(spark: SparkSession, d: str) -> DataFrame:
-    """All steps of a list, with their names."""
-    parts = [
-        out(df).withColumn("step", F.lit(name))
-        for name, df in run_steps(colour(spark, d), presets.WORN_PRINT).items()
-    ]
-    return reduce(DataFrame.unionAll, parts)
+    """All steps of a list, with their names, from one pass."""
+    made = all_steps(colour(spark, d), presets.WORN_PRINT)
+    tall = to_pixels(made.withColumn("frame_id", F.struct("frame_id", "step")))
+    return tall.select("frame_id.frame_id", "y", "x", "r", "g", "b", "frame_id.step")
 
 
 def stored_steps(spark: SparkSession, d: str) -> DataFrame:
@@ -164,6 +162,21 @@ def segment_run(spark: SparkSession, d: str) -> DataFrame:
     return out(results["smear"]).join(shown, "frame_id").drop("frame_id")
 
 
+def segment_of_store(spark: SparkSession, d: str) -> DataFrame:
+    """The same run on a store cut by frames: only the parts with frames of the segment are read."""
+    folder = shared_folder(spark, "parts")
+    write_parts(colour(spark, d), folder, "source", parts=16)
+    chosen = runs.choose_frames(film(spark, d), 0.04, 0.4, 0.02)
+    results = run_steps(runs.take_stored(spark, folder, "source", chosen), SEGMENT_RUN)
+    return out(results["smear"]).join(chosen.select("frame_id", "video_id", "slot"), "frame_id").drop("frame_id")
+
+
+def steps_together(spark: SparkSession, d: str) -> DataFrame:
+    """Steps stored by one job, each read back from its own folder."""
+    results = run_steps(colour(spark, d), presets.DRIFTING_TAPE, sink=shared_folder(spark, "together"), together=True)
+    return reduce(DataFrame.unionAll, [out(df).withColumn("step", F.lit(n)) for n, df in results.items()])
+
+
 def segment_files(spark: SparkSession, d: str) -> DataFrame:
     """The file names of that run, step by step."""
     chosen = runs.choose_frames(film(spark, d), 0.04, 0.4, 0.02)
@@ -173,7 +186,9 @@ def segment_files(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     return {
         "x1_segment_run": segment_run,
+        "s2_segment_of_store": segment_of_store,
         "s4_output_files": segment_files,
+        "x1_steps_together": steps_together,
         "x1_glitch_art": last_of(presets.GLITCH_ART),
         "x1_small_sensor": last_of(presets.SMALL_SENSOR),
         "x1_every_step": every_step,
@@ -260,10 +275,13 @@ grid AS (SELECT video_id, unnest(range(lo, hi+1))::BIGINT AS slot FROM
   (SELECT video_id, min(k) AS lo, max(k) AS hi FROM s GROUP BY video_id)),
 chosen AS (SELECT g.video_id, g.slot, s.frame_id FROM grid g ASOF JOIN s ON s.video_id=g.video_id AND g.slot>=s.k)"""
     stem = "video_id||'_frame_'||lpad((slot+1)::VARCHAR,6,'0')"
-    return {
-        "x1_segment_run": f"""
+    segment = f"""
 WITH {sql.PX}, done AS MATERIALIZED ({chain(pointwise._saturation('0.5::DOUBLE'), _motion_check(5, 0))}), {shown}
-SELECT video_id, slot, y, x, r, g, b FROM done JOIN chosen USING (frame_id)""",
+SELECT video_id, slot, y, x, r, g, b FROM done JOIN chosen USING (frame_id)"""
+    return {
+        "x1_segment_run": segment,
+        "s2_segment_of_store": segment,
+        "x1_steps_together": kept,
         "s4_output_files": f"""
 WITH {sql.PX}, {shown}
 SELECT 0 AS step_no, 'muted' AS step, 'intermediate/muted' AS folder, 'muted_'||{stem}||'_step00.jpg' AS name FROM chosen

@@ -137,7 +137,32 @@ def _table(planes: Planes, bands: list[str], frame_id: np.ndarray, height: int,
     return pa.table(columns | {b: list_column(planes[b]) for b in bands})
 
 
-def _line_pass(scan: DataFrame, chain: list[LineKernel], bands: list[str], made: list[str], schema: str) -> DataFrame:
+class _Taps:
+    """After which kernels of a chain lines are given out, and the columns of what is.
+
+    Without places only the chain's end is given out. With them every row has ``tap``, the place, and a
+    band that is lacking there is null.
+    """
+
+    def __init__(self, bands: list[str], chain: list[Kernel], places: list[int] | None):
+        self.tagged = places is not None
+        self.made = {i: bands_after(bands, chain[:i]) for i in (places if self.tagged else [len(chain)])}
+        self.every = [b for b in ("v", "r", "g", "b", "a") if any(b in made for made in self.made.values())]
+        tag = "tap int, " if self.tagged else ""
+        lists = ", ".join(f"{b} array<int>" for b in self.every)
+        self.schema = f"{tag}frame_id long, height int, width int, y int, {lists}"
+
+    def table(self, place: int, planes: Planes, frame_id: np.ndarray, height: int, width: int, y) -> pa.Table:
+        held = _table(planes, self.made[place], frame_id, height, width, y)
+        if not self.tagged:
+            return held
+        for lacking in (b for b in self.every if b not in self.made[place]):
+            held = held.append_column(lacking, pa.nulls(len(y), pa.list_(pa.int32())))
+        held = held.append_column("tap", pa.array(np.full(len(y), place, np.int32)))
+        return held.select(["tap", *KEYS, *self.every])
+
+
+def _line_pass(scan: DataFrame, chain: list[LineKernel], bands: list[str], taps: _Taps) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = pa.table(batch)
@@ -147,11 +172,12 @@ def _line_pass(scan: DataFrame, chain: list[LineKernel], bands: list[str], made:
                 part = table if len(rows) == len(sizes) else table.take(rows)
                 lines = Lines(part.column("frame_id").to_numpy(), height, width, part.column("y").to_numpy())
                 planes = planes_of(part, bands, slice(None))
-                for kernel in chain:
+                for place, kernel in enumerate(chain, 1):
                     planes = kernel.run(planes, lines)
-                yield from _table(planes, made, lines.frame_id, height, width, lines.y).to_batches()
+                    if place in taps.made:
+                        yield from taps.table(place, planes, lines.frame_id, height, width, lines.y).to_batches()
 
-    return scan.select(*KEYS, *bands).mapInArrow(run, schema)
+    return scan.select(*KEYS, *bands).mapInArrow(run, taps.schema)
 
 
 def _dealt(scan: DataFrame, chain: list[Kernel], bands: list[str], step: int) -> DataFrame:
@@ -189,7 +215,7 @@ def _dealt(scan: DataFrame, chain: list[Kernel], bands: list[str], step: int) ->
     return dealt.withColumn("at", F.col("y"))
 
 
-def _strip_pass(scan: DataFrame, chain: list[Kernel], bands: list[str], made: list[str], schema: str) -> DataFrame:
+def _strip_pass(scan: DataFrame, chain: list[Kernel], bands: list[str], taps: _Taps) -> DataFrame:
     step = alignment(chain)
     placed = any(isinstance(k, AreaKernel) and k.need is not None for k in chain)
     halo = reach(chain, step)
@@ -208,22 +234,25 @@ def _strip_pass(scan: DataFrame, chain: list[Kernel], bands: list[str], made: li
                 f"a frame must have each of its lines exactly once: frame {frame_id}, lines {lo} to {hi - 1}"
             )
         planes = planes_of(table, bands, order[ranges[0][0] - lo : ranges[0][1] - lo])
-        for kernel, given, out in zip(chain, ranges[:-1], ranges[1:]):
+        found = []
+        for place, (kernel, given, out) in enumerate(zip(chain, ranges[:-1], ranges[1:]), 1):
             if isinstance(kernel, LineKernel):
                 y = np.arange(*out)
                 planes = kernel.run(planes, Lines(np.full(len(y), frame_id), height, width, y))
             else:
                 planes = _run_area(kernel, planes, given, out, height, width, frame_id)
-        lo = ranges[-1][0]
-        own = {b: planes[b][first - lo : last - lo] for b in made}
-        return _table(own, made, np.full(last - first, frame_id), height, width, np.arange(first, last))
+            if place in taps.made:
+                own = {b: planes[b][first - out[0] : last - out[0]] for b in taps.made[place]}
+                numbers = np.full(last - first, frame_id)
+                found.append(taps.table(place, own, numbers, height, width, np.arange(first, last)))
+        return pa.concat_tables(found)
 
     if placed:
         dealt = _dealt(scan, chain, bands, step)
     else:
         dealt = with_halo(scan, halo, halo, mirror=False, multiple=step)
     grouped = dealt.select(*KEYS, "rows", "strip", "at", *bands).drop("y")
-    return grouped.groupBy("frame_id", "strip").applyInArrow(run, schema)
+    return grouped.groupBy("frame_id", "strip").applyInArrow(run, taps.schema)
 
 
 def apply(df: DataFrame, chain: list[Kernel]) -> DataFrame:
@@ -238,9 +267,26 @@ def apply(df: DataFrame, chain: list[Kernel]) -> DataFrame:
         held -= 1
     if held < len(chain):
         return apply(apply(df, chain[:held]), chain[held:])
+    return _one_pass(df, chain, None)
+
+
+def _one_pass(df: DataFrame, chain: list[Kernel], places: list[int] | None) -> DataFrame:
     scan = to_scanlines(df)
     bands = all_bands(scan)
-    made = bands_after(bands, chain)
-    schema = "frame_id long, height int, width int, y int, " + ", ".join(f"{b} array<int>" for b in made)
     lines_only = all(isinstance(k, LineKernel) for k in chain)
-    return (_line_pass if lines_only else _strip_pass)(scan, chain, bands, made, schema)
+    return (_line_pass if lines_only else _strip_pass)(scan, chain, bands, _Taps(bands, chain, places))
+
+
+def fits_one_pass(chain: list[Kernel]) -> bool:
+    return len(chain) < 2 or reach(chain, alignment(chain)) <= MOST_HALO
+
+
+def apply_with_taps(df: DataFrame, chain: list[Kernel], places: list[int]) -> DataFrame:
+    """The raster after each of some kernels, from one pass: scanlines with ``tap``, the number of kernels
+    that have run (1 and up). Places must be given once each and the chain must fit one pass; a band that
+    only some of them have is null at the others. A task holds a strip's lines of all places."""
+    if not places or len(set(places)) < len(places) or not set(places) <= set(range(1, len(chain) + 1)):
+        raise ValueError(f"places must be different numbers from 1 to {len(chain)}")
+    if not fits_one_pass(chain):
+        raise ValueError("the chain reads too many lines for one pass")
+    return _one_pass(df, chain[: max(places)], places)

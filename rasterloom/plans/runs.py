@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions.naming import DEFAULT_PATTERN, frame_name, output_name
 from rasterloom.model import all_bands
 from rasterloom.operators.frames import sample_every_seconds, segment
 from rasterloom.plans.steps import Step, parse_segment, parse_steps, run_steps
+from rasterloom.sources.raster import read_parts
+
+#: Frames of a list that may reach the driver and be broadcast: some hundred kilobytes.
+MOST_LISTED = 16_384
 
 
 def load_config(path: str) -> dict:
@@ -45,18 +49,36 @@ def choose_frames(
     )
 
 
+def _listed(chosen: DataFrame) -> list[tuple[int, int]] | None:
+    """``(new, source)`` of all chosen frames if there are at most ``MOST_LISTED``, else None."""
+    rows = chosen.select("frame_id", "source_id").limit(MOST_LISTED + 1).collect()
+    return None if len(rows) > MOST_LISTED else [tuple(r) for r in rows]
+
+
 def take_frames(raster: DataFrame, chosen: DataFrame) -> DataFrame:
     """The raster of the chosen frames, under their new ids.
 
-    Adaptive execution broadcasts a short list, and splits a frame with very many lines.
+    A list of at most ``MOST_LISTED`` frames is worked out at once: the raster's scan is filtered by its
+    ids and its lines meet the list where they are, without a shuffle. A longer one is joined as it
+    comes; adaptive execution splits a frame with very many lines.
     """
-    ids = chosen.select(F.col("frame_id").alias("_new"), F.col("source_id").alias("frame_id"))
+    listed, ids = _listed(chosen), chosen.select(F.col("frame_id").alias("_new"), F.col("source_id").alias("frame_id"))
+    if listed is not None:
+        raster = raster.where(F.col("frame_id").isin(sorted({source for _, source in listed})))
+        ids = F.broadcast(raster.sparkSession.createDataFrame(listed, ids.schema))
     kept = [c for c in raster.columns if c not in ("frame_id", *all_bands(raster))]
     return raster.join(ids, "frame_id").select(
         F.col("_new").alias("frame_id"), *kept, *all_bands(raster)
     )
 
 
+def take_stored(spark: SparkSession, folder: str, step: str, chosen: DataFrame) -> DataFrame:
+    """``take_frames`` from a store cut by frames (``write_parts``): of a short list's parts alone."""
+    listed = _listed(chosen)
+    frames = None if listed is None else {source for _, source in listed}
+    return take_frames(read_parts(spark, folder, step, frames), chosen)
+
+
 def run(frames: DataFrame, raster: DataFrame, config: dict, **options) -> dict[str, DataFrame]:
     """Choose the config's segment and run its steps; ``chosen`` in the result lists the frames.
 

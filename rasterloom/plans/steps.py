@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import inspect
+import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rasterloom.functions.naming import step_name
-from rasterloom.model import all_bands
+from rasterloom.model import KEYS, all_bands, to_scanlines
 from rasterloom.operators import blocks, lines, pixelwise, resample, stencils, tiles
-from rasterloom.operators.passes import MOST_HALO, Kernel, alignment, apply, bands_after, reach
+from rasterloom.operators.passes import Kernel, apply, apply_with_taps, bands_after, fits_one_pass
 from rasterloom.sources.raster import read_raster, write_step
 
 Operation = Callable[..., DataFrame]
@@ -39,6 +44,8 @@ CHAINS: dict[str, Chain] = {
 }
 OPERATIONS: dict[str, Operation] = {"downscale": resample.downscale}
 MOST_REPEATS = 100
+#: Steps that one pass gives out: a task holds its strip's lines of all of them.
+MOST_TOGETHER = 8
 
 
 @dataclass(frozen=True)
@@ -104,7 +111,7 @@ class _Fused:
 
     def add(self, more: list[Kernel]) -> None:
         whole = [*self.chain, *more]
-        if self.chain and reach(whole, alignment(whole)) > MOST_HALO:
+        if self.chain and not fits_one_pass(whole):
             self.raster, whole = self.current(), more
         self.chain = whole
 
@@ -112,6 +119,85 @@ class _Fused:
         return apply(self.raster, self.chain)
 
 
+class _Tapped(_Fused):
+    """A raster and passes that also give out the steps that end inside them."""
+
+    def __init__(self, raster: DataFrame):
+        super().__init__(raster)
+        self.ends: dict[int, list[str]] = {}
+        self.parts: list[DataFrame] = []
+
+    def add(self, more: list[Kernel]) -> None:
+        if self.chain and not fits_one_pass([*self.chain, *more]):
+            self.flush()
+        self.chain = [*self.chain, *more]
+        if not fits_one_pass(self.chain):  # one operation that is too wide for a pass
+            self.flush()
+
+    def end(self, name: str) -> None:
+        if self.chain:
+            self.ends.setdefault(len(self.chain), []).append(name)
+            if len(self.ends) == MOST_TOGETHER:
+                self.flush()
+        else:
+            scan = to_scanlines(self.raster)
+            self.parts.append(scan.select(F.lit(name).alias("step"), *KEYS, *all_bands(scan)))
+
+    def flush(self) -> None:
+        if self.ends:
+            tapped = apply_with_taps(self.raster, self.chain, list(self.ends))
+            names = F.create_map(
+                *[c for place, held in self.ends.items() for c in (F.lit(place), F.array(*map(F.lit, held)))]
+            )
+            step = F.explode(F.element_at(names, F.col("tap"))).alias("step")
+            self.parts.append(tapped.select(step, *[c for c in tapped.columns if c != "tap"]))
+        self.raster, self.chain, self.ends = self.current(), [], {}
+
+    def every(self) -> DataFrame:
+        self.flush()
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), self.parts)
+
+
+class _Record:
+    """What tells that a step is stored whole: a small file that appears by one rename behind the last write."""
+
+    def __init__(self, spark: SparkSession, target: str, stored: str, digest: str):
+        self.spark, self.digest = spark, digest
+        self.path = spark._jvm.org.apache.hadoop.fs.Path(f"{target.rstrip('/')}/done/{stored}")
+        self.files = self.path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def holds(self) -> bool:
+        if not self.files.exists(self.path):
+            return False
+        found = self.spark.read.text(self.path.toString()).first()
+        return found is not None and found["value"] == self.digest
+
+    def drop(self) -> None:
+        self.files.delete(self.path, False)
+
+    def make(self) -> None:
+        made = self.spark._jvm.org.apache.hadoop.fs.Path(self.path.getParent(), f".{uuid.uuid4().hex}")
+        stream = self.files.create(made)
+        stream.write(self.digest.encode())
+        stream.close()
+        self.files.rename(made, self.path)
+
+
+def _digest(*parts: Any) -> str:
+    return hashlib.sha256(json.dumps(parts, sort_keys=True, default=repr).encode()).hexdigest()
+
+
+def _stored_names(steps: list[Step], targets: list) -> list[str]:
+    """Later namesakes in a folder get one of their own, because they may read the earlier one."""
+    seen: list[tuple] = []
+    names = []
+    for step, target in zip(steps, targets, strict=True):
+        earlier = seen.count((step.name, target))
+        names.append(f"{step.name}_{earlier:02d}" if earlier else step.name)
+        seen.append((step.name, target))
+    return names
+
+
 def _targets(config: dict | list, sink: str | dict | None, steps: list[Step]) -> list[str | None]:
     """The folder of each step: all in ``sink``, or by the config's or the sink's
     ``final_dir`` for the last and ``intermediate_dir`` for the others."""
@@ -125,12 +211,94 @@ def _targets(config: dict | list, sink: str | dict | None, steps: list[Step]) ->
     return [named["intermediate_dir"]] * (len(steps) - 1) + [named["final_dir"]]
 
 
+class _Plan:
+    """Checked steps with the parameters that their operations take."""
+
+    def __init__(self, config: dict | list, jpeg_between: int | None, extra: dict[str, Operation] | None):
+        self.steps, self.own, self.jpeg_between = parse_steps(config), extra or {}, jpeg_between
+        self.known = CHAINS | OPERATIONS | self.own
+        for step in self.steps:
+            if step.operation not in self.known:
+                raise KeyError(f"unknown operation {step.operation!r}; known: {', '.join(sorted(self.known))}")
+        self.params = {
+            id(step): step.params if step.operation in self.own else _accepted(self.known[step.operation], step)
+            for step in self.steps
+        }
+
+    def is_chain(self, step: Step) -> bool:
+        return step.operation in CHAINS and step.operation not in self.own
+
+    def advance(self, state: _Fused, step: Step) -> None:
+        operation, given = self.known[step.operation], self.params[id(step)]
+        for _ in range(step.repeat):
+            if self.is_chain(step):
+                state.add(operation(state.bands, **given))
+            else:
+                if isinstance(state, _Tapped):
+                    state.flush()
+                state.raster, state.chain = operation(state.current(), **given), []
+        if self.jpeg_between is not None:
+            state.add(blocks.compression_chain(state.bands, quality=self.jpeg_between))
+
+
+def all_steps(
+    raster: DataFrame, config: dict | list, jpeg_between: int | None = None, extra: dict[str, Operation] | None = None
+) -> DataFrame:
+    """Every step's scanlines with a column ``step``, as ``run_steps`` makes them, from shared passes.
+
+    A pass gives out the lines of up to ``MOST_TOGETHER`` steps that end in it, so steps are not computed
+    again for those behind them; only a pass behind another one, and operations that stand between passes,
+    compute what is before them once more. Of steps with one name later ones are numbered. A band that
+    some steps lack is null there.
+    """
+    plan, state = _Plan(config, jpeg_between, extra), _Tapped(raster)
+    for step, name in zip(plan.steps, _stored_names(plan.steps, [None] * len(plan.steps)), strict=True):
+        plan.advance(state, step)
+        state.end(name)
+    return state.every()
+
+
+def _write_together(state: _Tapped, target: str) -> None:
+    """One job for all steps that ``state`` holds, each in the folder that ``write_step`` would give it."""
+    state.every().write.partitionBy("step").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(target)
+
+
+def _run_together(raster: DataFrame, plan: _Plan, targets: list[str]) -> dict[str, DataFrame]:
+    spark, results, stored = raster.sparkSession, {}, _stored_names(plan.steps, targets)
+    number = 0
+    while number < len(plan.steps):
+        state, first, target = _Tapped(raster), number, targets[number]
+        plan.advance(state, plan.steps[number])
+        bands = state.bands
+        state.end(stored[number])
+        number += 1
+        while state.chain and number < len(plan.steps) and targets[number] == target and number - first < MOST_TOGETHER:
+            if not plan.is_chain(plan.steps[number]):
+                break
+            ahead = _Fused(state.raster)
+            ahead.chain = list(state.chain)
+            plan.advance(ahead, plan.steps[number])
+            if ahead.raster is not state.raster or not fits_one_pass(ahead.chain) or ahead.bands != bands:
+                break
+            plan.advance(state, plan.steps[number])
+            state.end(stored[number])
+            number += 1
+        for i in range(first, number):
+            _Record(spark, target, stored[i], "").drop()
+        _write_together(state, target)
+        for i in range(first, number):
+            raster = results[plan.steps[i].name] = read_raster(spark, target, stored[i])
+    return results
+
+
 def run_steps(
     raster: DataFrame,
     config: dict | list,
     sink: str | dict | None = None,
     jpeg_between: int | None = None,
     extra: dict[str, Operation] | None = None,
+    together: bool = False,
+    resume: str | None = None,
 ) -> dict[str, DataFrame]:
     """Run every step in order; the result maps step names to rasters (a later namesake wins).
 
@@ -142,35 +310,39 @@ def run_steps(
     executor costs one step. ``jpeg_between`` adds a lossy generation of that quality after each
     step. ``extra`` adds operations ``fn(raster, **params) -> raster`` by name; parameters that a
     built-in operation does not know are ignored.
+
+    With ``together`` steps that share a pass, a folder and their bands (at most ``MOST_TOGETHER``) are
+    written by one job, which reads the raster once for all of them; one of no lines is run step by step.
+
+    ``resume`` is a name for the raster that tells it from others. With it every stored step leaves a record
+    of this name, its own parameters and those of all steps before it, and a run takes over the steps whose
+    records fit, up to the first that does not: after a lost driver it goes on behind the last whole step.
+    An operation from outside is told by its name and parameters only.
     """
-    steps = parse_steps(config)
-    own = extra or {}
-    known = CHAINS | OPERATIONS | own
-    for step in steps:
-        if step.operation not in known:
-            raise KeyError(f"unknown operation {step.operation!r}; known: {', '.join(sorted(known))}")
-    params = [
-        step.params if step.operation in own else _accepted(known[step.operation], step)
-        for step in steps
-    ]
-    seen: list[tuple[str, str | None]] = []
-    results: dict[str, DataFrame] = {}
-    state = _Fused(raster)
-    for step, given, target in zip(steps, params, _targets(config, sink, steps)):
-        operation = known[step.operation]
-        for _ in range(step.repeat):
-            if step.operation in CHAINS and step.operation not in own:
-                state.add(operation(state.bands, **given))
-            else:
-                state = _Fused(operation(state.current(), **given))
-        if jpeg_between is not None:
-            state.add(blocks.compression_chain(state.bands, quality=jpeg_between))
-        if target is not None:
-            # A later namesake gets a folder of its own, because it may read the earlier one.
-            earlier = seen.count((step.name, target))
-            stored = f"{step.name}_{earlier:02d}" if earlier else step.name
+    plan = _Plan(config, jpeg_between, extra)
+    targets = _targets(config, sink, plan.steps)
+    if (together or resume is not None) and targets[0] is None:
+        raise ValueError("steps must be stored to be run together or resumed: give a sink")
+    if together and resume is not None:
+        raise ValueError("steps that are run together have one job and can't be resumed")
+    if together and not raster.isEmpty():
+        return _run_together(raster, plan, targets)
+    spark, results, state = raster.sparkSession, {}, _Fused(raster)
+    going_on, digest = resume is not None, _digest(resume, raster.schema.simpleString(), jpeg_between)
+    for step, target, stored in zip(plan.steps, targets, _stored_names(plan.steps, targets), strict=True):
+        digest = _digest(digest, step.name, step.operation, step.params, step.repeat)
+        record = _Record(spark, target, stored, digest) if target is not None else None
+        if going_on and record.holds():
+            state = _Fused(read_raster(spark, target, stored))
+            results[step.name] = state.current()
+            continue
+        going_on = False
+        plan.advance(state, step)
+        if record:
+            record.drop()
             write_step(state.current(), target, stored)
-            state = _Fused(read_raster(raster.sparkSession, target, stored))
-        seen.append((step.name, target))
+            if resume is not None:
+                record.make()
+            state = _Fused(read_raster(spark, target, stored))
         results[step.name] = state.current()
     return results
