@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import struct
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,30 +39,30 @@ def png(planes: dict[str, np.ndarray], kind: int, bands: str) -> bytes:
 def store_images(scan: DataFrame, folder: str) -> None:
     """Each (small) frame as ``<frame_id>.png`` in colour, grey or with alpha, and one broken file.
 
-    Pictures are made in tasks and written one by one through Hadoop's file system, so the folder
-    may be in any store that Spark can read.
+    The task that makes a picture writes it, below a name of its own first, so a task that runs again
+    puts the same file in its place. Only a count reaches the driver.
     """
+    address = re.sub(r"^file:/+", "file:///", folder)
+
+    def put(name: str, data: bytes) -> None:
+        files, base = FileSystem.from_uri(address)
+        files.create_dir(base, recursive=True)
+        made = f"{base}/.{uuid.uuid4().hex}"
+        with files.open_output_stream(made) as stream:
+            stream.write(data)
+        files.move(made, f"{base}/{name}")
 
     def one(table: pa.Table) -> pa.Table:
         table = table.sort_by("y")
         number = table.column("frame_id")[0].as_py()
         planes = planes_of(table, ["r", "g", "b", "a"], slice(None))
         planes["v"] = (planes["r"] * 19595 + planes["g"] * 38470 + planes["b"] * 7471 + 32768) >> 16
-        return pa.table({"number": pa.array([number]), "data": pa.array([png(planes, *KINDS[number % 3])], pa.binary())})
-
-    spark = scan.sparkSession
-    jvm = spark._jvm
-    base = jvm.org.apache.hadoop.fs.Path(folder)
-    files = base.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-    def write(name: str, data: bytes) -> None:
-        stream = files.create(jvm.org.apache.hadoop.fs.Path(base, name))
-        stream.write(data)
-        stream.close()
+        data = png(planes, *KINDS[number % 3])
+        put(f"{number}.png", data)
+        return pa.table({"number": pa.array([number]), "size": pa.array([len(data)])})
 
-    for row in scan.groupBy("frame_id").applyInArrow(one, "number long, data binary").toLocalIterator():
-        write(f"{row['number']}.png", bytes(row["data"]))
-    write("broken.png", b"\x89PNG\r\n\x1a\n no picture")
+    scan.groupBy("frame_id").applyInArrow(one, "number long, size long").agg(F.sum("size")).collect()
+    put("broken.png", b"\x89PNG\r\n\x1a\n no picture")
 
 
 def _folder(spark: SparkSession, d: str) -> str:
