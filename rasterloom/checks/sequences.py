@@ -95,6 +95,21 @@ def streamed_steps(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
+def streamed_frames(spark: SparkSession, d: str) -> DataFrame:
+    """The same list on batches that split frames: files hold every fourth line, and a batch is one file."""
+    folder = shared_folder(spark, "split")
+    scan = colour(spark, d)
+    for part in range(4):
+        scan.where(F.col("y") % 4 == part).coalesce(1).write.parquet(f"{folder}/source/part={part}")
+    stream = scanstream.read_scanline_stream(spark, f"{folder}/source/*", scan.schema, files_per_batch=1)
+    scanstream.run_steps_on_frames(stream, presets.DRIFTING_TAPE, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    parts = [
+        out(spark.read.parquet(f"{folder}/out/batch=*/step={s['name']}")).withColumn("step", F.lit(s["name"]))
+        for s in presets.DRIFTING_TAPE
+    ]
+    return reduce(DataFrame.unionAll, parts)
+
+
 def without_seeds(spark: SparkSession, d: str) -> DataFrame:
     """What holds whatever is drawn: pixels masked, pixels changed outside the mask, and whether the
     hits and the striped rows stay within their numbers."""
@@ -199,6 +214,7 @@ def queries() -> dict:
         "stream_stateless": streamed_mask,
         "stream_line_steps": streamed_lines,
         "stream_micro_batches": streamed_steps,
+        "stream_split_frames": streamed_frames,
     }
 
 
@@ -319,4 +335,5 @@ FROM fr LEFT JOIN mask USING (frame_id) GROUP BY fr.frame_id""",
             pointwise._grid("xor", 9, 0.3, 63, 34),
         ),
         "stream_micro_batches": kept,
+        "stream_split_frames": kept,
     }
