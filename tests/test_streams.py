@@ -3,8 +3,9 @@
 import numpy as np
 import pytest
 
+from rasterloom.operators.frames import sample_fps
 from rasterloom.plans.steps import run_steps
-from rasterloom.streaming import scanstream
+from rasterloom.streaming import framestream, scanstream
 
 STEPS = [
     {"name": "soft", "operation": "blur_circular", "params": {"radius": 2}},
@@ -80,3 +81,24 @@ def test_a_line_that_comes_twice_is_named(raster, spark, tmp_path):
         feed.run()
     with pytest.raises(ValueError, match="most_batches"):
         feed.run(most_batches=-1)
+
+
+def test_sampling_a_stream_out_of_order(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = []
+    for video, n in (("a", 200), ("b", 60), ("c", 1)):
+        times = np.sort(rng.uniform(0, 12, n)).round(2)
+        rows += [(i, video, i // 2 * 2, float(t)) for i, t in enumerate(times)]
+    schema = "frame_id long, video_id string, frame_no long, pts double"
+    rows.sort(key=lambda r: r[3] + rng.uniform(0, 1.5))  # up to 1.5 seconds late
+    late = [(900, "a", 900, 1.0), (901, "b", 901, 0.5)]
+    batches = [rows[i : i + 50] for i in range(0, len(rows), 50)] + [late, [(999, "z", 0, 1000.0)], [(998, "z", 0, 1001.0)]]
+    for i, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(f"{tmp_path}/in/file={i:03d}")
+    stream = scanstream.read_scanline_stream(spark, f"{tmp_path}/in/*", spark.createDataFrame([], schema).schema, 1)
+    query = framestream.write_sampled(stream, 5.0, 2.0, f"{tmp_path}/out", f"{tmp_path}/check")
+    query.awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out/frames/batch=*").where("video_id < 'z'")
+    want = sample_fps(spark.createDataFrame(rows, schema), 5.0)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert framestream.late_frames(query) == 2
