@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rasterloom.llm import texts
-from rasterloom.llm.tables import scope, stored
+from rasterloom.llm.tables import batches_of, scope, stored
 
 #: What ends a piece, and what parts the words of a piece.
 ENDS, BLANKS = ".,;:!?\n\v\f\r", " \t"
@@ -35,7 +35,10 @@ ENDS, BLANKS = ".,;:!?\n\v\f\r", " \t"
 C = 0xD1342543DE82EF95
 C_INVERSE = pow(C, -1, 1 << 64)
 #: Fingerprints that a task holds before it sums and sends them, and rows of a batch that it sends.
-HELD, SENT = 1 << 19, 1 << 16
+HELD, SENT = 1 << 18, 1 << 16
+#: Bytes of text worked on at once, whose arrays take many times as much, and of a batch of rows that
+#: reaches a task; a longer text is a block of its own and ends its batch.
+BLOCK, BATCH = 1 << 20, 1 << 22
 #: Bits of a part of the filter: what ``bitmap_construct_agg`` fills.
 PART = 1 << 15
 #: Tasks at least that a language's phrases are dealt to.
@@ -165,8 +168,11 @@ def joined(prints: np.ndarray, other: np.ndarray) -> np.ndarray:
 def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     """Distinct fingerprints of ``(fingerprints, counts, documents)``, sums, and a document of each."""
     prints, counts, docs = (np.concatenate(c) for c in zip(*parts, strict=True))
-    kinds, one, place = np.unique(prints, return_index=True, return_inverse=True)
-    return kinds, np.bincount(place, counts, len(kinds)).astype(np.int64), docs[one]
+    order = np.argsort(prints)
+    prints = prints[order]
+    first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]])[: len(prints)])
+    sums = np.add.reduceat(counts[order], first) if len(first) else counts
+    return prints[first], sums, docs[order[first]]
 
 
 def _lang_hashes(names: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -196,7 +202,7 @@ def _counted(lengths: range, held, known: int, bits: int):
         for batch in batches:
             _, _, hashes = _lang_hashes(batch.column("lang"))
             ids = batch.column("doc_id").to_numpy()
-            for first, last, data, offsets in texts.text_blocks(batch.column("text")):
+            for first, last, data, offsets in texts.text_blocks(batch.column("text"), BLOCK):
                 runs = Runs(data, offsets, hashes[first:last], bits)
                 for n, at, found in runs.passing(lengths[-1], held.value if held else None, known):
                     if n in lengths:
@@ -220,7 +226,7 @@ def _differing(most: int, held, texts_held, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, _, hashes = _lang_hashes(batch.column("lang"))
-            for first, last, data, offsets in texts.text_blocks(batch.column("text")):
+            for first, last, data, offsets in texts.text_blocks(batch.column("text"), BLOCK):
                 runs, odd = Runs(data, offsets, hashes[first:last], bits).with_checks(), []
                 for n, at, prints in runs.passing(most, None, 0):
                     fits = contains(held.value, prints)
@@ -302,9 +308,11 @@ class _Pool:
     def sent(self, names: list[str]) -> Iterator[pa.RecordBatch]:
         """All phrases as rows; the pool is empty then."""
         by_id = list(self.words)
-        for prints, words, langs, counts, places in [*self.held.values(), *self.apart]:
-            phrases = [b" ".join([by_id[w] for w in row]).decode() for row in words.tolist()]
-            yield _rows([names[i] for i in langs.tolist()], phrases, words.shape[1], counts, places, prints)
+        for found in [*self.held.values(), *self.apart]:
+            for i in range(0, len(found[0]), SENT):
+                prints, words, langs, counts, places = (a[i : i + SENT] for a in found)
+                phrases = [b" ".join([by_id[w] for w in row]).decode() for row in words.tolist()]
+                yield _rows([names[i] for i in langs.tolist()], phrases, words.shape[1], counts, places, prints)
         self.__init__()
 
 
@@ -338,7 +346,7 @@ def _materialised(most: int, held, pointers, bits: int):
             kinds, codes, hashes = _lang_hashes(batch.column("lang"))
             numbers = np.array([names.setdefault(k, len(names)) for k in kinds] or [0])[codes]
             ids = batch.column("doc_id").to_numpy()
-            for first, last, data, offsets in texts.text_blocks(batch.column("text")):
+            for first, last, data, offsets in texts.text_blocks(batch.column("text"), BLOCK):
                 runs = Runs(data, offsets, hashes[first:last], bits).with_checks()
                 for number, words in enumerate(np.bincount(numbers[first:last][runs.rows], minlength=len(names))):
                     total[number] = total.get(number, 0) + int(words)
@@ -399,6 +407,11 @@ def frequent_phrases(df: DataFrame, most: int = 5, least: int = 100, bits: int =
     they stand there. An empty table gives no rows. Of other columns none is read. ``bits`` is the width
     of the fingerprints and does not change the result.
     """
+    with batches_of(df.sparkSession, BATCH):
+        return _frequent_phrases(df, most, least, bits)
+
+
+def _frequent_phrases(df: DataFrame, most: int, least: int, bits: int) -> DataFrame:
     spark = df.sparkSession
     read = df.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
@@ -435,7 +448,7 @@ def frequent_phrases(df: DataFrame, most: int = 5, least: int = 100, bits: int =
         again = read.mapInArrow(_materialised(most, _sent(spark, odd, differing), None, bits), PHRASES)
         again = again.join(odd, "print", "left_semi").groupBy("lang", "phrase", "words")
         again = again.agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id")).where(F.col("n") >= least)
-        result = result.unionByName(again.select(*columns))
+        result = result.unionByName(stored(again.select(*columns), "told-apart"))
     return result.unionByName(whole.select("lang", "phrase", "words", "n", F.lit(None).cast("long").alias("doc_id")))
 
 

@@ -13,6 +13,8 @@ from rasterloom.session import shared_folder
 
 #: Spark's own setting by which a write removes its shuffle files when it is done.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's own limit of a batch of rows, beside that of 10,000 rows; none by default.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
@@ -51,6 +53,20 @@ def stored(df: DataFrame, purpose: str, outlives: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """Tables stored inside reach Python functions in batches that end with the row that passes ``size`` bytes."""
+    before = spark.conf.get(BATCH_BYTES, None)
+    spark.conf.set(BATCH_BYTES, str(size))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_BYTES)
+        else:
+            spark.conf.set(BATCH_BYTES, before)
+
+
 def schema_of(df: DataFrame, columns: list[str]) -> str:
     """DDL of some columns."""
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*columns).schema)

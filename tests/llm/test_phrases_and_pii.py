@@ -1,8 +1,10 @@
 import hashlib
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from conftest import SF
@@ -99,6 +101,51 @@ def test_colliding_fingerprints_are_told_by_their_words(spark):
     assert held[0] == held[1] == held[2] == collocations_by_hand(rows, 9, 3, 10)
 
 
+def test_tasks_get_and_hold_little_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, "en", " ".join(f"w{k}" for k in rng.integers(0, 500, 4000))) for i in range(100)]  # 1.9 MB
+    rows += [(900, "en", "x y " * (1 << 18))]
+    most = 1 << 18
+    monkeypatch.setattr(collocations, "BATCH", most)
+
+    def limited(made):
+        def with_limit(*given):
+            run = made(*given)
+
+            def checked(batches):
+                for batch in batches:
+                    # the row that passes the limit is the last
+                    assert batch.nbytes - len(batch.column("text")[-1].as_py()) < 1.1 * most, len(batch)
+                    yield from run(iter([batch]))
+
+            return checked
+
+        return with_limit
+
+    for name in ("_counted", "_materialised", "_differing"):
+        monkeypatch.setattr(collocations, name, limited(getattr(collocations, name)))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    df = spark.createDataFrame(rows, DOCS).coalesce(1)
+    found = {r["phrase"]: r["n"] for r in collocations.frequent_phrases(df, 2, 100).collect()}
+    assert found["x y"] == 1 << 18 and found["y x"] == (1 << 18) - 1 and found[""] == 100 * 4000 + (1 << 19)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_counting_holds_few_arrays():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 10**6, 4000)) for _ in range(300)]
+    columns = {"doc_id": pa.array(range(300)), "lang": pa.array(["en"] * 300), "text": pa.array(texts)}
+    batch, peaks = pa.RecordBatch.from_pydict(columns), []
+    tracemalloc.start()
+    counts = 0
+    for sent in collocations._counted(range(1, 3), None, 0, 64)(iter([batch])):
+        counts += sum(sent.column("n").to_pylist())
+        peaks.append(tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert counts == 300 * (4000 + 3999)
+    assert max(peaks) < 100e6, max(peaks)
+
+
 def test_op11_equals_sql(spark):
     got = queries.op11_collocations(spark, SF).toPandas()
     assert same(got, run_sql(queries.oracles()["op11_collocations"], SF)) == ""
